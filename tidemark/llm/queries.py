@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, mixing, substring_dedup
+from tidemark.llm import decontamination, exact_dedup, language_id, mixing, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_language_id": language_id.op5_language_id,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_warc": warc.op8_warc,
+    "op9_simhash_components": simhash.op9_simhash_components,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
+#: The others are tested against brute force or held-out rows.
 ORACLE_SQL = {
+    "op2_decontamination": decontamination.OP2_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
