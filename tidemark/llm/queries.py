@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, exact_dedup, language_id, mixing, simhash, substring_dedup, toxicity, warc
+import corpus_pipeline
+from tidemark.llm import chat, decontamination, exact_dedup, language_id, lm_scoring, mixing, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_pseudo_likelihood": lm_scoring.op1_pseudo_likelihood,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_perspective_rotation": chat.op3_perspective_rotation,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_language_id": language_id.op5_language_id,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
@@ -13,10 +16,12 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_simhash_components": simhash.op9_simhash_components,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 #: The others are tested against brute force or held-out rows.
 ORACLE_SQL = {
     "op2_decontamination": decontamination.OP2_SQL,
+    "op3_perspective_rotation": chat.OP3_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
