@@ -160,10 +160,10 @@ def count_or_share(total, cutoff) -> Column | int:
     if isinstance(total, Column) or isinstance(cutoff, Column):
         cutoff = cutoff if isinstance(cutoff, Column) else F.lit(float(cutoff))
         return F.when(cutoff < 1, F.rint(total * cutoff)).otherwise(cutoff).cast("long")
-    if isinstance(cutoff, int):
-        return cutoff
-    if not 0 < cutoff < 1:
-        raise ValueError("a share is between 0 and 1")
+    if isinstance(cutoff, int) or cutoff >= 1:
+        return int(cutoff)
+    if cutoff <= 0:
+        raise ValueError("a cutoff is above 0")
     return round(total * cutoff)
 
 

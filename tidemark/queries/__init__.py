@@ -34,7 +34,7 @@ def collect_all() -> Registry:
     from tidemark.queries import aggregations, filtering, joining, scalar, sources, windowing
 
     out = Registry()
-    for module in (sources, filtering, joining, aggregations, windowing, scalar):
+    for module in (sources, filtering, joining, aggregations, windowing, scalar, *_later()):
         for name, f in module.R.queries.items():
             out.add(name, module.R.sql.get(name))(f)
     return out
