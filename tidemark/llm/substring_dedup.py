@@ -2,7 +2,7 @@
 
 Windows of ``size`` words are cut into super-k-mers: consecutive windows that share a minimiser (the
 smallest hash of ``seed`` consecutive words inside the window) travel as one packed string to the bucket
-of that minimiser. Equal windows have equal minimisers, so a bucket sees all copies of its windows;
+of that minimiser, compressed with a dictionary sampled from the texts. Equal windows have equal minimisers, so a bucket sees all copies of its windows;
 it sorts them and compares equal neighbours byte by byte. Minimisers with very many super-k-mers are
 found by a count first, and their windows go to buckets of their own, by the hash of the whole window.
 """
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table, text_bytes
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_STEP = 1 << 20
 
 
 def _inverse(odd: int) -> int:
@@ -138,8 +137,34 @@ def _count_minimisers(size: int, seed: int):
 _PACKED = "bucket long, doc_id long, text_key long, at int, n int, packed binary"
 
 
-def _pack(size: int, seed: int, hot: list):
-    """Super-k-mers of the texts. Of equal ones in a part only that of the smallest id goes to the bucket;
+def sample_dictionary(docs: DataFrame, most: int = 500, size: int = 16_384) -> bytes:
+    """A Zstandard dictionary of pieces of at most ``most`` texts, for short strings; empty if there is too little."""
+    import zstandard
+
+    some = docs.select(F.substring("text", 1, 4000).alias("t")).filter("t is not null").orderBy(F.xxhash64("t")).limit(most).collect()
+    raw = [r["t"].encode() for r in some]
+    try:
+        return zstandard.train_dictionary(size, [t[i : i + 500] for t in raw for i in range(0, len(t), 500)]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _press(dictionary: bytes):
+    import zstandard
+
+    own = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    return zstandard.ZstdCompressor(level=1, dict_data=own, write_dict_id=False).compress
+
+
+def _unpress(dictionary: bytes):
+    import zstandard
+
+    own = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    return zstandard.ZstdDecompressor(dict_data=own).decompress
+
+
+def _pack(size: int, seed: int, hot: list, dictionary: bytes):
+    """Super-k-mers of the texts, compressed. Of equal ones in a part only that of the smallest id goes to the bucket;
     the others are repeats for sure and pass as rows with a null ``packed``."""
 
     def pack(batches: Iterator):
@@ -147,6 +172,7 @@ def _pack(size: int, seed: int, hot: list):
 
         often = np.array(sorted(hot), dtype=np.int64).view(np.uint64)
         often.sort()
+        press = _press(dictionary)
         for ids, keys, texts in _parts(batches):
             cut = _Cut(texts, size, seed)
             if not len(cut.minimiser):
@@ -182,7 +208,7 @@ def _pack(size: int, seed: int, hot: list):
             sent, packed = [], []
             for p, (_, own) in best.items():
                 sent.extend(own)
-                packed.extend([p] * len(own))
+                packed.extend([press(p)] * len(own))
             rows = np.array(sent + out, dtype=np.int64)
             who = owner[rows]
             bucket = key[at[rows]].view(np.int64).copy()
@@ -238,10 +264,12 @@ def _by_content(text: bytes, low, high, order, n: int):
 _REPEATS = "doc_id long, text_key long, at int, n int"
 
 
-def _find_repeats(size: int, limit: int = 6 << 20):
+def _find_repeats(size: int, dictionary: bytes, limit: int = 6 << 20):
     def find(batches: Iterator):
         import pyarrow as pa
 
+        unpress = _unpress(dictionary)
+
         def result(doc, key, at, n):
             return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=["doc_id", "text_key", "at", "n"])
 
@@ -278,6 +306,7 @@ def _find_repeats(size: int, limit: int = 6 << 20):
                 docs.append(d)
                 keys.append(k)
                 ats.append(a)
+                p = unpress(p)
                 packed.append(p)
                 held += len(p)
         if packed:
@@ -286,16 +315,29 @@ def _find_repeats(size: int, limit: int = 6 << 20):
     return find
 
 
-def _remove(size: int, texts: bool):
+def _squeeze(dictionary: bytes):
+    def squeeze(batches: Iterator):
+        import pyarrow as pa
+
+        press = _press(dictionary)
+        for batch in batches:
+            small = pa.array([press(t or b"") for t in text_bytes(batch.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), small], names=["doc_id", "text_key", "text"])
+
+    return squeeze
+
+
+def _remove(size: int, texts: bool, dictionary: bytes):
     def remove(batches: Iterator):
         import pyarrow as pa
 
+        unpress = _unpress(dictionary)
         for batch in batches:
             names = batch.schema.names
             ids = batch.column(0)
             n_words, n_removed, digest, kept = [], [], [], []
-            for t, runs in zip(text_bytes(batch.column(names.index("text"))), batch.column(names.index("runs")).to_pylist(), strict=True):
-                words = (t or b"").split()
+            for t, runs in zip(batch.column(names.index("text")).to_pylist(), batch.column(names.index("runs")).to_pylist(), strict=True):
+                words = unpress(t).split()
                 if runs:
                     cover = np.zeros(len(words) + 1, dtype=np.int64)
                     for r in runs:
@@ -317,7 +359,7 @@ def _remove(size: int, texts: bool):
     return remove
 
 
-def repeated_windows(docs: DataFrame, size: int = 50, seed: int = 8, hot_share: float = 1e-4, hot_least: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, size: int = 50, seed: int = 4, dictionary: bytes = b"", hot_share: float = 1e-4, hot_least: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, at, n): n consecutive windows from word ``at`` on whose words also start in a
     document with a smaller id. A minimiser is hot with over max(hot_least, hot_share of all)
     super-k-mers, so there are at most 1 / hot_share of them; that bounds the list sent to the tasks."""
@@ -329,11 +371,11 @@ def repeated_windows(docs: DataFrame, size: int = 50, seed: int = 8, hot_share:
     if hot and len(hot) >= int(1 / hot_share):  # only then can the share decide
         total = counts.agg(F.sum("n")).first()[0]
         hot = [r for r in hot if r["n"] > hot_share * total]
-    packed = rows.mapInArrow(_pack(size, seed, [r["minimiser"] for r in hot]), _PACKED)
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_find_repeats(size), _REPEATS)
+    packed = rows.mapInArrow(_pack(size, seed, dictionary=dictionary, hot=[r["minimiser"] for r in hot]), _PACKED)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_find_repeats(size, dictionary), _REPEATS)
 
 
-def substring_dedup(docs: DataFrame, size: int = 50, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, **hot) -> DataFrame:
+def substring_dedup(docs: DataFrame, size: int = 50, seed: int = 4, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, **hot) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, kept_text.
 
     Words are runs of bytes other than ASCII white space. A word goes if a window that covers it also
@@ -341,12 +383,14 @@ def substring_dedup(docs: DataFrame, size: int = 50, seed: int = 8, id_col: str
     stays. Null texts have no words; texts shorter than a window lose nothing; documents with a null id
     lose nothing and take nothing from others. Rows that repeat an id are one document for the rule.
     """
-    repeats = repeated_windows(docs, size, seed, id_col=id_col, text_col=text_col, **hot)
-    runs = repeats.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))  # at most one per word of the text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    joined = rows.join(runs, ["doc_id", "text_key"], "left").select("doc_id", "text", "runs")
+    dictionary = sample_dictionary(rows)
+    repeats = repeated_windows(docs, size, seed, dictionary, id_col=id_col, text_col=text_col, **hot)
+    runs = repeats.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))  # at most one per word of the text
     kind = docs.schema[id_col].dataType.simpleString()
-    out = joined.mapInArrow(_remove(size, texts), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    small = rows.mapInArrow(_squeeze(dictionary), f"doc_id {kind}, text_key long, text binary")
+    joined = small.join(runs, ["doc_id", "text_key"], "left").select("doc_id", "text", "runs")
+    out = joined.mapInArrow(_remove(size, texts, dictionary), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
     return out.withColumnRenamed("doc_id", id_col)
 
 
