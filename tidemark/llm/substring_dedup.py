@@ -40,15 +40,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_TABLE = _mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_WORD_BASE = 0x5851F42D4C957F2D
+#: Bytes that are hashed at once, for bounded memory; a single word may be longer.
+_BLOCK = 1 << 19
+
+
 def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the slices of a byte buffer: a polynomial over randomised bytes, from prefix sums."""
-    table_ = _mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-    base = 0x5851F42D4C957F2D
-    n = len(buffer)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(table_[buffer] * _powers(base, n), out=sums[1:])
-    undo = _powers(_inverse(base), n + 1)
-    return _mix((sums[ends] - sums[starts]) * undo[starts] + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), dtype=np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(buffer), _BLOCK)), len(starts)))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        low = starts[i]
+        part = buffer[low : ends[j - 1]]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_TABLE[part] * _powers(_WORD_BASE, len(part)), out=sums[1:])
+        s, e = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = _mix((sums[e] - sums[s]) * _powers(_inverse(_WORD_BASE), len(part) + 1)[s] + (e - s).astype(np.uint64))
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -105,7 +114,7 @@ class _Cut:
         return at[good], length[good]
 
 
-def _parts(batches: Iterator, limit: int = 8 << 20):
+def _parts(batches: Iterator, limit: int = 4 << 20):
     """(ids, keys, texts) of about ``limit`` bytes of text; a single text may be longer."""
     ids, keys, texts, held = [], [], [], 0
     for batch in batches:
@@ -137,11 +146,11 @@ def _count_minimisers(size: int, seed: int):
 _PACKED = "bucket long, doc_id long, text_key long, at int, n int, packed binary"
 
 
-def sample_dictionary(docs: DataFrame, most: int = 500, size: int = 16_384) -> bytes:
+def sample_dictionary(docs: DataFrame, most: int = 200, size: int = 16_384) -> bytes:
     """A Zstandard dictionary of pieces of at most ``most`` texts, for short strings; empty if there is too little."""
     import zstandard
 
-    some = docs.select(F.substring("text", 1, 4000).alias("t")).filter("t is not null").orderBy(F.xxhash64("t")).limit(most).collect()
+    some = docs.select(F.substring("text", 1, 2000).alias("t")).filter("t is not null").orderBy(F.xxhash64("t")).limit(most).collect()
     raw = [r["t"].encode() for r in some]
     try:
         return zstandard.train_dictionary(size, [t[i : i + 500] for t in raw for i in range(0, len(t), 500)]).as_bytes()
@@ -264,7 +273,7 @@ def _by_content(text: bytes, low, high, order, n: int):
 _REPEATS = "doc_id long, text_key long, at int, n int"
 
 
-def _find_repeats(size: int, dictionary: bytes, limit: int = 6 << 20):
+def _find_repeats(size: int, dictionary: bytes, limit: int = 4 << 20):
     def find(batches: Iterator):
         import pyarrow as pa
 
