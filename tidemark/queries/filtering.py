@@ -24,7 +24,10 @@ EPISODES = """episodes AS (
   SELECT o_custkey AS subject, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS "start", CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) AS "end", l_extendedprice AS cost
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 )"""
-DAY = F.col("o_orderdate").cast("date")
+
+
+def day():
+    return F.col("o_orderdate").cast("date")
 
 
 @R.add("PF01", "SELECT c_custkey AS subject_id, c_mktsegment AS segment, c_acctbal AS c_acctbal FROM customer")
@@ -41,7 +44,7 @@ def pf02(spark, sf):
 
 @R.add("PF03", "SELECT o_custkey AS subject, o_orderkey AS record, CAST(o_orderdate AS DATE) AS start_date, 1 AS inpatient, NULL::INT AS emergency FROM orders UNION ALL SELECT user_id, event_id, CAST(ts AS DATE), NULL, 1 FROM events")
 def pf03(spark, sf):
-    a = P.harmonise(t(spark, sf, "orders"), {"subject": "o_custkey", "record": "o_orderkey", "start_date": DAY}, "inpatient")
+    a = P.harmonise(t(spark, sf, "orders"), {"subject": "o_custkey", "record": "o_orderkey", "start_date": day()}, "inpatient")
     b = P.harmonise(t(spark, sf, "events"), {"subject": "user_id", "record": "event_id", "start_date": F.col("ts").cast("date")}, "emergency")
     return a.unionByName(b, allowMissingColumns=True)
 
@@ -144,7 +147,7 @@ def pf18(spark, sf):
 @R.add("PF19", "SELECT l_orderkey, l_linenumber, s, CASE WHEN e < s THEN s ELSE e END AS e, coalesce(f, s) AS f FROM (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS s, CAST(o_orderdate AS DATE) AS e, CASE WHEN l_linenumber > 1 THEN CAST(l_shipdate AS DATE) END AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
 def pf19(spark, sf):
     li, o = t(spark, sf, "lineitem"), t(spark, sf, "orders")
-    d = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("s"), DAY.alias("e"))
+    d = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("s"), day().alias("e"))
     return P.repair_dates(d.withColumn("f", F.when(F.col("l_linenumber") > 1, F.col("s"))), "s", "e", fill_start="f")
 
 

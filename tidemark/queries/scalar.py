@@ -11,7 +11,10 @@ from tidemark.queries import Registry, t
 from tidemark.queries.aggregations import rounded
 
 R = Registry()
-DAY = F.col("o_orderdate").cast("date")
+
+
+def day():
+    return F.col("o_orderdate").cast("date")
 
 
 def _o(spark, sf):
@@ -27,7 +30,7 @@ def sf01(spark, sf):
 @R.add("SF02", "SELECT o_orderkey, epoch_us(date_trunc('day', o_orderdate)) + 1000000 * greatest(0, least(86399, coalesce(nullif(o_orderkey * 13 % 90001, 0), 0))) AS us FROM orders")
 def sf02(spark, sf):
     s = F.nullif(F.col("o_orderkey") * 13 % 90_001, F.lit(0))
-    return _o(spark, sf).select("o_orderkey", S.micros(S.date_plus_seconds(DAY, s)).alias("us"))
+    return _o(spark, sf).select("o_orderkey", S.micros(S.date_plus_seconds(day(), s)).alias("us"))
 
 
 @R.add("SF03", "SELECT event_id, CAST(year(ts) AS INT) AS y, CAST(month(ts) AS INT) AS m, CAST(hour(ts) AS INT) AS h FROM events")
@@ -38,7 +41,7 @@ def sf03(spark, sf):
 @R.add("SF04", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - DATE '1995-01-01' AS INT) AS d, CAST(CAST(o_orderdate AS DATE) - DATE '1995-01-01' + 1 AS INT) AS d1 FROM orders")
 def sf04(spark, sf):
     start = F.lit("1995-01-01")
-    return _o(spark, sf).select("o_orderkey", S.days_between(start, DAY).alias("d"), S.days_between(start, DAY, inclusive=True).alias("d1"))
+    return _o(spark, sf).select("o_orderkey", S.days_between(start, day()).alias("d"), S.days_between(start, day(), inclusive=True).alias("d1"))
 
 
 @R.add("SF05", "SELECT event_id, round((epoch_us(ts) - epoch_us(TIMESTAMP '2020-01-01')) / 60e6, 4) AS minutes, round((epoch_us(ts) - epoch_us(TIMESTAMP '1990-01-01')) / 31557600e6, 6) AS years FROM events")
@@ -49,7 +52,7 @@ def sf05(spark, sf):
 
 @R.add("SF06", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 6 MONTH AS DATE) AS a, CAST(CAST(o_orderdate AS DATE) - INTERVAL 24 MONTH AS DATE) AS b FROM orders")
 def sf06(spark, sf):
-    return _o(spark, sf).select("o_orderkey", F.add_months(DAY, 6).alias("a"), F.add_months(DAY, -24).alias("b"))
+    return _o(spark, sf).select("o_orderkey", F.add_months(day(), 6).alias("a"), F.add_months(day(), -24).alias("b"))
 
 
 @R.add("SF07", "SELECT event_id, epoch_us(ts) + 100000 AS a, epoch_us(ts) - 60000000 AS b FROM events")
