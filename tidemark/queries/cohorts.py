@@ -106,7 +106,7 @@ def _visits(spark, sf, orders=None):
     return C.encode_visits(t(spark, sf, "orders") if orders is None else orders, "o_custkey", ["o_orderdate", "o_orderkey"], edges, codes, {"o_totalprice": 100, "o_orderpriority": 0, "o_orderstatus": 50})
 
 
-VIS = f"""{MAP}, {EDGE}, tok AS (SELECT o_custkey, o_orderdate, o_orderkey, 100 + len(list_filter(e, lambda x: x < o_totalprice)) AS p, a.code AS q, 50 + coalesce(b.code, (SELECT code FROM mp WHERE variable = 'o_orderstatus' AND value = 'other')) AS s
+VIS = f"""{MAP}, {EDGE}, tok AS (SELECT o_custkey, o_orderdate, o_orderkey, 100 + len(list_filter(e, lambda x: x < o_totalprice)) AS p, coalesce(a.code, (SELECT code FROM mp WHERE variable = 'o_orderpriority' AND value = 'other')) AS q, 50 + coalesce(b.code, (SELECT code FROM mp WHERE variable = 'o_orderstatus' AND value = 'other')) AS s
  FROM orders, ed LEFT JOIN (SELECT * FROM mp WHERE variable = 'o_orderpriority') a ON a.value = o_orderpriority LEFT JOIN (SELECT * FROM mp WHERE variable = 'o_orderstatus') b ON b.value = o_orderstatus)"""
 
 

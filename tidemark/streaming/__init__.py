@@ -1 +1 @@
-"""Part of the library."""
+"""Row-local operators on streams."""
