@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import lower_ascii, materialize, table
 
 MASKS = ("11111", "111011")
-#: Test items whose seeds are at most so many are sent to all tasks; more go through a shuffle.
-BROADCAST_SEEDS = 1_000_000
+#: Tables of at most so many rows (seeds of the test items, places to compare), once counted, are sent to all tasks;
+#: larger ones go through a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def clean_words(text: Column) -> Column:
@@ -26,27 +27,33 @@ def clean_words(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(kept, r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
 
 
-def _seed(arr: Column, at: Column, number: int, mask: str) -> Column:
-    on = [F.get(arr, at + i) for i, c in enumerate(mask) if c == "1"]
-    return F.when(at + len(mask) <= F.size(arr), F.xxhash64(F.lit(number), *on))
-
-
 def _seeds(df: DataFrame, arr: str, masks: Sequence[str]) -> DataFrame:
-    """A row for each position and mask: at, seed; the other columns stay."""
-    placed = df.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size(arr) - 1, F.lit(0)))).alias("at"))
-    seeds = F.array(*[_seed(F.col(arr), F.col("at"), i, m) for i, m in enumerate(masks)])
-    return placed.select("*", F.explode(seeds).alias("seed")).filter("seed is not null")
-
-
-def _overlap(doc: str, item: str, start: Column, window: int) -> tuple[Column, Column]:
-    """Of the item laid over the document at ``start``: words that agree in all, and in the best window."""
-    size = F.size(item)
-    agree = F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.when(F.get(F.col(doc), start + j).eqNullSafe(F.get(F.col(item), j)), 1).otherwise(0))
-    width = F.least(size, F.lit(window))
-    sums = F.transform(F.sequence(F.lit(0), size - width), lambda j: F.aggregate(F.slice(F.col("_agree"), j + 1, width), F.lit(0), lambda a, x: a + x))
+    """A row for each position and mask: at, seed; the other columns stay, but for the array.
+
+    The array is zipped with itself shifted by one, two and more, so that a row holds the words it needs."""
+    span = max(map(len, masks))
+    shifts = [F.slice(F.col(arr), i + 1, F.size(arr)).alias(f"w{i}") for i in range(span)]
+    placed = df.select(*[c for c in df.columns if c != arr], F.posexplode(F.arrays_zip(*shifts)).alias("at", "_w"))
+    word = lambda i: F.col(f"_w.w{i}")
+    seeds = [F.when(word(len(m) - 1).isNotNull(), F.xxhash64(F.lit(k), *[word(i) for i, c in enumerate(m) if c == "1"])) for k, m in enumerate(masks)]
+    return placed.select(*[c for c in df.columns if c != arr], "at", F.explode(F.array(*seeds)).alias("seed")).filter("seed is not null")
+
+
+def _overlap(window: int) -> tuple[Column, Column]:
+    """Of the item ``_iw`` laid over the document's words ``_piece``, which begin ``_skip`` words into the item: flags of
+    agreement, and the largest number of them in a window (read from the flags as ``_agree``)."""
+    piece = F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("_skip")), F.slice("_piece", 1, F.greatest(F.size("_iw") - F.col("_skip"), F.lit(0))))
+    agree = F.zip_with(piece, "_iw", lambda a, b: F.when(a.eqNullSafe(b), 1).otherwise(0))
+    width = F.least(F.size("_agree"), F.lit(window))
+    sums = F.transform(F.sequence(F.lit(0), F.size("_agree") - width), lambda j: F.aggregate(F.slice("_agree", j + 1, width), F.lit(0), lambda a, x: a + x))
     return agree, F.array_max(sums)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """With a hint to send a written table to all tasks if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, window: int = 16, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -57,21 +64,20 @@ def contaminated(
     document. Case of A-Z and punctuation are ignored. Items shorter than the shortest mask and null or
     empty texts match nothing. Null identifiers are carried; text_key tells apart rows that share one.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), clean_words(F.col(text_col)).alias("_dw"))
-    items = materialize(benchmark.select(F.col(item_col).alias("item_id"), clean_words(F.col(item_text)).alias("_iw")).filter(F.size("_iw") >= min(map(len, masks))).distinct(), "items")
-    item_seeds = materialize(_seeds(items, "_iw", masks).select("item_id", "_iw", F.col("at").alias("_ipos"), F.col("seed")).distinct(), "item-seeds")
-    small = item_seeds.count() <= BROADCAST_SEEDS
-    if small:
-        hits = _seeds(d, "_dw", masks).join(F.broadcast(item_seeds), "seed")
-        laid = hits.select("doc_id", "text_key", "item_id", "_dw", "_iw", (F.col("at") - F.col("_ipos")).alias("_start"))
-    else:
-        places = _seeds(d, "_dw", masks).select("doc_id", "text_key", "at", "seed").join(item_seeds.select("item_id", "_ipos", "seed"), "seed")
-        places = places.select("doc_id", "text_key", "item_id", (F.col("at") - F.col("_ipos")).alias("_start")).distinct()
-        same = d.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
-        laid = places.join(same, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t"))).drop("_d", "_t").join(items, "item_id")
-    agree, best = _overlap("_dw", "_iw", F.col("_start"), window)
-    size = F.size("_iw")
-    compared = laid.select("doc_id", "text_key", "item_id", size.alias("item_words"), agree.alias("_agree"), "_iw").select(
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("_text"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), clean_words(F.col(item_text)).alias("_iw")).filter(F.size("_iw") >= min(map(len, masks)))
+    items = materialize(items.distinct(), "items")
+    item_seeds = materialize(_seeds(items, "_iw", masks).withColumnRenamed("at", "_ipos").distinct(), "item-seeds")
+    places = _seeds(d.select("doc_id", "text_key", clean_words(F.col("_text")).alias("_dw")), "_dw", masks).join(_small(item_seeds), "seed")
+    places = places.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.struct("item_id", (F.col("at") - F.col("_ipos")).alias("start")).alias("p"))
+    places = materialize(places.groupBy("_d", "_t").agg(F.collect_set("p").alias("_places")), "places")
+    longest = items.agg(F.max(F.size("_iw"))).first()[0] or 0
+    met = d.join(_small(places), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")))
+    met = met.select("doc_id", "text_key", "_places", clean_words(F.col("_text")).alias("_dw"))
+    cut = F.transform("_places", lambda p: F.struct(p["item_id"].alias("item_id"), F.greatest(-p["start"], F.lit(0)).alias("_skip"), F.slice("_dw", F.greatest(p["start"], F.lit(0)) + 1, longest).alias("_piece")))
+    laid = met.select("doc_id", "text_key", F.inline(cut)).join(_small(items), "item_id")
+    agree, best = _overlap(window)
+    compared = laid.select("doc_id", "text_key", "item_id", F.size("_iw").alias("item_words"), agree.alias("_agree")).select(
         "doc_id", "text_key", "item_id", "item_words", F.aggregate("_agree", F.lit(0), lambda a, x: a + x).alias("matched"), best.alias("window_matched")
     )
     enough = F.col("window_matched") >= F.ceil(F.least(F.col("item_words"), F.lit(window)) * F.lit(similarity) - 1e-9)
