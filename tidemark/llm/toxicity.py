@@ -25,6 +25,8 @@ SECOND_PERSON = frozenset(
 )
 #: Signs and digits that stand for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"})
+#: Labels of at most so many rows, once counted, are sent to all tasks instead of shuffling the texts to them.
+BROADCAST_LABELS = 1_000_000
 #: Length of the word beginnings of the second lexicon.
 STEM = 5
 FEATURES = ("lexicon", "lexicon_count", "lexicon_weight", "lexicon_max", "stems", "stem_count", "stem_max", "near_second_person", "second_person", "capitals", "capital_words", "punctuation", "exclamation", "obfuscated", "hidden_lexicon", "repeated_letters", "words")
@@ -262,6 +264,8 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 def op4_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.filter(F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), 5) != 0)).select("doc_id", "toxic").distinct()
+    if known.count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)
     scorer = fit(docs.select("doc_id", "text").join(known, "doc_id"))
     held = (remainder(F.col("doc_id"), 5) == 0).alias("held_out")
     return score(docs, scorer).select("doc_id", held, "score", "predicted")
