@@ -33,6 +33,7 @@ FEATURES = ("lexicon", "lexicon_count", "lexicon_weight", "lexicon_max", "stems"
 
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _INNER = re.compile(r"[^\W\d_][\d@$!*€.\-_]+[^\W\d_]")
+_FRAME = re.compile(r"^[^\w$@]+|[^\w$@]+$")
 _SIGNS = re.compile(r"[\W\d_]+")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _PUNCTUATION = re.compile(rb"[!-/:-@\[-`{-~]")
@@ -86,7 +87,7 @@ class Features:
                 bare = _EDGE.sub("", w)
                 if bare and not bare.isalpha():
                     twisted += _INNER.search(bare) is not None
-                    read = _SIGNS.sub("", w.translate(LEET))
+                    read = _SIGNS.sub("", _FRAME.sub("", w).translate(LEET))
                     if read not in plain:
                         read = _SIGNS.sub("", w)
                     if read in plain:
