@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import PurePosixPath
@@ -155,10 +156,10 @@ def load_tables(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], d
 def task_collection(spark: SparkSession, path: str, prefix: str = "") -> dict[str, DataFrame]:
     """Parquet files below a folder, by their path below it without the ending."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path").collect()
-    root = PurePosixPath(path.split(":", 1)[-1].replace("//", "/"))
+    root = PurePosixPath(re.sub("/+", "/", path.split(":", 1)[-1]))
     out = {}
     for r in sorted(x["path"] for x in files):
-        p = PurePosixPath(r.split(":", 1)[-1].replace("//", "/"))
+        p = PurePosixPath(re.sub("/+", "/", r.split(":", 1)[-1]))
         out[prefix + str(p.relative_to(root).with_suffix(""))] = spark.read.parquet(r)
     return out
 
