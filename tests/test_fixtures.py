@@ -271,3 +271,17 @@ def test_streaming_row_local_operators(spark, tmp_path):
     stream = spark.readStream.schema("subject_id long, timestamp timestamp").parquet(src)
     out = apply.run_once(stream, lambda d: ES.add_functors(d, d, ["time_of_day"]), str(tmp_path / "out"), str(tmp_path / "ckpt"))
     assert out.count() == 5 and set(col(out, "time_of_day")) == {"EARLY_AM"}
+
+
+def test_database_source(spark):
+    """Write a table to an in-memory database and read it by two queries, one in ranges."""
+    from tidemark.sources.io import Query, read_jdbc
+
+    url = "jdbc:derby:memory:tide;create=true"
+    driver = (("driver", "org.apache.derby.jdbc.EmbeddedDriver"),)
+    df = spark.range(20).select(F.col("id").cast("int").alias("ID"), (F.col("id") * 2).cast("int").alias("V"))
+    df.write.jdbc(url, "T", mode="overwrite", properties=dict(driver))
+    parts = [Query(url, "SELECT ID, V FROM T WHERE ID < 10", partition_on="ID", bounds=(0, 10), partition_num=3, properties=driver), Query(url, "SELECT ID, V FROM T WHERE ID >= 10", properties=driver)]
+    got = read_jdbc(spark, parts)
+    assert sorted(tuple(r) for r in got.collect()) == [(i, 2 * i) for i in range(20)]
+    assert got.rdd.getNumPartitions() == 4
