@@ -53,7 +53,14 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprint(k: int, kind: str):
+def _remix(h: np.ndarray) -> np.ndarray:
+    """Other 64 bits from the same hashes: a bijection that spreads them anew."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def _fingerprint(k: int, wide: bool):
     def fingerprint(batches: Iterator):
         import pyarrow as pa
         from xxhash import xxh64_intdigest
@@ -67,16 +74,18 @@ def _fingerprint(k: int, kind: str):
                     hashes.extend(own)
                     counts.append(len(own))
                     distinct.append(len(set(own)))
-                fp = majority_bits(np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(low, len(fp)), pa.array(fp.view(np.int64)), pa.array(distinct, pa.int32())], names=["doc_id", "fp", "n"])
+                h, c = np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
+                fp = majority_bits(h, c)
+                more = [pa.array(majority_bits(_remix(h), c).view(np.int64))] if wide else []
+                yield pa.RecordBatch.from_arrays([ids.slice(low, len(fp)), pa.array(fp.view(np.int64)), pa.array(distinct, pa.int32()), *more], names=["doc_id", "fp", "n", "fp2"][: 3 + wide])
 
     return fingerprint
 
 
-def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, n): the fingerprint as a signed long and the number of different shingles."""
+def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
+    """(doc_id, fp, n): the fingerprint as a signed long and the number of different shingles; ``wide``: fp2, 64 bits more."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(_fingerprint(k, kind), f"doc_id {kind}, fp long, n int")
+    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(_fingerprint(k, wide), f"doc_id {kind}, fp long, n int" + ", fp2 long" * wide)
 
 
 def _signature_tiles(radius: int):
@@ -101,13 +110,15 @@ def _signature_tiles(radius: int):
     return deal
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(a: np.ndarray, b: np.ndarray, radius: int, a2: np.ndarray | None = None, b2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions in a and b, and distances, of pairs that differ in at most ``radius`` bits, block by block."""
     found = []
     for i in range(0, len(a), 512):
         x = a[i : i + 512, None]
         for j in range(0, len(b), 2048):
             d = np.bitwise_count(x ^ b[None, j : j + 2048])
+            if a2 is not None:
+                d += np.bitwise_count(a2[i : i + 512, None] ^ b2[None, j : j + 2048])
             p, q = np.nonzero(d <= radius)
             if len(p):
                 found.append((p + i, q + j, d[p, q]))
@@ -193,49 +204,54 @@ def _size_class(n: int, ratio: float) -> int:
 
 
 def _size_tiles(ratio: float, blocks: dict):
-    """Rows (tile, guest, node, fp, n, label): at home in a block of its size class; a guest in the later
+    """Rows (tile, guest, node, fp, fp2, n, label): at home in a block of its size class; a guest in the later
     blocks of the class and in all blocks of the class below."""
 
     def deal(batches: Iterator):
         import pyarrow as pa
 
         for batch in batches:
-            out: list = [[] for _ in range(6)]
-            for node, fp, n, label in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            out: list = [[] for _ in range(7)]
+            for node, fp, fp2, n, label in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 c = _size_class(n, ratio)
-                own = (node * 2654435761 >> 7) % blocks[c]
+                own = (node * 2654435761 >> 7) % blocks.get(c, 1)
                 places = [(c, own, False), *((c, j, True) for j in range(own)), *((c - 1, j, True) for j in range(blocks.get(c - 1, 0)))]
                 for t, j, guest in places:
-                    for column, value in zip(out, ((t + 1) * 1_000_000 + j, guest, node, fp, n, label), strict=True):
+                    for column, value in zip(out, ((t + 1) * 1_000_000 + j, guest, node, fp, fp2, n, label), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["tile", "guest", "node", "fp", "n", "label"])
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["tile", "guest", "node", "fp", "fp2", "n", "label"])
 
     return deal
 
 
 def _compare_sized(radius: int, ratio: float, leaders: bool):
-    """``leaders``: each node with the smallest node near it; else all near pairs with different labels."""
+    """``leaders``: each node with the smallest node near it and with its nearest; else all near pairs with different
+    labels. Rows (a, b, d); a > b, but for ``leaders`` a is the node."""
 
     def compare(batches: Iterator):
         import pyarrow as pa
 
         def pairs(x, y, same):
-            p, q, _ = _near(x[1].view(np.uint64), y[1].view(np.uint64), radius)
-            small, large = np.minimum(x[2][p], y[2][q]), np.maximum(x[2][p], y[2][q])
+            p, q, d = _near(x[1].view(np.uint64), y[1].view(np.uint64), radius, x[2].view(np.uint64), y[2].view(np.uint64))
+            small, large = np.minimum(x[3][p], y[3][q]), np.maximum(x[3][p], y[3][q])
             ok = (small >= ratio * large) & (x[0][p] != y[0][q])
             if same:
                 ok &= p < q
             if not leaders:
-                ok &= x[3][p] != y[3][q]
-            a, b = x[0][p[ok]], y[0][q[ok]]
-            a, b = np.maximum(a, b), np.minimum(a, b)
-            if leaders and len(a):
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                new = np.concatenate(([True], a[1:] != a[:-1]))
-                a, b = a[new], b[new]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                ok &= x[4][p] != y[4][q]
+            a, b, d = x[0][p[ok]], y[0][q[ok]], d[ok].astype(np.int32)
+            if not leaders:
+                a, b = np.maximum(a, b), np.minimum(a, b)
+            elif len(a):
+                a, b, d = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))
+                keep = []
+                for order in (np.lexsort((b, a)), np.lexsort((b, d, a))):
+                    first = np.concatenate(([True], a[order][1:] != a[order][:-1]))
+                    keep.append(order[first])
+                keep = np.unique(np.concatenate(keep))
+                a, b, d = a[keep], b[keep], d[keep]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
 
         tile, homes, home = None, [], None
         for batch in batches:
@@ -275,44 +291,51 @@ def _shingle_sets(k: int):
     return sets
 
 
+#: Identifiers of at most so many candidates, once counted, are sent to all tasks instead of shuffling the texts to them.
+BROADCAST_IDS = 1_000_000
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles have at least this Jaccard similarity."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = docs.join(ends, "node", "left_semi").mapInArrow(_shingle_sets(k), "node long, set array<long>")
-    sets = materialize(sets, "shingle-sets")
+    """The pairs (a written table) whose sets of shingles have at least this Jaccard similarity, as a written table."""
+    ends = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "candidates")
+    if ends.count() <= BROADCAST_IDS:
+        ends = F.broadcast(ends)
+    sets = materialize(docs.join(ends, "node", "left_semi").mapInArrow(_shingle_sets(k), "node long, set array<long>"), "shingle-sets")
     a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     both = pairs.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return both.filter((shared >= union * similarity - 1e-9)).select("a", "b")
+    return materialize(both.select("a", "b", (shared >= union * similarity - 1e-9).alias("ok")).filter("ok").select("a", "b"), "near-links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 16, tile_rows: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 29, tile_rows: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per identifier: doc_id, component_id (smallest identifier reachable over near-duplicate links).
 
-    A link needs fingerprints within ``radius`` bits and a Jaccard similarity of the sets of k-word
+    A link needs 128-bit fingerprints within ``radius`` bits and a Jaccard similarity of the sets of k-word
     shingles of at least ``similarity``, checked exactly. Tiles are blocks of a size class (numbers of
     different shingles within the ratio that the similarity asks for), so pairs of other classes are
-    skipped. A first pass links every document to the smallest one near it and so settles large groups;
-    a second compares only what is not yet in one component. At similarity 0.8 the expected distance is
-    10 bits with a deviation of 3; the default radius keeps about 99 in 100 such pairs and more of closer ones.
+    skipped. A first pass links every document to the smallest and to the closest one near it and so settles large
+    groups; a second compares only what is not yet in one component. At similarity 0.8 the expected distance is
+    19 bits with a deviation of 4; the default radius keeps about 99 in 100 such pairs and more of closer ones, and
+    random pairs lie within it once in a billion times.
     Documents without words link to each other. Null identifiers are left out.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    marked = materialize(fingerprints(rows, k, "node", "text").withColumnRenamed("doc_id", "node"), "sized-fingerprints")
+    marked = materialize(fingerprints(rows, k, "node", "text", wide=True).withColumnRenamed("doc_id", "node"), "sized-fingerprints")
     classes = marked.groupBy(F.when(F.col("n") <= 0, -1).otherwise(F.floor(F.log("n") / F.lit(-math.log(similarity)) + 1e-9)).cast("int").alias("c")).count().collect()  # one row per size class, under 150
     blocks = {r["c"]: max(1, math.ceil(r["count"] / tile_rows)) for r in classes}
 
     def tiled(nodes: DataFrame, leaders: bool) -> DataFrame:
-        dealt = nodes.mapInArrow(_size_tiles(similarity, blocks), "tile long, guest boolean, node long, fp long, n int, label long")
-        return dealt.repartition("tile").sortWithinPartitions("tile", "guest").mapInArrow(_compare_sized(radius, similarity, leaders), "a long, b long")
+        dealt = nodes.mapInArrow(_size_tiles(similarity, blocks), "tile long, guest boolean, node long, fp long, fp2 long, n int, label long")
+        return dealt.repartition("tile").sortWithinPartitions("tile", "guest").mapInArrow(_compare_sized(radius, similarity, leaders), "a long, b long, d int")
 
-    first = tiled(marked.select("node", "fp", "n", F.col("node").alias("label")), True).groupBy("a").agg(F.min("b").alias("b"))
-    stars = _verified(materialize(first, "leaders"), rows, k, similarity)
-    stars = materialize(stars, "star-links")
+    best = tiled(marked.select("node", "fp", "fp2", "n", F.col("node").alias("label")), True).groupBy("a").agg(F.min("b").alias("s"), F.min(F.struct("d", "b")).alias("c"))
+    both = best.select("a", F.explode(F.array("s", "c.b")).alias("b"))
+    first = materialize(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "leaders")
+    stars = _verified(first, rows, k, similarity)
     labels = connected_components(stars)
-    labelled = marked.join(labels, "node", "left").select("node", "fp", "n", F.coalesce("component", "node").alias("label"))
-    rest = materialize(tiled(labelled, False).distinct(), "rest-links")
+    labelled = marked.join(labels, "node", "left").select("node", "fp", "fp2", "n", F.coalesce("component", "node").alias("label"))
+    rest = materialize(tiled(labelled, False).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "rest-links")
     links = stars.unionByName(_verified(rest, rows, k, similarity))
     components = connected_components(links)
     return marked.select("node").distinct().join(components, "node", "left").select(F.col("node").alias(id_col), F.coalesce("component", "node").alias("component_id"))
