@@ -55,6 +55,13 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def send_if_small(df: DataFrame, what: str, most: int = 500_000) -> DataFrame:
+    """Write ``df`` (a few narrow columns) as a table and count it; up to ``most`` rows are sent to all tasks by the join
+    that uses it, a larger one is left to a shuffle."""
+    written = materialize(df, what)
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def text_bytes(column) -> list:
     """An Arrow string column as a list of UTF-8 bytes (None for null)."""
     import pyarrow as pa

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, materialize, table
+from tidemark.llm.common import lower_ascii, materialize, send_if_small, table
 
 MASKS = ("11111", "111011")
 #: Tables of at most so many rows (seeds of the test items, places to compare), once counted, are sent to all tasks;
@@ -88,6 +88,7 @@ def contaminated(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that overlap no test item, with their columns."""
     found = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct()
+    found = send_if_small(found, "contaminated")
     return docs.join(found, docs[id_col].eqNullSafe(F.col("_d")) & (F.xxhash64(docs[text_col]) == F.col("_t")), "left_anti")
 
 
