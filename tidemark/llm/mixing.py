@@ -76,7 +76,7 @@ def mix_sources(
         "mix-sizes",
     )
     n = sized.count()
-    digits = max(1, math.ceil(math.log(max(n, 1) / 4096 + 1, 16)))
+    digits = max(1, math.ceil(math.log(max(n, 1) / 1024 + 1, 16)))
     rows = sized.withColumn("_bucket", F.substring("_md5", 1, digits)).withColumn("_key", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
     buckets = rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("_words"), F.first("source").alias("source"))
     before = F.coalesce(F.sum("_words").over(W.partitionBy("_key").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
