@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import lower_ascii, materialize, text_bytes
 
+#: Groups that go on over the edge of a partition: up to so many, once counted, are sent to all tasks.
+BROADCAST_GROUPS = 500_000
 _RUNS = "{id} {kind}, text_sha256 string, run_size long, run_keep {kind}, first boolean, open boolean"
 
 
@@ -82,7 +84,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = materialize(ordered.select(id_col, "_hash", "_norm").mapInArrow(_compare_neighbours(keep == "largest", run_rows, id_col), schema), "content-runs")
     best = F.max if keep == "largest" else F.min
     whole = runs.filter(~F.col("open")).select(id_col, F.col("run_keep").alias("keep_id"), F.col("run_size").alias("group_size"), "first", "text_sha256")
-    totals = runs.filter("open").groupBy("text_sha256").agg(best(id_col).alias("keep_id"), F.count("*").alias("group_size"))
+    totals = materialize(runs.filter("open").groupBy("text_sha256").agg(best(id_col).alias("keep_id"), F.count("*").alias("group_size")), "open-groups")
+    if totals.count() <= BROADCAST_GROUPS:  # two for each partition, and long groups: rows need not meet by text
+        totals = F.broadcast(totals)
     joined = runs.filter("open").select(id_col, "first", "text_sha256").join(totals, "text_sha256").select(id_col, "keep_id", "group_size", "first", "text_sha256")
     return whole.unionByName(joined).select(
         id_col, "keep_id", F.col("group_size").cast("long"), (F.col("first") & F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256"
