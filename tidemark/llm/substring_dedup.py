@@ -146,11 +146,13 @@ def _count_minimisers(size: int, seed: int):
 _PACKED = "bucket long, doc_id long, text_key long, at int, n int, packed binary"
 
 
-def sample_dictionary(docs: DataFrame, most: int = 200, size: int = 16_384) -> bytes:
-    """A Zstandard dictionary of pieces of at most ``most`` texts, for short strings; empty if there is too little."""
+def sample_dictionary(docs: DataFrame, most: int = 400, size: int = 65_536) -> bytes:
+    """A Zstandard dictionary of pieces of about ``most`` texts, for short strings; empty if there is too little."""
     import zstandard
 
-    some = docs.select(F.substring("text", 1, 2000).alias("t")).filter("t is not null").orderBy(F.xxhash64("t")).limit(most).collect()
+    n = docs.count()
+    chosen = F.pmod(F.xxhash64("doc_id", "text", F.lit("dictionary")), F.lit(1_000_000_000)) < int(1e9 * min(1.0, most / max(n, 1)))
+    some = docs.filter(chosen & F.col("text").isNotNull()).select(F.substring("text", 1, 4000).alias("t")).limit(4 * most).collect()
     raw = [r["t"].encode() for r in some]
     try:
         return zstandard.train_dictionary(size, [t[i : i + 500] for t in raw for i in range(0, len(t), 500)]).as_bytes()
@@ -162,7 +164,7 @@ def _press(dictionary: bytes):
     import zstandard
 
     own = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    return zstandard.ZstdCompressor(level=1, dict_data=own, write_dict_id=False).compress
+    return zstandard.ZstdCompressor(level=3, dict_data=own, write_dict_id=False).compress
 
 
 def _unpress(dictionary: bytes):
