@@ -463,6 +463,31 @@ def test_training_raises_likelihood_and_text_beats_shuffled_text(spark):
     assert rows[1] > -1 and rows[1] > rows[2] + 1
 
 
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK_WORDS", 100)
+    rare = {f"rare{i}": i % 7 + 1 for i in range(300)}
+    frequent = [f"top{i}" for i in range(lm_scoring.SIZE - lm_scoring.BUCKETS)]
+    corpus = [(i, " ".join([*frequent] * 10), "s") for i in range(2)] + [(9, " ".join(w for w, n in rare.items() for _ in range(n)), "s")]
+    vocab = lm_scoring.vocabulary(docs(spark, corpus))
+    assert {r["w"]: r["n"] for r in vocab.counts.collect()} == rare and set(vocab.ids) == {w.encode() for w in frequent}
+    net = lm_scoring.WindowNetwork()
+    unseen = {}  # a word that the corpus does not have for each bucket
+    for i in range(5000):
+        unseen.setdefault(zlib.crc32(b"new%d" % i) % lm_scoring.BUCKETS, f"new{i}")
+    every = [*frequent, *rare, *unseen.values()]
+    got = {r["doc_id"]: r["log_prob"] for r in lm_scoring.score(docs(spark, [*((i, w, "s") for i, w in enumerate(every)), (-1, "rare6 rare6  RARE0", "s")]), vocab, net).collect()}
+    assert len(unseen) == lm_scoring.BUCKETS and np.exp([got[i] for i in range(len(every))]).sum() == pytest.approx(1, abs=1e-3)
+    by = dict(zip(every, (got[i] for i in range(len(every))), strict=True))
+    for w in rare:
+        for v in rare:
+            if zlib.crc32(w.encode()) % lm_scoring.BUCKETS == zlib.crc32(v.encode()) % lm_scoring.BUCKETS:
+                assert by[w] - by[v] == pytest.approx(np.log((rare[w] + 0.5) / (rare[v] + 0.5)), abs=1e-6)
+    ids = vocab(b"rare6 rare6 rare0")
+    plain = net.log_probs(*lm_scoring.windows([ids])).sum()
+    share = sum(by[w] - net.log_probs(*lm_scoring.windows([vocab(w.encode())])).sum() for w in ("rare6", "rare6", "rare0"))
+    assert got[-1] == pytest.approx(plain + share, abs=1e-4)
+
+
 def test_lm_empty(spark):
     vocab, net = lm_scoring.fit(docs(spark, []))
     assert lm_scoring.score(docs(spark, []), vocab, net).count() == 0

@@ -1,10 +1,12 @@
 """Masked pseudo-likelihood: a window network predicts every word from the words on both sides.
 
 The vocabulary comes from counts over all documents: the most frequent words and hash buckets for the
-rest. The network (embeddings of the two words on each side, one hidden layer, a softmax over clusters
+rest. The counts of the rest stay a Spark table with a row for each distinct word, and a word of a bucket has
+the probability of the bucket times its own share of the bucket's counts. The network (embeddings of the two words on each side, one hidden layer, a softmax over clusters
 and one inside the cluster) starts from a bounded sample on the driver; then every partition of the whole
 corpus trains a copy on a share of its positions (``mask_rate``, of every document), and the copies are
-averaged by their numbers of positions. Scoring sums the conditional log-probabilities of all words.
+averaged by their numbers of positions. Scoring sums the conditional log-probabilities of all words: tasks
+write chunks of documents with the distinct bucket words of the chunk, which a join gives their shares.
 """
 
 from __future__ import annotations
@@ -23,24 +25,49 @@ CLUSTERS, WIDTH = 32, 32
 SIZE = CLUSTERS * WIDTH
 PAD = SIZE
 BUCKETS = 64
+#: Added to the count of every word of a bucket, and the count of all words together that the corpus does not have.
+SMOOTHING = 0.5
+#: A chunk of scored documents ends at so many documents or bucket words.
+CHUNK_DOCS, CHUNK_WORDS = 2048, 262_144
 
 
 class Vocabulary:
-    """Words by number; words outside share ``BUCKETS`` numbers by their crc32."""
+    """Words by number; words outside share ``BUCKETS`` numbers by their crc32.
 
-    def __init__(self, words: list[str]):
+    ``counts`` is a table (w, n) of the words outside, ``totals`` the smoothed sum of the counts of each bucket.
+    Without counts a word outside has the probability of its bucket. Tasks get the numbers only.
+    """
+
+    def __init__(self, words: list[str], counts: DataFrame | None = None):
         self.ids = {w.encode(): i for i, w in enumerate(words[: SIZE - BUCKETS])}
+        self.counts, self.totals = counts, [SMOOTHING] * BUCKETS
+        if counts is not None:
+            for r in counts.groupBy(_bucket(F.col("w")).alias("b")).agg((F.sum("n") + SMOOTHING * (F.count("*") + 1)).alias("t")).collect():  # a row for each bucket
+                self.totals[r["b"]] = r["t"]
+
+    def __getstate__(self):
+        return {"ids": self.ids}
+
+    def outside(self, text: bytes | None, index: dict) -> list[int]:
+        """The words outside, as positions in ``index``, which grows by new ones."""
+        ids = self.ids
+        return [index.setdefault(w, len(index)) for w in (text or b"").lower().split() if w not in ids]
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         ids, crc = self.ids, zlib.crc32
         return np.array([ids[w] if w in ids else SIZE - BUCKETS + crc(w) % BUCKETS for w in (text or b"").lower().split()], dtype=np.int64)
 
 
+def _bucket(word):
+    return F.crc32(word.cast("binary")) % BUCKETS
+
+
 def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
-    """The most frequent words over all documents; ties in the order of the words."""
+    """The most frequent words over all documents, ties in the order of the words, and the counts of all others."""
     words = docs.select(F.explode(F.split(lower_ascii(F.col(text_col)), GAP)).alias("w")).filter("w <> ''")
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(SIZE - BUCKETS).collect()
-    return Vocabulary([r["w"] for r in top])
+    counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")), "word-counts")
+    top = [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(SIZE - BUCKETS).collect()]
+    return Vocabulary(top, counts.filter(~F.col("w").isin(top)))
 
 
 class WindowNetwork:
@@ -194,20 +221,28 @@ def fit(docs: DataFrame, text_col: str = "text", mask_rate: float = 0.1, rate: f
     return vocab, net
 
 
-def score(docs: DataFrame, vocab: Vocabulary, net: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, log_prob (sum over all words), mean_log_prob (null without words).
-
-    Null, empty and blank texts have no words and log_prob 0. Repeated rows are scored each.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
+def _score_chunks(vocab: Vocabulary, net: WindowNetwork):
+    """Rows (chunk, ids, sizes, sums, outs, at, words): of each document of a chunk its id, words, sum of log-probabilities
+    and number of bucket words; the bucket words of all, one after the other, as positions in the distinct ones."""
 
     def apply(batches: Iterator):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        chunk, held, n_docs, n_words, index = TaskContext.get().partitionId() << 32, [], 0, 0, {}
+
+        def row():
+            ids, sizes, sums, outs, at = zip(*held, strict=True)
+            ids, whole = pa.concat_arrays(ids), lambda x, kind: pa.array(np.concatenate(x), kind)
+            columns = [ids, whole(sizes, pa.int64()), whole(sums, pa.float64()), whole(outs, pa.int64()), whole(at, pa.int32()), pa.array(list(index), pa.binary())]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists], names=["chunk", "ids", "sizes", "sums", "outs", "at", "words"])
 
         for batch in batches:
             ids, texts = batch.column(0), text_bytes(batch.column(1))
             for low in range(0, len(texts), 128):
-                words = [vocab(t) for t in texts[low : low + 128]]
+                part = texts[low : low + 128]
+                words = [vocab(t) for t in part]
                 sizes = np.array([len(w) for w in words])
                 sums = np.zeros(len(words))
                 if sizes.sum():
@@ -215,13 +250,55 @@ def score(docs: DataFrame, vocab: Vocabulary, net: WindowNetwork, id_col: str =
                     owner = np.repeat(np.arange(len(words)), sizes)
                     for k in range(0, len(t), 32_768):
                         sums += np.bincount(owner[k : k + 32_768], net.log_probs(c[k : k + 32_768], t[k : k + 32_768]), len(words))
-                mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(low, len(words)), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"]
-                )
+                outside = [vocab.outside(t, index) for t in part]
+                at = np.array([x for o in outside for x in o], dtype=np.int32)
+                held.append((ids.slice(low, len(part)), sizes, sums, np.array([len(o) for o in outside]), at))
+                n_docs, n_words = n_docs + len(part), n_words + len(at)
+                if n_docs >= CHUNK_DOCS or n_words >= CHUNK_WORDS:
+                    yield row()
+                    chunk, held, n_docs, n_words, index = chunk + 1, [], 0, 0, {}
+        if held:
+            yield row()
+
+    return apply
+
+
+def _add_shares(batches: Iterator):
+    """Documents of chunks, with the sum of the logarithms of their bucket words' shares added."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids, sizes, sums, outs, at, shares = (batch.column(i).slice(k, 1).flatten() for i in range(1, 7))
+            sizes, sums, outs, at = (x.to_numpy(zero_copy_only=False) for x in (sizes, sums, outs, at))
+            if len(shares):
+                share = np.zeros(len(shares))
+                share[shares.field("k").to_numpy(zero_copy_only=False)] = shares.field("s").to_numpy(zero_copy_only=False)
+                sums = sums + np.bincount(np.repeat(np.arange(len(outs)), outs), share[at], len(outs))
+            mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
+            place = [pa.array(np.repeat(batch.column(0)[k].as_py(), len(ids)), pa.int64()), pa.array(np.arange(len(ids)), pa.int32())]
+            columns = [*place, ids, pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "row", "doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 
+
+def score(docs: DataFrame, vocab: Vocabulary, net: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_tokens, log_prob (sum over all words), mean_log_prob (null without words).
+
+    Null, empty and blank texts have no words and log_prob 0. Repeated rows are scored each.
+    Rows come in the order of ``docs``.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(apply, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double").withColumnRenamed("doc_id", id_col)
+    lists = f"chunk long, ids array<{kind}>, sizes array<long>, sums array<double>, outs array<long>, at array<int>, words array<binary>"
+    chunks = materialize(rows.mapInArrow(_score_chunks(vocab, net), lists), "scored-chunks")
+    words = chunks.select("chunk", F.posexplode("words").alias("k", "w")).withColumn("w", F.col("w").cast("string"))
+    found = words.withColumn("n", F.lit(0)) if vocab.counts is None else words.join(vocab.counts, "w", "left")
+    total = F.element_at(F.array(*[F.lit(float(t)) for t in vocab.totals]), (_bucket(F.col("w")) + 1).cast("int"))
+    shares = found.select("chunk", "k", F.log((F.coalesce("n", F.lit(0)) + SMOOTHING) / total).alias("s"))
+    given = chunks.drop("words").join(shares.groupBy("chunk").agg(F.collect_list(F.struct("k", "s")).alias("shares")), "chunk", "left")
+    out = given.select("chunk", "ids", "sizes", "sums", "outs", "at", F.coalesce("shares", F.array().cast("array<struct<k:int,s:double>>")).alias("shares"))
+    scored = out.mapInArrow(_add_shares, f"chunk long, row int, doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    return scored.orderBy("chunk", "row").drop("chunk", "row").withColumnRenamed("doc_id", id_col)
 
 
 def op1_pseudo_likelihood(spark, sf_dir):
