@@ -247,6 +247,24 @@ def test_near_duplicates_brute_force(spark):
         assert got == want
 
 
+def test_near_duplicates_with_repeats_and_few_shingles(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(30):
+        t = [f"r{i}x{k}" for k in range(200)]
+        line = t[40:60]
+        rows += [(4 * i, " ".join([*t, *line]), "s"), (4 * i + 1, " ".join([*t, *line * (5 + i)]), "s")]
+        short = [f"s{i}x{k}" for k in range(9 + i // 10 * rng.randrange(12))]
+        rows += [(4 * i + 2, " ".join(short), "s"), (4 * i + 3, " ".join(short[:-1]), "s")]
+    sets = [set(simhash.shingles(t.encode(), 5)) for _, t, _ in rows]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = {i: c for (i, _, _), c in zip(rows, brute_components([i for i, _, _ in rows], near), strict=True)}
+    assert len(set(want.values())) == 60
+    for tile_rows in (16_384, 20):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), tile_rows=tile_rows).collect()}
+        assert got == want
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 7), (3, None), (9, 8), (8, 9)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.connected_components(links).collect()}

@@ -20,6 +20,8 @@ from tidemark.llm.common import materialize, table, text_bytes
 from tidemark.llm.graph import connected_components
 
 _SEED = 42
+#: Documents of at most so many different shingles carry their hashes and are compared by them, as bits of few shingles say little.
+FEW = 32
 #: Byte value -> its bits in the eight bytes of a 64-bit number, so that up to 255 rows add without carry.
 _SPREAD = (((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64(1)) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64)
 
@@ -68,24 +70,31 @@ def _fingerprint(k: int, wide: bool):
         for batch in batches:
             ids, texts = batch.column(0), text_bytes(batch.column(1))
             for low in range(0, len(texts), 256):
-                hashes, counts, distinct = [], [], []
+                hashes, counts, distinct, few = [], [], [], []
                 for t in texts[low : low + 256]:
                     own = [xxh64_intdigest(s, _SEED) for s in shingles(t, k)]
+                    different = set(own)
+                    if wide:
+                        own = different
+                        few.append(np.array([*own], dtype=np.uint64).tobytes() if len(own) <= FEW else b"")
                     hashes.extend(own)
                     counts.append(len(own))
-                    distinct.append(len(set(own)))
+                    distinct.append(len(different))
                 h, c = np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
                 fp = majority_bits(h, c)
-                more = [pa.array(majority_bits(_remix(h), c).view(np.int64))] if wide else []
-                yield pa.RecordBatch.from_arrays([ids.slice(low, len(fp)), pa.array(fp.view(np.int64)), pa.array(distinct, pa.int32()), *more], names=["doc_id", "fp", "n", "fp2"][: 3 + wide])
+                more = [pa.array(majority_bits(_remix(h), c).view(np.int64)), pa.array(few, pa.binary())] if wide else []
+                yield pa.RecordBatch.from_arrays([ids.slice(low, len(fp)), pa.array(fp.view(np.int64)), pa.array(distinct, pa.int32()), *more], names=["doc_id", "fp", "n", "fp2", "few"][: 3 + 2 * wide])
 
     return fingerprint
 
 
 def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
-    """(doc_id, fp, n): the fingerprint as a signed long and the number of different shingles; ``wide``: fp2, 64 bits more."""
+    """(doc_id, fp, n): the fingerprint as a signed long and the number of different shingles.
+
+    ``wide``: majorities over the different shingles only, fp2 with 64 bits more, and few, their hashes if they are at most ``FEW``.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(_fingerprint(k, wide), f"doc_id {kind}, fp long, n int" + ", fp2 long" * wide)
+    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(_fingerprint(k, wide), f"doc_id {kind}, fp long, n int" + ", fp2 long, few binary" * wide)
 
 
 def _signature_tiles(radius: int):
@@ -204,27 +213,53 @@ def _size_class(n: int, ratio: float) -> int:
 
 
 def _size_tiles(ratio: float, blocks: dict):
-    """Rows (tile, guest, node, fp, fp2, n, label): at home in a block of its size class; a guest in the later
+    """Rows (tile, guest, node, fp, fp2, n, label, few): at home in a block of its size class; a guest in the later
     blocks of the class and in all blocks of the class below."""
 
     def deal(batches: Iterator):
         import pyarrow as pa
 
         for batch in batches:
-            out: list = [[] for _ in range(7)]
-            for node, fp, fp2, n, label in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            out: list = [[] for _ in range(8)]
+            for node, fp, fp2, n, label, few in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 c = _size_class(n, ratio)
                 own = (node * 2654435761 >> 7) % blocks.get(c, 1)
                 places = [(c, own, False), *((c, j, True) for j in range(own)), *((c - 1, j, True) for j in range(blocks.get(c - 1, 0)))]
                 for t, j, guest in places:
-                    for column, value in zip(out, ((t + 1) * 1_000_000 + j, guest, node, fp, fp2, n, label), strict=True):
+                    for column, value in zip(out, ((t + 1) * 1_000_000 + j, guest, node, fp, fp2, n, label, few), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["tile", "guest", "node", "fp", "fp2", "n", "label"])
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["tile", "guest", "node", "fp", "fp2", "n", "label", "few"])
 
     return deal
 
 
+def _similar(a: np.ndarray, b: np.ndarray, ratio: float, cells: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in a and b of all pairs of sets (the bytes of their 64-bit hashes) of at least this Jaccard similarity."""
+    na, nb = (np.array([len(s) // 8 for s in x]) for x in (a, b))
+    ha, hb = (np.frombuffer(b"".join(x), dtype=np.uint64) for x in (a, b))
+    order = np.argsort(hb)
+    hb, owner = hb[order], np.repeat(np.arange(len(b)), nb)[order]
+    start, step, found = np.concatenate(([0], np.cumsum(na))), max(1, cells // max(1, len(b))), []
+    for i in range(0, len(a), step):
+        j = min(i + step, len(a))
+        h = ha[start[i] : start[j]]
+        low = np.searchsorted(hb, h)
+        n = np.searchsorted(hb, h, "right") - low
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
+        code = np.repeat(np.repeat(np.arange(j - i), na[i:j]), n) * len(b) + owner[at]
+        if len(code) * 4 < cells:
+            code, shared = np.unique(code, return_counts=True)
+        else:
+            shared = np.bincount(code)
+            code = np.flatnonzero(shared)
+            shared = shared[code]
+        p, q = code // len(b) + i, code % len(b)
+        ok = shared >= ratio * (na[p] + nb[q] - shared) - 1e-9
+        found.append((p[ok], q[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _compare_sized(radius: int, ratio: float, leaders: bool):
     """``leaders``: each node with the smallest node near it and with its nearest; else all near pairs with different
     labels. Rows (a, b, d); a > b, but for ``leaders`` a is the node."""
@@ -234,6 +269,13 @@ def _compare_sized(radius: int, ratio: float, leaders: bool):
 
         def pairs(x, y, same):
             p, q, d = _near(x[1].view(np.uint64), y[1].view(np.uint64), radius, x[2].view(np.uint64), y[2].view(np.uint64))
+            few = [(0 < c[3]) & (c[3] <= FEW) for c in (x, y)]
+            if few[0].any() and few[1].any():
+                i, j = (np.flatnonzero(f) for f in few)
+                r, s = _similar(x[5][i], y[5][j], ratio)
+                r, s, other = i[r], j[s], ~(few[0][p] & few[1][q])
+                bits = np.bitwise_count(x[1][r].view(np.uint64) ^ y[1][s].view(np.uint64)) + np.bitwise_count(x[2][r].view(np.uint64) ^ y[2][s].view(np.uint64))
+                p, q, d = np.concatenate((p[other], r)), np.concatenate((q[other], s)), np.concatenate((d[other], bits))
             small, large = np.minimum(x[3][p], y[3][q]), np.maximum(x[3][p], y[3][q])
             ok = (small >= ratio * large) & (x[0][p] != y[0][q])
             if same:
@@ -315,9 +357,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius
     shingles of at least ``similarity``, checked exactly. Tiles are blocks of a size class (numbers of
     different shingles within the ratio that the similarity asks for), so pairs of other classes are
     skipped. A first pass links every document to the smallest and to the closest one near it and so settles large
-    groups; a second compares only what is not yet in one component. At similarity 0.8 the expected distance is
-    19 bits with a deviation of 4; the default radius keeps about 99 in 100 such pairs and more of closer ones, and
-    random pairs lie within it once in a billion times.
+    groups; a second compares only what is not yet in one component. Fingerprints count each different shingle once, as
+    the similarity does; documents of at most ``FEW`` different shingles are compared by the shingles themselves, without loss.
+    Above that, at similarity 0.8 the expected distance is about 19 bits; the default radius keeps about 99 in 100
+    such pairs and more of closer ones, and random pairs lie within it once in a billion times.
     Documents without words link to each other. Null identifiers are left out.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
@@ -326,15 +369,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius
     blocks = {r["c"]: max(1, math.ceil(r["count"] / tile_rows)) for r in classes}
 
     def tiled(nodes: DataFrame, leaders: bool) -> DataFrame:
-        dealt = nodes.mapInArrow(_size_tiles(similarity, blocks), "tile long, guest boolean, node long, fp long, fp2 long, n int, label long")
+        dealt = nodes.mapInArrow(_size_tiles(similarity, blocks), "tile long, guest boolean, node long, fp long, fp2 long, n int, label long, few binary")
         return dealt.repartition("tile").sortWithinPartitions("tile", "guest").mapInArrow(_compare_sized(radius, similarity, leaders), "a long, b long, d int")
 
-    best = tiled(marked.select("node", "fp", "fp2", "n", F.col("node").alias("label")), True).groupBy("a").agg(F.min("b").alias("s"), F.min(F.struct("d", "b")).alias("c"))
+    best = tiled(marked.select("node", "fp", "fp2", "n", F.col("node").alias("label"), "few"), True).groupBy("a").agg(F.min("b").alias("s"), F.min(F.struct("d", "b")).alias("c"))
     both = best.select("a", F.explode(F.array("s", "c.b")).alias("b"))
     first = materialize(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "leaders")
     stars = _verified(first, rows, k, similarity)
     labels = connected_components(stars)
-    labelled = marked.join(labels, "node", "left").select("node", "fp", "fp2", "n", F.coalesce("component", "node").alias("label"))
+    labelled = marked.join(labels, "node", "left").select("node", "fp", "fp2", "n", F.coalesce("component", "node").alias("label"), "few")
     rest = materialize(tiled(labelled, False).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "rest-links")
     links = stars.unionByName(_verified(rest, rows, k, similarity))
     components = connected_components(links)
