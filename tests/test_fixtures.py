@@ -229,6 +229,28 @@ def test_costs(spark):
     assert out.filter("y_imputed and abs(y - i % 3) > 0.01").count() == 0
 
 
+def test_imputed_values_are_those_of_the_nearest_donors(spark):
+    import random as rd
+
+    rng = rd.Random(6)
+    rows = []
+    for i in range(400):
+        x, c = rng.random(), "ab"[i % 2]
+        y = None if (c == "b" and x > 0.5) or i % 10 == 0 else 100 * x + 30 * (c == "b") + i / 1e6
+        rows.append((i, x, c, y))
+    kind = "i long, x double, c string, y double"
+    frame = lambda r: spark.createDataFrame(r, kind).coalesce(1)
+    got = {r["i"]: r["y"] for r in costs.impute(frame(rows), "y", ["x"], ["c"], rare=1, match="i", iterations=3).collect()}
+    p = {r["i"] - 1000: r["y"] for r in costs.impute(frame(rows + [(i + 1000, x, c, None) for i, x, c, _ in rows]), "y", ["x"], ["c"], rare=1, iterations=3).collect() if r["i"] >= 1000}
+    donors = {y: i for i, _, _, y in rows if y is not None}
+    for i, _, _, y in rows:
+        if y is None:
+            assert got[i] in donors
+            assert abs(p[donors[got[i]]] - p[i]) <= min(abs(p[d] - p[i]) for d in donors.values()) + 1e-9
+        else:
+            assert got[i] == y
+
+
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "subject int, start date, end date, cost double")
     idx = spark.createDataFrame([], "subject int, index_date date")

@@ -35,7 +35,7 @@ def impute(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequ
     """Fill missing targets by boosted trees fitted on the rows that have one; adds ``<target>_imputed``.
 
     With ``match`` (a unique id) a missing row takes the observed value of the row whose prediction is nearest:
-    rows are ordered by prediction in ranges, and the neighbours on both sides are compared."""
+    rows are ordered by prediction in ranges, and the neighbours on both sides, in the range or beyond it, are compared."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
@@ -50,13 +50,17 @@ def impute(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequ
     scored = Pipeline(stages=stages).fit(known).transform(rows).withColumn(f"{target}_imputed", F.col(target).isNull())
     if match is None:
         return scored.withColumn(target, F.coalesce(target, "_p")).select(*df.columns, f"{target}_imputed")
-    # Buckets of the prediction between its percentiles; each is small, and a bucket without donors looks at no other.
+    # Buckets of the prediction between its percentiles; a table of their first and last donors serves rows that have none on a side.
     edges = scored.agg(F.percentile_approx("_p", F.array(*[F.lit(i / 200) for i in range(1, 200)]), 10_000).alias("_e")).select(F.array_distinct("_e").alias("_e"))
     b = scored.join(F.broadcast(edges)).withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col("_p"))))  # one row of edges
     w = W.partitionBy("_b").orderBy("_p", match)
-    donor = F.when(F.col(target).isNotNull(), F.struct(F.col("_p").alias("p"), F.col(target).alias("y")))
+    donor = F.when(F.col(target).isNotNull(), F.struct(F.col("_p").alias("p"), F.col(match).alias("m"), F.col(target).alias("y")))
     before, after = F.last(donor, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(donor, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    b = b.withColumn("_before", before).withColumn("_after", after)
+    ends = b.groupBy("_b").agg(F.min(donor).alias("_first"), F.max(donor).alias("_last"))
+    by = W.partitionBy().orderBy("_b")  # at most 200 rows
+    beyond = ends.select("_b", F.last("_last", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)).alias("_lower"), F.first("_first", ignorenulls=True).over(by.rowsBetween(1, W.unboundedFollowing)).alias("_upper"))
+    b = b.withColumn("_before", before).withColumn("_after", after).join(F.broadcast(beyond), "_b")
+    b = b.withColumn("_before", F.coalesce("_before", "_lower")).withColumn("_after", F.coalesce("_after", "_upper"))
     near_before = F.col("_after").isNull() | (F.col("_p") - F.col("_before.p") <= F.col("_after.p") - F.col("_p"))
     value = F.when(F.col("_before").isNotNull() & near_before, F.col("_before.y")).otherwise(F.col("_after.y"))
     return b.withColumn(target, F.coalesce(F.col(target), value, F.col("_p"))).select(*df.columns, f"{target}_imputed")
