@@ -242,8 +242,8 @@ def test_near_duplicates_brute_force(spark):
     sets = [set(simhash.shingles((t or "").encode(), 5)) for _, t, _ in rows]
     near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and rows[a][0] is not None and rows[b][0] is not None
     want = {i: c for (i, _, _), c in zip(rows, brute_components([i for i, _, _ in rows], near), strict=True) if i is not None}
-    for tile_rows in (16_384, 20):
-        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), tile_rows=tile_rows).collect()}
+    for part_rows, block_rows in ((128, 1024), (5, 7)):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), part_rows=part_rows, block_rows=block_rows).collect()}
         assert got == want
 
 
@@ -260,8 +260,8 @@ def test_near_duplicates_with_repeats_and_few_shingles(spark):
     near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     want = {i: c for (i, _, _), c in zip(rows, brute_components([i for i, _, _ in rows], near), strict=True)}
     assert len(set(want.values())) == 60
-    for tile_rows in (16_384, 20):
-        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), tile_rows=tile_rows).collect()}
+    for part_rows, block_rows in ((128, 1024), (5, 7)):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), part_rows=part_rows, block_rows=block_rows).collect()}
         assert got == want
 
 

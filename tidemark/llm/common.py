@@ -67,3 +67,15 @@ def text_bytes(column) -> list:
     import pyarrow as pa
 
     return column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+
+
+def by_bytes(texts: list, limit: int = 2 << 20):
+    """Bounds (low, high) of runs of texts of about ``limit`` bytes together; a single text may be longer."""
+    low = held = 0
+    for i, t in enumerate(texts, 1):
+        held += len(t or b"")
+        if held >= limit:
+            yield low, i
+            low, held = i, 0
+    if low < len(texts):
+        yield low, len(texts)

@@ -9,18 +9,17 @@ come after it. Inside a pair of tiles every pair of fingerprints is compared, in
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, table, text_bytes
+from tidemark.llm.common import by_bytes, materialize, send_if_small, table, text_bytes
 from tidemark.llm.graph import connected_components
 
 _SEED = 42
-#: Documents of at most so many different shingles carry their hashes and are compared by them, as bits of few shingles say little.
+#: Documents of at most so many different shingles are candidates whatever their bits, which say little then.
 FEW = 32
 #: Byte value -> its bits in the eight bytes of a 64-bit number, so that up to 255 rows add without carry.
 _SPREAD = (((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64(1)) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64)
@@ -62,133 +61,132 @@ def _remix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _fingerprint(k: int, wide: bool):
+def _fingerprint(k: int):
     def fingerprint(batches: Iterator):
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
         for batch in batches:
             ids, texts = batch.column(0), text_bytes(batch.column(1))
-            for low in range(0, len(texts), 256):
-                hashes, counts, distinct, few = [], [], [], []
-                for t in texts[low : low + 256]:
-                    own = [xxh64_intdigest(s, _SEED) for s in shingles(t, k)]
-                    different = set(own)
-                    if wide:
-                        own = different
-                        few.append(np.array([*own], dtype=np.uint64).tobytes() if len(own) <= FEW else b"")
-                    hashes.extend(own)
-                    counts.append(len(own))
-                    distinct.append(len(different))
-                h, c = np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
-                fp = majority_bits(h, c)
-                more = [pa.array(majority_bits(_remix(h), c).view(np.int64)), pa.array(few, pa.binary())] if wide else []
-                yield pa.RecordBatch.from_arrays([ids.slice(low, len(fp)), pa.array(fp.view(np.int64)), pa.array(distinct, pa.int32()), *more], names=["doc_id", "fp", "n", "fp2", "few"][: 3 + 2 * wide])
+            for low, high in by_bytes(texts):
+                own = [[xxh64_intdigest(s, _SEED) for s in shingles(t, k)] for t in texts[low:high]]
+                fp = majority_bits(np.array([x for h in own for x in h], dtype=np.uint64), np.array([len(h) for h in own], dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(fp.view(np.int64)), pa.array([len(set(h)) for h in own], pa.int32())], names=["doc_id", "fp", "n"])
 
     return fingerprint
 
 
-def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
-    """(doc_id, fp, n): the fingerprint as a signed long and the number of different shingles.
-
-    ``wide``: majorities over the different shingles only, fp2 with 64 bits more, and few, their hashes if they are at most ``FEW``.
-    """
+def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, n): the fingerprint as a signed long and the number of different shingles."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(_fingerprint(k, wide), f"doc_id {kind}, fp long, n int" + ", fp2 long, few binary" * wide)
+    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(_fingerprint(k), f"doc_id {kind}, fp long, n int")
+
 
+#: Weights of the bit counts of the quarters in the number of a signature.
+_UNIT = (17**3, 17**2, 17, 1)
 
-def _signature_tiles(radius: int):
-    """Rows (tile, guest, fp): each fingerprint at home in its own tile and a guest in those neighbours that come before."""
+
+def _signature_tiles(radius: int, blocks: dict):
+    """Rows (tile, block, guest, fp): each fingerprint at home in a block of its own tile, and a guest in the blocks of that
+    tile that come before and in all blocks of those neighbours that come before. ``blocks``: tiles of over one block."""
     steps = [d for d in itertools.product(range(-radius, radius + 1), repeat=4) if 0 < sum(map(abs, d)) <= radius]
     steps = [d for d in steps if d < (0, 0, 0, 0)]
-    unit = np.array([17**3, 17**2, 17, 1])
+    unit = np.array(_UNIT)
 
     def deal(batches: Iterator):
         import pyarrow as pa
 
+        number = np.ones(17**4, dtype=np.int64)
+        for t, n in blocks.items():
+            number[t] = n
+
+        def rows(tile, block, guest, fp):
+            return pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(fp), guest)), pa.array(fp)], names=["tile", "block", "guest", "fp"])
+
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
-            quarters = np.bitwise_count(np.ascontiguousarray(fp).view(np.uint16).reshape(-1, 4)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((quarters @ unit).astype(np.int32)), pa.array(np.zeros(len(fp), dtype=bool)), pa.array(fp)], names=["tile", "guest", "fp"])
+            fp = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False))
+            quarters = np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int64)
+            tile = quarters @ unit
+            own = (_remix(fp.view(np.uint64)) % number[tile].astype(np.uint64)).astype(np.int64)
+            yield rows(tile, own, False, fp)
+            for j in range(int(own.max(initial=0))):
+                yield rows(tile[own > j], np.full((own > j).sum(), j), True, fp[own > j])
             for d in steps:
                 there = quarters + np.array(d)
                 ok = ((there >= 0) & (there <= 16)).all(axis=1)
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array((there[ok] @ unit).astype(np.int32)), pa.array(np.ones(ok.sum(), dtype=bool)), pa.array(fp[ok])], names=["tile", "guest", "fp"])
+                near, mine = there[ok] @ unit, fp[ok]
+                for j in range(int(number[near].max(initial=0))):
+                    has = number[near] > j
+                    yield rows(near[has], np.full(has.sum(), j), True, mine[has])
 
     return deal
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int, a2: np.ndarray | None = None, b2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions in a and b, and distances, of pairs that differ in at most ``radius`` bits, block by block."""
-    found = []
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in a and b of pairs that differ in at most ``radius`` bits, block by block."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for i in range(0, len(a), 512):
         x = a[i : i + 512, None]
         for j in range(0, len(b), 2048):
-            d = np.bitwise_count(x ^ b[None, j : j + 2048])
-            if a2 is not None:
-                d += np.bitwise_count(a2[i : i + 512, None] ^ b2[None, j : j + 2048])
-            p, q = np.nonzero(d <= radius)
+            p, q = np.nonzero(np.bitwise_count(x ^ b[None, j : j + 2048]) <= radius)
             if len(p):
-                found.append((p + i, q + j, d[p, q]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+                found.append((p + i, q + j))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _compare_tiles(radius: int):
+    """Links of sorted rows (tile, block, guest, fp): those at home with each other, then every piece of guests with them."""
+
     def compare(batches: Iterator):
         import pyarrow as pa
 
         def result(a, b):
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-        tile, homes, home = None, [], None
+        def settle():
+            nonlocal home, homes
+            if homes:
+                home, homes = np.concatenate(homes), []
+                p, q = _near(home, home, radius)
+                yield result(home[p[p < q]], home[q[p < q]])
+
+        key, homes, home = None, [], None
         for batch in batches:
-            tiles = batch.column(0).to_numpy(zero_copy_only=False)
-            guest = batch.column(1).to_numpy(zero_copy_only=False)
-            fp = np.ascontiguousarray(batch.column(2).to_numpy(zero_copy_only=False)).view(np.uint64)
-            cuts = np.flatnonzero((tiles[1:] != tiles[:-1]) | (guest[1:] != guest[:-1])) + 1
+            tile, block, guest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            fp = np.ascontiguousarray(batch.column(3).to_numpy(zero_copy_only=False)).view(np.uint64)
+            cuts = np.flatnonzero((tile[1:] != tile[:-1]) | (block[1:] != block[:-1]) | (guest[1:] != guest[:-1])) + 1
             for low, high in zip([0, *cuts], [*cuts, len(fp)], strict=True):
                 if low == high:
                     continue
-                if tiles[low] != tile:
-                    if homes:
-                        home = np.concatenate(homes)
-                        p, q, _ = _near(home, home, radius)
-                        yield result(home[p[p < q]], home[q[p < q]])
-                    tile, homes, home = tiles[low], [], None
-                part = fp[low:high]
+                if (tile[low], block[low]) != key:
+                    yield from settle()
+                    key, home = (tile[low], block[low]), None
                 if not guest[low]:
-                    homes.append(part)
+                    homes.append(fp[low:high])
                     continue
-                if home is None and homes:
-                    home = np.concatenate(homes)
-                    p, q, _ = _near(home, home, radius)
-                    yield result(home[p[p < q]], home[q[p < q]])
-                    homes = []
+                yield from settle()
                 if home is not None:
-                    p, q, _ = _near(home, part, radius)
-                    if len(p):
-                        yield result(home[p], part[q])
-        if homes:
-            home = np.concatenate(homes)
-            p, q, _ = _near(home, home, radius)
-            yield result(home[p[p < q]], home[q[p < q]])
+                    p, q = _near(home, fp[low:high], radius)
+                    yield result(home[p], fp[low:high][q])
+        yield from settle()
 
     return compare
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = 2, tile_rows: int = 16_384) -> DataFrame:
     """(a, b) for every pair of the distinct fingerprints ``fps`` (fp) that differ in at most ``radius`` bits.
 
-    A fingerprint has at most 2,080 partners at radius 2, so the links grow as the fingerprints do.
+    A fingerprint has at most 2,080 partners at radius 2, so the links grow as the fingerprints do. Tiles of over
+    ``tile_rows`` fingerprints are cut into blocks.
     """
-    dealt = fps.select("fp").mapInArrow(_signature_tiles(radius), "tile int, guest boolean, fp long")
-    return dealt.repartition("tile").sortWithinPartitions("tile", "guest").mapInArrow(_compare_tiles(radius), "a long, b long")
+    quarter = lambda i: F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)))
+    sizes = fps.groupBy(sum(quarter(i) * u for i, u in enumerate(_UNIT)).alias("tile")).count()
+    blocks = {r["tile"]: -(-r["count"] // tile_rows) for r in sizes.filter(F.col("count") > tile_rows).collect()}  # at most 17 ** 4 tiles
+    dealt = fps.select("fp").mapInArrow(_signature_tiles(radius, blocks), "tile int, block int, guest boolean, fp long")
+    return dealt.repartition("tile", "block").sortWithinPartitions("tile", "block", "guest").mapInArrow(_compare_tiles(radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2, tile_rows: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, fingerprint (16 hex digits), component_id, n_shingles.
 
     Documents with one fingerprint form a class; classes link at ``radius`` or fewer differing bits;
@@ -198,7 +196,7 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str
     """
     marked = materialize(fingerprints(docs, k, id_col, text_col), "fingerprints")
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    components = connected_components(fingerprint_links(classes, radius))
+    components = connected_components(fingerprint_links(classes, radius, tile_rows))
     labelled = classes.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = labelled.join(least, "component").select("fp", "component_id")
@@ -207,118 +205,171 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str
 
 # Near duplicates by similarity ---------------------------------------------------------------------------
 
-
-def _size_class(n: int, ratio: float) -> int:
-    return -1 if n <= 0 else int(math.log(n) / -math.log(ratio) + 1e-9)
+#: Tables of smallest hashes: sets of similarity s share no smallest hash in (1 - s) ** TABLES of the cases, 1 in 15,000 at 0.8.
+TABLES = 6
+#: Rows of a part in the first pass, and rows and shingles of a block in the second.
+PART_ROWS, BLOCK_ROWS, BLOCK_CELLS = 128, 1024, 1_000_000
+#: Pairs of rows that numpy holds at once.
+PAIRS = 1 << 20
 
 
-def _size_tiles(ratio: float, blocks: dict):
-    """Rows (tile, guest, node, fp, fp2, n, label, few): at home in a block of its size class; a guest in the later
-    blocks of the class and in all blocks of the class below."""
+def _sketch(k: int, tables: int):
+    """Of each text: 128 majority bits over its different shingles, their number, their sum, and the smallest of them under
+    each of ``tables`` orders."""
 
-    def deal(batches: Iterator):
+    def sketch(batches: Iterator):
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
+        orders = _remix(np.arange(1, tables + 1, dtype=np.uint64))
         for batch in batches:
-            out: list = [[] for _ in range(8)]
-            for node, fp, fp2, n, label, few in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                c = _size_class(n, ratio)
-                own = (node * 2654435761 >> 7) % blocks.get(c, 1)
-                places = [(c, own, False), *((c, j, True) for j in range(own)), *((c - 1, j, True) for j in range(blocks.get(c - 1, 0)))]
-                for t, j, guest in places:
-                    for column, value in zip(out, ((t + 1) * 1_000_000 + j, guest, node, fp, fp2, n, label, few), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["tile", "guest", "node", "fp", "fp2", "n", "label", "few"])
+            ids, texts = batch.column(0), text_bytes(batch.column(1))
+            for low, high in by_bytes(texts):
+                own = [list({xxh64_intdigest(s, _SEED) for s in shingles(t, k)}) for t in texts[low:high]]
+                counts = np.array([len(x) for x in own], dtype=np.int64)
+                h = np.array([x for s in own for x in s], dtype=np.uint64)
+                full, at = counts > 0, np.concatenate(([0], np.cumsum(counts[counts > 0])))[:-1]
+                more = _remix(h)
+                least = np.zeros((len(own), tables), dtype=np.uint64)
+                total = np.zeros(len(own), dtype=np.uint64)
+                if len(h):
+                    total[full] = np.add.reduceat(more, at)
+                    for j, o in enumerate(orders):
+                        least[full, j] = np.minimum.reduceat(_remix(h ^ o), at)
+                mins = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * tables), pa.array(least.ravel().view(np.int64)))
+                bits = [pa.array(x.view(np.int64)) for x in (majority_bits(h, counts), majority_bits(more, counts), total)]
+                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), *bits, pa.array(counts.astype(np.int32)), mins], names=["node", "fp", "fp2", "total", "n", "mins"])
+
+    return sketch
+
+
+def _groups(batches: Iterator, keys: int, least: int = 2):
+    """Whole groups of rows with equal leading ``keys`` columns from sorted batches: (table, bounds of its groups)."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        cols = [held.column(i).to_numpy() for i in range(keys)]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        if len(change):
+            yield held.slice(0, change[-1]), np.concatenate(([0], change))
+            held = held.slice(change[-1])
+    if held is not None:
+        cols = [held.column(i).to_numpy() for i in range(keys)]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        yield held, np.concatenate(([0], change, [held.num_rows]))
+
+
+def _ranges(first: np.ndarray, stop: np.ndarray):
+    """Positions (p, q), p fixed and first[p] <= q < stop[p], at most about ``PAIRS`` at a time."""
+    n = np.maximum(stop - first, 0)
+    upto = np.cumsum(n)
+    low = 0
+    while low < len(n):
+        done = upto[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(upto, done + PAIRS, "right")))
+        m = n[low:high]
+        p = np.repeat(np.arange(low, high), m)
+        yield p, np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m) + first[p]
+        low = high
+
+
+def _candidates(radius: int, ratio: float):
+    """Rows (t, m, part, node, label) that have a partner in their group: bits within ``radius``, sizes within ``ratio``, another label,
+    and no smallest hash of an earlier table in common (that table has the pair). Rows stand in the order of their
+    population counts, so the partners of a row end where the counts differ by more than ``radius``."""
 
-    return deal
+    def compare(batches: Iterator):
+        import pyarrow as pa
 
+        for rows, bounds in _groups(batches, 3):
+            t, m, part, node, fp, fp2, n, label = (rows.column(i).to_numpy() for i in range(8))
+            mins = rows.column(8).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
+            pop = (np.bitwise_count(fp) + np.bitwise_count(fp2)).astype(np.int64)
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            hit = np.zeros(len(node), dtype=bool)
+            earlier = np.arange(mins.shape[1])
+
+            def look(order, stop, bits):
+                for p, q in _ranges(np.arange(1, len(order) + 1), stop):
+                    p, q = order[p], order[q]
+                    if bits:
+                        ok = np.bitwise_count(fp[p] ^ fp[q]) + np.bitwise_count(fp2[p] ^ fp2[q]) <= radius
+                        p, q = p[ok], q[ok]
+                    ok = (label[p] != label[q]) & (np.minimum(n[p], n[q]) >= ratio * np.maximum(n[p], n[q]) - 1e-9)
+                    p, q = p[ok], q[ok]
+                    new = ~((mins[p] == mins[q]) & (earlier < t[p][:, None])).any(axis=1)
+                    hit[p[new]] = hit[q[new]] = True
+
+            order = np.lexsort((pop, group))
+            key = group[order] * 1000 + pop[order]
+            look(order, np.minimum(np.searchsorted(key, key + radius, "right"), bounds[1:][group[order]]), True)
+            order = np.flatnonzero(n <= FEW)  # bits of few shingles say little
+            look(order, np.searchsorted(group[order], group[order], "right"), False)
+            at = np.flatnonzero(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (t, m, part, node, label)], names=["t", "m", "part", "node", "label"])
 
-def _similar(a: np.ndarray, b: np.ndarray, ratio: float, cells: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in a and b of all pairs of sets (the bytes of their 64-bit hashes) of at least this Jaccard similarity."""
-    na, nb = (np.array([len(s) // 8 for s in x]) for x in (a, b))
-    ha, hb = (np.frombuffer(b"".join(x), dtype=np.uint64) for x in (a, b))
-    order = np.argsort(hb)
-    hb, owner = hb[order], np.repeat(np.arange(len(b)), nb)[order]
-    start, step, found = np.concatenate(([0], np.cumsum(na))), max(1, cells // max(1, len(b))), []
-    for i in range(0, len(a), step):
-        j = min(i + step, len(a))
-        h = ha[start[i] : start[j]]
-        low = np.searchsorted(hb, h)
-        n = np.searchsorted(hb, h, "right") - low
-        at = np.repeat(low - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
-        code = np.repeat(np.repeat(np.arange(j - i), na[i:j]), n) * len(b) + owner[at]
-        if len(code) * 4 < cells:
-            code, shared = np.unique(code, return_counts=True)
-        else:
-            shared = np.bincount(code)
-            code = np.flatnonzero(shared)
-            shared = shared[code]
-        p, q = code // len(b) + i, code % len(b)
-        ok = shared >= ratio * (na[p] + nb[q] - shared) - 1e-9
-        found.append((p[ok], q[ok]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _compare_sized(radius: int, ratio: float, leaders: bool):
-    """``leaders``: each node with the smallest node near it and with its nearest; else all near pairs with different
-    labels. Rows (a, b, d); a > b, but for ``leaders`` a is the node."""
+    return compare
 
-    def compare(batches: Iterator):
+
+def _similar(sets: list, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions p < q of all pairs of sets (sorted 64-bit hashes) of at least this Jaccard similarity."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    stop = np.searchsorted(flat, flat, "right")  # owners rise within equal hashes
+    shared = np.zeros(len(sets) ** 2, dtype=np.int64)
+    for p, q in _ranges(np.arange(1, len(flat) + 1), stop):
+        shared += np.bincount(owner[p] * len(sets) + owner[q], minlength=len(shared))
+    p, q = np.divmod(np.flatnonzero(shared), len(sets))
+    both = shared[p * len(sets) + q]
+    ok = both >= ratio * (size[p] + size[q] - both) - 1e-9
+    return p[ok], q[ok]
+
+
+def _least_reached(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of n positions the smallest that the links (p, q) lead to."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[p], least[q])
+        new = least.copy()
+        np.minimum.at(new, p, low)
+        np.minimum.at(new, q, low)
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
+def _verify(ratio: float):
+    """Links (a, b), at most one for each label of a group, that join the labels whose sets are similar."""
+
+    def verify(batches: Iterator):
         import pyarrow as pa
 
-        def pairs(x, y, same):
-            p, q, d = _near(x[1].view(np.uint64), y[1].view(np.uint64), radius, x[2].view(np.uint64), y[2].view(np.uint64))
-            few = [(0 < c[3]) & (c[3] <= FEW) for c in (x, y)]
-            if few[0].any() and few[1].any():
-                i, j = (np.flatnonzero(f) for f in few)
-                r, s = _similar(x[5][i], y[5][j], ratio)
-                r, s, other = i[r], j[s], ~(few[0][p] & few[1][q])
-                bits = np.bitwise_count(x[1][r].view(np.uint64) ^ y[1][s].view(np.uint64)) + np.bitwise_count(x[2][r].view(np.uint64) ^ y[2][s].view(np.uint64))
-                p, q, d = np.concatenate((p[other], r)), np.concatenate((q[other], s)), np.concatenate((d[other], bits))
-            small, large = np.minimum(x[3][p], y[3][q]), np.maximum(x[3][p], y[3][q])
-            ok = (small >= ratio * large) & (x[0][p] != y[0][q])
-            if same:
-                ok &= p < q
-            if not leaders:
-                ok &= x[4][p] != y[4][q]
-            a, b, d = x[0][p[ok]], y[0][q[ok]], d[ok].astype(np.int32)
-            if not leaders:
-                a, b = np.maximum(a, b), np.minimum(a, b)
-            elif len(a):
-                a, b, d = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))
-                keep = []
-                for order in (np.lexsort((b, a)), np.lexsort((b, d, a))):
-                    first = np.concatenate(([True], a[order][1:] != a[order][:-1]))
-                    keep.append(order[first])
-                keep = np.unique(np.concatenate(keep))
-                a, b, d = a[keep], b[keep], d[keep]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
-
-        tile, homes, home = None, [], None
-        for batch in batches:
-            tiles, guest, *cols = (np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns)
-            cuts = np.flatnonzero((tiles[1:] != tiles[:-1]) | (guest[1:] != guest[:-1])) + 1
-            for low, high in zip([0, *cuts], [*cuts, len(tiles)], strict=True):
-                if low == high:
+        for rows, bounds in _groups(batches, 3):
+            label, sets = rows.column(4).to_numpy(), rows.column(5).combine_chunks()
+            flat, at = sets.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy())))
+            out_a, out_b = [], []
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if high - low < 2:
                     continue
-                part = [c[low:high] for c in cols]
-                if tiles[low] != tile or (guest[low] and home is None):
-                    if homes:
-                        home = [np.concatenate(c) for c in zip(*homes, strict=True)]
-                        yield pairs(home, home, True)
-                        homes = []
-                    if tiles[low] != tile:
-                        tile, home = tiles[low], None
-                if not guest[low]:
-                    homes.append(part)
-                elif home is not None:
-                    yield pairs(home, part, False)
-        if homes:
-            home = [np.concatenate(c) for c in zip(*homes, strict=True)]
-            yield pairs(home, home, True)
+                p, q = _similar([flat[at[i] : at[i + 1]] for i in range(low, high)], ratio)
+                names, own = np.unique(label[low:high], return_inverse=True)
+                least = _least_reached(len(names), own[p], own[q])
+                joined = np.flatnonzero(least != np.arange(len(names)))
+                out_a.append(names[joined])
+                out_b.append(names[least[joined]])
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_a, out_b)], names=["a", "b"])
 
-    return compare
+    return verify
 
 
 def _shingle_sets(k: int):
@@ -327,61 +378,72 @@ def _shingle_sets(k: int):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            own = [np.unique(np.array([xxh64_intdigest(s, _SEED) for s in shingles(t, k)], dtype=np.uint64)).view(np.int64) for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "set"])
+            texts = text_bytes(batch.column(1))
+            for low, high in by_bytes(texts):
+                own = [np.unique(np.array([xxh64_intdigest(s, _SEED) for s in shingles(t, k)], dtype=np.uint64)).view(np.int64) for t in texts[low:high]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(own, pa.list_(pa.int64()))], names=["node", "set"])
 
     return sets
 
 
-#: Identifiers of at most so many candidates, once counted, are sent to all tasks instead of shuffling the texts to them.
-BROADCAST_IDS = 1_000_000
+def _links(members: DataFrame, docs: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
+    """Verified links of ``members`` (t, m, part, node, fp, fp2, n, label, mins), group by group, as a written table."""
+    key = ["t", "m", "part"]
+    near = members.select(*key, "node", "fp", "fp2", "n", "label", "mins").repartition(*key).sortWithinPartitions(*key)
+    near = materialize(near.mapInArrow(_candidates(radius, similarity), "t int, m long, part long, node long, label long"), "near")
+    nodes = send_if_small(near.select("node").distinct(), "near-nodes")
+    sets = materialize(docs.join(nodes, "node", "left_semi").mapInArrow(_shingle_sets(k), "node long, set array<long>"), "shingle-sets")
+    found = near.join(sets, "node").select(*key, "node", "label", "set")
+    return materialize(found.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify(similarity), "a long, b long"), "near-links")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a written table) whose sets of shingles have at least this Jaccard similarity, as a written table."""
-    ends = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "candidates")
-    if ends.count() <= BROADCAST_IDS:
-        ends = F.broadcast(ends)
-    sets = materialize(docs.join(ends, "node", "left_semi").mapInArrow(_shingle_sets(k), "node long, set array<long>"), "shingle-sets")
-    a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - shared
-    return materialize(both.select("a", "b", (shared >= union * similarity - 1e-9).alias("ok")).filter("ok").select("a", "b"), "near-links")
+def near_duplicates(
+    docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 36, tables: int = TABLES, part_rows: int = PART_ROWS, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per identifier: doc_id, component_id (smallest identifier reachable over near-duplicate links).
 
+    Two documents link if the sets of their k-word shingles have a Jaccard similarity of at least ``similarity``, checked
+    exactly. Candidates are 128-bit fingerprints (majorities over the different shingles) within ``radius`` bits, compared
+    by exclusive-or and bit counts in tiles: at a radius this wide population counts alone exclude little, so a tile
+    holds the documents with one smallest shingle hash, for each of ``tables`` orders of the hashes, and counts cut the
+    comparisons inside. At similarity 0.8 itself a pair is in no common tile in 1 of 15,000 cases and beyond the
+    radius in about as many; documents of at most ``FEW`` different shingles are compared without the fingerprints.
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 29, tile_rows: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per identifier: doc_id, component_id (smallest identifier reachable over near-duplicate links).
+    A first pass compares parts of at most about ``part_rows`` documents of a tile, each with the tile's smallest
+    document, and so joins copies of one text in time linear in their number. A second compares all blocks of
+    those larger tiles that are still several components. Sets are compared where the tile is, and a group of rows gives
+    at most one link for each component in it. Equal sets are one row throughout.
 
-    A link needs 128-bit fingerprints within ``radius`` bits and a Jaccard similarity of the sets of k-word
-    shingles of at least ``similarity``, checked exactly. Tiles are blocks of a size class (numbers of
-    different shingles within the ratio that the similarity asks for), so pairs of other classes are
-    skipped. A first pass links every document to the smallest and to the closest one near it and so settles large
-    groups; a second compares only what is not yet in one component. Fingerprints count each different shingle once, as
-    the similarity does; documents of at most ``FEW`` different shingles are compared by the shingles themselves, without loss.
-    Above that, at similarity 0.8 the expected distance is about 19 bits; the default radius keeps about 99 in 100
-    such pairs and more of closer ones, and random pairs lie within it once in a billion times.
-    Documents without words link to each other. Null identifiers are left out.
+    Null and wordless texts are equal. Null identifiers are left out; rows that repeat an identifier are compared
+    each, and the smallest of their components is given. Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    marked = materialize(fingerprints(rows, k, "node", "text", wide=True).withColumnRenamed("doc_id", "node"), "sized-fingerprints")
-    classes = marked.groupBy(F.when(F.col("n") <= 0, -1).otherwise(F.floor(F.log("n") / F.lit(-math.log(similarity)) + 1e-9)).cast("int").alias("c")).count().collect()  # one row per size class, under 150
-    blocks = {r["c"]: max(1, math.ceil(r["count"] / tile_rows)) for r in classes}
-
-    def tiled(nodes: DataFrame, leaders: bool) -> DataFrame:
-        dealt = nodes.mapInArrow(_size_tiles(similarity, blocks), "tile long, guest boolean, node long, fp long, fp2 long, n int, label long, few binary")
-        return dealt.repartition("tile").sortWithinPartitions("tile", "guest").mapInArrow(_compare_sized(radius, similarity, leaders), "a long, b long, d int")
-
-    best = tiled(marked.select("node", "fp", "fp2", "n", F.col("node").alias("label"), "few"), True).groupBy("a").agg(F.min("b").alias("s"), F.min(F.struct("d", "b")).alias("c"))
-    both = best.select("a", F.explode(F.array("s", "c.b")).alias("b"))
-    first = materialize(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "leaders")
-    stars = _verified(first, rows, k, similarity)
-    labels = connected_components(stars)
-    labelled = marked.join(labels, "node", "left").select("node", "fp", "fp2", "n", F.coalesce("component", "node").alias("label"), "few")
-    rest = materialize(tiled(labelled, False).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "rest-links")
-    links = stars.unionByName(_verified(rest, rows, k, similarity))
-    components = connected_components(links)
-    return marked.select("node").distinct().join(components, "node", "left").select(F.col("node").alias(id_col), F.coalesce("component", "node").alias("component_id"))
+    marked = materialize(rows.mapInArrow(_sketch(k, tables), "node long, fp long, fp2 long, total long, n int, mins array<long>"), "sketches")
+    same = ["fp", "fp2", "total", "n", "mins"]
+    classes = materialize(marked.groupBy(*same).agg(F.min("node").alias("node")), "sketch-classes")
+    placed = classes.filter("n > 0").select("node", "fp", "fp2", "n", "mins", F.posexplode("mins").alias("t", "m"))
+    tiles = placed.groupBy("t", "m").agg(F.count("*").alias("rows"), F.sum("n").alias("cells"), F.min("node").alias("leader")).filter("rows > 1")
+    members = materialize(placed.join(tiles, ["t", "m"]), "tile-members")
+
+    parts = F.ceil(F.col("rows") / part_rows)
+    own = F.pmod(F.xxhash64("node"), parts)
+    everywhere = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(own))
+    first = _links(members.withColumn("label", F.col("node")).withColumn("part", F.explode(everywhere)), rows, k, similarity, radius)
+
+    large = members.filter(F.col("rows") > part_rows)
+    labels = connected_components(first)
+    large = large.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    several = large.groupBy("t", "m").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("t", "m")
+    large = materialize(large.join(several, ["t", "m"]), "large-tiles")
+    blocks = F.ceil(F.greatest(F.col("rows") / block_rows, F.col("cells") / BLOCK_CELLS))
+    large = large.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("_blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda j: (j != F.col("_own")) | (F.col("_blocks") == 1))
+    pair = F.transform(others, lambda j: F.least(j, F.col("_own")) * F.col("_blocks") + F.greatest(j, F.col("_own")))
+    second = _links(large.withColumn("part", F.explode(pair)), rows, k, similarity, radius)
+
+    components = connected_components(first.unionByName(second))
+    found = marked.withColumnRenamed("node", "id").join(classes, same).join(components, "node", "left")
+    return found.groupBy(F.col("id").alias(id_col)).agg(F.min(F.coalesce("component", "node")).alias("component_id"))
 
 
 def op9_simhash_components(spark, sf_dir):
