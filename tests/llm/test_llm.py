@@ -133,8 +133,19 @@ def test_curriculum_counts_words(spark):
     d = docs(spark, [(i, "w " * (i % 7), "ab"[i % 2]) for i in range(50)])
     mix = mixing.mix_sources(d)
     c = mixing.curriculum(d, mix)
-    assert c.agg(F.sum("n_words")).first()[0] == mix.agg(F.sum("taken")).first()[0]
-    assert c.filter("n_words <= 0").count() == 0 and set(d.columns) <= set(c.columns)
+    assert c.agg(F.sum("mix_words")).first()[0] == mix.agg(F.sum("taken")).first()[0]
+    assert c.filter("mix_words <= 0").count() == 0 and c.columns == [*d.columns, "mix_pass", "mix_position", "mix_words"]
+
+
+def test_curriculum_with_repeated_identifiers(spark):
+    d = docs(spark, [(1, "a b c", "x"), (1, "a b c", "x"), (1, "d e", "x"), (1, "a b c", "y"), (None, "f g", "x"), (2, "", "x")]).withColumn("position", F.lit(1))
+    mix = mixing.mix_sources(d)
+    c = mixing.curriculum(d, mix)
+    taken = {(r["doc_id"], r["text"]): r["n"] for r in c.groupBy("doc_id", "text").agg(F.sum("mix_words").alias("n")).collect()}
+    want = {(r["doc_id"], r["text_key"]): r["n"] for r in mix.filter("taken > 0").groupBy("doc_id", "text_key").agg(F.sum("taken").alias("n")).collect()}
+    assert sorted(taken.values()) == sorted(want.values()) and c.agg(F.sum("mix_words")).first()[0] == mix.agg(F.sum("taken")).first()[0]
+    with pytest.raises(ValueError):
+        mixing.curriculum(d.withColumn("mix_pass", F.lit(0)), mix)
 
 
 # Substring dedup -----------------------------------------------------------------------------------------
@@ -294,22 +305,59 @@ def test_decontamination(spark, monkeypatch):
         (1, "other text", "b"), (10, " ".join(item[10:] + noise(3)), "a"),
     ]
     bench = spark.createDataFrame([(77, " ".join(item)), (78, "too short"), (79, None), (80, "")], "item_id long, text string")
+    rows += [(11, "It is TOO short.", "a"), (12, "too very short", "a")]
     for bound in (500_000, 0):
         monkeypatch.setattr(decontamination, "BROADCAST_ROWS", bound)
+        monkeypatch.setattr(decontamination, "BROADCAST_WORDS", bound)
         found = decontamination.contaminated(docs(spark, rows), bench).collect()
-        assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 77), (2, 77), (5, 77), (7, 77), (None, 77), (10, 77)}
-        left = decontamination.decontaminate(docs(spark, rows), bench)
-        assert sorted((r["doc_id"], r["text"] == "other text") for r in left.collect()) == [(1, True), (3, False), (4, False), (6, False), (8, False), (9, False)]
-        assert left.columns == docs(spark, []).columns
+        assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 77), (2, 77), (5, 77), (7, 77), (None, 77), (10, 77), (11, 78)}
+        odd = docs(spark, rows).withColumn("row", F.lit(1)).withColumn("_t", F.lit(1))
+        left = decontamination.decontaminate(odd, bench)
+        assert sorted((r["doc_id"], r["text"] == "other text") for r in left.collect()) == [(1, True), (3, False), (4, False), (6, False), (8, False), (9, False), (12, False)]
+        assert left.columns == odd.columns
     assert decontamination.decontaminate(docs(spark, rows), bench.filter("false")).count() == len(rows)
     assert decontamination.contaminated(docs(spark, []), bench).count() == 0
 
 
-def test_masks_find_every_three_substitutions():
+@pytest.mark.parametrize("n", range(1, 40))
+def test_masks_meet_every_allowed_difference(n):
+    """Every choice of as many words to substitute as the rule allows, for items of each length up to the window."""
     import itertools
+    import math
+
+    width, masks = min(n, 16), decontamination.masks_for(n)
+    assert n < 5 or all("0" in m for m in masks)
+    for bad in itertools.combinations(range(width), width - math.ceil(width * 0.8 - 1e-9)):
+        assert any(all(s + i not in bad for i, c in enumerate(m) if c == "1") for m in masks for s in range(width - len(m) + 1))
 
-    for bad in itertools.combinations(range(16), 3):
-        assert any(all(s + i not in bad for i, c in enumerate(m) if c == "1") for m in decontamination.MASKS for s in range(16 - len(m) + 1))
+
+def test_decontamination_against_all_placements(spark):
+    """Items of every length, substitutions at random, documents that hold only a part: against comparison at every place."""
+    import math
+
+    rng = random.Random(21)
+    items = {n: [f"i{n}w{rng.randrange(9)}x{k}" if rng.random() < 0.8 else "the" for k in range(n)] for n in [*range(1, 21), 30]}
+    rows = []
+    for i in range(400):
+        w = list(items[rng.choice([*items])])
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = rng.choice(["the", "other", f"z{i}"])
+        low_, high = (0, len(w)) if rng.random() < 0.6 else sorted(rng.sample(range(len(w) + 1), 2))
+        rows.append((i, " ".join([f"q{rng.randrange(50)}" for _ in range(rng.randrange(6))] + w[low_:high] + ["the"] * rng.randrange(3)), "s"))
+    want = {}
+    for i, t, _ in rows:
+        w = t.split()
+        for n, item in items.items():
+            for start in range(-n, len(w)):
+                flags = [0 <= start + j < len(w) and w[start + j] == item[j] for j in range(n)]
+                width = min(n, 16)
+                best = max(sum(flags[j : j + width]) for j in range(n - width + 1))
+                if best >= math.ceil(width * 0.8 - 1e-9):
+                    a, b = want.get((i, n), (0, 0))
+                    want[(i, n)] = (max(a, sum(flags)), max(b, best))
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["window_matched"]) for r in decontamination.contaminated(docs(spark, rows), bench).collect()}
+    assert got == want and len(want) > 150
 
 
 # Language identification ---------------------------------------------------------------------------------
@@ -562,12 +610,49 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     kept = [r for r, c in zip(kept, comp, strict=True) if r[0] == c]
     kept = [r for r in kept if bench not in r[1]]
     size = {r[0]: len(words(r[1])) for r in kept}
-    assert {r["doc_id"] for r in got} <= set(size)
-    assert sum(r["n_words"] for r in got) == pytest.approx(1.5 * sum(size.values()), abs=5)
-    assert [r["position"] for r in got] == sorted(r["position"] for r in got) or len(got) > 0
+    mix = {r["doc_id"]: (r["taken"], r["positions"]) for r in mixing.mix_sources(spark.createDataFrame(kept, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    taken = collections.Counter()
+    for r in got:
+        taken[r["doc_id"]] += r["mix_words"]
+    assert taken == {i: t for i, (t, _) in mix.items() if t}
+    assert sorted(r["mix_position"] for r in got) == sorted(p for _, at in mix.values() for p in at)
+    assert sum(taken.values()) == pytest.approx(1.5 * sum(size.values()), abs=5)
     assert [name for name, _ in cp.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "mixing"]
 
 
+def test_language_stage_drops_what_is_in_no_language(spark):
+    from tidemark.llm import stages
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(4)
+    letters = sorted({c for r in d.select("text").limit(50).collect() for c in (r["text"] or "").lower() if c.isalpha()})
+    noise = [(10_000_000 + i, " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(60)), None, "n", 0) for i in range(200)]
+    both = d.unionByName(spark.createDataFrame(noise, d.schema))
+    left = {r["doc_id"] for r in stages.language_stage(spark, both, SF).select("doc_id").collect()}
+    assert sum(i >= 10_000_000 for i in left) < 80
+    assert sum(i < 10_000_000 for i in left) > 0.99 * d.filter(F.col("text").rlike(r"\p{L}")).count()
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    from tidemark.llm import stages
+
+    d = docs(spark, ODD).withColumn("key", F.lit(1)).withColumn("row", F.lit("r")).withColumn("_t", F.lit(2))
+    texts = lambda out: sorted(map(str, ((r["doc_id"], r["text"] and r["text"][:9]) for r in out.collect())))
+    want = {
+        "exact_dedup": [(2, ""), (3, "  \n\t "), (5, "same text"), (6, "same text"), (7, "word word"), (8, "Ünïcode Ä"), (9, "ünïcode ä"), (10, "!!! 123 ?")],
+        "near_dedup": [(1, None), (4, "Same Text"), (7, "word word"), (8, "Ünïcode Ä"), (9, "ünïcode ä"), (10, "!!! 123 ?"), (None, "same text"), (None, None)],
+        "decontamination": [(i, t and t[:9]) for i, t, _ in ODD],
+    }
+    for name, stage in stages.STAGES:
+        empty = stage(spark, d.filter("false"), SF)
+        assert empty.count() == 0 and empty.columns[: len(d.columns)] == d.columns
+        out = stage(spark, d, SF)
+        assert out.columns[: len(d.columns)] == d.columns
+        if name in want:
+            assert texts(out) == sorted(map(str, want[name]))
+        assert name != "language_id" or {r["doc_id"] for r in out.collect()} <= {4, 5, 6, 7, 8, 9, None}
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline as cp
 

@@ -3,7 +3,7 @@
 The network reads chunks of ``CHUNK`` bytes (a text is cut into chunks from end to end, none is left
 out), labels every byte from the states of both directions, and a text's probabilities are the mean over
 its bytes. It is trained in numpy by backpropagation through time on the driver, on a bounded sample of
-labelled documents (``sample`` of each language), and sent to the tasks as a few kilobytes.
+chunks of labelled documents (``sample`` of each language, from anywhere in any text), and sent to the tasks as a few kilobytes.
 """
 
 from __future__ import annotations
@@ -142,40 +142,47 @@ def remainder(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def fit(docs: DataFrame, sample: int = 1500, chunks_each: int = 4, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **how) -> ByteTagger | None:
-    """Train on at most about ``sample`` documents of each language of ``docs``, chosen by a hash of the
-    identifier, and a few chunks of each. None if there is no labelled text."""
+def fit(docs: DataFrame, sample: int = 6000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **how) -> ByteTagger | None:
+    """Train on at most about ``sample`` chunks of each language. Every labelled document of ``docs`` gives as many of
+    them on average, from anywhere in its text, chosen by a hash of identifier and place. None if there is no labelled text."""
+    size = F.greatest(F.ceil(F.octet_length(text_col) / CHUNK).cast("int"), F.lit(1))
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return None
     languages = sorted(counts)
-    share = F.element_at(F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample / counts[k])))]), F.col(lang_col))
-    chosen = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1_000_000)) < share * 1_000_000)
-
-    def cut(batches: Iterator):
-        import pyarrow as pa
-
-        for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            out_l, out_x = [], []
-            for lang, t in zip(langs, texts, strict=True):
-                c = chunks(t)
-                for row in c[np.linspace(0, len(c) - 1, min(len(c), chunks_each)).astype(int)]:
-                    out_l.append(lang)
-                    out_x.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_l, pa.string()), pa.array(out_x, pa.binary())], names=["lang", "x"])
-
-    rows = chosen.select(lang_col, text_col).mapInArrow(cut, "lang string, x binary").collect()  # at most sample * chunks_each for each language
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(bytes(r["x"]), dtype=np.int16) for r in rows], axis=1)
+    share = F.element_at(F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(sample / counts[k]))]), F.col(lang_col)) / size
+    places = F.filter(F.sequence(F.lit(0), size - 1), lambda k: F.pmod(F.xxhash64(F.col(id_col), k), F.lit(1_000_000_000)) < share * 1e9)
+    chosen = known.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("_raw"), places.alias("_places")).filter(F.size("_places") > 0)
+    pieces = chosen.select("lang", "_raw", F.explode("_places").alias("_k")).select("lang", F.substring("_raw", F.col("_k") * CHUNK + 1, F.lit(CHUNK)).alias("x"))
+    rows = sorted((r["lang"], bytes(r["x"])) for r in pieces.collect())  # about ``sample`` of each language at most
+    if not rows:
+        return None
+    x = np.concatenate([chunks(piece) for _, piece in rows]).T
     by = {k: i for i, k in enumerate(languages)}
-    y = np.array([by[r["lang"]] for r in rows])
+    y = np.array([by[lang] for lang, _ in rows])
     # Languages count alike, whatever their share of the sample.
     n = np.bincount(y, minlength=len(languages))
     rng = np.random.default_rng(5)
     even = np.concatenate([rng.choice(np.flatnonzero(y == k), size=n.max()) for k in range(len(languages)) if n[k]])
-    return ByteTagger(languages).fit(x[:, even], y[even], **how)
+    return ByteTagger(languages).fit(np.ascontiguousarray(x[:, even]), y[even], **how)
+
+
+def least_score(docs: DataFrame, model: ByteTagger, sample: int = 4000, loss: float = 0.002, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> float:
+    """The score below which a text is in none of the model's languages: what 99 of 100 texts of random letters stay below,
+    but no more than all but a share ``loss`` of labelled texts reach, nor less than chance. Both come from at most about
+    ``sample`` labelled rows, chosen by a hash of the identifier; the random texts have the letters of these rows, evenly dealt."""
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    share = min(1.0, sample / max(1, known.count()))
+    some = known.filter(F.pmod(F.xxhash64("_id", F.lit("bound")), F.lit(1_000_000_000)) < int(share * 1e9))
+    letters = F.array_sort(F.array_distinct(F.split(F.regexp_replace("_text", r"[^\p{L}]", ""), "")))
+    word = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.element_at(F.col("_letters"), (F.pmod(F.xxhash64("_id", i), F.size("_letters")) + 1).cast("int")))
+    blank = F.transform(word, lambda c, i: F.when(i % 7 == 6, F.lit(" ")).otherwise(c))
+    noise = some.withColumn("_letters", F.filter(letters, lambda c: c != "")).select("_id", F.concat_ws("", blank).alias("_text"))
+    clean, random = (np.array([r["score"] for r in identify(d, model, "_id", "_text").select("score").collect()]) for d in (some, noise))  # about ``sample`` rows at most
+    if not len(clean):
+        return 1 / len(model.languages)
+    return max(1 / len(model.languages), min(float(np.quantile(random, 0.99)), float(np.quantile(clean, loss, method="lower"))))
 
 
 def _predict(model: ByteTagger, kind: str, group: int = 4096):
@@ -219,7 +226,7 @@ def _predict(model: ByteTagger, kind: str, group: int = 4096):
     return predict
 
 
-def identify(docs: DataFrame, model: ByteTagger | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: ByteTagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, lang_pred, score (mean probability over all bytes).
 
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if there is no

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, table, word_count
+from tidemark.llm.common import materialize, send_if_small, table, word_count
 
 #: (start, end) of the weight of sources by rank, repeating: falls, stays, rises.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
@@ -61,7 +61,7 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, offset, positions.
+    """One row per document: doc_id, source, text_key, size, source_size, target, taken, offset, positions.
 
     ``taken`` counts words over all repeats; a source takes whole passes in md5 order and ends, in its
     last pass, at its target, where one document is cut. ``positions`` are the training times in [0, 1]
@@ -72,7 +72,7 @@ def mix_sources(
     if min(weights) <= 0 or any(min(s) < 0 or max(s) <= 0 for s in schedules):
         raise ValueError("weights are above 0, schedules not below 0")
     sized = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_md5")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_key"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_md5")),
         "mix-sizes",
     )
     n = sized.count()
@@ -84,7 +84,7 @@ def mix_sources(
     totals = buckets.groupBy("_key").agg(F.sum("_words").alias("source_size"), F.first("source").alias("source"))
     targets = source_targets(totals.select("source", "source_size"), weights, share, limit)
     targets = targets.withColumn("_key", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))).drop("source")
-    inside = W.partitionBy("_key", "_bucket").orderBy("_md5", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_key", "_bucket").orderBy("_md5", "doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.join(starts, ["_key", "_bucket"]).withColumn("offset", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(targets, "_key")
     goal = F.floor("target")
@@ -92,22 +92,34 @@ def mix_sources(
     words_in = [F.greatest(F.lit(0), F.least("size", goal - F.col("source_size") * k - F.col("offset"))).cast("long") for k in range(passes)]
     a, b = (_by_rank(F.col("rank"), [s[i] for s in schedules]) for i in (0, 1))
     times = [F.when(taken > 0, _time((F.col("source_size") * k + F.col("offset")) / F.col("target"), a, b)) for k, taken in enumerate(words_in)]
-    return placed.select("doc_id", "source", "size", "source_size", "target", sum(words_in).alias("taken"), "offset", F.array_compact(F.array(*times)).alias("positions"))
-
-
-def curriculum(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents in training order: a row for each pass over a document, with its position, its pass
-    and the words to take (``n_words``, fewer than its size where the target cuts it), range-sorted by position."""
-    passes = mix.filter("taken > 0").select(F.col("doc_id").alias(id_col), "size", "taken", F.posexplode("positions").alias("pass", "position"))
-    plan = passes.select(id_col, "pass", "position", F.least("size", F.col("taken") - F.col("pass") * F.col("size")).alias("n_words"))
-    joined = docs.join(plan.withColumnRenamed(id_col, "_mixed_id"), docs[id_col].eqNullSafe(F.col("_mixed_id"))).drop("_mixed_id")
-    return joined.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)
+    return placed.select("doc_id", "source", "text_key", "size", "source_size", "target", sum(words_in).alias("taken"), "offset", F.array_compact(F.array(*times)).alias("positions"))
+
+
+def curriculum(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "mix_") -> DataFrame:
+    """The documents in training order: a row for each pass over a document, with its mix_pass, its mix_position and
+    mix_words, the words to take (fewer than its size where the target cuts it), range-sorted by position.
+
+    ``mix`` is the result of ``mix_sources`` for ``docs``. Rows that repeat identifier and text have the passes of all of them,
+    with the columns of the first row in the order of all columns. Documents that are not taken give no row. The
+    other columns stay; ``prefix`` is for those that have one of the new names already."""
+    own = {"pass": f"{prefix}pass", "position": f"{prefix}position", "words": f"{prefix}words"}
+    if set(own.values()) & set(docs.columns):
+        raise ValueError(f"docs has one of the columns {sorted(own.values())}; choose another prefix")
+    passes = mix.filter("taken > 0").select(F.struct(F.col("doc_id").alias("id"), "text_key").alias("key"), "size", "taken", F.posexplode("positions").alias("pass", "position"))
+    plan = passes.select("key", "pass", "position", F.least("size", F.col("taken") - F.col("pass") * F.col("size")).alias("words"))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("key", F.struct(F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(f"row.`{text_col}`").alias("text_key")))
+    again = materialize(mix.groupBy(F.struct(F.col("doc_id").alias("id"), "text_key").alias("key")).agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated-rows")
+    if again.count():
+        again = send_if_small(again, "repeated-rows")
+        rows = rows.join(again, "key", "left_anti").unionByName(rows.join(again, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")))
+    joined = rows.join(plan, "key").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *[F.col(c).alias(name) for c, name in own.items()])
+    return joined.repartitionByRange(own["position"], id_col).sortWithinPartitions(own["position"], id_col)
 
 
 def op7_mix_sources(spark, sf_dir):
     mixed = mix_sources(table(spark, sf_dir, "documents"))
-    first = F.element_at(F.col("positions"), 1)
-    out = mixed.select("doc_id", "size", "source_size", "target", "taken", F.when(F.size("positions") > 0, first).alias("position"))
+    nth = lambda k: F.get("positions", F.lit(k))
+    out = mixed.select("doc_id", "size", "source_size", "target", "taken", nth(0).alias("position"), nth(1).alias("second_position"))
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
@@ -135,11 +147,12 @@ WITH d AS (
 ), p AS (
   SELECT doc_id, size, source_size, target, a, b, off,
          greatest(0, least(size, CAST(floor(target) AS BIGINT) - off)) AS k1,
-         greatest(0, least(size, CAST(floor(target) AS BIGINT) - source_size - off)) AS k2
+         greatest(0, least(size, CAST(floor(target) AS BIGINT) - source_size - off)) AS k2,
+         off / target * (a + b) / 2 AS y1, (source_size + off) / target * (a + b) / 2 AS y2
   FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, CAST(k1 + k2 AS BIGINT) AS taken,
-       CASE WHEN k1 > 0 THEN CASE WHEN abs(b - a) < 1e-12 THEN off / target * (a + b) / 2 / a
-                                  ELSE (sqrt(greatest(a * a + 2 * (b - a) * (off / target * (a + b) / 2), 0)) - a) / (b - a) END END AS position
+       CASE WHEN k1 > 0 THEN CASE WHEN abs(b - a) < 1e-12 THEN y1 / a ELSE (sqrt(greatest(a * a + 2 * (b - a) * y1, 0)) - a) / (b - a) END END AS position,
+       CASE WHEN k2 > 0 THEN CASE WHEN abs(b - a) < 1e-12 THEN y2 / a ELSE (sqrt(greatest(a * a + 2 * (b - a) * y2, 0)) - a) / (b - a) END END AS second_position
 FROM p
 """
