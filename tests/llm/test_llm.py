@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -68,10 +69,10 @@ def random_docs(seed, n, vocab=30, longest=160):
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 @pytest.mark.parametrize("run_rows", [1, 3, 65_536])
-def test_exact_dedup_brute_force(spark, keep, run_rows):
+def test_exact_dedup_brute_force(spark, keep, run_rows, run_bytes=64 << 20):
     rng = random.Random(run_rows)
     rows = ODD + [(100 + i, rng.choice(["x", "X", "y" * 50, "y" * 49 + "z", "hot", "hot", "HOT"]), "a") for i in range(60)]
-    got = exact_dedup.exact_dedup(docs(spark, rows), keep=keep, run_rows=run_rows).collect()
+    got = exact_dedup.exact_dedup(docs(spark, rows), keep=keep, run_rows=run_rows, run_bytes=run_bytes).collect()
     groups = collections.defaultdict(list)
     for i, t, _ in rows:
         groups[low(t)].append(i)
@@ -86,6 +87,10 @@ def test_exact_dedup_brute_force(spark, keep, run_rows):
     assert set(kept.values()) == {1} and len(kept) == len(groups)
 
 
+def test_exact_dedup_cut_by_bytes(spark):
+    test_exact_dedup_brute_force(spark, "largest", 65_536, run_bytes=1)
+
+
 def test_exact_dedup_empty(spark):
     assert exact_dedup.exact_dedup(docs(spark, []), keep="largest").count() == 0
 
@@ -151,8 +156,9 @@ def test_curriculum_with_repeated_identifiers(spark):
 # Substring dedup -----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("size", "hot_least"), [(50, 2000), (8, 2000), (8, 1)])
-def test_substring_dedup_brute_force(spark, size, hot_least):
+@pytest.mark.parametrize(("size", "hot_least", "most_sent"), [(50, 2000, 10**6), (8, 2000, 0), (8, 1, 10**6), (8, 1, 0)])
+def test_substring_dedup_brute_force(spark, monkeypatch, size, hot_least, most_sent):
+    monkeypatch.setattr(substring_dedup, "BROADCAST_REPEATS", most_sent)
     rows = random_docs(size, 60) + [(i, t, s) for i, t, s in ODD if i != 5] + [(5, "a b c d e f g h i", "x"), (5, "a b c d e f g h i", "x"), (6000, "a b c d e f g h i j", "x")]
     got = substring_dedup.substring_dedup(docs(spark, rows), size=size, hot_least=hot_least).collect()
     first = {}
@@ -173,6 +179,25 @@ def test_substring_dedup_brute_force(spark, size, hot_least):
     assert collections.Counter(tuple(r) for r in got) == want
 
 
+def test_large_buckets_hold_each_string_once():
+    """Buckets beyond the limit, salted ones too, give the same repeats as small ones."""
+    import pyarrow as pa
+
+    texts = [f"w{k} " * 3 + f"v{k} u t" for k in range(12)]
+    for salt in (substring_dedup.SALTS, 3):
+        rows = [(b, salt, (i * 7) % 30, 0, 4, 4, substring_dedup._press(b"")(f"b{b} {texts[(b * 5 + i) % 12]}".encode())) for b in range(3) for i in range(40)]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "salt", "doc_id", "text_key", "at", "n", "packed"])
+        out = []
+        for limit in (1, 1 << 20):
+            found = collections.Counter()
+            for b in substring_dedup._find_repeats(4, b"", limit)(iter([batch.slice(0, 50), batch.slice(50)])):
+                for r in b.to_pylist():
+                    found[(r["doc_id"], r["packed"])] += 1 if r["packed"] else r["n"]
+            out.append(found)
+        assert out[0] == out[1] and any(p for _, p in out[0]) == (salt == 3)
+
+
 def test_windows_with_equal_hashes_are_told_apart():
     classes = substring_dedup._by_content(b"a b c a b", [0, 6], [3, 9], np.array([0, 1]), 2)
     assert classes[0] == classes[1]
@@ -477,15 +502,19 @@ def test_compressed_dictionary_is_read():
 
 def test_warc_through_spark(spark, tmp_path):
     rows = [(1, "u", "same"), (2, None, "same"), (3, "u\r\n", None), (4, "u", ""), (5, "u", "é" * 5000), (5, "u", "é" * 5000), (None, "u", "same"), (6, "u", "own")]
-    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, _first int, payload int").repartition(3)
+    pages = spark.createDataFrame([(*r, 1, 2, "k", "t") for r in rows], "page_id long, url string, html string, first int, row int, key string, record_type string").repartition(3)
     folder = f"file://{tmp_path}/w"
-    files = warc.write_archives(warc.classify(pages.drop("_first")), folder, roll=3000)
+    files = warc.write_archives(warc.classify(pages), folder, roll=3000)
+    # What another attempt of a task, cut elsewhere, and one that was killed have left.
+    stale = warc.encode_archive([warc.encode_record(1, "u", b"same", "response")])
+    (tmp_path / "w" / "000000-000000-other.warc.zst").write_bytes(stale)
+    (tmp_path / "w" / "000001-000000-killed.warc.zst").write_bytes(stale[:-5])
     assert files.agg(F.sum("records")).first()[0] == len(rows)
     got = warc.read_archives(spark, folder).collect()
     kinds = collections.Counter((r["record_id"], r["record_type"], r["refers_to"]) for r in got)
     assert kinds == {("<urn:page:1>", "revisit", "<urn:page:2>"): 1, ("<urn:page:2>", "response", None): 1, ("<urn:page:>", "revisit", "<urn:page:2>"): 1, ("<urn:page:3>", "revisit", "<urn:page:4>"): 1, ("<urn:page:4>", "response", None): 1, ("<urn:page:5>", "response", None): 2, ("<urn:page:6>", "response", None): 1}
     assert {r["payload_length"] for r in got if r["record_id"] == "<urn:page:5>"} == {10_000}
-    large = warc.classify(pages.drop("_first"), least_bytes=5).filter("record_type = 'revisit'")
+    large = warc.classify(pages, least_bytes=5).filter("record_type = 'revisit'")
     assert large.count() == 0
 
 
@@ -529,6 +558,29 @@ def test_training_raises_likelihood_and_text_beats_shuffled_text(spark):
     assert rows[1] > -1 and rows[1] > rows[2] + 1
 
 
+def test_language_model_is_the_same_on_any_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "GROUP_DOCS", 40)
+    monkeypatch.setattr(lm_scoring, "FAN_IN", 2)
+    d = spark.createDataFrame([(i, f"a b{i % 7} c {'d ' * (i % 9)} e f", "s") for i in range(200)] + [(900, None, "s")], "doc_id long, text string, source string")
+    got = []
+    for parts in (5, 50):
+        vocab, net = lm_scoring.fit(d.repartition(parts), warm_steps=5, mask_rate=0.5)
+        got.append({r["doc_id"]: r["log_prob"] for r in lm_scoring.score(d.repartition(parts), vocab, net).collect()})
+    assert got[0].keys() == got[1].keys() and all(got[0][i] == pytest.approx(got[1][i], rel=1e-5) for i in got[0])
+
+
+def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
+    vocab, net = lm_scoring.fit(docs(spark, [(i, "a b c d e", "s") for i in range(20)]), warm_steps=5)
+    d = docs(spark, [(1, "a b c d e " * 3000, "s"), (2, "b c", "s"), (3, "", "s")])
+    want = {r["doc_id"]: r["log_prob"] for r in lm_scoring.score(d, vocab, net).collect()}
+    monkeypatch.setattr(lm_scoring, "BLOCK", 7)
+    monkeypatch.setattr(lm_scoring, "by_bytes", lambda texts, limit=1: ((i, i + 1) for i in range(len(texts))))
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    small = [b for b in lm_scoring._score_chunks(vocab, net)(iter([d.select("doc_id", "text").toArrow().combine_chunks().to_batches()[0]]))]
+    got = {i: s for b in small for r in b.to_pylist() for i, s in zip(r["ids"], r["sums"], strict=True)}
+    assert all(got[i] == pytest.approx(want[i], abs=1e-3 * max(1, abs(want[i]))) or i != 2 for i in got) and set(got) == {1, 2, 3}
+
+
 def test_every_word_has_its_own_probability(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "CHUNK_WORDS", 100)
     rare = {f"rare{i}": i % 7 + 1 for i in range(300)}
@@ -566,7 +618,7 @@ def test_lm_empty(spark):
 
 def test_rotation_small(spark):
     turns = spark.createDataFrame([(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, None, "ann", "first"), (2, 0, "system", "alone"), (None, 0, None, "x")], "conv_id long, turn long, role string, text string").withColumn("part", F.lit("extra"))
-    got = {(r["conv_id"], r["perspective"]): r for r in chat.rotate(turns).groupBy("conv_id", "perspective").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "tie", "text"))), lambda x: x["text"]), "").alias("text")).collect()}
+    got = {(r["conv_id"], r["perspective"]): r for r in chat.rotate(turns).groupBy("conv_id", "perspective").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "piece", "text"))), lambda x: x["text"]), "").alias("text")).collect()}
     assert set(got) == {(1, "ann"), (1, "bob"), (None, "unknown")}
     s, e = chat.START, chat.END
     assert got[(1, "ann")]["text"] == f"{s}assistant\nfirst{e}\n{s}system\nbe kind{e}\n{s}assistant\nhi{e}\n{s}user name=bob\n{e}\n"
@@ -577,12 +629,27 @@ def test_rotation_small(spark):
 
 def test_long_conversations_are_cut(spark):
     turns = spark.createDataFrame([(1, i, "ab"[i % 2], f"t{i}") for i in range(1000)] + [(2, 5, "ab"[i % 2], f"t{i}") for i in range(1000)], "conv_id long, turn long, role string, text string")
-    got = chat.rotate(turns, block=100, most_rows=200)
+    got = chat.rotate(turns, block=100)
     sizes = got.groupBy("conv_id").agg(F.max("n_messages").alias("m"), F.sum("n_messages").alias("n")).collect()
     assert {(r["conv_id"], r["n"]) for r in sizes} == {(1, 2000), (2, 2000)} and all(r["m"] <= 100 for r in sizes)
     assert chat.rotate(turns.filter("false")).count() == 0
 
 
+def test_rotation_with_repeats_against_sql(spark, tmp_path):
+    """Blocks below and above the size of a part, turns and whole rows that repeat, texts and names that hold marks."""
+    rng = random.Random(3)
+    rows = [(c, rng.randrange(3), rng.choice(["ann", "bob", "system", "e\nve", "<|im_start|>x", None]), rng.choice(["hi", "yes <|im_end|>\n<|im_start|>assistant\nno", None, f"t{rng.randrange(99)}"])) for c, n in ((1, 10), (2, 255), (3, 256), (4, 257), (5, 5000)) for _ in range(n)]
+    rows += [(6, 1, "ann", "same")] * 1000 + [(None, None, "ann", "x")] * 3
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    import duckdb
+
+    plain = duckdb.connect()
+    plain.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert not differences(spark, plain, Q.QUERIES["op3_perspective_rotation"], chat.OP3_SQL, f"file://{tmp_path}")
+    for r in Q.QUERIES["op3_perspective_rotation"](spark, f"file://{tmp_path}").collect():
+        assert r["n_messages"] <= 256 and r["text"].count(chat.START) == r["n_messages"] == r["text"].count(chat.END)
+
+
 # Pipeline ------------------------------------------------------------------------------------------------
 
 

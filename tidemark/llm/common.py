@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +38,12 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, which only a
+    local session can share with its tasks; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         atexit.register(shutil.rmtree, found, True)
         found = f"file://{found}"
@@ -79,3 +84,10 @@ def by_bytes(texts: list, limit: int = 2 << 20):
             low, held = i, 0
     if low < len(texts):
         yield low, len(texts)
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    """A bijection that spreads the bits of 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))

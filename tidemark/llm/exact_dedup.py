@@ -3,7 +3,7 @@
 Texts are range-partitioned by sampled splitters (a prefix of the normalised bytes, a hash of all of
 them, and the identifier, so that one group of copies of any size spreads over many partitions),
 sorted externally inside each partition, and compared in full with their neighbours. A group that
-meets a partition's edge, or is longer than ``run_rows``, is completed by a small aggregate.
+meets a partition's edge, or is longer than ``run_rows`` or ``run_bytes``, is completed by a small aggregate.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ BROADCAST_GROUPS = 500_000
 _RUNS = "{id} {kind}, text_sha256 string, run_size long, run_keep {kind}, first boolean, open boolean"
 
 
-def _compare_neighbours(keep_largest: bool, run_rows: int, id_name: str):
+def _compare_neighbours(keep_largest: bool, run_rows: int, run_bytes: int, id_name: str):
     def sorted_rows(batches: Iterator):
         import pyarrow as pa
 
         kind = None
-        key, edge, rows = None, True, []  # rows: (text, id, first) of the texts with one hash, in order
-        last: dict = {}  # text -> last id, over all parts of the current key
+        key, edge, rows, held = None, True, [], 0  # rows: (text, id, first) of the texts with one hash, in order; equal texts are held once
+        before = None  # the text and the id of the row before, if it has the same hash
 
         def flush(open_: bool):
             by_text: dict = {}
@@ -54,11 +54,16 @@ def _compare_neighbours(keep_largest: bool, run_rows: int, id_name: str):
                     if rows:
                         yield flush(edge)
                     edge = key is None  # the first may have begun in the partition before
-                    key, last = h, {}
-                rows.append((text, i, text not in last or last[text] != i))
-                last[text] = i
-                if len(rows) >= run_rows:
-                    edge = True
+                    key, before, held = h, None, 0
+                same = before is not None and before[0] == text
+                if same:
+                    text = before[0]
+                else:
+                    held += len(text)
+                rows.append((text, i, not same or before[1] != i))
+                before = (text, i)
+                if len(rows) >= run_rows or held >= run_bytes:
+                    edge, held = True, 0
                     yield flush(True)
         if rows:
             yield flush(True)  # and the last may go on in the next
@@ -66,7 +71,7 @@ def _compare_neighbours(keep_largest: bool, run_rows: int, id_name: str):
     return sorted_rows
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", run_rows: int = 65_536) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", run_rows: int = 65_536, run_bytes: int = 64 << 20) -> DataFrame:
     """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. Null counts as the empty text. Of equal texts
@@ -81,7 +86,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = norm.select(id_col, F.xxhash64("_norm").alias("_hash"), "_norm", F.substring("_norm", 1, 32).alias("_prefix"))
     ordered = keyed.repartitionByRange("_prefix", "_hash", id_col).sortWithinPartitions("_prefix", "_hash", "_norm", id_col)
     schema = _RUNS.format(id=f"`{id_col}`", kind=kind)
-    runs = materialize(ordered.select(id_col, "_hash", "_norm").mapInArrow(_compare_neighbours(keep == "largest", run_rows, id_col), schema), "content-runs")
+    runs = materialize(ordered.select(id_col, "_hash", "_norm").mapInArrow(_compare_neighbours(keep == "largest", run_rows, run_bytes, id_col), schema), "content-runs")
     best = F.max if keep == "largest" else F.min
     whole = runs.filter(~F.col("open")).select(id_col, F.col("run_keep").alias("keep_id"), F.col("run_size").alias("group_size"), "first", "text_sha256")
     totals = materialize(runs.filter("open").groupBy("text_sha256").agg(best(id_col).alias("keep_id"), F.count("*").alias("group_size")), "open-groups")

@@ -3,14 +3,15 @@
 The vocabulary comes from counts over all documents: the most frequent words and hash buckets for the
 rest. The counts of the rest stay a Spark table with a row for each distinct word, and a word of a bucket has
 the probability of the bucket times its own share of the bucket's counts. The network (embeddings of the two words on each side, one hidden layer, a softmax over clusters
-and one inside the cluster) starts from a bounded sample on the driver; then every partition of the whole
-corpus trains a copy on a share of its positions (``mask_rate``, of every document), and the copies are
-averaged by their numbers of positions. Scoring sums the conditional log-probabilities of all words: tasks
+and one inside the cluster) starts from a sample on the driver. Then the masked positions of all documents (``mask_rate`` of
+each, by a hash of text and place) are dealt to groups by a hash of the document; each group trains a copy, and the copies are
+averaged by their numbers of positions. Groups do not depend on how the input is partitioned. Scoring sums the conditional log-probabilities of all words: tasks
 write chunks of documents with the distinct bucket words of the chunk, which a join gives their shares.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import GAP, lower_ascii, materialize, table, text_bytes
+from tidemark.llm.common import GAP, by_bytes, lower_ascii, materialize, mix64, table, text_bytes
 
 SIDE = 2
 CLUSTERS, WIDTH = 32, 32
@@ -27,6 +28,8 @@ PAD = SIZE
 BUCKETS = 64
 #: Added to the count of every word of a bucket, and the count of all words together that the corpus does not have.
 SMOOTHING = 0.5
+#: Documents of a training group, on average; networks that one task averages; positions that numpy holds at once.
+GROUP_DOCS, FAN_IN, BLOCK = 8192, 32, 32_768
 #: A chunk of scored documents ends at so many documents or bucket words.
 CHUNK_DOCS, CHUNK_WORDS = 2048, 262_144
 
@@ -137,87 +140,145 @@ class WindowNetwork:
             p[k] -= rate * v / np.sqrt(s)
 
 
+_OFFSETS = np.array([k for k in range(-SIDE, SIDE + 1) if k])
+
+
+def _laid(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in one array with gaps between them, and the places of the words in it."""
+    gap = np.full(SIDE, PAD, dtype=np.int16)
+    flat = np.concatenate([x for t in ids for x in (gap, t.astype(np.int16))] + [gap])
+    return flat, np.flatnonzero(flat != PAD)
+
+
 def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Context rows and targets of every word of the texts, in order."""
-    gap = np.full(SIDE, PAD)
-    flat = np.concatenate([x for t in ids for x in (gap, t)] + [gap])
-    at = np.flatnonzero(flat != PAD)
-    offsets = np.array([k for k in range(-SIDE, SIDE + 1) if k])
-    return flat[at[:, None] + offsets], flat[at]
+    flat, at = _laid(ids)
+    return flat[at[:, None] + _OFFSETS], flat[at]
+
+
+_MASKED = "group int, key long, masked binary"
+
+
+def _mask(vocab: Vocabulary, mask_rate: float, groups: int):
+    """Of each document its group, a key, and its masked positions: 16-bit numbers of the words around and of the word itself."""
 
+    def mask(batches: Iterator):
+        import pyarrow as pa
+
+        below = np.uint64(int(mask_rate * (2**64 - 1)))
+        for batch in batches:
+            keys, texts = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), text_bytes(batch.column(1))
+            for low, high in by_bytes(texts):
+                ids = [vocab(t) for t in texts[low:high]]
+                sizes = np.array([len(x) for x in ids])
+                flat, at = _laid(ids)
+                own = np.array([zlib.crc32(t or b"") for t in texts[low:high]], dtype=np.uint64)
+                place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                pick = mix64((np.repeat(own, sizes) << np.uint64(32)) + place.astype(np.uint64)) < below if mask_rate < 1 else np.ones(len(at), dtype=bool)
+                count = np.bincount(np.repeat(np.arange(len(ids)), sizes)[pick], minlength=len(ids))
+                at = at[pick]
+                rows = np.concatenate((flat[at[:, None] + _OFFSETS], flat[at][:, None]), axis=1).astype("<i2")
+                some, ends = np.flatnonzero(count), np.concatenate(([0], np.cumsum(count)))
+                key = keys[low:high][some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((mix64(key) % np.uint64(groups)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array([rows[ends[i] : ends[i + 1]].tobytes() for i in some.tolist()], pa.binary())],
+                    names=["group", "key", "masked"],
+                )
+
+    return mask
+
+
+def _train_groups(start: bytes, rate: float, batch_size: int):
+    """A network for each group of the sorted rows (group, key, masked), batch after batch in the order of the keys."""
 
-def _train_partition(vocab: Vocabulary, start: bytes, mask_rate: float, rate: float, batch_size: int):
     def train(batches: Iterator):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        net = WindowNetwork().load(np.frombuffer(start, dtype=np.float32))
-        rng = np.random.default_rng(TaskContext.get().partitionId())
-        seen, held, count, total = {}, [], 0, 0
+        group, net, seen, held, count, total = None, None, {}, [], 0, 0
 
         def learn(final: bool):
             nonlocal held, count, total
-            c, t = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = rng.permutation(len(t))
-            end = len(t) if final else len(t) // batch_size * batch_size
+            rows = np.frombuffer(b"".join(held), dtype="<i2").reshape(-1, 2 * SIDE + 1).astype(np.int64)
+            end = len(rows) if final else len(rows) // batch_size * batch_size
+            # A batch takes rows from all over what is held, so it has words of many documents.
+            order = np.arange(end).reshape(-1, batch_size, order="F").ravel() if end and end % batch_size == 0 else np.arange(end)
             for low in range(0, end, batch_size):
-                rows = order[low : low + batch_size]
-                net.train(c[rows], t[rows], seen, rate)
-                total += len(rows)
-            rest = order[end:]
-            held, count = ([(c[rest], t[rest])] if len(rest) else []), len(rest)
+                part = rows[order[low : low + batch_size]]
+                net.train(part[:, :-1], part[:, -1], seen, rate)
+            total += end
+            held, count = [rows[end:].astype("<i2").tobytes()], len(rows) - end
+
+        def result():
+            if count:
+                learn(True)
+            return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([total], pa.int64()), pa.array([net.to_bytes()], pa.binary())], names=["group", "n", "weights"])
 
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for low in range(0, len(texts), 256):
-                c, t = windows([vocab(x) for x in texts[low : low + 256]])
-                pick = rng.random(len(t)) < mask_rate
-                held.append((c[pick], t[pick]))
-                count += int(pick.sum())
+            for g, masked in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if g != group:
+                    if group is not None:
+                        yield result()
+                    group, net, seen, held, count, total = g, WindowNetwork().load(np.frombuffer(start, dtype=np.float32)), {}, [], 0, 0
+                held.append(masked)
+                count += len(masked) // (2 * (2 * SIDE + 1))
                 if count >= 16 * batch_size:
                     learn(False)
-        if count:
-            learn(True)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([net.to_bytes()], pa.binary())], names=["n", "weights"])
+        if group is not None:
+            yield result()
 
     return train
 
 
 def _average(batches: Iterator):
+    """One network for each ``above`` of the sorted rows (above, group, n, weights)."""
     import pyarrow as pa
 
-    total, sums = 0, None
-    for batch in batches:
-        for n, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(w, dtype=np.float32).astype(np.float64) * n
-            total, sums = total + n, part if sums is None else sums + part
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
+    above, total, sums = None, 0, None
 
+    def result():
+        return pa.RecordBatch.from_arrays([pa.array([above], pa.int32()), pa.array([total], pa.int64()), pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())], names=["group", "n", "weights"])
 
-def fit(docs: DataFrame, text_col: str = "text", mask_rate: float = 0.1, rate: float = 0.03, batch_size: int = 512, warm_texts: int = 300, warm_steps: int = 300) -> tuple[Vocabulary, WindowNetwork]:
-    """Vocabulary and network of a corpus. Only the start uses a sample (``warm_texts`` beginnings of texts)."""
+    for batch in batches:
+        for a, n, w in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if a != above:
+                if above is not None:
+                    yield result()
+                above, total, sums = a, 0, 0.0
+            total, sums = total + n, sums + np.frombuffer(w, dtype=np.float32).astype(np.float64) * n
+    if above is not None:
+        yield result()
+
+
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask_rate: float = 0.1, rate: float = 0.03, batch_size: int = 512, warm_texts: int = 1000, warm_steps: int = 300
+) -> tuple[Vocabulary, WindowNetwork]:
+    """Vocabulary and network of a corpus. Only the start uses a sample: the masked positions of about ``warm_texts`` documents.
+
+    The same rows give the same network on any partitioning. Rows that repeat identifier and text train in one group.
+    """
     vocab = vocabulary(docs, text_col)
     net = WindowNetwork()
     n = docs.count()
-    chosen = F.pmod(F.xxhash64(text_col, F.monotonically_increasing_id()), F.lit(1_000_000_000)) < int(1e9 * min(1.0, warm_texts / max(n, 1)))
-    some = docs.select(text_col, chosen.alias("_c")).filter("_c").select(F.substring(text_col, 1, 3000).alias("t")).filter("t is not null").limit(4 * warm_texts).collect()
-    some.sort(key=lambda r: r["t"])
-    ids = [x for x in (vocab(r["t"].encode()) for r in some) if len(x)]
-    if not ids:
-        return vocab, net
-    c, t = windows(ids)
+    groups = max(1, math.ceil(n / GROUP_DOCS))
+    keyed = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("_text"))
+    masked = materialize(keyed.mapInArrow(_mask(vocab, mask_rate, groups), _MASKED), "masked")
+    chosen = F.pmod(F.xxhash64("key", F.lit("start")), F.lit(1_000_000_000)) < int(1e9 * min(1.0, warm_texts / max(n, 1)))
+    some = sorted((r["key"], bytes(r["masked"])) for r in masked.filter(chosen).select("key", "masked").collect())  # about ``warm_texts`` rows
+    rows = np.frombuffer(b"".join(m for _, m in some), dtype="<i2").reshape(-1, 2 * SIDE + 1).astype(np.int64)
     rng, seen = np.random.default_rng(1), {}
-    for _ in range(warm_steps):
-        rows = rng.integers(0, len(t), batch_size)
-        net.train(c[rows], t[rows], seen, 0.1)
-    parts = materialize(docs.select(text_col).mapInArrow(_train_partition(vocab, net.to_bytes(), mask_rate, rate, batch_size), "n long, weights binary"), "networks")
-    groups = max(1, int(parts.count() ** 0.5))
-    done = parts.repartition(groups).mapInArrow(_average, "n long, weights binary").collect()  # the square root of the number of partitions
-    total = sum(r["n"] for r in done)
-    if total:
-        net.load(sum(np.frombuffer(bytes(r["weights"]), dtype=np.float32).astype(np.float64) * r["n"] for r in done) / total)
+    for _ in range(warm_steps if len(rows) else 0):
+        part = rows[rng.integers(0, len(rows), batch_size)]
+        net.train(part[:, :-1], part[:, -1], seen, 0.1)
+    dealt = masked.repartition(groups, "group").sortWithinPartitions("group", "key", "masked")
+    weights = "group int, n long, weights binary"
+    parts = materialize(dealt.mapInArrow(_train_groups(net.to_bytes(), rate, batch_size), weights), "networks")
+    while groups > FAN_IN:
+        groups = math.ceil(groups / FAN_IN)
+        up = parts.select(F.floor(F.col("group") / FAN_IN).cast("int").alias("above"), "group", "n", "weights").repartition("above").sortWithinPartitions("above", "group")
+        parts = materialize(up.mapInArrow(_average, weights), "networks")
+    done = sorted((r["group"], r["n"], bytes(r["weights"])) for r in parts.collect())  # at most FAN_IN rows
+    if done:
+        net.load(sum(np.frombuffer(w, dtype=np.float32).astype(np.float64) * k for _, k, w in done) / sum(k for _, k, _ in done))
     return vocab, net
 
 
@@ -240,16 +301,16 @@ def _score_chunks(vocab: Vocabulary, net: WindowNetwork):
 
         for batch in batches:
             ids, texts = batch.column(0), text_bytes(batch.column(1))
-            for low in range(0, len(texts), 128):
-                part = texts[low : low + 128]
+            for low, high in by_bytes(texts, 1 << 20):
+                part = texts[low:high]
                 words = [vocab(t) for t in part]
                 sizes = np.array([len(w) for w in words])
                 sums = np.zeros(len(words))
-                if sizes.sum():
-                    c, t = windows(words)
-                    owner = np.repeat(np.arange(len(words)), sizes)
-                    for k in range(0, len(t), 32_768):
-                        sums += np.bincount(owner[k : k + 32_768], net.log_probs(c[k : k + 32_768], t[k : k + 32_768]), len(words))
+                flat, at = _laid(words)
+                owner = np.repeat(np.arange(len(words)), sizes)
+                for k in range(0, len(at), BLOCK):
+                    place = at[k : k + BLOCK]
+                    sums += np.bincount(owner[k : k + BLOCK], net.log_probs(flat[place[:, None] + _OFFSETS], flat[place].astype(np.int64)), len(words))
                 outside = [vocab.outside(t, index) for t in part]
                 at = np.array([x for o in outside for x in o], dtype=np.int32)
                 held.append((ids.slice(low, len(part)), sizes, sums, np.array([len(o) for o in outside]), at))

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_bytes, materialize, send_if_small, table, text_bytes
+from tidemark.llm.common import by_bytes, materialize, mix64, send_if_small, table, text_bytes
 from tidemark.llm.graph import connected_components
 
 _SEED = 42
@@ -54,13 +54,6 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _remix(h: np.ndarray) -> np.ndarray:
-    """Other 64 bits from the same hashes: a bijection that spreads them anew."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
 def _fingerprint(k: int):
     def fingerprint(batches: Iterator):
         import pyarrow as pa
@@ -107,7 +100,7 @@ def _signature_tiles(radius: int, blocks: dict):
             fp = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False))
             quarters = np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int64)
             tile = quarters @ unit
-            own = (_remix(fp.view(np.uint64)) % number[tile].astype(np.uint64)).astype(np.int64)
+            own = (mix64(fp.view(np.uint64)) % number[tile].astype(np.uint64)).astype(np.int64)
             yield rows(tile, own, False, fp)
             for j in range(int(own.max(initial=0))):
                 yield rows(tile[own > j], np.full((own > j).sum(), j), True, fp[own > j])
@@ -221,7 +214,7 @@ def _sketch(k: int, tables: int):
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        orders = _remix(np.arange(1, tables + 1, dtype=np.uint64))
+        orders = mix64(np.arange(1, tables + 1, dtype=np.uint64))
         for batch in batches:
             ids, texts = batch.column(0), text_bytes(batch.column(1))
             for low, high in by_bytes(texts):
@@ -229,13 +222,13 @@ def _sketch(k: int, tables: int):
                 counts = np.array([len(x) for x in own], dtype=np.int64)
                 h = np.array([x for s in own for x in s], dtype=np.uint64)
                 full, at = counts > 0, np.concatenate(([0], np.cumsum(counts[counts > 0])))[:-1]
-                more = _remix(h)
+                more = mix64(h)
                 least = np.zeros((len(own), tables), dtype=np.uint64)
                 total = np.zeros(len(own), dtype=np.uint64)
                 if len(h):
                     total[full] = np.add.reduceat(more, at)
                     for j, o in enumerate(orders):
-                        least[full, j] = np.minimum.reduceat(_remix(h ^ o), at)
+                        least[full, j] = np.minimum.reduceat(mix64(h ^ o), at)
                 mins = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * tables), pa.array(least.ravel().view(np.int64)))
                 bits = [pa.array(x.view(np.int64)) for x in (majority_bits(h, counts), majority_bits(more, counts), total)]
                 yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), *bits, pa.array(counts.astype(np.int32)), mins], names=["node", "fp", "fp2", "total", "n", "mins"])

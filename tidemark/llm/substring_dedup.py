@@ -4,7 +4,8 @@ Windows of ``size`` words are cut into super-k-mers: consecutive windows that sh
 smallest hash of ``seed`` consecutive words inside the window) travel as one packed string to the bucket
 of that minimiser, compressed with a dictionary sampled from the texts. Equal windows have equal minimisers, so a bucket sees all copies of its windows;
 it sorts them and compares equal neighbours byte by byte. Minimisers with very many super-k-mers are
-found by a count first, and their windows go to buckets of their own, by the hash of the whole window.
+found by a count first, and their windows go to buckets of their own, by the hash of the whole window; such a bucket is
+first dealt to ``SALTS`` tasks by document, each of which passes on one copy of a window, that of the smallest id.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, text_bytes
+from tidemark.llm.common import materialize, table, text_bytes
 
+#: Tasks that a hot bucket is dealt to at first.
+SALTS = 64
+#: Repeats (24 bytes each), once counted, up to which they are sent to all tasks; beyond that they meet the texts in a shuffle.
+BROADCAST_REPEATS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,11 +148,12 @@ def _count_minimisers(size: int, seed: int):
     return count
 
 
-_PACKED = "bucket long, doc_id long, text_key long, at int, n int, packed binary"
+_PACKED = "bucket long, salt int, doc_id long, text_key long, at int, n int, packed binary"
 
 
 def sample_dictionary(docs: DataFrame, most: int = 400, size: int = 65_536) -> bytes:
-    """A Zstandard dictionary of pieces of about ``most`` texts, for short strings; empty if there is too little."""
+    """A Zstandard dictionary of pieces of the beginnings of about ``most`` texts, for short strings; empty if there is too
+    little. It only shapes how strings are compressed on their way; no result depends on it."""
     import zstandard
 
     n = docs.count()
@@ -188,7 +194,7 @@ def _pack(size: int, seed: int, hot: list, dictionary: bytes):
             cut = _Cut(texts, size, seed)
             if not len(cut.minimiser):
                 continue
-            key = cut.minimiser
+            key, is_hot = cut.minimiser, np.zeros(len(cut.minimiser), dtype=bool)
             if len(often):
                 spot = np.minimum(np.searchsorted(often, key), len(often) - 1)
                 is_hot = often[spot] == key
@@ -224,16 +230,20 @@ def _pack(size: int, seed: int, hot: list, dictionary: bytes):
             who = owner[rows]
             bucket = key[at[rows]].view(np.int64).copy()
             bucket[len(sent) :] = rows[len(sent) :]  # known repeats may pass anywhere
+            doc = pa.array([ids[o] for o in who.tolist()], pa.int64())
+            salt = np.where(is_hot[at[rows]], _mix(doc.to_numpy().view(np.uint64)) % np.uint64(SALTS), np.uint64(SALTS)).astype(np.int32)
+            salt[len(sent) :] = SALTS
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(bucket),
-                    pa.array([ids[o] for o in who.tolist()], pa.int64()),
+                    pa.array(salt),
+                    doc,
                     pa.array([keys[o] for o in who.tolist()], pa.int64()),
                     pa.array((at[rows] - first[who]).astype(np.int32)),
                     pa.array(n[rows].astype(np.int32)),
                     pa.array(packed + [None] * len(out), pa.binary()),
                 ],
-                names=["bucket", "doc_id", "text_key", "at", "n", "packed"],
+                names=["bucket", "salt", "doc_id", "text_key", "at", "n", "packed"],
             )
 
     return pack
@@ -272,20 +282,36 @@ def _by_content(text: bytes, low, high, order, n: int):
     return classes
 
 
-_REPEATS = "doc_id long, text_key long, at int, n int"
+_FOUND = "bucket long, doc_id long, text_key long, at int, n int, packed binary"
 
 
 def _find_repeats(size: int, dictionary: bytes, limit: int = 4 << 20):
+    """Runs of windows that repeat those of a smaller id (rows with a null ``packed``). Of salted buckets one copy of each
+    string goes on (rows with ``packed``). Strings that are equal are held once for the smallest id, so what a bucket
+    holds is its different strings."""
+
     def find(batches: Iterator):
         import pyarrow as pa
 
         unpress = _unpress(dictionary)
 
-        def result(doc, key, at, n):
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=["doc_id", "text_key", "at", "n"])
-
-        def settle(docs, keys, ats, packed):
-            classes, counts = _equal_windows(packed, size)
+        def result(doc, key, at, n, bucket=None, packed=None):
+            columns = [pa.nulls(len(doc), pa.int64()) if bucket is None else pa.array(bucket, pa.int64()), *[pa.array(x, k) for x, k in zip((doc, key, at, n), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]]
+            columns.append(pa.nulls(len(doc), pa.binary()) if packed is None else pa.array(packed, pa.binary()))
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "doc_id", "text_key", "at", "n", "packed"])
+
+        def fold(rows):
+            """(rows to keep, repeats): of rows (doc, key, at, n, packed) with one string those of the smallest id."""
+            best: dict = {}
+            for r in rows:
+                least = best.get(r[4])
+                if least is None or r[0] < least:
+                    best[r[4]] = r[0]
+            return [r for r in rows if r[0] == best[r[4]]], [r for r in rows if r[0] != best[r[4]]]
+
+        def settle(rows):
+            docs, keys, ats, _, packed = zip(*rows, strict=True)
+            classes, counts = _equal_windows([unpress(p) for p in packed], size)
             who = np.repeat(np.array(docs, dtype=np.int64), counts)
             least = np.full(classes.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, classes, who)
@@ -301,27 +327,42 @@ def _find_repeats(size: int, dictionary: bytes, limit: int = 4 << 20):
             offset = begin - np.concatenate(([0], np.cumsum(counts)))[s]
             return result(np.array(docs, dtype=np.int64)[s], np.array(keys, dtype=np.int64)[s], np.array(ats, dtype=np.int64)[s] + offset, end - begin + 1)
 
-        docs, keys, ats, packed, held, last = [], [], [], [], 0, None
+        rows, held, goal, last, first = [], 0, limit, None, 0  # rows from ``first`` on are of the bucket ``last``
         for batch in batches:
-            bucket, doc, key, at, n, pack = batch.columns
+            bucket, salt, doc, key, at, n, pack = batch.columns
             known = pack.is_null()
             if known.true_count:
                 yield result(doc.filter(known), key.filter(known), at.filter(known), n.filter(known))
-            for b, d, k, a, p in zip(bucket.to_pylist(), doc.to_pylist(), key.to_pylist(), at.to_pylist(), pack.to_pylist(), strict=True):
-                if p is None:
+            for b, t, *row in zip(*(c.to_pylist() for c in (bucket, salt, doc, key, at, n, pack)), strict=True):
+                if row[4] is None:
                     continue
-                if b != last and held >= limit:
-                    yield settle(docs, keys, ats, packed)
-                    docs, keys, ats, packed, held = [], [], [], [], 0
-                last = b
-                docs.append(d)
-                keys.append(k)
-                ats.append(a)
-                p = unpress(p)
-                packed.append(p)
-                held += len(p)
-        if packed:
-            yield settle(docs, keys, ats, packed)
+                if (b, t) != last:
+                    if last is not None and last[1] < SALTS:
+                        keep, again = fold(rows)
+                        if again:
+                            yield result(*zip(*[r[:4] for r in again], strict=True))
+                        yield result(*list(zip(*keep, strict=True))[:4], [last[0]] * len(keep), [r[4] for r in keep])
+                        rows, held, goal = [], 0, limit
+                    elif rows and (held >= limit or t < SALTS):
+                        yield settle(rows)
+                        rows, held, goal = [], 0, limit
+                    last, first = (b, t), len(rows)
+                rows.append(tuple(row))
+                held += len(row[4]) + 64
+                if held >= goal and len(rows) - first > 1:  # a large bucket: hold each of its strings once
+                    keep, again = fold(rows[first:])
+                    if again:
+                        yield result(*zip(*[r[:4] for r in again], strict=True))
+                    rows[first:] = keep
+                    held = sum(len(r[4]) + 64 for r in rows)
+                    goal = held + limit
+        if rows and last[1] < SALTS:
+            keep, again = fold(rows)
+            if again:
+                yield result(*zip(*[r[:4] for r in again], strict=True))
+            yield result(*list(zip(*keep, strict=True))[:4], [last[0]] * len(keep), [r[4] for r in keep])
+        elif rows:
+            yield settle(rows)
 
     return find
 
@@ -338,11 +379,13 @@ def _squeeze(dictionary: bytes):
     return squeeze
 
 
-def _remove(size: int, texts: bool, dictionary: bytes):
+def _remove(size: int, texts: bool, dictionary: bytes | None):
+    """``dictionary``: None where the texts are not compressed."""
+
     def remove(batches: Iterator):
         import pyarrow as pa
 
-        unpress = _unpress(dictionary)
+        unpress = (lambda t: t) if dictionary is None else _unpress(dictionary)
         for batch in batches:
             names = batch.schema.names
             ids = batch.column(0)
@@ -370,10 +413,10 @@ def _remove(size: int, texts: bool, dictionary: bytes):
     return remove
 
 
-def repeated_windows(docs: DataFrame, size: int = 50, seed: int = 4, dictionary: bytes = b"", hot_share: float = 1e-4, hot_least: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, size: int = 50, seed: int = 4, dictionary: bytes = b"", hot_share: float = 1e-6, hot_least: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, at, n): n consecutive windows from word ``at`` on whose words also start in a
     document with a smaller id. A minimiser is hot with over max(hot_least, hot_share of all)
-    super-k-mers, so there are at most 1 / hot_share of them; that bounds the list sent to the tasks."""
+    super-k-mers, so there are at most 1 / hot_share of them; that bounds the list sent to the tasks, 8 bytes each. The result is a written table."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     counts = rows.mapInArrow(_count_minimisers(size, seed), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
     often = counts.filter(F.col("n") > hot_least).select("minimiser", "n")
@@ -383,7 +426,12 @@ def repeated_windows(docs: DataFrame, size: int = 50, seed: int = 4, dictionary:
         total = counts.agg(F.sum("n")).first()[0]
         hot = [r for r in hot if r["n"] > hot_share * total]
     packed = rows.mapInArrow(_pack(size, seed, dictionary=dictionary, hot=[r["minimiser"] for r in hot]), _PACKED)
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_find_repeats(size, dictionary), _REPEATS)
+    dealt = packed.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
+    found = materialize(dealt.mapInArrow(_find_repeats(size, dictionary), _FOUND), "repeats")
+    hot_left = found.filter("packed is not null").withColumn("salt", F.lit(SALTS)).select("bucket", "salt", "doc_id", "text_key", "at", "n", "packed")
+    more = hot_left.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_find_repeats(size, dictionary), _FOUND)
+    runs = ["doc_id", "text_key", "at", "n"]
+    return materialize(found.filter("packed is null").select(*runs).unionByName(more.select(*runs)), "all-repeats")
 
 
 def substring_dedup(docs: DataFrame, size: int = 50, seed: int = 4, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, **hot) -> DataFrame:
@@ -399,8 +447,12 @@ def substring_dedup(docs: DataFrame, size: int = 50, seed: int = 4, id_col: str
     repeats = repeated_windows(docs, size, seed, dictionary, id_col=id_col, text_col=text_col, **hot)
     runs = repeats.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))  # at most one per word of the text
     kind = docs.schema[id_col].dataType.simpleString()
-    small = rows.mapInArrow(_squeeze(dictionary), f"doc_id {kind}, text_key long, text binary")
-    joined = small.join(runs, ["doc_id", "text_key"], "left").select("doc_id", "text", "runs")
+    if repeats.count() <= BROADCAST_REPEATS:
+        joined = rows.select("doc_id", "text_key", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(runs), ["doc_id", "text_key"], "left")
+        dictionary = None
+    else:  # the texts travel compressed
+        joined = rows.mapInArrow(_squeeze(dictionary), f"doc_id {kind}, text_key long, text binary").join(runs, ["doc_id", "text_key"], "left")
+    joined = joined.select("doc_id", "text", "runs")
     out = joined.mapInArrow(_remove(size, texts, dictionary), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
     return out.withColumnRenamed("doc_id", id_col)
 

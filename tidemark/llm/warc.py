@@ -1,8 +1,9 @@
 """WARC archives in Zstandard frames: a dictionary in a leading skippable frame, then one frame per record.
 
-Archives are files in the folder that the cluster shares; a task writes one or more of them and gives
-each its final name only when it is whole, so a task that runs again replaces what it wrote. Reading
-takes Spark's binary file source, loads the dictionary, decodes frame by frame and checks headers and
+Archives are files in the folder that the cluster shares. Every attempt of a task gives its files names of their
+own, and the list of files, a table that Spark commits, has only those of the attempts that counted; so a task that runs
+again or twice leaves files that nobody reads. Reading takes the files on the list through Spark's binary
+file source, loads the dictionary, decodes frame by frame and checks headers and
 lengths. A file is cut at ``roll`` bytes, so that it fits in a task's memory.
 """
 
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, table, text_bytes
+from tidemark.llm.common import send_if_small, shared_dir, table, text_bytes
 
 #: Fixed values of the formats: the skippable frame that holds a dictionary, a Zstandard frame, a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -147,14 +148,15 @@ def _write(folder: str, roll: int):
         store, root = fs.FileSystem.from_uri(folder)
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
+        attempt = uuid.uuid4().hex
+
         def close():
             nonlocal number, held, size
-            name = f"{root}/{task:06d}-{number:06d}.warc.zst"
-            draft = f"{root}/_draft-{task:06d}-{number:06d}-{uuid.uuid4().hex}"
-            with store.open_output_stream(draft) as f:
+            name = f"{task:06d}-{number:06d}-{attempt}.warc.zst"
+            with store.open_output_stream(f"{root}/_draft-{name}", compression=None) as f:  # the frames are made here
                 f.write(encode_archive(held))
-            store.move(draft, name)
-            done = pa.RecordBatch.from_arrays([pa.array([name.rpartition("/")[2]]), pa.array([len(held)], pa.int64())], names=["file", "records"])
+            store.move(f"{root}/_draft-{name}", f"{root}/{name}")
+            done = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64())], names=["file", "records"])
             number, held, size = number + 1, [], 0
             return done
 
@@ -174,14 +176,15 @@ def _write(folder: str, roll: int):
 def classify(pages: DataFrame, least_bytes: int = 0, keep: str = "largest", id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
     """``pages`` with record_type and refers_to: of equal payloads of at least ``least_bytes`` bytes the row with
     the largest (``keep="smallest"``: smallest) id is the response; others revisit it. Smaller ones are all responses. Rows
-    that repeat the response's id are responses; payloads of only null ids are responses."""
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    marked = pages.withColumn("_key", F.sha2(payload, 256))
-    best = F.max(id_col) if keep == "largest" else F.min(id_col)
-    first = marked.filter(F.octet_length(payload) >= least_bytes).groupBy("_key").agg(best.alias("_first"), F.count("*").alias("_n")).filter("_n > 1 and _first is not null").drop("_n")
-    joined = marked.join(first, "_key", "left")
-    again = F.col("_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_first"))
-    return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("_first"))).drop("_key", "_first")
+    that repeat the response's id are responses; payloads of only null ids are responses. Columns with the two new names are replaced."""
+    rows = pages.select(F.struct(*[c for c in pages.columns if c not in ("record_type", "refers_to")]).alias("row"))
+    payload, page = F.coalesce(F.col(f"row.`{payload_col}`"), F.lit("")), F.col(f"row.`{id_col}`")
+    marked = rows.withColumn("key", F.when(F.octet_length(payload) >= least_bytes, F.sha2(payload, 256)))
+    best = F.max(page) if keep == "largest" else F.min(page)
+    first = marked.filter("key is not null").groupBy("key").agg(best.alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("key", "first")
+    joined = marked.join(send_if_small(first, "first-pages"), "key", "left")
+    again = F.col("first").isNotNull() & ~page.eqNullSafe(F.col("first"))
+    return joined.select("row.*", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, roll: int = 8 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -195,9 +198,9 @@ def write_archives(pages: DataFrame, folder: str, roll: int = 8 << 20, id_col: s
     return pages.sparkSession.read.schema("file string, records long").parquet(f"{folder}/_files")
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of all archives of a folder: record_id, url, record_type, refers_to, payload_length,
-    payload_digest, block (bytes). A malformed archive fails the read."""
+def read_archives(spark: SparkSession, folder: str, files: DataFrame | None = None) -> DataFrame:
+    """Records of the archives of a folder that are in ``files`` (column file, as ``write_archives`` returns it; default: the
+    list in the folder): record_id, url, record_type, refers_to, payload_length, payload_digest, block (bytes). A malformed archive fails the read."""
 
     def read(batches: Iterator):
         import pyarrow as pa
@@ -217,8 +220,11 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if out:
                     yield _rows(pa, out)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(read, "record_id string, url string, record_type string, refers_to string, payload_length long, payload_digest string, block binary")
+    if files is None:
+        files = spark.read.schema("file string, records long").parquet(f"{folder}/_files")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
+    listed = found.join(send_if_small(files.select("file"), "archives"), "file", "left_semi").select("content")
+    return listed.mapInArrow(read, "record_id string, url string, record_type string, refers_to string, payload_length long, payload_digest string, block binary")
 
 
 def _rows(pa, out):
@@ -229,9 +235,9 @@ def _rows(pa, out):
 
 def op8_warc(spark, sf_dir):
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(classify(table(spark, sf_dir, "pages")), folder)
+    files = write_archives(classify(table(spark, sf_dir, "pages")), folder)
     page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
-    records = read_archives(spark, folder)
+    records = read_archives(spark, folder, files)
     return records.select(page(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))
 
 
