@@ -1,50 +1,71 @@
-"""Exact quantiles with a chosen interpolation."""
+"""Exact quantiles with a chosen interpolation, ranked in two levels so that no task ranks a whole column."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Ranges of values that are ranked apart.
+RANGES = 200
 
-def linear(c, q) -> Column:
-    """Aggregate: linear interpolation between neighbours (q a number or a list of them)."""
-    return F.percentile(c, q)
 
+def _name(q: float) -> str:
+    return f"q{q * 100:g}".replace(".", "_")
 
-def lower(c, q: float) -> Column:
-    """Aggregate: the smallest observed value with at least a share q at or below it."""
-    return F.expr(f"percentile_disc({float(q)}) within group (order by {c if isinstance(c, str) else 'value'})")
 
-
-def nearest(c, q: float) -> Column:
-    """Aggregate: the observed value of rank round((n - 1) q), counted from 0; half ranks round away from 0.
-
-    With k = round((n-1) q) the linear percentile at k / (n-1) is exactly that value.
-    """
-    c = F.col(c) if isinstance(c, str) else c
-    n = F.count(c)
-    values = F.array_sort(F.collect_list(c))
-    return F.when(n > 0, F.element_at(values, F.round((n - 1) * F.lit(q)).cast("int") + 1))
+def _ranks(n: Column, q: float, interpolation: str) -> tuple[Column, Column]:
+    """The two ranks, counted from 0, between which a quantile of n values lies."""
+    if interpolation == "nearest":  # half ranks round away from 0
+        k = F.round((n - 1) * F.lit(float(q))).cast("long")
+        return k, k
+    if interpolation == "lower":  # the smallest value with at least a share q at or below it
+        k = F.greatest(F.ceil(n * F.lit(float(q)) - 1e-9) - 1, F.lit(0)).cast("long")
+        return k, k
+    return F.floor((n - 1) * F.lit(float(q)) + 1e-9).cast("long"), F.ceil((n - 1) * F.lit(float(q)) - 1e-9).cast("long")
 
 
 def quantile(df: DataFrame, col: str, q: Sequence[float] | float, by: Sequence[str] = (), interpolation: str = "nearest") -> DataFrame:
-    """One row per group with columns q<percent>. ``nearest`` counts equal values first, so that a group's
-    distinct values, not its rows, are ranked; nulls and NaNs are left out."""
+    """One row per group with columns q<percent>: the value at the nearest rank, ``lower``, or ``linear`` between two.
+
+    Equal values are counted first. The counts of ranges of values tell in which range each rank lies, and only there
+    values are ranked. Nulls and NaNs are left out; a group without values gives no row (without ``by``: a row of nulls).
+    """
+    if interpolation not in ("nearest", "lower", "linear"):
+        raise ValueError(interpolation)
     qs = [q] if isinstance(q, (int, float)) else list(q)
-    name = lambda x: f"q{x * 100:g}".replace(".", "_")
     known = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
-    if interpolation == "linear":
-        return known.groupBy(*by).agg(*[F.percentile(col, x).alias(name(x)) for x in qs])
-    if interpolation == "lower":
-        return known.groupBy(*by).agg(*[F.expr(f"percentile_disc({float(x)}) within group (order by `{col}`)").alias(name(x)) for x in qs])
-    if interpolation != "nearest":
-        raise ValueError(interpolation)
-    from pyspark.sql import Window as W
+    group = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+    counts = known.groupBy(group.alias("_g"), F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
+    edges = known.agg(F.percentile_approx(col, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), 10 * RANGES).alias("_e"))
+    counts = counts.join(F.broadcast(edges)).withColumn("_r", F.size(F.filter("_e", lambda e: e <= F.col("_v")))).drop("_e")  # one row of edges
+    ranges = counts.groupBy("_g", "_r").agg(F.sum("_n").alias("_s"))
+    w = W.partitionBy("_g").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)  # at most RANGES rows a group
+    placed = ranges.select("_g", "_r", "_s", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_before"), F.sum("_s").over(W.partitionBy("_g")).alias("_all"))
+    wanted = F.array(*[F.struct(F.lit(2 * i + j).alias("at"), k.alias("k")) for i, x in enumerate(qs) for j, k in enumerate(_ranks(F.col("_all"), x, interpolation))])
+    targets = placed.select("_g", "_r", "_before", "_s", F.explode(wanted).alias("t")).filter("t.k >= _before AND t.k < _before + _s").select("_g", "_r", "t.at", (F.col("t.k") - F.col("_before")).alias("_k"))
+    inside = counts.join(targets.select("_g", "_r").distinct(), ["_g", "_r"], "left_semi")
+    inside = inside.withColumn("_upto", F.sum("_n").over(W.partitionBy("_g", "_r").orderBy("_v")))
+    found = inside.join(targets, ["_g", "_r"]).filter("_upto > _k").groupBy("_g", "at").agg(F.min("_v").alias("_v"))
+    value = lambda i: F.max(F.when(F.col("at") == i, F.col("_v")))
+    wide = found.groupBy("_g").agg(*[value(2 * i).alias(f"_a{i}") for i in range(len(qs))], *[value(2 * i + 1).alias(f"_b{i}") for i in range(len(qs))])
+    if interpolation != "linear":
+        out = [F.col(f"_a{i}").alias(_name(x)) for i, x in enumerate(qs)]
+    else:
+        sizes = placed.select("_g", "_all").distinct()
+        wide = wide.join(sizes, "_g")
+        part = lambda x: (F.col("_all") - 1) * F.lit(float(x)) - _ranks(F.col("_all"), x, "linear")[0]
+        out = [(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * part(x)).cast("double").alias(_name(x)) for i, x in enumerate(qs)]
+    if by:
+        return wide.select(*[F.col(f"_g.`{c}`").alias(c) for c in by], *out)
+    return wide.agg(*[F.max(c).alias(_name(x)) for c, x in zip(out, qs, strict=True)])
+
 
-    counts = known.groupBy(*by, col).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*by)
-    ranked = counts.select("*", F.sum("_n").over(w.orderBy(col)).alias("_upto"), F.sum("_n").over(w).alias("_all"))
-    hit = lambda x: F.min(F.when(F.col("_upto") > F.round((F.col("_all") - 1) * F.lit(x)), F.col(col)))
-    return ranked.groupBy(*by).agg(*[hit(x).alias(name(x)) for x in qs])
+def with_quantiles(grouped: DataFrame, df: DataFrame, col: str, qs: dict[str, float], by: Sequence[str] = (), interpolation: str = "linear") -> DataFrame:
+    """``grouped`` (a row for each group of ``by``) with columns of quantiles of ``df``: name -> share."""
+    found = quantile(df, col, list(qs.values()), by, interpolation)
+    found = found.select(F.struct(*by).alias("_key") if by else F.lit(0).alias("_key"), *[F.col(_name(x)).alias(k) for k, x in qs.items()])
+    keyed = grouped.withColumn("_key", F.struct(*by) if by else F.lit(0))
+    return keyed.join(found, "_key", "left").drop("_key")

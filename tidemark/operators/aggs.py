@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import quantile, with_quantiles
 from tidemark.functions.scalars import cut_right, micros
 
 
@@ -24,10 +25,9 @@ def extent(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFr
 
 def cost_summary(df: DataFrame, cost: str, by: Column, name: str = "year") -> DataFrame:
     """N, share of all rows, mean, quartiles and share below 1 by a key."""
-    g = df.groupBy(by.alias(name)).agg(
-        F.count("*").alias("n"), F.avg(cost).alias("mean"), F.percentile(cost, F.lit(0.25)).alias("q25"), F.percentile(cost, F.lit(0.5)).alias("q50"), F.percentile(cost, F.lit(0.75)).alias("q75"),
-        F.avg((F.col(cost) < 1).cast("double")).alias("below_1"),
-    )
+    df = df.select(by.alias(name), F.col(cost).alias("_cost"))
+    g = df.groupBy(name).agg(F.count("*").alias("n"), F.avg("_cost").alias("mean"), F.avg((F.col("_cost") < 1).cast("double")).alias("below_1"))
+    g = with_quantiles(g, df, "_cost", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, [name])
     return g.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
 
 
@@ -44,8 +44,9 @@ def value_counts(df: DataFrame, c: str, percent: bool = False) -> DataFrame:
 
 
 def describe(df: DataFrame, c: str, percentiles: Sequence[float] = (0.25, 0.5, 0.75), by: Sequence[str] = ()) -> DataFrame:
-    qs = [F.percentile(c, F.lit(p)).alias(f"p{p * 100:g}".replace(".", "_")) for p in percentiles]
-    return df.groupBy(*by).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *qs, F.max(c).alias("max"))
+    names = {f"p{p * 100:g}".replace(".", "_"): p for p in percentiles}
+    out = df.groupBy(*by).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    return with_quantiles(out, df, c, names, by).select(*by, "count", "mean", "std", "min", *names, "max")
 
 
 def edge_row(df: DataFrame, key: str, order: Sequence[str], edge: str = "first") -> DataFrame:
@@ -185,7 +186,8 @@ def by_covariate(df: DataFrame, key: str, covariate: str) -> DataFrame:
 
 def decile_analysis(df: DataFrame, truth: str, prediction: str, bins: int = 10) -> DataFrame:
     """By decile of the truth (equal edges count once, intervals closed on the right): n, means, absolute and relative error."""
-    edges = df.agg(F.percentile(truth, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e")).select(F.array_sort(F.array_distinct("e")).alias("_edges"))
+    cuts = quantile(df, truth, [i / bins for i in range(1, bins)], interpolation="linear")
+    edges = cuts.select(F.array_sort(F.array_distinct(F.array_compact(F.array(*cuts.columns)))).alias("_edges"))
     marked = df.join(F.broadcast(edges)).withColumn("decile", F.size(F.filter("_edges", lambda b: b < F.col(truth))))  # one row of edges
     out = marked.groupBy("decile").agg(F.count("*").alias("n"), F.avg(truth).alias("mean_true"), F.avg(prediction).alias("mean_pred"))
     error = F.abs(F.col("mean_pred") - F.col("mean_true"))
@@ -204,7 +206,8 @@ def characteristics(df: DataFrame, outcome: str, numeric: Sequence[str], categor
     """Baseline table in long form: (variable, level, outcome, n, percent, median, q25, q75)."""
     out = None
     for c in numeric:
-        part = df.groupBy(outcome).agg(F.count(c).alias("n"), F.lit(None).cast("double").alias("percent"), F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(c, F.lit(0.25)).alias("q25"), F.percentile(c, F.lit(0.75)).alias("q75"))
+        part = df.groupBy(outcome).agg(F.count(c).alias("n"), F.lit(None).cast("double").alias("percent"))
+        part = with_quantiles(part, df, c, {"median": 0.5, "q25": 0.25, "q75": 0.75}, [outcome])
         part = part.select(F.lit(c).alias("variable"), F.lit(None).cast("string").alias("level"), outcome, "n", "percent", "median", "q25", "q75")
         out = part if out is None else out.unionByName(part)
     none = F.lit(None).cast("double")

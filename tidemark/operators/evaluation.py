@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import quantile
 from tidemark.functions.scalars import portable_hash
 
 BUCKETS = 1000
@@ -216,7 +217,8 @@ def calibration_curve(df: DataFrame, y: str, p: str, bins: int = 10, strategy: s
     if strategy == "uniform":
         rows = rows.withColumn("bin", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int"))
     else:
-        edges = rows.agg(F.array_sort(F.array_distinct(F.percentile("p", F.array(*[F.lit(i / bins) for i in range(1, bins)])))).alias("_e"))
+        cuts = quantile(rows, "p", [i / bins for i in range(1, bins)], interpolation="linear")
+        edges = cuts.select(F.array_sort(F.array_distinct(F.array_compact(F.array(*cuts.columns)))).alias("_e"))
         rows = rows.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col("p"))))  # one row of edges
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_pred"), F.avg("y").alias("frac_pos"))
 

@@ -1,7 +1,8 @@
 """Event-stream datasets: extraction, time merging, splits, fitted vocabularies and normalisers, representations.
 
 Tables: subjects (subject_id, static columns), events (event_id, subject_id, timestamp, event_type) and
-measurements (measurement_id, event_id, columns). Fitted state is small tables, one row for each key or element.
+measurements (measurement_id, event_id, subject_id, timestamp, columns): they carry their event's subject and time, so that
+merging and aggregating them needs no join. Fitted state is small tables, one row for each key or element.
 """
 
 from __future__ import annotations
@@ -65,11 +66,12 @@ def _time(c: Column, fmt: str | None) -> Column:
 
 
 def _split(rows: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    known = rows.dropna(subset=["subject_id", "timestamp"]).distinct()
-    known = known.withColumn("event_id", F.xxhash64("subject_id", F.unix_micros("timestamp"), "event_type"))
-    events = known.select("event_id", "subject_id", "timestamp", "event_type").distinct()
+    known = rows.dropna(subset=["subject_id", "timestamp"])
+    event_id = F.xxhash64("subject_id", F.unix_micros("timestamp"), "event_type").alias("event_id")
+    events = known.select("subject_id", "timestamp", "event_type").distinct().select(event_id, "subject_id", "timestamp", "event_type")
     some = reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in names]) if names else F.lit(False)
-    return events, known.filter(some).select("event_id", *names).withColumn("measurement_id", F.xxhash64("event_id", *names))
+    own = known.filter(some).select("subject_id", "timestamp", "event_type", *names).distinct().select(event_id, "subject_id", "timestamp", *names)
+    return events, own.withColumn("measurement_id", F.xxhash64("event_id", *names))
 
 
 def extract_events(schema: InputSchema) -> tuple[DataFrame, DataFrame]:
@@ -105,18 +107,18 @@ def extract(schema: DatasetSchema) -> tuple[DataFrame, DataFrame, DataFrame]:
 def agg_by_time(events: DataFrame, measurements: DataFrame, scale: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Merge a subject's events at equal times or, with a scale such as ``1h``, in buckets that start at its first event.
     The merged type joins the sorted distinct types with ``&``; measurements move to the merged event."""
-    rows = events
-    if scale is not None:
+    def bucketed(rows):
+        if scale is None:
+            return rows
         every = int(scale[:-1]) * UNITS[scale[-1]]
-        first = events.groupBy("subject_id").agg(F.min(F.unix_micros("timestamp")).alias("_first"))
         at = F.unix_micros("timestamp")
-        rows = events.join(first, "subject_id").withColumn("timestamp", F.timestamp_micros(F.col("_first") + F.floor((at - F.col("_first")) / every) * every)).drop("_first")
+        return rows.join(first, "subject_id").withColumn("timestamp", F.timestamp_micros(F.col("_first") + F.floor((at - F.col("_first")) / every) * every)).drop("_first")
+
+    first = events.groupBy("subject_id").agg(F.min(F.unix_micros("timestamp")).alias("_first")) if scale is not None else None
+    event_id = F.xxhash64("subject_id", F.unix_micros("timestamp"))
     types = F.array_distinct(F.flatten(F.collect_set(F.split("event_type", "&"))))
-    merged = rows.groupBy("subject_id", "timestamp").agg(F.array_join(F.array_sort(types), "&").alias("event_type"), F.collect_set("event_id").alias("_old"))
-    merged = merged.withColumn("event_id", F.xxhash64("subject_id", F.unix_micros("timestamp")))
-    ids = merged.select(F.col("event_id").alias("_new"), F.explode("_old").alias("event_id"))
-    moved = measurements.join(ids, "event_id").withColumn("event_id", F.col("_new")).drop("_new")
-    return merged.select("event_id", "subject_id", "timestamp", "event_type"), moved
+    merged = bucketed(events).groupBy("subject_id", "timestamp").agg(F.array_join(F.array_sort(types), "&").alias("event_type"))
+    return merged.select(event_id.alias("event_id"), "subject_id", "timestamp", "event_type"), bucketed(measurements).withColumn("event_id", event_id)
 
 
 #: Plug-ins of time-dependent features: name -> (static columns needed, expression of the event time and those columns).
@@ -183,7 +185,7 @@ def split_view(tables: Mapping[str, DataFrame], splits: DataFrame, name: str) ->
     """subjects, events and measurements of one split."""
     ids = splits.filter(F.col("split") == name).select("subject_id")
     events = tables["events"].join(ids, "subject_id", "left_semi")
-    return {"subjects": tables["subjects"].join(ids, "subject_id", "left_semi"), "events": events, "measurements": tables["measurements"].join(events.select("event_id"), "event_id", "left_semi")}
+    return {"subjects": tables["subjects"].join(ids, "subject_id", "left_semi"), "events": events, "measurements": tables["measurements"].join(ids, "subject_id", "left_semi")}
 
 
 # Fit -----------------------------------------------------------------------------------------------------
@@ -365,21 +367,25 @@ def nested_documents(subjects: DataFrame, events: DataFrame, measurements: DataF
     return subjects.select(F.col("subject_id"), fixed.alias("static_measurements")).join(per, "subject_id", "left").withColumnRenamed("subject_id", "patient_id")
 
 
-def feature_catalogue(vocab: DataFrame, measures: Sequence[Measurement], windows: Sequence[str] = (), least_freq: float | None = None) -> list[str]:
-    """Names ``window/measure/feature/agg`` in order: static and per-event ones (``static``, ``dynamic``), and one for each window."""
+def feature_catalogue(vocab: DataFrame, measures: Sequence[Measurement], windows: Sequence[str] = (), least_freq: float | None = None) -> DataFrame:
+    """(feature): names ``window/measure/feature/agg``, static and per-event ones (``static``, ``dynamic``) and one for each
+    window; a row for each, made from the rows of the vocabulary."""
     rows = vocab.filter(F.col("element") != UNK)
     if least_freq is not None:
         rows = rows.filter(F.col("freq") >= least_freq)
-    elements: dict = {}
-    for r in rows.select("measure", "element").orderBy("measure", "element").collect():  # the vocabulary
-        elements.setdefault(r["measure"], []).append(r["element"])
-    out = []
+    forms = None
     for m in measures:
         aggs = ["present"] if m.temporality == "static" else ["count"] if m.modality in ("single_label", "multi_label") else ["count", "has_values_count", "sum", "sum_sqd", "min", "max"]
         where = [m.temporality] if m.temporality == "static" else [m.temporality, *windows]
-        feats = [m.name] if m.modality == "univariate_regression" else elements.get(m.name, [])
-        out += [f"{w}/{m.name}/{f}/{a}" for w in where for f in feats for a in aggs]
-    return out
+        own = F.array(*[F.struct(F.lit(w).alias("where"), F.lit(a).alias("agg")) for w in where for a in aggs])
+        forms = F.when(F.col("measure") == m.name, own) if forms is None else forms.when(F.col("measure") == m.name, own)
+    alone = [m.name for m in measures if m.modality == "univariate_regression"]
+    features = rows.filter(~F.col("measure").isin(alone)).select("measure", "element") if alone else rows.select("measure", "element")
+    if alone:
+        names = F.explode(F.array(*map(F.lit, alone)))
+        features = features.unionByName(vocab.sparkSession.range(1).select(names.alias("measure")).select("measure", F.col("measure").alias("element")))
+    spread = features.select("measure", "element", F.explode(forms).alias("f"))
+    return spread.select(F.concat_ws("/", "f.where", "measure", "element", "f.agg").alias("feature"))
 
 
 def flat_static(subjects: DataFrame, c: str, values: Sequence[str]) -> DataFrame:
@@ -388,7 +394,8 @@ def flat_static(subjects: DataFrame, c: str, values: Sequence[str]) -> DataFrame
 
 def flat_dynamic(events: DataFrame, measurements: DataFrame, m: Measurement, values: Sequence[str]) -> DataFrame:
     """One row per event with ``dynamic/measure/feature/agg`` columns, in one aggregate."""
-    rows = events.select("event_id", "subject_id", "timestamp").join(measurements, "event_id", "left")
+    need = [c for c in (m.name, m.values_column) if c]
+    rows = measurements.select("subject_id", "timestamp", "event_id", *need).unionByName(events.select("subject_id", "timestamp", "event_id"), allowMissingColumns=True)
     cols = []
     for v in values:
         hit = F.col(m.name) == v

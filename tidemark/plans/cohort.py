@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.encodings import dense_index
+from tidemark.functions.quantiles import quantile
 from tidemark.functions.scalars import before_dot, blank_to_null, cut_right, date_plus_seconds
 from tidemark.operators import filters as P
 from tidemark.operators import windows as Wn
@@ -66,7 +67,7 @@ def data_map(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
     """Edges (distinct 5..95 percentiles in steps of 5) of numeric columns, and codes (variable, value, code)
     of categorical ones after folding rare values; codes follow the order of the values."""
     qs = [i / 100 for i in range(5, 100, 5)]
-    row = df.agg(*[F.array_sort(F.array_distinct(F.percentile(c, F.array(*map(F.lit, qs))))).alias(c) for c in numeric]).first()
+    row = {c: sorted({v for v in quantile(df, c, qs, interpolation="linear").first() if v is not None}) for c in numeric}
     codes = None
     for c in categorical:
         folded = P.fold_rare(df.select(F.col(c).cast("string").alias(c)), [c], rare)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import with_quantiles
 from tidemark.functions.scalars import years_between
 from tidemark.operators import aggs as A
 from tidemark.queries import Registry, t
@@ -42,7 +43,9 @@ def ag04(spark, sf):
 def ag05(spark, sf):
     o = t(spark, sf, "orders").withColumn("c", F.nullif("o_orderstatus", F.lit("P")))
     no = F.col("c").isNull()
-    return o.groupBy(F.year("o_orderdate").alias("year")).agg(F.count_if(no).alias("n_null"), r4(F.avg(no.cast("int"))).alias("null_rate"), r4(F.percentile(F.when(no, F.col("o_totalprice")), F.lit(0.5))).alias("median_of_null"))
+    o = o.withColumn("year", F.year("o_orderdate"))
+    rates = o.groupBy("year").agg(F.count_if(no).alias("n_null"), r4(F.avg(no.cast("int"))).alias("null_rate"))
+    return with_quantiles(rates, o.filter(no), "o_totalprice", {"median_of_null": 0.5}, ["year"]).withColumn("median_of_null", r4(F.col("median_of_null")))
 
 
 @R.add("AG06", "SELECT o_orderstatus, count(*) FILTER (o_totalprice < 0) AS below_0, count(*) FILTER (o_totalprice < 1) AS below_1, count(*) FILTER (o_totalprice < 5000) AS below_5000, count(*) FILTER (o_totalprice < 100000) AS \"below_100000\" FROM orders GROUP BY 1")

@@ -235,8 +235,7 @@ def es20(spark, sf):
 @R.add("ES21", f"WITH {VOC} SELECT 'dynamic/kind/' || element || '/count' AS feature FROM voc UNION ALL SELECT '7d/kind/' || element || '/count' FROM voc UNION ALL SELECT 'static/segment/' || c_mktsegment || '/present' FROM (SELECT DISTINCT c_mktsegment FROM customer)")
 def es21(spark, sf):
     v = _unified(spark, sf)
-    names = ES.feature_catalogue(v, [KIND, ES.Measurement("segment", "static")], ["7d"])
-    return v.limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("feature"))
+    return ES.feature_catalogue(v, [KIND, ES.Measurement("segment", "static")], ["7d"])
 
 
 @R.add("ES22", "SELECT c_custkey AS subject_id, CASE WHEN c_mktsegment = 'BUILDING' THEN true END AS building, CASE WHEN c_mktsegment = 'MACHINERY' THEN true END AS machinery FROM customer")
@@ -279,7 +278,7 @@ def es26(spark, sf):
     flat = _flat(spark, sf)
     people = ES.build_subjects(static_schema(spark, sf))
     tasks = people.filter("subject_id % 2 = 0").select("subject_id", F.lit("1996-01-01").cast("timestamp").alias("end_time"), (F.col("balance") > 0).alias("label"))
-    d = ES.load_flat(ES.flat_static(people, "segment", ["BUILDING"]), flat.drop("event_id"), {"FULL": ES.flat_windows(flat, ["FULL"])}, tasks)
+    d = ES.load_flat(ES.flat_static(people, "segment", ["BUILDING"]), flat.drop("event_id"), {"FULL": ES.flat_windows(flat.join(tasks.select("subject_id"), "subject_id", "left_semi"), ["FULL"])}, tasks)
     return d.select("subject_id", micros("timestamp").alias("us"), "label", F.col("`FULL/flag/A/count`").alias("full_count"), F.col("`static/segment/BUILDING/present`").alias("building"))
 
 

@@ -20,7 +20,7 @@ def episodes(spark, sf, extra=()):
     return joined.select(F.col("o_custkey").alias("subject"), "l_orderkey", "l_linenumber", start.alias("start"), F.date_add(start, F.col("l_quantity").cast("int")).alias("end"), F.col("l_extendedprice").alias("cost"), *extra)
 
 
-EPISODES = """episodes AS (
+EPISODES = """episodes AS MATERIALIZED (
   SELECT o_custkey AS subject, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS "start", CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) AS "end", l_extendedprice AS cost
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 )"""

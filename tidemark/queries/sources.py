@@ -10,7 +10,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import micros
+from tidemark.operators import eventstream as ES
 from tidemark.operators.joins import lookup
+from tidemark.plans import datasets
 from tidemark.queries import Registry, t
 from tidemark.queries.windowing import HISTORY, history
 from tidemark.sources import io
@@ -20,9 +22,11 @@ R = Registry()
 
 
 def scratch(spark) -> str:
-    """A new folder in the shared one; only without such a setting (tests) in the machine's temporary folder."""
+    """A new folder in the shared one; only a local session without such a setting uses the machine's temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -62,14 +66,16 @@ def io06(spark, sf):
     return d.select("subject_id", "event_type", F.col("value").cast("double").alias("value"), micros("ts").alias("us"))
 
 
-@R.add("IO07", "SELECT * FROM (VALUES ('quantity', 'float'), ('flag', 'categorical'), ('kind', 'categorical')) v(name, kind) WHERE (SELECT count(*) FROM orders) > 0")
+@R.add("IO07", "SELECT 'quantity' AS name, 'float' AS kind, count(l_quantity) AS n FROM (SELECT DISTINCT l_orderkey, l_shipdate, l_quantity, l_returnflag FROM lineitem) UNION ALL SELECT 'flag', 'categorical', count(l_returnflag) FROM (SELECT DISTINCT l_orderkey, l_shipdate, l_quantity, l_returnflag FROM lineitem) UNION ALL SELECT 'kind', 'categorical', count(event_type) FROM (SELECT DISTINCT user_id, ts, event_type FROM events)")
 def io07(spark, sf):
+    """Two sources declared as one dataset, loaded by the declaration: its columns, their kinds and how often each has a value."""
     static = InputSchema(t(spark, sf, "customer"), "static", "c_custkey", {"c_mktsegment": "categorical"})
     a = InputSchema(t(spark, sf, "lineitem"), "range", "l_orderkey", {"l_quantity": ("quantity", "float")}, start_col="l_shipdate", end_col="l_shipdate", start_columns={"l_returnflag": ("flag", "categorical")}, event_type="STAY")
     b = InputSchema(t(spark, sf, "events"), "event", "user_id", {"event_type": ("kind", "categorical")}, ts_col="ts", event_type="COL:event_type")
-    unified = DatasetSchema(static, [a, b]).unified()
-    n = t(spark, sf, "orders").limit(1)
-    return n.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("kind")) for k, v in unified.items()])).alias("r")).select("r.*")
+    schema = DatasetSchema(static, [a, b])
+    _, _, measurements = ES.extract(schema)
+    n = [F.struct(F.lit(k).alias("name"), F.lit(v).alias("kind"), F.count(k).alias("n")) for k, v in schema.unified().items()]
+    return measurements.agg(F.array(*n).alias("r")).select(F.inline("r"))
 
 
 @R.add("IO09", "SELECT o_orderkey, o_totalprice FROM orders")
@@ -118,6 +124,19 @@ def io14(spark, sf):
     return io.load_tables(spark, path)[0]["events"]
 
 
+@R.add("IO14_fitted", """WITH v AS (SELECT l_orderkey, l_linenumber, l_returnflag AS k, l_quantity AS q FROM lineitem), th AS (SELECT k, avg(q) - 1.5 * stddev_samp(q) AS lo, avg(q) + 1.5 * stddev_samp(q) AS hi FROM v GROUP BY 1),
+ ms AS (SELECT k, avg(q) AS mean, stddev_samp(q) AS std FROM v JOIN th USING (k) WHERE q > lo AND q < hi GROUP BY 1)
+ SELECT l_orderkey, l_linenumber, k, CASE WHEN q > lo AND q < hi THEN round((q - mean) / std, 6) END AS q FROM v JOIN th USING (k) JOIN ms USING (k)""")
+def io14_fitted(spark, sf):
+    """Fit, save, load in another object, transform: the same rows as fitting and transforming at once."""
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("k"), F.col("l_quantity").alias("q"))
+    measure = ES.Measurement("k", modality="multivariate_regression", values_column="q")
+    path = scratch(spark)
+    datasets.Dataset({"subjects": t(spark, sf, "customer")}, [measure]).fit(rows, outlier_c=1.5).save(path)
+    out = datasets.load(spark, path).transform(rows)
+    return out.select("l_orderkey", "l_linenumber", "k", F.round(F.nanvl("q", F.lit(None).cast("double")), 6).alias("q"))
+
+
 @R.add("IO15", "SELECT 'a/one' AS task, count(*) AS n FROM labels UNION ALL SELECT 'two', count(*) FROM labels WHERE toxic = 1")
 def io15(spark, sf):
     path = scratch(spark)
