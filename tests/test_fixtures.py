@@ -220,6 +220,15 @@ def test_labels_small(spark):
     assert (r[2]["n_episodes"], r[2]["days"], r[2]["cost"]) == (0, 0, 0)
 
 
+def test_inflation_needs_its_reference_year(spark):
+    from tidemark.plans import costs
+
+    df = spark.createDataFrame([(1.0, 2000)], "c double, y int")
+    for rows in ([(2000, 1.0)], [(2021, 1.0), (2021, 2.0)]):
+        with pytest.raises(ValueError):
+            costs.inflate(df, "c", "y", spark.createDataFrame(rows, "year int, cpi double"), 2021)
+
+
 def test_costs(spark):
     df = spark.createDataFrame([("r1", "100"), ("r2", "x"), ("r1", "90")], "RecNum string, Total string")
     assert {r["record"]: r["cost"] for r in costs.load(df, "RecNum", "Total").collect()} == {"r1": 100.0, "r2": None}

@@ -19,8 +19,11 @@ def load(df: DataFrame, record: str, cost: str) -> DataFrame:
 
 
 def inflate(df: DataFrame, cost: str, year: str, cpi: DataFrame, ref_year: int, out: str = "adjusted") -> DataFrame:
-    """Costs at the prices of ``ref_year``. ``cpi``: (year, cpi), a row for each year. A year without an index gives null."""
+    """Costs at the prices of ``ref_year``. ``cpi``: (year, cpi), a row for each year, which ``ref_year`` must be one of. Another
+    year without an index gives null."""
     ref = cpi.filter(F.col("year") == ref_year).select(F.col("cpi").alias("_ref"))
+    if ref.count() != 1:
+        raise ValueError(f"cpi has not one row for {ref_year}")
     factors = cpi.join(F.broadcast(ref)).select(F.col("year").alias("_y"), (F.col("_ref") / F.col("cpi")).alias("_f"))  # one row on the right
     return df.join(factors, F.col(year) == F.col("_y"), "left").withColumn(out, F.col(cost) * F.col("_f")).drop("_y", "_f")
 

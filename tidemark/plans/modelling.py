@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,7 +44,8 @@ def cross_validate(df: DataFrame, key: str, features: str, label: str, fold_of:
     ``None`` as a model predicts the share of positives of the training folds."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = df.select(key, features, F.col(label).cast("double").alias("label")).join(fold_of, key).withColumnRenamed(features, "features").persist()
+    rows = df.select(key, features, F.col(label).cast("double").alias("label")).join(fold_of, key).withColumnRenamed(features, "features")
+    rows = rows.persist() if path else rows
     k = [r[0] for r in fold_of.select("fold").distinct().orderBy("fold").collect()]  # the folds
     out = None
     for name, model in use.items():
@@ -57,6 +60,7 @@ def cross_validate(df: DataFrame, key: str, features: str, label: str, fold_of:
             out = scored if out is None else out.unionByName(scored)
     if path:
         out.write.partitionBy("model", "fold").parquet(path)
+        rows.unpersist()
         return df.sparkSession.read.parquet(path)
     return out
 
@@ -100,23 +104,53 @@ def constant_impute(df: DataFrame, cols: Sequence[str], value: float = 0.0) -> D
     return df.withColumns({f"{c}_missing": miss(c).cast("int") for c in cols}).withColumns({c: F.when(miss(c), F.lit(value)).otherwise(F.col(c)) for c in cols})
 
 
-def knn_impute(df: DataFrame, key: str, target: str, vector: str, k: int = 5, bucket: float = 2.0, tables: int = 4, seed: int = 1) -> DataFrame:
-    """Fill missing targets with the mean target of the k nearest known rows that share a bucket of random projections."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-    lsh = BucketedRandomProjectionLSH(inputCol=vector, outputCol="_hash", bucketLength=bucket, numHashTables=tables, seed=seed).fit(df)
-    miss, known = df.filter(F.col(target).isNull()), df.filter(F.col(target).isNotNull())
-    pairs = lsh.approxSimilarityJoin(miss.select(key, vector), known.select(key, vector, target), float("inf"), "_d")
-    near = pairs.select(F.col(f"datasetA.{key}").alias(key), F.col(f"datasetB.{target}").alias("_y"), "_d", F.col(f"datasetB.{key}").alias("_o"))
-    top = near.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("_d", "_o"))).filter(F.col("_r") <= k).groupBy(key).agg(F.avg("_y").alias("_fill"))
-    return df.join(top, key, "left").withColumn(target, F.coalesce(target, "_fill")).drop("_fill")
+def _nearest(k: int):
+    def nearest(part: pd.DataFrame) -> pd.DataFrame:
+        ask, known = part[part["ask"]], part[~part["ask"]]
+        if ask.empty or known.empty:
+            return pd.DataFrame({"key": [], "other": [], "d": [], "y": []})
+        known = known.sort_values("key")
+        a, b = np.stack(ask["v"].to_list()), np.stack(known["v"].to_list())
+        top = min(k, len(b))
+        out = []
+        for i in range(len(a)):
+            d = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
+            at = np.argsort(d, kind="stable")[:top]
+            out.append(pd.DataFrame({"key": ask["key"].iloc[i], "other": known["key"].to_numpy()[at], "d": d[at], "y": known["y"].to_numpy()[at]}))
+        return pd.concat(out)
+
+    return nearest
+
+
+def knn_impute(df: DataFrame, key: str, target: str, vector: str, k: int = 5, block: int = 4096) -> DataFrame:
+    """Fill missing targets with the mean target of the k nearest known rows (Euclidean, ties by ``key``, an integer).
+
+    ``vector`` is an array column. Missing and known rows are cut into blocks of about ``block``, every pair of blocks is
+    a task that keeps k rows for each missing one, so no task holds more than two blocks. Without a known row targets stay null."""
+    row = [F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y"), F.col(target).isNull().alias("ask")]
+    rows = df.select(*row)
+    n = {r["ask"]: -(-r["n"] // block) for r in rows.groupBy("ask").agg(F.count("*").alias("n")).collect()}
+    asks, knows = n.get(True, 1), n.get(False, 1)
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("ask"), asks).otherwise(knows)).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.when(F.col("ask"), knows - 1).otherwise(asks - 1)))
+    dealt = rows.withColumn("own", own).withColumn("other", others)
+    dealt = dealt.select("key", "v", "y", "ask", F.when(F.col("ask"), F.col("own")).otherwise(F.col("other")).alias("b"), F.when(F.col("ask"), F.col("other")).otherwise(F.col("own")).alias("c"))
+    near = dealt.groupBy("b", "c").applyInPandas(_nearest(k), "key long, other long, d double, y double")
+    best = near.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("d", "other"))).filter(F.col("_r") <= k)
+    fill = best.groupBy("key").agg(F.avg("y").alias("_fill")).withColumnRenamed("key", "_key")
+    return df.join(fill, F.col(key).cast("long") == F.col("_key"), "left").withColumn(target, F.coalesce(target, "_fill")).drop("_fill", "_key")
 
 
 def factorise(df: DataFrame, row: str, col: str, value: str, rank: int = 4, seed: int = 1) -> DataFrame:
-    """Non-negative factors of the rows of a long (row, column, value) table, by alternating least squares."""
+    """Non-negative factors of the rows of a long (row, column, value) table, by alternating least squares.
+
+    The start is random and may be such that non-negative least squares ends in zeros only; then the next seed is tried."""
     from pyspark.ml.recommendation import ALS
 
-    model = ALS(userCol=row, itemCol=col, ratingCol=value, rank=rank, nonnegative=True, seed=seed, maxIter=5).fit(df)
+    for s in range(seed, seed + 20):
+        model = ALS(userCol=row, itemCol=col, ratingCol=value, rank=rank, nonnegative=True, seed=s, regParam=0.01).fit(df)
+        if not model.userFactors.filter(F.exists("features", lambda x: x > 0)).isEmpty():
+            break
     return model.userFactors.withColumnRenamed("id", row)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -77,6 +79,20 @@ def ml04(spark, sf):
     return rounded(M.mutual_information(M.constant_impute(e, ["e0"]).drop("e0_missing"), ["e0"], "label"), "mi")
 
 
+@R.add("ML04_nearest", "WITH e AS (SELECT vec_id, embedding, label FROM embeddings), p AS (SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS r FROM e a, e b WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0) SELECT vec_id, round(avg(label), 4) AS y FROM p WHERE r <= 5 GROUP BY 1 UNION ALL SELECT vec_id, label FROM e WHERE vec_id % 50 <> 0")
+def ml04_nearest(spark, sf):
+    """The label is taken away where the identifier is divisible by 50 and filled from the five nearest rows."""
+    e = t(spark, sf, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 50 != 0, F.col("label")).cast("double").alias("y"))
+    return M.knn_impute(e, "vec_id", "y", "embedding").select("vec_id", F.round("y", 4).alias("y"))
+
+
+@R.add("ML04_factors")
+def ml04_factors(spark, sf):
+    """Factors of customers from the counts of their priorities; iterative, values are checked in tests."""
+    o = t(spark, sf, "orders").groupBy(F.col("o_custkey").cast("int").alias("subject"), F.substring("o_orderpriority", 1, 1).cast("int").alias("item")).agg(F.count("*").cast("float").alias("n"))
+    return M.factorise(o, "subject", "item", "n", rank=2)
+
+
 @R.add("ML05")
 def ml05(spark, sf):
     from pyspark.ml.functions import vector_to_array
@@ -217,14 +233,15 @@ def ml20(spark, sf):
     return M.project(t(spark, sf, "embeddings"), "vec_id", "embedding").join(t(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")
 
 
-@R.add("UD01", "SELECT event_id, upper(event_type) || ':' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS text FROM events")
+@R.add("UD01", "SELECT doc_id, md5(lang || ': ' || nfc_normalize(text)) AS text_md5 FROM documents")
 def ud01(spark, sf):
     @F.pandas_udf("string")
-    def template(kind: pd.Series, value: pd.Series) -> pd.Series:
-        """A custom template, where built-in functions do not do."""
-        return kind.str.upper() + ":" + (value // 1).astype("int64").astype(str)
+    def titled(row: pd.DataFrame) -> pd.Series:
+        """Unicode composition, which no built-in function does."""
+        return row["lang"] + ": " + row["text"].map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
-    return t(spark, sf, "events").select("event_id", template("event_type", "value").alias("text"))
+    d = t(spark, sf, "documents")
+    return d.select("doc_id", F.md5(titled(F.struct("lang", "text"))).alias("text_md5"))
 
 
 @R.add("UD02", "SELECT user_id, string_agg(event_type, ' > ' ORDER BY ts, event_id) AS path FROM events GROUP BY 1")
