@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -75,3 +75,10 @@ def join_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows and distinct keys of an inner join, computed from counts by key without building it."""
     a, b = left.groupBy(key).agg(F.count("*").alias("_a")), right.groupBy(key).agg(F.count("*").alias("_b"))
     return a.join(b, key).agg(F.coalesce(F.sum(F.col("_a") * F.col("_b")), F.lit(0)).alias("n_rows"), F.count("*").alias("n_keys"))
+
+
+def on_keys(left: DataFrame, right: DataFrame, keys: Mapping[str, str], how: str = "inner") -> DataFrame:
+    """Join on columns with different names, left name -> right name; the left ones stay."""
+    cond = [left[a] == right[b] for a, b in keys.items()]
+    joined = left.join(right, cond, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[right[b] for b in keys.values()])

@@ -85,7 +85,7 @@ def j09(spark, sf):
 @R.add("J10", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def j10(spark, sf):
     o, c = t(spark, sf, "orders"), t(spark, sf, "customer")
-    return o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_name")
+    return J.on_keys(o, c, {"o_custkey": "c_custkey"}).select("o_orderkey", "c_name")
 
 
 @R.add("J11", f"WITH {EPISODES}, i AS (SELECT c_custkey AS subject, DATE '1994-01-01' + CAST(c_custkey * 7 % 2000 AS INT) AS died FROM customer WHERE c_custkey % 5 = 0) SELECT subject, l_orderkey, l_linenumber FROM episodes JOIN i USING (subject) WHERE \"start\" <= died AND \"start\" >= died - INTERVAL 24 MONTH")
