@@ -283,8 +283,9 @@ def fit(
 
 
 def _score_chunks(vocab: Vocabulary, net: WindowNetwork):
-    """Rows (chunk, ids, sizes, sums, outs, at, words): of each document of a chunk its id, words, sum of log-probabilities
-    and number of bucket words; the bucket words of all, one after the other, as positions in the distinct ones."""
+    """Rows (chunk, ids, sizes, sums, outs, at, buckets, words): of each document of a chunk its id, words, sum of log-probabilities
+    and number of bucket words; the bucket words of all, one after the other, as positions in the distinct ones, and the
+    buckets of these, a byte each."""
 
     def apply(batches: Iterator):
         import pyarrow as pa
@@ -297,7 +298,8 @@ def _score_chunks(vocab: Vocabulary, net: WindowNetwork):
             ids, whole = pa.concat_arrays(ids), lambda x, kind: pa.array(np.concatenate(x), kind)
             columns = [ids, whole(sizes, pa.int64()), whole(sums, pa.float64()), whole(outs, pa.int64()), whole(at, pa.int32()), pa.array(list(index), pa.binary())]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists], names=["chunk", "ids", "sizes", "sums", "outs", "at", "words"])
+            buckets = pa.array([bytes(zlib.crc32(w) % BUCKETS for w in index)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists[:-1], buckets, lists[-1]], names=["chunk", "ids", "sizes", "sums", "outs", "at", "buckets", "words"])
 
         for batch in batches:
             ids, texts = batch.column(0), text_bytes(batch.column(1))
@@ -324,22 +326,30 @@ def _score_chunks(vocab: Vocabulary, net: WindowNetwork):
     return apply
 
 
-def _add_shares(batches: Iterator):
-    """Documents of chunks, with the sum of the logarithms of their bucket words' shares added."""
-    import pyarrow as pa
+def _add_shares(totals: list):
+    """Documents of chunks, with the sum of the logarithms of their bucket words' shares added: the smoothed count of the word
+    (``counts`` has the positions and counts of those that the corpus has) over that of its bucket."""
 
-    for batch in batches:
-        for k in range(batch.num_rows):
-            ids, sizes, sums, outs, at, shares = (batch.column(i).slice(k, 1).flatten() for i in range(1, 7))
-            sizes, sums, outs, at = (x.to_numpy(zero_copy_only=False) for x in (sizes, sums, outs, at))
-            if len(shares):
-                share = np.zeros(len(shares))
-                share[shares.field("k").to_numpy(zero_copy_only=False)] = shares.field("s").to_numpy(zero_copy_only=False)
-                sums = sums + np.bincount(np.repeat(np.arange(len(outs)), outs), share[at], len(outs))
-            mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
-            place = [pa.array(np.repeat(batch.column(0)[k].as_py(), len(ids)), pa.int64()), pa.array(np.arange(len(ids)), pa.int32())]
-            columns = [*place, ids, pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "row", "doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+    def add(batches: Iterator):
+        import pyarrow as pa
+
+        whole = np.log(np.array(totals))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, sizes, sums, outs, at, counts = (batch.column(i).slice(k, 1).flatten() for i in (1, 2, 3, 4, 5, 7))
+                sizes, sums, outs, at = (x.to_numpy(zero_copy_only=False) for x in (sizes, sums, outs, at))
+                bucket = np.frombuffer(batch.column(6)[k].as_py(), dtype=np.uint8)
+                n = np.zeros(len(bucket))
+                n[counts.field("k").to_numpy(zero_copy_only=False)] = counts.field("n").to_numpy(zero_copy_only=False)
+                if len(at):
+                    share = np.log(n + SMOOTHING) - whole[bucket]
+                    sums = sums + np.bincount(np.repeat(np.arange(len(outs)), outs), share[at], len(outs))
+                mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
+                place = [pa.array(np.repeat(batch.column(0)[k].as_py(), len(ids)), pa.int64()), pa.array(np.arange(len(ids)), pa.int32())]
+                columns = [*place, ids, pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "row", "doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+
+    return add
 
 
 def score(docs: DataFrame, vocab: Vocabulary, net: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,15 +360,14 @@ def score(docs: DataFrame, vocab: Vocabulary, net: WindowNetwork, id_col: str =
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    lists = f"chunk long, ids array<{kind}>, sizes array<long>, sums array<double>, outs array<long>, at array<int>, words array<binary>"
+    lists = f"chunk long, ids array<{kind}>, sizes array<long>, sums array<double>, outs array<long>, at array<int>, buckets binary, words array<binary>"
     chunks = materialize(rows.mapInArrow(_score_chunks(vocab, net), lists), "scored-chunks")
     words = chunks.select("chunk", F.posexplode("words").alias("k", "w")).withColumn("w", F.col("w").cast("string"))
-    found = words.withColumn("n", F.lit(0)) if vocab.counts is None else words.join(vocab.counts, "w", "left")
-    total = F.element_at(F.array(*[F.lit(float(t)) for t in vocab.totals]), (_bucket(F.col("w")) + 1).cast("int"))
-    shares = found.select("chunk", "k", F.log((F.coalesce("n", F.lit(0)) + SMOOTHING) / total).alias("s"))
-    given = chunks.drop("words").join(shares.groupBy("chunk").agg(F.collect_list(F.struct("k", "s")).alias("shares")), "chunk", "left")
-    out = given.select("chunk", "ids", "sizes", "sums", "outs", "at", F.coalesce("shares", F.array().cast("array<struct<k:int,s:double>>")).alias("shares"))
-    scored = out.mapInArrow(_add_shares, f"chunk long, row int, doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    found = words.withColumn("n", F.lit(0).cast("long")).filter("false") if vocab.counts is None else words.join(vocab.counts, "w")
+    counts = found.groupBy("chunk").agg(F.collect_list(F.struct("k", "n")).alias("counts"))
+    given = chunks.drop("words").join(counts, "chunk", "left")
+    out = given.select("chunk", "ids", "sizes", "sums", "outs", "at", "buckets", F.coalesce("counts", F.array().cast("array<struct<k:int,n:long>>")).alias("counts"))
+    scored = out.mapInArrow(_add_shares(vocab.totals), f"chunk long, row int, doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
     return scored.orderBy("chunk", "row").drop("chunk", "row").withColumnRenamed("doc_id", id_col)
 
 
