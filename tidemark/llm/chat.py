@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import send_if_small, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: How the marks' beginning is written where it stands in a text or a role, so that neither can forge a message.
@@ -43,10 +43,14 @@ def rotate(turns: DataFrame, block: int = 256, conv_col: str = "conv_id", turn_c
         F.struct(F.col(conv_col).alias("conv_id")).alias("conv"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"), F.regexp_replace(role, r"[\r\n]+", " ").alias("role"), text.alias("text")
     )
     rows = rows.withColumn("mark", F.md5(F.concat("role", F.lit("\n"), "text"))).withColumn("part", F.floor(F.col("turn") / block).cast("long") * block)
-    # Places in a block, in two levels: messages before a cell (a turn and leading digits of the mark), then inside the cell.
+    # Blocks that fit one part need no places; the list of the others tells the rows apart without shuffling texts.
+    full = send_if_small(rows.groupBy("conv", "part").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("conv", "part"), "large-blocks")
+    message = F.struct("turn", "mark", "role", "text")
+    once = rows.join(full, ["conv", "part"], "left_anti").select("conv", "part", F.lit(0).cast("long").alias("piece"), F.array(message).alias("messages"))
+    # Places in a large block, in two levels: messages before a cell (a turn and leading digits of the mark), then inside the cell.
     digits = max(1, math.ceil(math.log(turns.count() / 1024 + 1, 16)))
     cell = ["conv", "part", "turn", "cell"]
-    alike = rows.withColumn("cell", F.substring("mark", 1, digits)).groupBy(*cell, "mark", "role", "text").agg(F.count("*").alias("k"))
+    alike = rows.join(full, ["conv", "part"], "left_semi").withColumn("cell", F.substring("mark", 1, digits)).groupBy(*cell, "mark", "role", "text").agg(F.count("*").alias("k"))
     sums = alike.groupBy(*cell).agg(F.sum("k").alias("k"))
     before = W.partitionBy("conv", "part").orderBy("turn", "cell").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(*cell, F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
@@ -56,9 +60,9 @@ def rotate(turns: DataFrame, block: int = 256, conv_col: str = "conv_id", turn_c
     low, high = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("k") - 1) / block)
     cut = placed.select("conv", "part", "turn", "mark", "role", "text", "at", "k", F.explode(F.sequence(low, high)).alias("piece"))
     times = F.least(F.col("at") + F.col("k"), (F.col("piece") + 1) * block) - F.greatest("at", F.col("piece") * block)
-    message = F.struct("turn", "mark", "role", "text")
-    parts = cut.groupBy("conv", "part", "piece").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat(message, times.cast("int"))))).alias("messages"))
-    people = rows.filter("role <> 'system'").select("conv", F.col("role").alias("perspective")).distinct()
+    many = cut.select("conv", "part", "piece", F.array_repeat(message, times.cast("int")).alias("messages"))
+    parts = once.unionByName(many).groupBy("conv", "part", "piece").agg(F.array_sort(F.flatten(F.collect_list("messages"))).alias("messages"))
+    people = send_if_small(rows.filter("role <> 'system'").select("conv", F.col("role").alias("perspective")).distinct(), "participants")
     seen = parts.join(people, "conv")
 
     def piece(m):
