@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import chat, decontamination, exact_dedup, language_id, lm_scoring, mixing, simhash, substring_dedup, toxicity, warc
+from tidemark.llm import chat, decontamination, exact_dedup, language_id, lm_scoring, mixing, simhash, structure_repair, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_pseudo_likelihood": lm_scoring.op1_pseudo_likelihood,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_simhash_components": simhash.op9_simhash_components,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_structure_repair": structure_repair.op11_structure_repair,
     "pipeline": corpus_pipeline.run,
 }
 #: The others are tested against brute force or held-out rows.
