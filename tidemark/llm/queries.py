@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import chat, decontamination, exact_dedup, language_id, lm_scoring, mixing, periodic_runs, simhash, structure_repair, substring_dedup, toxicity, warc
+from tidemark.llm import chat, decontamination, exact_dedup, language_id, lm_scoring, mixing, periodic_runs, private_data, simhash, structure_repair, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_pseudo_likelihood": lm_scoring.op1_pseudo_likelihood,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_structure_repair": structure_repair.op11_structure_repair,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_private_data": private_data.op13_private_data,
     "pipeline": corpus_pipeline.run,
 }
 #: The others are tested against brute force or held-out rows.
