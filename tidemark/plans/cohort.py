@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.encodings import dense_index
-from tidemark.functions.quantiles import quantile
+from tidemark.functions.quantiles import wide
 from tidemark.functions.scalars import before_dot, blank_to_null, cut_right, date_plus_seconds
 from tidemark.operators import filters as P
 from tidemark.operators import windows as Wn
@@ -67,7 +67,8 @@ def data_map(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
     """Edges (distinct 5..95 percentiles in steps of 5) of numeric columns, and codes (variable, value, code)
     of categorical ones after folding rare values; codes follow the order of the values."""
     qs = [i / 100 for i in range(5, 100, 5)]
-    row = {c: sorted({v for v in quantile(df, c, qs, interpolation="linear").first() if v is not None}) for c in numeric}
+    found = wide(df, {f"{i}:{q}": (c, q) for i, c in enumerate(numeric) for q in qs}).first() if numeric else {}
+    row = {c: sorted({v for q in qs if (v := found[f"{i}:{q}"]) is not None}) for i, c in enumerate(numeric)}
     codes = None
     for c in categorical:
         folded = P.fold_rare(df.select(F.col(c).cast("string").alias(c)), [c], rare)
@@ -85,14 +86,15 @@ def encode_visits(df: DataFrame, key: str, order: Sequence[str], edges: Mapping[
     """(key, visits): per subject, in order, the sorted token ids of each episode. Numeric columns fall into bins of
     their edges; categorical values are looked up in ``codes``, unknown ones in the code of ``other`` if it has one."""
     tokens = [F.lit(offsets[c]) + cut_right(c, e) for c, e in edges.items()]
-    rows = df
-    for c in [r["variable"] for r in codes.select("variable").distinct().collect()]:
-        own = codes.filter(F.col("variable") == c).select(F.col("value").alias("_v"), F.col("code").alias(f"_{c}"))
-        other = own.filter(F.col("_v") == "other").select(F.col(f"_{c}").alias("_o"))
-        rows = rows.join(own, F.col(c).cast("string") == F.col("_v"), "left").drop("_v").join(F.broadcast(other), F.lit(True), "left")  # one row at most
-        tokens.append(F.when(F.col(c).isNotNull(), F.lit(offsets[c]) + F.coalesce(F.col(f"_{c}"), F.col("_o"))))
-        rows = rows.withColumn(f"_t{len(tokens)}", tokens[-1]).drop("_o", f"_{c}")
-        tokens[-1] = F.col(f"_t{len(tokens)}")
+    variables = [r["variable"] for r in codes.select("variable").distinct().collect()]
+    # One lookup for all variables: the different values of each in the rows meet their codes, and the result is a map from
+    # value to token for each variable. A vocabulary of this encoding is one of categories, a row for each.
+    names = F.array(*[F.struct(F.lit(c).alias("variable"), F.lit(offsets[c]).alias("offset")) for c in variables])
+    table = codes.filter(F.col("value").isNotNull()).join(codes.sparkSession.range(1).select(F.inline(names)), "variable")
+    maps = table.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0000", "variable", "value").alias("k"), (F.col("offset") + F.col("code")).cast("int").alias("t")))).alias("_codes"))
+    rows = df.join(F.broadcast(maps))  # one row
+    code = lambda c, v: F.try_element_at("_codes", F.concat_ws("\u0000", F.lit(c), v))
+    tokens += [F.when(F.col(c).isNotNull(), F.coalesce(code(c, F.col(c).cast("string")), code(c, F.lit("other")))) for c in variables]
     visit = F.array_sort(F.array_compact(F.array(*[x.cast("int") for x in tokens])))
     return rows.withColumn("_v", visit).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_v"))), lambda x: x["_v"]).alias("visits"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import encodings as E
 from tidemark.functions import scalars as S
-from tidemark.functions.quantiles import quantile
+from tidemark.functions.quantiles import wide
 from tidemark.queries import Registry, t
 from tidemark.queries.aggregations import rounded
 
@@ -151,8 +151,7 @@ def sf24(spark, sf):
 
 @R.add("SF24_quantiles", "WITH r AS (SELECT o_orderstatus, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) - 1 AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) SELECT o_orderstatus, min(v) FILTER (k = CAST(round((n - 1) * 0.25) AS BIGINT)) AS nearest, round(quantile_cont(v, 0.25), 4) AS linear, quantile_disc(v, 0.25) AS lower FROM r GROUP BY 1")
 def sf24_quantiles(spark, sf):
-    parts = [quantile(_o(spark, sf), "o_totalprice", 0.25, ["o_orderstatus"], k).withColumnRenamed("q25", k) for k in ("nearest", "linear", "lower")]
-    return rounded(parts[0].join(parts[1], "o_orderstatus").join(parts[2], "o_orderstatus"), "linear")
+    return rounded(wide(_o(spark, sf), {k: ("o_totalprice", 0.25, k) for k in ("nearest", "linear", "lower")}, ["o_orderstatus"]), "linear")
 
 
 @R.add("SF25", "SELECT o_orderkey, i AS code FROM orders LEFT JOIN (SELECT s, CAST(row_number() OVER (ORDER BY s) - 1 AS INT) AS i FROM (SELECT DISTINCT nullif(o_orderpriority, '5-LOW') AS s FROM orders) WHERE s IS NOT NULL) ON s = o_orderpriority")

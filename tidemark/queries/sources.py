@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import micros
@@ -17,22 +12,11 @@ from tidemark.queries import Registry, t
 from tidemark.queries.windowing import HISTORY, history
 from tidemark.sources import io
 from tidemark.sources.schema import DatasetSchema, InputSchema
+from tidemark.sources.shared import scratch
 
 R = Registry()
 
 
-def scratch(spark) -> str:
-    """A new folder in the shared one; only a local session without such a setting uses the machine's temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
-
-
 @R.add("IO01", "SELECT r_regionkey, r_name FROM region")
 def io01(spark, sf):
     return io.read_parquet(spark, f"{sf}/regio*.parquet").select("r_regionkey", "r_name")
