@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import materialize
+
+
+#: Rows of a range that is numbered in one task.
+RANGE = 1_000_000
+
+
+def number_rows(df: DataFrame, order: Sequence[Column], name: str, start: int = 0) -> DataFrame:
+    """Consecutive numbers in a global order, without a window over all rows: rows are dealt to ranges by sampled splitters and written,
+    sorted, with the number of their range; each range is numbered by itself, after the sizes of the ranges before it (a row
+    for each range). Rows that tie are numbered in any order, the same whenever the result is read again."""
+    n = df.count()
+    ranges = -(-n // RANGE)
+    if ranges > 1:
+        df = materialize(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    else:
+        df = df.withColumn("_range", F.lit(0))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order)) + F.lit(start - 1)
+    if ranges <= 1:
+        return df.withColumn(name, inside.cast("long")).drop("_range")
+    sizes = df.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_r", (F.sum("_n").over(W.orderBy("_r")) - F.col("_n")).alias("_before"))  # a row for each range
+    return df.withColumn(name, inside).join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_r", "_before")
+
 
 def dense_index(df: DataFrame, c: str) -> DataFrame:
-    """(value, idx) of the sorted distinct values, from 0. The window runs over distinct values only."""
-    return df.select(c).filter(F.col(c).isNotNull()).distinct().select(c, (F.row_number().over(W.partitionBy().orderBy(c)) - 1).alias("idx"))
+    """(value, idx) of the sorted distinct values, from 0; of any number of them."""
+    return number_rows(df.select(c).filter(F.col(c).isNotNull()).distinct(), [F.col(c).asc()], "idx").select(c, F.col("idx").cast("int").alias("idx"))
 
 
 def to_int_index(df: DataFrame, c: str, out: str | None = None) -> DataFrame:

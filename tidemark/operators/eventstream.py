@@ -16,7 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.functions.encodings import number_rows
 from tidemark.operators.filters import include
+from tidemark.operators.joins import as_of
+from tidemark.operators.segments import Running
 from tidemark.operators.windows import UNITS, summarize_over_window
 from tidemark.sources.schema import DatasetSchema, InputSchema
 
@@ -273,11 +276,13 @@ def fit_vocabulary(df: DataFrame, element: str, measure: str | None = None) -> D
 
 
 def rank_vocabulary(counts: DataFrame, measure: str) -> DataFrame:
-    known = counts.filter(F.col("element") != UNK)
-    unk = counts.agg(F.coalesce(F.sum(F.when(F.col("element") == UNK, F.col("count"))), F.lit(0)).alias("count")).select(F.lit(UNK).alias("element"), "count")
-    order = W.partitionBy().orderBy(F.desc("count"), F.desc("element"))  # one row for each distinct element
-    ranked = known.select("element", "count", F.row_number().over(order).alias("idx")).unionByName(unk.withColumn("idx", F.lit(0)))
-    return ranked.select(F.lit(measure).alias("measure"), "element", "count", F.try_divide(F.col("count"), F.sum("count").over(W.partitionBy())).alias("freq"), "idx")
+    """``counts`` (element, count) numbered as in ``fit_vocabulary``, by ranges, so a vocabulary may be of any size."""
+    order = [F.desc("count"), F.desc("element")]
+    ranked = number_rows(counts.filter(F.col("element") != UNK).select("element", "count"), order, "idx", 1)
+    sums = counts.agg(F.coalesce(F.sum(F.when(F.col("element") == UNK, F.col("count"))), F.lit(0)).alias("count"), F.sum("count").alias("_all"))
+    unk = sums.select(F.lit(UNK).alias("element"), "count", F.lit(0).cast("long").alias("idx"))
+    every = ranked.unionByName(unk).join(F.broadcast(sums.select("_all")))  # one row
+    return every.select(F.lit(measure).alias("measure"), "element", "count", F.try_divide(F.col("count"), F.col("_all")).alias("freq"), F.col("idx").cast("int").alias("idx"))
 
 
 def filter_vocabulary(vocab: DataFrame, least: float, measure: str) -> DataFrame:
@@ -422,12 +427,13 @@ def normalise_columns(df: DataFrame, features: Sequence[str], ids: Sequence[str]
 _COMBINE = {"count": "sum", "has_values_count": "sum", "sum": "sum", "sum_sqd": "sum", "min": "min", "max": "max"}
 
 
-def flat_windows(flat: DataFrame, windows: Sequence[str], key: str = "subject_id", ts: str = "timestamp") -> DataFrame:
-    """Per event, the flat features summed (least, greatest) over each window, named ``window/measure/feature/agg``."""
+def flat_windows(flat: DataFrame, windows: Sequence[str], key: str = "subject_id", ts: str = "timestamp", counted: DataFrame | None = None) -> DataFrame:
+    """Per event, the flat features summed (least, greatest) over each window, named ``window/measure/feature/agg``. ``counted``: a table
+    with a row at least for each event, whose subjects are cheaper to count."""
     feats = [c for c in flat.columns if c.startswith("dynamic/")]
     plain = flat.select(key, ts, *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(feats)])
     specs = [(f"f{i}", _COMBINE[c.rpartition("/")[2]]) for i, c in enumerate(feats)]
-    wide = summarize_over_window(plain, key, ts, specs, windows)
+    wide = summarize_over_window(plain, key, ts, specs, windows, counted=counted)
     names = {f"{w}/f{i}/{a}": f"{w}/{feats[i].split('/', 1)[1]}" for w in windows for i, (_, a) in enumerate(specs)}
     return wide.select(key, ts, *[F.col(f"`{k}`").alias(v) for k, v in names.items()])
 
@@ -437,10 +443,11 @@ def load_flat(static: DataFrame, dynamic: DataFrame, windows: Mapping[str, DataF
     before the end time, chosen before anything is joined. Counts without a value are 0."""
     rows = dynamic
     if tasks is not None:
-        keys = dynamic.select(key, ts).join(tasks, key).filter(F.col("end_time").isNull() | (F.col(ts) <= F.col("end_time")))
         labels = [c for c in tasks.columns if c not in (key, "start_time", "end_time")]
-        keys = keys.groupBy(key, "end_time", *labels).agg(F.max(ts).alias(ts))
-        rows = dynamic.join(keys, [key, ts])
+        bounds = tasks.select(key, "end_time", *labels).distinct().withColumn("_at", F.coalesce(F.unix_micros(F.col("end_time").cast("timestamp")), F.lit(2**63 - 1)))
+        events = dynamic.select(key, F.col(ts).alias("_ts"), F.unix_micros(ts).alias("_at"))
+        keys = as_of(events, bounds, key, "_at", Running("_found", "last", F.col("_ts")), first="events")
+        rows = dynamic.join(keys.filter("_found is not null").drop("_at").withColumnRenamed("_found", ts), [key, ts])
     for w in windows.values():
         rows = rows.join(w, [key, ts], "left")
     rows = rows.join(static, key, "left")

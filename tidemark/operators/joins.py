@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import micros
+from tidemark.operators.segments import MOST, Running, Segments
+
 
 def lookup(df: DataFrame, dim: DataFrame, on: str, key: str, value: str, out: str | None = None, default=None, keep: bool = False) -> DataFrame:
     """Replace ``on`` through a table key -> value. Unmapped: ``default``, or with ``keep`` the value itself.
@@ -61,14 +64,29 @@ def rekey(measurements: DataFrame, merged: DataFrame, old: str = "event_id", old
     return measurements.join(ids, F.col(old) == F.col("_old")).withColumn(old, F.col("_new")).drop("_new", "_old")
 
 
-def task_positions(events: DataFrame, tasks: DataFrame, key: str = "subject_id", ts: str = "timestamp", start: str = "start_time", end: str = "end_time") -> DataFrame:
+def as_of(events: DataFrame, bounds: DataFrame, key: str, at: str, *columns: Running, first: str = "bounds", most: int = MOST) -> DataFrame:
+    """The rows of ``bounds`` with columns that run over the subject's ``events`` up to each bound: their number, the last of their values.
+
+    Both are put into one table and ordered once by subject and ``at`` (``first``: which comes first at equal times), so the rows
+    between operators are events and bounds, not pairs of them. ``columns`` read the events' columns, which are null on bounds.
+    A null ``at`` of a bound comes before all events; events without a key or time are left out. Large subjects are cut."""
+    early = first == "bounds"
+    both = bounds.withColumn("_event", F.lit(not early)).withColumn("_bound", F.lit(True))
+    known = events.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("_event", F.lit(early)).withColumn("_bound", F.lit(False))
+    rows = both.unionByName(known, allowMissingColumns=True)
+    seen = Segments.of(rows, key, [at, "_event"], most).running(*columns).frame()
+    return seen.filter("_bound").select(*bounds.columns, *[c.name for c in columns])
+
+
+def task_positions(events: DataFrame, tasks: DataFrame, key: str = "subject_id", ts: str = "timestamp", start: str = "start_time", end: str = "end_time", most: int = MOST) -> DataFrame:
     """For each task row the half-open range [start_idx, end_idx) of the subject's events with start <= time < end,
     counting distinct event times in order. A null bound is open. ``tasks`` needs a unique ``task_id``."""
-    times = events.select(key, F.col(ts).alias("_ts")).distinct()
-    pairs = tasks.join(times, key, "left")
-    before = F.count_if(F.col("_ts") < F.col(start))
-    upto = F.count_if(F.col(end).isNull() & F.col("_ts").isNotNull() | (F.col("_ts") < F.col(end)))
-    return pairs.groupBy("task_id", key).agg(before.alias("start_idx"), upto.alias("end_idx"))
+    times = events.select(key, micros(ts).alias("_at")).distinct().withColumn("_hit", F.lit(1))
+    ends = F.array(F.struct(micros(start).alias("at"), F.lit(False).alias("last")), F.struct(F.coalesce(micros(end), F.lit(2**63 - 1)).alias("at"), F.lit(True).alias("last")))
+    bounds = tasks.select("task_id", key, F.explode(ends).alias("_b")).select("task_id", key, F.col("_b.at").alias("_at"), F.col("_b.last").alias("_last"))
+    placed = as_of(times, bounds, key, "_at", Running("_n", "count", F.col("_hit")), most=most)
+    pick = lambda last: F.max(F.when(F.col("_last") == last, F.col("_n")))
+    return placed.groupBy("task_id", key).agg(pick(False).alias("start_idx"), pick(True).alias("end_idx"))
 
 
 def join_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -62,7 +62,7 @@ def parse_window(window: str) -> tuple[int | None, bool]:
     return (None if body == "FULL" else int(body[:-1]) * UNITS[body[-1]]), forward
 
 
-def summarize_over_window(df: DataFrame, key: str, ts: str, specs: Sequence[tuple[str, str]], windows: Sequence[str], tie: Sequence[str] = (), most: int = MOST) -> DataFrame:
+def summarize_over_window(df: DataFrame, key: str, ts: str, specs: Sequence[tuple[str, str]], windows: Sequence[str], tie: Sequence[str] = (), most: int = MOST, counted: DataFrame | None = None) -> DataFrame:
     """Columns ``window/name/agg`` for (column, agg) pairs; agg is count, has_values_count, sum, sum_sqd, min or max (count: rows
     whose column, a count itself, adds up).
 
@@ -78,7 +78,7 @@ def summarize_over_window(df: DataFrame, key: str, ts: str, specs: Sequence[tupl
             out.append(Running(f"_w{windows.index(window)}_{i}", op, value, frame))
         return out
 
-    parts = Segments.of(df.withColumn("_micros", micros(ts)), key, [ts, *[c for c in tie if c != ts]], most)
+    parts = Segments.of(df.withColumn("_micros", micros(ts)), key, [ts, *[c for c in tie if c != ts]], most, counted)
     whole = [s for w in windows if parse_window(w)[0] is None for s in runs(w, "from" if parse_window(w)[1] else "upto")]
     if whole:
         parts = parts.running(*whole)

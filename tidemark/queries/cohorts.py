@@ -180,23 +180,36 @@ def co18(spark, sf):
     return out
 
 
-STAY = f"""{EPISODES}, {HOR}, st AS MATERIALIZED (SELECT hor.subject, horizon, "start", least("end", endpoint) AS "end", cost, "end" AS full_end, endpoint FROM hor JOIN episodes e ON e.subject = hor.subject AND "start" > index_date AND "start" <= endpoint),
- mx AS (SELECT *, max("end") OVER (PARTITION BY subject, horizon ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM st), il AS (SELECT *, sum(CASE WHEN p IS NULL OR "start" > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY subject, horizon ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS i FROM mx),
- dy AS (SELECT subject, horizon, sum(d) AS days FROM (SELECT subject, horizon, i, max("end") - min("start") + 1 AS d FROM il GROUP BY ALL) GROUP BY ALL),
- cs AS (SELECT subject, horizon, count(*) AS n, sum(CASE WHEN full_end <= endpoint THEN cost ELSE cost * (endpoint - "start") / greatest(full_end - "start", 1) END) AS cost FROM st GROUP BY ALL)"""
-
-
-@R.add("CO19", f"WITH {STAY} SELECT hor.subject, horizon, CAST(least(coalesce(days, 0), 365) AS BIGINT) AS days FROM hor LEFT JOIN dy USING (subject, horizon)")
+def _labels(columns: str) -> str:
+    """SQL of labels: for each horizon a branch with constant months; a subject's stays meet its index by equality alone. Days covered
+    are summed row by row: each stay adds the days after the latest end so far."""
+    index = f"SELECT o_custkey AS subject, CAST(o_orderdate AS DATE) AS index_date FROM (SELECT o_custkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE i = {H('o_custkey', 42)} % n"
+    stays = "SELECT o_custkey AS subject, CAST(l_shipdate AS DATE) AS s, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) AS e, l_extendedprice AS cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+    parts = []
+    for name, months in MONTHS.items():
+        till = f"CAST(index_date + INTERVAL {months} MONTH AS DATE)"
+        met = f"SELECT x.subject, index_date, {till} AS till, s, e, cost FROM ({index}) x LEFT JOIN ({stays}) y ON x.subject = y.subject"
+        kept = f"SELECT subject, till, s > index_date AND s <= till AS hit, s, e, cost FROM ({met})"
+        ran = f"SELECT subject, till, hit, s, e, cost, max(CASE WHEN hit THEN least(e, till) END) OVER (PARTITION BY subject ORDER BY s, least(e, till) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ({kept})"
+        parts.append(f"SELECT subject, '{name}' AS horizon, {columns} FROM ({ran}) GROUP BY subject")
+    return " UNION ALL ".join(parts)
+
+
+_DAYS = "coalesce(sum(CASE WHEN hit THEN greatest(0, least(e, till) - greatest(s - 1, coalesce(p, s - 1))) END), 0)"
+_COST = "round(coalesce(sum(CASE WHEN NOT hit THEN NULL WHEN e <= till THEN cost ELSE cost * (till - s) / greatest(e - s, 1) END), 0), 5) AS cost"
+
+
+@R.add("CO19", _labels(f"CAST(least({_DAYS}, 365) AS BIGINT) AS days"))
 def co19(spark, sf):
     return labels.length_of_stay(episodes(spark, sf), index_dates(spark, sf), MONTHS, cap=365).withColumn("days", F.col("days").cast("long"))
 
 
-@R.add("CO20", f"WITH {STAY} SELECT hor.subject, horizon, round(coalesce(cost, 0), 5) AS cost FROM hor LEFT JOIN cs USING (subject, horizon)")
+@R.add("CO20", _labels(_COST))
 def co20(spark, sf):
     return labels.cost(episodes(spark, sf), index_dates(spark, sf), MONTHS).withColumn("cost", F.round("cost", 5))
 
 
-@R.add("CO21", f"WITH {STAY} SELECT hor.subject, horizon, coalesce(n, 0) AS n_episodes, round(coalesce(cost, 0), 5) AS cost, CAST(coalesce(days, 0) AS BIGINT) AS days FROM hor LEFT JOIN cs USING (subject, horizon) LEFT JOIN dy USING (subject, horizon)")
+@R.add("CO21", _labels(f"count(CASE WHEN hit THEN 1 END) AS n_episodes, {_COST}, CAST({_DAYS} AS BIGINT) AS days"))
 def co21(spark, sf):
     return labels.label_matrix(episodes(spark, sf), index_dates(spark, sf), MONTHS).withColumn("cost", F.round("cost", 5)).withColumn("days", F.col("days").cast("long"))
 

@@ -269,7 +269,8 @@ _WIN = "PARTITION BY subject_id ORDER BY us"
 
 @R.add("ES25", f"WITH {FLAT} SELECT subject_id, us, CAST(sum(a_count) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS full_count, sum(a_sum) OVER (w RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW) AS past_sum, max(r_max) OVER (w RANGE BETWEEN 1 FOLLOWING AND 604800000000 FOLLOWING) AS next_max FROM fl WINDOW w AS ({_WIN})")
 def es25(spark, sf):
-    w = ES.flat_windows(_flat(spark, sf), ["FULL", "7d", "-7d"])
+    events = ES.extract_events(range_schema(spark, sf))[0]
+    w = ES.flat_windows(_flat(spark, sf), ["FULL", "7d", "-7d"], counted=events)
     return w.select("subject_id", micros("timestamp").alias("us"), F.col("`FULL/flag/A/count`").alias("full_count"), F.col("`7d/flag/A/sum`").alias("past_sum"), F.col("`-7d/flag/R/max`").alias("next_max"))
 
 
@@ -278,7 +279,7 @@ def es26(spark, sf):
     flat = _flat(spark, sf)
     people = ES.build_subjects(static_schema(spark, sf))
     tasks = people.filter("subject_id % 2 = 0").select("subject_id", F.lit("1996-01-01").cast("timestamp").alias("end_time"), (F.col("balance") > 0).alias("label"))
-    d = ES.load_flat(ES.flat_static(people, "segment", ["BUILDING"]), flat.drop("event_id"), {"FULL": ES.flat_windows(flat.join(tasks.select("subject_id"), "subject_id", "left_semi"), ["FULL"])}, tasks)
+    d = ES.load_flat(ES.flat_static(people, "segment", ["BUILDING"]), flat.drop("event_id"), {"FULL": ES.flat_windows(flat.join(tasks.select("subject_id"), "subject_id", "left_semi"), ["FULL"], counted=ES.extract_events(range_schema(spark, sf))[0])}, tasks)
     return d.select("subject_id", micros("timestamp").alias("us"), "label", F.col("`FULL/flag/A/count`").alias("full_count"), F.col("`static/segment/BUILDING/present`").alias("building"))
 
 

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import json
 import re
+import time
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.scalars import portable_hash
 from tidemark.operators.filters import pick_columns
@@ -165,19 +170,57 @@ def task_collection(spark: SparkSession, path: str, prefix: str = "") -> dict[st
 
 
 def write_missing(df: DataFrame, path: str, key: str, params: Mapping) -> DataFrame:
-    """Idempotent cache by partition: parameters must equal those on record; only values of ``key`` that are not there yet
-    are written. Returns the whole cache."""
+    """Idempotent cache by values of ``key``: parameters must equal those on record; only values that are not there yet are
+    written. Returns the whole cache.
+
+    Each call writes its rows to a folder of its own attempt and then one manifest, which holds the parameters and names the folder.
+    Only what a manifest names counts: an attempt that ends before that leaves nothing behind that a later call reads, and the
+    next call writes those values again. A value of ``key`` is taken from one attempt, the first by name that has it."""
     spark = df.sparkSession
-    old = sidecar(spark, f"{path}.params.json")
-    if old is not None and old != json.loads(json.dumps(dict(params))):
-        raise ValueError(f"{path} was written with other parameters: {old}")
-    if old is None:
-        sidecar(spark, f"{path}.params.json", dict(params))
-        df.write.mode("append").partitionBy(key).parquet(path)
-    else:
-        have = spark.read.parquet(path).select(F.col(key).cast(dict(df.dtypes)[key])).distinct()
-        df.join(have, key, "left_anti").select(df.columns).write.mode("append").partitionBy(key).parquet(path)
-    return spark.read.parquet(path)
+    mine = json.loads(json.dumps(dict(params)))
+    done = manifests(spark, path)
+    for m in done:
+        if m["params"] != mine:
+            raise ValueError(f"{path} was written with other parameters: {m['params']}")
+    columns = StructType([f for f in df.schema if f.name != key] + [df.schema[key]])
+    old = _attempts(spark, path, done, columns)
+    fresh = df.select(columns.names)
+    if old is not None:
+        have = old.select(F.struct(key).alias("_have")).distinct()
+        fresh = fresh.join(have, F.struct(key) == F.col("_have"), "left_anti")
+    attempt = uuid.uuid4().hex
+    fresh.write.partitionBy(key).parquet(f"{path}/data/{attempt}")
+    commit(spark, path, attempt, {"params": mine, "data": attempt, "at": time.time()})
+    return _attempts(spark, path, manifests(spark, path), columns)
+
+
+def manifests(spark: SparkSession, path: str) -> list[dict]:
+    """The committed attempts of a cache, oldest first."""
+    try:
+        rows = spark.read.text(f"{path}/manifests/*/part-*", wholetext=True).collect()  # one for each call that wrote
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted((json.loads(r["value"]) for r in rows if r["value"].strip()), key=lambda m: (m["at"], m["data"]))
+
+
+def commit(spark: SparkSession, path: str, attempt: str, manifest: Mapping) -> None:
+    """Write a manifest; Spark's writer makes its file appear as a whole."""
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifests/{attempt}")
+
+
+def _attempts(spark: SparkSession, path: str, done: Sequence[Mapping], columns: StructType) -> DataFrame | None:
+    if not done:
+        return None
+    parts = [spark.read.schema(columns).parquet(f"{path}/data/{m['data']}").withColumn("_attempt", F.lit(i)) for i, m in enumerate(done)]
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    if len(parts) == 1:
+        return rows.drop("_attempt")
+    # Two calls that ran at once may both have written a value.
+    key = columns.names[-1]
+    first = rows.groupBy(F.struct(key).alias("_key")).agg(F.min("_attempt").alias("_first"))
+    return rows.join(first, (F.struct(F.col(key)) == F.col("_key")) & (F.col("_attempt") == F.col("_first")), "left_semi").drop("_attempt")
 
 
 def quarantine(df: DataFrame, key: str, bad, path: str | None = None) -> tuple[DataFrame, DataFrame]:
