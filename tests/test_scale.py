@@ -88,3 +88,26 @@ def test_two_writers_at_once_give_each_value_once(spark, tmp_path):
     df.filter("chunk = 'a'").write.partitionBy("chunk").parquet(f"{path}/data/other")
     io.commit(spark, path, "other", {"params": {}, "data": "other", "at": 1e12})
     assert sorted(r["v"] for r in io.write_missing(df, path, "chunk", {}).collect()) == [1, 2]
+
+
+def test_fit_and_transform_of_all_kinds_of_measures(spark):
+    from tidemark.plans import datasets, fitting
+
+    rng = random.Random(8)
+    subjects = spark.createDataFrame([(i, rng.choice("xy")) for i in range(20)], "subject_id long, sex string")
+    events = spark.createDataFrame([(i, i % 20, float(i % 30)) for i in range(200)], "event_id long, subject_id long, age double")
+    rows = spark.createDataFrame([(i % 200, "a" if i % 3 else "b", float(i % 2), rng.gauss(10, 2), None, "ab"[i % 2]) for i in range(400)], "event_id long, test string, result double, pulse double, never string, code string")
+    measures = [
+        ES.Measurement("sex", "static"), ES.Measurement("age", "functional", "univariate_regression"), ES.Measurement("test", modality="multivariate_regression", values_column="result"),
+        ES.Measurement("pulse", modality="univariate_regression"), ES.Measurement("never"), ES.Measurement("missing"),
+    ]
+    data = datasets.Dataset({}, measures).fit({"subjects": subjects, "events": events, "measurements": rows}, min_observed=0.1)
+    assert [m.name for m in data.measures] == ["sex", "age", "test", "pulse"]
+    status = fitting.fit_measures({"measurements": rows}, measures).status.collect()
+    assert {r["measure"]: r["status"] for r in status} == {"sex": "absent", "age": "absent", "test": "kept", "pulse": "kept", "never": "absent", "missing": "absent"}
+    assert {r["element"] for r in data.vocabularies["test"].collect()} == {"UNK", "a__EQ_0", "a__EQ_1", "b__EQ_0", "b__EQ_1"}
+    ages = [r["age"] for r in data.transform(events).collect()]
+    assert abs(sum(ages) / len(ages)) < 1e-9 and max(ages) < 2
+    out = data.transform(rows).filter("pulse is not null and not isnan(pulse)").agg(F.avg("pulse"), F.stddev_samp("pulse")).first()
+    assert abs(out[0]) < 1e-9 and out[1] == pytest.approx(1)
+    assert data.transform(subjects).columns == ["subject_id", "sex"]

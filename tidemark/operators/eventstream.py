@@ -214,31 +214,38 @@ def fit_numeric(
     Rare keys are dropped; values are dropped or censored by ``bounds`` (key and bound columns); whole values make
     an integer; few distinct values make a category; inliers lie strictly between mean -+ c std; mean
     and std are those of inliers."""
-    v = F.col(value).cast("double")
-    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), v.alias("value"))
+    rows = df.filter(F.col(key).isNotNull()).select(F.lit("").alias("measure"), F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
+    limits = bounds.withColumn("measure", F.lit("")) if bounds is not None else None
+    return fit_numeric_long(rows, min_key, integer_share, categorical_below, outlier_c, limits).drop("measure")
+
+
+def fit_numeric_long(rows: DataFrame, min_key: float = 1, integer_share: float = 0.9, categorical_below: int = 5, outlier_c: float | None = 5.0, bounds: DataFrame | None = None) -> DataFrame:
+    """``fit_numeric`` for the keys of all measures at once: (measure, key, value) to a row for each measure and key."""
+    both = ["measure", "key"]
     if bounds is not None:
-        limits = [c for c in bounds.columns if c != "key"]
-        rows = rows.join(bounds, "key", "left").withColumn("value", S.drop_or_censor("value", **{c: F.col(c) for c in limits})).drop(*limits)
+        limits = [c for c in bounds.columns if c not in both]
+        rows = rows.join(bounds, both, "left").withColumn("value", S.drop_or_censor("value", **{c: F.col(c) for c in limits})).drop(*limits)
     ok = F.col("value").isNotNull() & ~F.isnan("value")
     x = F.when(ok, F.col("value"))
     whole = F.avg(F.when(ok, (F.col("value") == F.round("value")).cast("double")))
-    seen = rows.groupBy("key").agg(F.count("*").alias("n"), F.count(x).alias("n_values"), whole.alias("share"), F.count_distinct(x).alias("d"), F.count_distinct(F.round(x)).alias("d_round"))
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    rare = F.col("n") < S.count_or_share(int(total), min_key)
+    seen = rows.groupBy(*both).agg(F.count("*").alias("n"), F.count(x).alias("n_values"), whole.alias("share"), F.count_distinct(x).alias("d"), F.count_distinct(F.round(x)).alias("d_round"))
+    totals = seen.groupBy(F.col("measure").alias("_m")).agg(F.sum("n").alias("total"))
+    seen = seen.join(totals, F.col("measure") == F.col("_m")).drop("_m")
+    rare = F.col("n") < S.count_or_share(F.col("total"), F.lit(float(min_key)))
     integer = F.col("share") > integer_share
     few = F.when(integer, F.col("d_round")).otherwise(F.col("d")) < categorical_below
     kind = F.when(rare | (F.col("n_values") == 0), "dropped").when(integer & few, "categorical_integer").when(few, "categorical_float").when(integer, "integer").otherwise("float")
-    types = seen.select("key", kind.alias("value_type"))
-    numeric = rows.filter(ok).join(types.filter("value_type in ('integer', 'float')"), "key").withColumn("value", F.when(F.col("value_type") == "integer", F.round("value")).otherwise(F.col("value")))
-    stats = numeric.groupBy("key").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    types = seen.select(*both, kind.alias("value_type"))
+    numeric = rows.filter(ok).join(types.filter("value_type in ('integer', 'float')"), both).withColumn("value", F.when(F.col("value_type") == "integer", F.round("value")).otherwise(F.col("value")))
+    stats = numeric.groupBy(*both).agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
     if outlier_c is not None:
-        stats = stats.select("key", (F.col("m") - outlier_c * F.col("s")).alias("thresh_low"), (F.col("m") + outlier_c * F.col("s")).alias("thresh_high"))
-        inlier = numeric.join(stats, "key").filter("thresh_low is null or (value > thresh_low and value < thresh_high)")
-        stats = stats.join(inlier.groupBy("key").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")), "key", "left")
+        stats = stats.select(*both, (F.col("m") - outlier_c * F.col("s")).alias("thresh_low"), (F.col("m") + outlier_c * F.col("s")).alias("thresh_high"))
+        inlier = numeric.join(stats, both).filter("thresh_low is null or (value > thresh_low and value < thresh_high)")
+        stats = stats.join(inlier.groupBy(*both).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")), both, "left")
     else:
         none = F.lit(None).cast("double")
-        stats = stats.select("key", none.alias("thresh_low"), none.alias("thresh_high"), F.col("m").alias("mean"), F.col("s").alias("std"))
-    return types.join(stats, "key", "left")
+        stats = stats.select(*both, none.alias("thresh_low"), none.alias("thresh_high"), F.col("m").alias("mean"), F.col("s").alias("std"))
+    return types.join(stats, both, "left")
 
 
 def transform_numeric(df: DataFrame, key: str, value: str, meta: DataFrame, normalise: bool = True, bounds: DataFrame | None = None) -> DataFrame:

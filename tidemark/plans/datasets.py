@@ -6,8 +6,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators import eventstream as ES
+from tidemark.plans import fitting
 from tidemark.sources import io
 
 
@@ -20,25 +22,35 @@ class Dataset:
     numeric: Mapping[str, DataFrame] = field(default_factory=dict)
     vocabularies: Mapping[str, DataFrame] = field(default_factory=dict)
 
-    def fit(self, train: DataFrame, min_key: float = 1, outlier_c: float | None = 5.0) -> Dataset:
-        """Fit value types, thresholds and vocabularies of all dynamic measures on the rows ``train``."""
-        numeric, vocabularies = {}, {}
-        for m in self.measures:
-            rows = train
-            if m.modality == "multivariate_regression":
-                numeric[m.name] = ES.fit_numeric(train, m.name, m.values_column, min_key, outlier_c=outlier_c)
-                rows = ES.transform_numeric(train, m.name, m.values_column, numeric[m.name])
-            if m.modality != "univariate_regression":
-                vocabularies[m.name] = ES.fit_vocabulary(rows, m.name)
-        return Dataset(self.tables, self.measures, numeric, vocabularies)
+    def fit(self, train: DataFrame | Mapping[str, DataFrame], min_key: float = 1, outlier_c: float | None = 5.0, **cutoffs) -> Dataset:
+        """Fit all measures on the train split: its subjects, events and measurements, or its measurements alone. Measures that are
+        dropped (see ``fitting.Fitted``) are left out of the result."""
+        parts = {"measurements": train} if isinstance(train, DataFrame) else train
+        fitted = fitting.fit_measures(parts, self.measures, min_key=min_key, outlier_c=outlier_c, **cutoffs)
+        kept = {r["measure"] for r in fitted.status.filter(F.col("status") == fitting.KEPT).select("measure").collect()}  # a row for each measure
+        known = {r["measure"] for r in fitted.vocabulary.select("measure").distinct().collect()}
+        own = lambda df, m: df.filter(F.col("measure") == m.name).drop("measure")
+        measures = [m for m in self.measures if m.name in kept]
+        numeric = {m.name: own(fitted.numeric, m) for m in measures if m.modality.endswith("regression")}
+        vocabularies = {m.name: fitted.vocabulary.filter(F.col("measure") == m.name) for m in measures if m.name in known}
+        return Dataset(self.tables, measures, numeric, vocabularies)
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        """Apply what was fitted to rows with the measures' columns."""
+        """Apply what was fitted to the measures whose columns ``rows`` has: measurements, subjects or events. A single value
+        that is a category moves to ``<name>_element``."""
         for m in self.measures:
+            if m.name not in rows.columns:
+                continue
+            key, value = m.name, m.values_column
+            if m.modality == "univariate_regression":
+                key, value = f"{m.name}_element", m.name
+                rows = rows.withColumn(key, F.when(F.col(m.name).isNotNull(), m.name))
             if m.name in self.numeric:
-                rows = ES.transform_numeric(rows, m.name, m.values_column, self.numeric[m.name])
+                rows = ES.transform_numeric(rows, key, value, self.numeric[m.name])
             if m.name in self.vocabularies:
-                rows = ES.transform_categorical(rows, m.name, self.vocabularies[m.name], m.values_column)
+                rows = ES.transform_categorical(rows, key, self.vocabularies[m.name], value)
+            elif key != m.name:
+                rows = rows.drop(key)
         return rows
 
     def save(self, path: str, overwrite: bool = False) -> None:

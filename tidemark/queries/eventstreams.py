@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import micros
 from tidemark.operators import eventstream as ES
+from tidemark.plans import fitting
 from tidemark.queries import Registry, t
 from tidemark.queries.aggregations import rounded
 from tidemark.queries.joining import H
@@ -106,18 +107,57 @@ def es08(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@R.add("ES09", "SELECT * FROM (SELECT 'flag' AS measure, count(DISTINCT l_orderkey) AS possible, count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_orderkey END) AS observed, count(CASE WHEN l_returnflag <> 'N' THEN 1 END) AS total FROM lineitem UNION ALL SELECT 'big', count(DISTINCT l_orderkey), count(DISTINCT CASE WHEN l_quantity > 49 THEN l_orderkey END), count(CASE WHEN l_quantity > 49 THEN 1 END) FROM lineitem) WHERE observed >= round(0.2 * possible)")
+FIT = (
+    ES.Measurement("flag"), ES.Measurement("big", modality="univariate_regression"), ES.Measurement("k", modality="multivariate_regression", values_column="v"), ES.Measurement("price", modality="univariate_regression"),
+    ES.Measurement("part"), ES.Measurement("segment", "static"), ES.Measurement("month", "functional", "univariate_regression"), ES.Measurement("none"),
+)
+
+_FIT_SQL = f"""WITH s AS ({_ES07}), tr AS (SELECT subject_id FROM s WHERE split = 'train'),
+ li AS (SELECT l_orderkey AS u, nullif(l_returnflag, 'N') AS flag, CASE WHEN l_quantity > 49 THEN l_quantity END AS big, CASE WHEN l_orderkey = 1 THEN 'rare' ELSE l_returnflag END AS k,
+   CASE WHEN l_returnflag = 'R' THEN l_extendedprice WHEN l_returnflag = 'A' THEN l_linenumber % 3 ELSE l_quantity END AS v, l_extendedprice AS price, l_partkey AS part
+   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT subject_id FROM tr)),
+ od AS (SELECT o_orderkey AS u, month(o_orderdate) AS m FROM orders WHERE o_custkey IN (SELECT subject_id FROM tr)), cu AS (SELECT c_custkey AS u, c_mktsegment AS g FROM customer WHERE c_custkey IN (SELECT subject_id FROM tr)),
+ lo AS (SELECT 'flag' AS measure, u, flag AS k, CAST(NULL AS DOUBLE) AS v FROM li UNION ALL SELECT 'big', u, CASE WHEN big IS NOT NULL THEN 'big' END, big FROM li UNION ALL SELECT 'k', u, k, v FROM li UNION ALL SELECT 'price', u, 'price', price FROM li
+   UNION ALL SELECT 'part', u, CAST(part AS VARCHAR), NULL FROM li UNION ALL SELECT 'segment', u, g, NULL FROM cu UNION ALL SELECT 'month', u, 'month', m FROM od),
+ ra AS (SELECT measure, count(DISTINCT u) AS possible, count(DISTINCT CASE WHEN k IS NOT NULL THEN u END) AS observed, count(k) AS total FROM lo GROUP BY 1),
+ st AS (SELECT *, CASE WHEN observed < CAST(round_even(possible * 0.2, 0) AS BIGINT) THEN 'rare' ELSE 'kept' END AS status FROM ra),
+ ke AS (SELECT lo.* FROM lo JOIN st USING (measure) WHERE status = 'kept' AND k IS NOT NULL),
+ se AS (SELECT measure, k, count(*) AS n, avg(CAST(v = round(v) AS INT)) AS sh, count(DISTINCT v) AS d, count(DISTINCT round(v)) AS dr FROM ke WHERE measure IN ('k', 'price', 'month') GROUP BY 1, 2),
+ ty AS (SELECT measure, k, CASE WHEN n < 50 THEN 'dropped' WHEN sh > 0.9 AND dr < 5 THEN 'categorical_integer' WHEN sh <= 0.9 AND d < 5 THEN 'categorical_float' WHEN sh > 0.9 THEN 'integer' ELSE 'float' END AS t FROM se),
+ nu AS (SELECT measure, k, CASE WHEN t = 'integer' THEN round(v) ELSE v END AS v FROM ke JOIN ty USING (measure, k) WHERE t IN ('integer', 'float')),
+ th AS (SELECT measure, k, avg(v) - 1.5 * stddev_samp(v) AS lo, avg(v) + 1.5 * stddev_samp(v) AS hi FROM nu GROUP BY 1, 2),
+ ms AS (SELECT measure, k, avg(v) AS mean, stddev_samp(v) AS std FROM nu JOIN th USING (measure, k) WHERE v > lo AND v < hi GROUP BY 1, 2),
+ el AS (SELECT measure, CASE WHEN t = 'categorical_integer' THEN k || '__EQ_' || CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE k END AS e FROM ke LEFT JOIN ty USING (measure, k) WHERE measure NOT IN ('price', 'month')),
+ co AS (SELECT measure, CASE WHEN n < CAST(round_even(total * 0.05, 0) AS BIGINT) THEN 'UNK' ELSE e END AS e, sum(n) AS n FROM (SELECT measure, e, count(*) AS n FROM el GROUP BY 1, 2) JOIN ra USING (measure) GROUP BY 1, 2),
+ al AS (SELECT * FROM co UNION ALL SELECT DISTINCT measure, 'UNK', 0 FROM co WHERE measure NOT IN (SELECT measure FROM co WHERE e = 'UNK')),
+ nb AS (SELECT *, CASE WHEN e = 'UNK' THEN 0 ELSE row_number() OVER (PARTITION BY measure, e = 'UNK' ORDER BY n DESC, e DESC) END AS i, sum(n) OVER (PARTITION BY measure) AS t FROM al),
+ go AS (SELECT measure FROM nb GROUP BY 1 HAVING max(i) = 0)
+SELECT measure, 'measure' AS what, CASE WHEN measure IN (SELECT measure FROM go) THEN 'unknown only' ELSE status END AS name, CAST(possible AS DOUBLE) AS a, CAST(observed AS DOUBLE) AS b, CAST(total AS DOUBLE) AS c, CAST(NULL AS DOUBLE) AS d FROM st
+UNION ALL SELECT 'none', 'measure', 'absent', 0, 0, 0, NULL
+UNION ALL SELECT ty.measure, 'numeric', ty.k || ':' || t, round(lo, 3), round(hi, 3), round(mean, 3), round(std, 3) FROM ty LEFT JOIN th ON th.measure = ty.measure AND th.k = ty.k LEFT JOIN ms ON ms.measure = ty.measure AND ms.k = ty.k
+UNION ALL SELECT measure, 'element', e, CAST(i AS DOUBLE), CAST(n AS DOUBLE), round(n / t, 6), NULL FROM nb WHERE measure NOT IN (SELECT measure FROM go)"""
+
+
+@R.add("ES09", _FIT_SQL)
 def es09(spark, sf):
-    li = t(spark, sf, "lineitem").select("l_orderkey", F.nullif("l_returnflag", F.lit("N")).alias("flag"), F.when(F.col("l_quantity") > 49, F.col("l_quantity")).alias("big"))
-    rates = ES.observation_rates(li, "l_orderkey", ["flag", "big"])
-    return rates.filter(F.col("measure").isin(ES.keep_measures(rates, 0.2)))
+    rows = _values(spark, sf).join(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.select(F.col("o_custkey").alias("subject_id"), F.col("l_orderkey").alias("event_id"), F.nullif("l_returnflag", F.lit("N")).alias("flag"), F.when(F.col("l_quantity") > 49, F.col("l_quantity")).alias("big"), "k", "v", F.col("l_extendedprice").alias("price"), F.col("l_partkey").alias("part"))
+    subjects = t(spark, sf, "customer").select(F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("segment"))
+    events = t(spark, sf, "orders").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("event_id"), F.month("o_orderdate").alias("month"))
+    train = ES.split_view({"subjects": subjects, "events": events, "measurements": rows}, _splits(spark, sf), "train")
+    fitted = fitting.fit_measures(train, FIT, min_observed=0.2, min_key=50, min_element=0.05, outlier_c=1.5)
+    d = lambda c, digits=3: F.round(F.col(c).cast("double"), digits)
+    status = fitted.status.select("measure", F.lit("measure").alias("what"), F.col("status").alias("name"), d("possible").alias("a"), d("observed").alias("b"), d("total").alias("c"), F.lit(None).cast("double").alias("d"))
+    numeric = fitted.numeric.select("measure", F.lit("numeric").alias("what"), F.concat_ws(":", "key", "value_type").alias("name"), d("thresh_low").alias("a"), d("thresh_high").alias("b"), d("mean").alias("c"), d("std").alias("d"))
+    words = fitted.vocabulary.select("measure", F.lit("element").alias("what"), F.col("element").alias("name"), d("idx").alias("a"), d("count").alias("b"), d("freq", 6).alias("c"), F.lit(None).cast("double").alias("d"))
+    return status.unionByName(numeric).unionByName(words)
 
 
 def _values(spark, sf):
     """A key with whole values, one with few, one with fractions and one that is rare."""
     v = F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).when(F.col("l_returnflag") == "A", F.pmod("l_linenumber", F.lit(3)).cast("double")).otherwise(F.col("l_quantity"))
     key = F.when(F.col("l_orderkey") == 1, "rare").otherwise(F.col("l_returnflag"))
-    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", key.alias("k"), v.alias("v"))
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_quantity", "l_extendedprice", key.alias("k"), v.alias("v"))
 
 
 VALS = "vals AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_orderkey = 1 THEN 'rare' ELSE l_returnflag END AS k, CASE WHEN l_returnflag = 'R' THEN l_extendedprice WHEN l_returnflag = 'A' THEN l_linenumber % 3 ELSE l_quantity END AS v FROM lineitem)"
@@ -169,7 +209,7 @@ def es13(spark, sf):
 @R.add("ES14", f"""WITH {META} SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN value_type = 'categorical_integer' THEN k || '__EQ_' || CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE k END AS k,
  CASE WHEN value_type IN ('integer', 'float') AND v > thresh_low AND v < thresh_high THEN round((v - mean) / std, 6) END AS v, CASE WHEN value_type IN ('integer', 'float') THEN v > thresh_low AND v < thresh_high END AS v_is_inlier FROM vals JOIN typ ON k = typ."key" LEFT JOIN th ON k = th."key" LEFT JOIN ms ON k = ms."key\"""")
 def es14(spark, sf):
-    d = ES.transform_numeric(_values(spark, sf), "k", "v", _meta(spark, sf))
+    d = ES.transform_numeric(_values(spark, sf).drop("l_returnflag", "l_quantity", "l_extendedprice"), "k", "v", _meta(spark, sf))
     return d.withColumn("v", F.round(F.nanvl("v", F.lit(None).cast("double")), 6))
 
 
