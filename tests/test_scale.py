@@ -111,3 +111,25 @@ def test_fit_and_transform_of_all_kinds_of_measures(spark):
     out = data.transform(rows).filter("pulse is not null and not isnan(pulse)").agg(F.avg("pulse"), F.stddev_samp("pulse")).first()
     assert abs(out[0]) < 1e-9 and out[1] == pytest.approx(1)
     assert data.transform(subjects).columns == ["subject_id", "sex"]
+
+
+def test_schema_of_nested_documents(spark):
+    subjects = spark.createDataFrame([(1, "x", 2.0), (2, None, None)], "subject_id int, sex string, weight double")
+    events = spark.createDataFrame([(7, 1, T0, "visit", 3.0), (8, 1, T0 - HOUR, "visit", 2.0)], "event_id long, subject_id int, timestamp timestamp, event_type string, age double")
+    rows = spark.createDataFrame([(7, 1, T0, "bp", "high", T0, 5)], "event_id long, subject_id int, timestamp timestamp, code string, word string, seen timestamp, dose int")
+    measures = [
+        ES.Measurement("sex", "static", modifiers=("weight",)), ES.Measurement("age", "functional", "univariate_regression"),
+        ES.Measurement("code", modality="multivariate_regression", values_column="word", modifiers=("seen", "dose")),
+    ]
+    d = ES.nested_documents(subjects, events, rows, measures)
+    item = "struct<code:string,numeric_value:float,text_value:string,datetime_value:timestamp,modifiers:struct<dose:int,seen:timestamp,weight:double>>"
+    assert d.schema.simpleString() == f"struct<patient_id:bigint,static_measurements:array<{item}>,events:array<struct<time:timestamp,measurements:array<{item}>>>>"
+    assert ES.nested_schema({"subjects": subjects, "events": events, "measurements": rows}, measures).simpleString() == d.schema.simpleString()
+    by = {r["patient_id"]: r for r in d.collect()}
+    assert [e["time"] for e in by[1]["events"]] == [T0 - HOUR, T0]
+    assert [(m["code"], m["numeric_value"], m["text_value"], m["modifiers"]["dose"]) for m in by[1]["events"][1]["measurements"]] == [("age", 3.0, None, None), ("code/bp", None, "high", 5), ("event_type/visit", None, None, None)]
+    assert by[1]["static_measurements"][0]["modifiers"]["weight"] == 2.0 and by[2]["static_measurements"] == [] and by[2]["events"] == []
+    plain = ES.nested_documents(subjects, events, rows, [ES.Measurement("sex", "static")])
+    assert "modifiers" not in plain.schema.simpleString()
+    with pytest.raises(ValueError):
+        ES.nested_schema({"subjects": subjects}, [ES.Measurement("sex", "static", modifiers=("nothing",))])

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, FloatType, LongType, NumericType, StringType, StructField, StructType, TimestampType
 
 from tidemark.functions import scalars as S
 from tidemark.functions.encodings import number_rows
@@ -29,12 +30,13 @@ UNK = "UNK"
 @dataclass(frozen=True)
 class Measurement:
     """A measured column. ``modality``: single_label, multi_label, univariate_regression (values only) or
-    multivariate_regression (keys in the column, values in ``values_column``)."""
+    multivariate_regression (keys in the column, values in ``values_column``). ``modifiers``: columns that go with each measurement."""
 
     name: str
     temporality: str = "dynamic"
     modality: str = "single_label"
     values_column: str | None = None
+    modifiers: tuple[str, ...] = ()
 
     def __post_init__(self):
         if self.temporality not in ("static", "functional", "dynamic"):
@@ -360,23 +362,61 @@ def sequences(subjects: DataFrame, events: DataFrame, static: DataFrame, dynamic
     return subjects.select("subject_id").join(fixed, "subject_id", "left").join(per, "subject_id", "left")
 
 
-def nested_documents(subjects: DataFrame, events: DataFrame, measurements: DataFrame, measures: Sequence[Measurement], static_cols: Sequence[str] = ()) -> DataFrame:
-    """One nested document per subject: static measurements, and events in time order with their measurements
-    (code ``measure/value``, numeric value) in a fixed schema."""
-    kind = "array<struct<code:string,numeric_value:double>>"
-    items = []
+def nested_schema(tables: Mapping[str, DataFrame], measures: Sequence[Measurement]) -> StructType:
+    """The declared schema of nested documents: (patient_id, static_measurements, events (time, measurements)), a measurement being (code,
+    numeric_value, text_value, datetime_value, modifiers). ``modifiers`` has the modifier columns of all measures, sorted by name,
+    in the types of their sources (text for others than numbers, booleans, dates and times); without any there is no such field."""
+    found: dict[str, DataType] = {}
     for m in measures:
-        c = F.col(m.name)
-        value = F.col(m.values_column).cast("double") if m.values_column else (c.cast("double") if m.modality == "univariate_regression" else F.lit(None).cast("double"))
-        code = F.lit(m.name) if m.modality == "univariate_regression" else F.concat(F.lit(f"{m.name}/"), c.cast("string"))
-        items.append(F.when(c.isNotNull(), F.struct(code.alias("code"), value.alias("numeric_value"))))
-    long = measurements.select("event_id", F.explode(F.array_compact(F.array(*items))).alias("x"))
-    per_event = long.groupBy("event_id").agg(F.array_sort(F.collect_list("x")).alias("measurements"))
-    rows = events.join(per_event, "event_id", "left").withColumn("measurements", F.coalesce("measurements", F.array().cast(kind)))
-    doc = F.struct(F.col("timestamp").alias("time"), F.col("event_type").alias("code"), "measurements")
-    per = rows.groupBy("subject_id").agg(F.array_sort(F.collect_list(doc)).alias("events"))
-    fixed = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.concat(F.lit(f"{c}/"), F.col(c).cast("string")).alias("code"), F.lit(None).cast("double").alias("numeric_value"))) for c in static_cols])) if static_cols else F.array().cast(kind)
-    return subjects.select(F.col("subject_id"), fixed.alias("static_measurements")).join(per, "subject_id", "left").withColumnRenamed("subject_id", "patient_id")
+        source = tables[{"static": "subjects", "functional": "events", "dynamic": "measurements"}[m.temporality]]
+        for c in m.modifiers:
+            if c not in source.columns:
+                raise ValueError(f"{m.name} has no modifier column {c}")
+            kind = source.schema[c].dataType
+            kind = kind if isinstance(kind, (NumericType, BooleanType, DateType, TimestampType)) else StringType()
+            if found.setdefault(c, kind) != kind:
+                raise ValueError(f"modifier {c} has two types")
+    fields = [StructField("code", StringType()), StructField("numeric_value", FloatType()), StructField("text_value", StringType()), StructField("datetime_value", TimestampType())]
+    if found:
+        fields.append(StructField("modifiers", StructType([StructField(c, found[c]) for c in sorted(found)])))
+    many = ArrayType(StructType(fields))
+    event = StructType([StructField("time", TimestampType()), StructField("measurements", many)])
+    return StructType([StructField("patient_id", LongType()), StructField("static_measurements", many), StructField("events", ArrayType(event))])
+
+
+def _nested_items(df: DataFrame, measures: Sequence[Measurement], item: StructType) -> Column:
+    """The measurements of a row, conformed to the declared type. A value in ``text_value`` or ``datetime_value`` is that of a measure whose
+    values column has text or times."""
+    out, types = [], {f.name: f.dataType for f in df.schema}
+    mods = item["modifiers"].dataType.names if "modifiers" in item.names else []
+    for m in measures:
+        c, alone = F.col(m.name), m.modality == "univariate_regression"
+        v = c if alone else F.col(m.values_column) if m.values_column else F.lit(None)
+        kind = types[m.name] if alone else types[m.values_column] if m.values_column else None
+        where = "text_value" if isinstance(kind, StringType) else "datetime_value" if isinstance(kind, (TimestampType, DateType)) else "numeric_value"
+        fields = {"code": F.lit(m.name) if alone else F.concat(F.lit(f"{m.name}/"), c.cast("string")), where: v}
+        cols = [fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in item.fields if f.name != "modifiers"]
+        if mods:
+            cols.append(F.struct(*[(F.col(x) if x in m.modifiers else F.lit(None)).cast(item["modifiers"].dataType[x].dataType).alias(x) for x in mods]).alias("modifiers"))
+        out.append(F.when(c.isNotNull(), F.struct(*cols)))
+    return F.array_compact(F.array(*out)) if out else F.array().cast(ArrayType(item))
+
+
+def nested_documents(subjects: DataFrame, events: DataFrame, measurements: DataFrame, measures: Sequence[Measurement]) -> DataFrame:
+    """One nested document per subject, in the type of ``nested_schema``: static measurements, and events in time order with their type
+    (``event_type/...``), functional and dynamic measurements, sorted. Events and measurements are one table grouped by subject, time
+    and event, so they are not joined. A subject without events has an empty list; a subject of any size must fit a row."""
+    tables = {"subjects": subjects, "events": events, "measurements": measurements}
+    schema = nested_schema(tables, measures)
+    item = schema["static_measurements"].dataType.elementType
+    of = lambda kind: [m for m in measures if m.temporality == kind]
+    at = ["subject_id", "timestamp", "event_id"]
+    both = [df.select(*at, _nested_items(df, own, item).alias("m")) for df, own in ((events, [Measurement("event_type"), *of("functional")]), (measurements, of("dynamic")))]
+    per_event = both[0].unionByName(both[1]).groupBy(*at).agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("measurements"))
+    per = per_event.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct(F.col("timestamp").alias("time"), "measurements"))).alias("events"))
+    fixed = subjects.select(F.col("subject_id").alias("patient_id"), _nested_items(subjects, of("static"), item).alias("static_measurements"))
+    rows = fixed.join(per, F.col("patient_id") == F.col("subject_id"), "left")
+    return rows.select(*[F.coalesce(F.col(f.name), F.array()).cast(f.dataType).alias(f.name) if f.name != "patient_id" else F.col("patient_id").cast("long") for f in schema.fields])
 
 
 def feature_catalogue(vocab: DataFrame, measures: Sequence[Measurement], windows: Sequence[str] = (), least_freq: float | None = None) -> DataFrame:

@@ -263,13 +263,32 @@ def es19(spark, sf):
     return s.select("subject_id", n.alias("n"), inner.alias("n_measurements"), micros("start_time").alias("us"), F.round(F.element_at("time", -1), 4).alias("span"))
 
 
-@R.add("ES20", f"WITH {PTS}, e AS (SELECT DISTINCT subject_id, ts, event_type FROM pts), g AS (SELECT subject_id, count(*) AS n_events, string_agg(event_type, ',' ORDER BY ts, event_type) AS codes FROM e GROUP BY 1), m AS (SELECT subject_id, count(*) AS n_measurements FROM pts GROUP BY 1) SELECT c_custkey AS patient_id, 'segment/' || c_mktsegment AS fixed, n_events, codes, n_measurements FROM customer LEFT JOIN g ON g.subject_id = c_custkey LEFT JOIN m ON m.subject_id = c_custkey")
+NESTED = (
+    ES.Measurement("kind", modifiers=("value", "late")), ES.Measurement("value", modality="univariate_regression", modifiers=("late",)), ES.Measurement("kind2", modality="multivariate_regression", values_column="note"),
+    ES.Measurement("hour", "functional", "univariate_regression"), ES.Measurement("segment", "static", modifiers=("balance",)), ES.Measurement("balance", "static", "univariate_regression"),
+)
+
+_NESTED_SQL = f"""WITH {PTS}, e AS (SELECT DISTINCT subject_id, ts, event_type FROM pts), c AS (SELECT c_custkey AS subject_id, c_mktsegment AS g, CAST(c_acctbal AS FLOAT) AS b FROM customer),
+ p AS (SELECT subject_id, ts, event_type, event_type AS kind, CAST(value AS FLOAT) AS v, ts >= TIMESTAMP '2024-01-15' AS late FROM pts WHERE subject_id IN (SELECT subject_id FROM c)), z AS (
+ SELECT subject_id, NULL AS us, 'segment/' || g AS code, CAST(NULL AS FLOAT) AS x, CAST(NULL AS VARCHAR) AS t, b AS mb, CAST(NULL AS BOOLEAN) AS ml, CAST(NULL AS FLOAT) AS mv FROM c WHERE g IS NOT NULL
+ UNION ALL SELECT subject_id, NULL, 'balance', b, NULL, NULL, NULL, NULL FROM c WHERE b IS NOT NULL
+ UNION ALL SELECT subject_id, epoch_us(ts), 'event_type/' || event_type, NULL, NULL, NULL, NULL, NULL FROM e WHERE subject_id IN (SELECT subject_id FROM c)
+ UNION ALL SELECT subject_id, epoch_us(ts), 'hour', hour(ts), NULL, NULL, NULL, NULL FROM e WHERE subject_id IN (SELECT subject_id FROM c)
+ UNION ALL SELECT subject_id, epoch_us(ts), 'kind/' || kind, NULL, NULL, NULL, late, v FROM p WHERE kind IS NOT NULL
+ UNION ALL SELECT subject_id, epoch_us(ts), 'value', v, NULL, NULL, late, NULL FROM p WHERE v IS NOT NULL
+ UNION ALL SELECT subject_id, epoch_us(ts), 'kind2/' || kind, NULL, upper(kind), NULL, NULL, NULL FROM p WHERE kind IS NOT NULL)
+SELECT subject_id AS patient_id, us, code, round(CAST(x AS DOUBLE), 3) AS numeric_value, t AS text_value, round(CAST(mb AS DOUBLE), 3) AS mod_balance, ml AS mod_late, round(CAST(mv AS DOUBLE), 3) AS mod_value FROM z"""
+
+
+@R.add("ES20", _NESTED_SQL)
 def es20(spark, sf):
-    d = ES.nested_documents(ES.build_subjects(static_schema(spark, sf)), *points(spark, sf), [KIND], ["segment"])
-    inner = F.aggregate(F.col("events"), F.lit(0), lambda a, x: a + F.size(x["measurements"])).cast("long")
-    n = F.when(F.col("events").isNotNull(), F.size("events").cast("long"))
-    codes = F.array_join(F.transform("events", lambda x: x["code"]), ",")
-    return d.select("patient_id", F.get("static_measurements", F.lit(0))["code"].alias("fixed"), n.alias("n_events"), codes.alias("codes"), inner.alias("n_measurements"))
+    events, rows = points(spark, sf)
+    rows = rows.withColumn("late", F.col("timestamp") >= F.lit("2024-01-15").cast("timestamp")).withColumn("kind2", F.col("kind")).withColumn("note", F.upper("kind"))
+    d = ES.nested_documents(ES.build_subjects(static_schema(spark, sf)), events.withColumn("hour", F.hour("timestamp")), rows, NESTED)
+    none = F.struct(F.lit(None).cast("timestamp").alias("time"), F.col("static_measurements").alias("measurements"))
+    parts = d.select("patient_id", F.explode(F.concat(F.array(none), "events")).alias("e")).select("patient_id", micros("e.time").alias("us"), F.explode("e.measurements").alias("m"))
+    r = lambda c, name: F.round(F.col(c).cast("double"), 3).alias(name)
+    return parts.select("patient_id", "us", "m.code", r("m.numeric_value", "numeric_value"), "m.text_value", r("m.modifiers.balance", "mod_balance"), F.col("m.modifiers.late").alias("mod_late"), r("m.modifiers.value", "mod_value"))
 
 
 @R.add("ES21", f"WITH {VOC} SELECT 'dynamic/kind/' || element || '/count' AS feature FROM voc UNION ALL SELECT '7d/kind/' || element || '/count' FROM voc UNION ALL SELECT 'static/segment/' || c_mktsegment || '/present' FROM (SELECT DISTINCT c_mktsegment FROM customer)")
