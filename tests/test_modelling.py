@@ -88,7 +88,7 @@ def test_bootstrap_band_holds_the_share_and_has_its_width(spark):
     rows = [(i, float(rng.random()), 0.0) for i in range(3000)]
     rows = [(i, p, float(rng.random() < p)) for i, p, _ in rows]
     d = spark.createDataFrame(rows, "id long, p double, y double")
-    for r in E.bootstrap_band(d, "y", "p", "id", 5, 100).collect():
+    for r in E.bootstrap_band(d, "y", "p", 5, 100).collect():
         own = [y for _, p, y in rows if min(int(p * 5), 4) == r["bin"]]
         share = sum(own) / len(own)
         width = 2 * 1.96 * (share * (1 - share) / len(own)) ** 0.5

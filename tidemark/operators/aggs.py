@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.quantiles import quantile, with_quantiles
+from tidemark.functions.quantiles import quantile, wide, with_quantiles
 from tidemark.functions.scalars import cut_right, micros
 
 
@@ -205,11 +205,14 @@ def fold_summary(df: DataFrame, by: Sequence[str], metrics: Sequence[str], flags
 def characteristics(df: DataFrame, outcome: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """Baseline table in long form: (variable, level, outcome, n, percent, median, q25, q75)."""
     out = None
-    for c in numeric:
-        part = df.groupBy(outcome).agg(F.count(c).alias("n"), F.lit(None).cast("double").alias("percent"))
-        part = with_quantiles(part, df, c, {"median": 0.5, "q25": 0.25, "q75": 0.75}, [outcome])
-        part = part.select(F.lit(c).alias("variable"), F.lit(None).cast("string").alias("level"), outcome, "n", "percent", "median", "q25", "q75")
-        out = part if out is None else out.unionByName(part)
+    if numeric:
+        qs = {"median": 0.5, "q25": 0.25, "q75": 0.75}
+        sizes = df.groupBy(F.struct(outcome).alias("_g")).agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(numeric)])
+        cuts = wide(df, {f"{k}{i}": (c, q) for i, c in enumerate(numeric) for k, q in qs.items()}, [outcome])
+        both = sizes.join(cuts.select(F.struct(outcome).alias("_h"), *[f"{k}{i}" for i in range(len(numeric)) for k in qs]), F.col("_g") == F.col("_h"), "left")
+        rows = [F.struct(F.lit(c).alias("variable"), F.col(f"n{i}").alias("n"), *[F.col(f"{k}{i}").alias(k) for k in qs]) for i, c in enumerate(numeric)]
+        long = both.select(F.col(f"_g.`{outcome}`").alias(outcome), F.explode(F.array(*rows)).alias("x"))
+        out = long.select("x.variable", F.lit(None).cast("string").alias("level"), outcome, "x.n", F.lit(None).cast("double").alias("percent"), "x.median", "x.q25", "x.q75")
     none = F.lit(None).cast("double")
     for c in categorical:
         n = df.groupBy(outcome, F.col(c).cast("string").alias("level")).count().withColumnRenamed("count", "n")

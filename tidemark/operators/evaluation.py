@@ -9,13 +9,15 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions.quantiles import quantile
-from tidemark.functions.scalars import portable_hash
+from tidemark.operators.segments import Running, Segments
 
 BUCKETS = 1000
 
@@ -143,11 +145,7 @@ def d_calibration(df: DataFrame, y: str, p: str, bins: int = 10, by: Sequence[st
 
 def with_p_value(df: DataFrame, least: float = 0.05) -> DataFrame:
     """Add p_value and the flag is_calibrated; a Pandas UDF over one row for each group."""
-    @F.pandas_udf("double")
-    def tail(x: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or a != a else chi_square_tail(float(a), int(b)) for a, b in zip(x, k, strict=True)])
-
-    return df.withColumn("p_value", tail("chi_square", "dof")).withColumn("is_calibrated", F.col("p_value") >= least)
+    return df.withColumn("p_value", chi_square_p("chi_square", "dof")).withColumn("is_calibrated", F.col("p_value") >= least)
 
 
 def metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = (), threshold: float = 0.5, recall: float = 0.8, specificity: float = 0.9) -> DataFrame:
@@ -223,51 +221,84 @@ def calibration_curve(df: DataFrame, y: str, p: str, bins: int = 10, strategy: s
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_pred"), F.avg("y").alias("frac_pos"))
 
 
-def bootstrap_band(df: DataFrame, y: str, p: str, row_id: str, bins: int = 10, replicates: int = 100, seed: int = 1, level: float = 0.95) -> DataFrame:
-    """(bin, frac_pos, low, high): a band of the observed share from Poisson(1) weights by a hash of row and replicate."""
+def bootstrap_band(df: DataFrame, y: str, p: str, bins: int = 10, replicates: int = 100, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """(bin, frac_pos, low, high): a bootstrap band of the observed share of positives in equal bins of the score.
+
+    A replicate gives each row a Poisson(1) weight, and the share of a bin depends on the sums of the weights of its positives and
+    of its negatives alone; these are Poisson with the two counts. So the rows are counted once, and numbers are drawn for each bin,
+    class and replicate, from a seed and the bin: the same on any partitioning."""
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
-    rows = df.select(F.col(row_id).alias("_id"), F.col(y).cast("double").alias("y"), b.alias("bin"))
-    u = portable_hash(F.concat_ws("/", "_id", "r"), seed) / float(2**32)
-    cdf, weight = 0.0, F.lit(0)
-    for k in range(8):
-        cdf += math.exp(-1) / math.factorial(k)
-        weight = weight + (u >= cdf).cast("int")
-    drawn = rows.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    per = drawn.groupBy("bin", "r").agg(F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")).alias("f"))
+    counts = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(b.alias("bin")).agg(F.count_if(F.col(y) > 0).alias("pos"), F.count("*").alias("n"))
     tail = (1 - level) / 2
-    band = per.groupBy("bin").agg(F.percentile("f", F.lit(tail)).alias("low"), F.percentile("f", F.lit(1 - tail)).alias("high"))
-    return rows.groupBy("bin").agg(F.avg("y").alias("frac_pos")).join(band, "bin")
+
+    def draw(parts):
+        for part in parts:
+            low, high = [], []
+            for i, pos, n in zip(part["bin"], part["pos"], part["n"], strict=True):
+                drawn = np.random.default_rng([seed, int(i)]).poisson([int(pos), int(n - pos)], (replicates, 2))
+                size = drawn.sum(axis=1)
+                shares = drawn[size > 0, 0] / size[size > 0]
+                low.append(float(np.quantile(shares, tail)) if len(shares) else None)
+                high.append(float(np.quantile(shares, 1 - tail)) if len(shares) else None)
+            yield pd.DataFrame({"bin": part["bin"], "frac_pos": part["pos"] / part["n"], "low": low, "high": high})
+
+    return counts.mapInPandas(draw, "bin int, frac_pos double, low double, high double")
+
+
+@F.pandas_udf(DoubleType())
+def chi_square_p(x: pd.Series, k: pd.Series) -> pd.Series:
+    """Tail probabilities, for small tables (a row for each test)."""
+    return pd.Series([None if a is None or a != a or b is None else chi_square_tail(float(a), int(b)) for a, b in zip(x, k, strict=True)], dtype="float64")
+
+
+def group_tests(df: DataFrame, group: str, numeric: Sequence[str] = (), categorical: Sequence[str] = ()) -> DataFrame:
+    """(variable, test, statistic, dof, p_value): whether variables differ between groups, all from one plan.
+
+    Numeric ones by Kruskal-Wallis with correction for ties: the different values of all variables are one table, ranked by a running
+    sum of their counts that cuts large variables into segments. Categorical ones by chi-square of independence, from the cells that
+    are not empty. Nulls are left out by variable. Fewer than two groups, values or levels give a null statistic."""
+    g = F.col(group)
+    out = []
+    if numeric:
+        items = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in numeric])
+        long = df.filter(g.isNotNull()).select(g.alias("g"), F.explode(items).alias("x")).select("x.variable", "x.v", "g").filter("v is not null and not isnan(v)")
+        counts = long.groupBy("variable", "v", "g").agg(F.count("*").alias("k"))
+        ties = counts.groupBy("variable", "v").agg(F.sum("k").alias("t"))
+        ranked = Segments.of(ties, "variable", ["v"]).running(Running("_upto", "sum", F.col("t"))).frame()
+        ranks = ranked.select(F.struct("variable", "v").alias("at"), (F.col("_upto") - (F.col("t") - 1) / 2.0).alias("rank"), (F.pow("t", F.lit(3)) - F.col("t")).alias("tie"))
+        sums = counts.join(ranks, F.struct("variable", "v") == F.col("at")).groupBy("variable", "g").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("rank")).alias("r"))
+        whole = ranks.groupBy(F.col("at.variable").alias("tv")).agg(F.sum("tie").alias("tie"))
+        per = sums.groupBy("variable").agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"), (F.count("*") - 1).alias("dof"))
+        n = F.col("n")
+        h = F.try_divide(12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - F.try_divide(F.col("tie"), F.pow(n, F.lit(3)) - n))
+        out.append(per.join(whole, F.col("variable") == F.col("tv")).select("variable", F.lit("kruskal").alias("test"), F.when(F.col("dof") > 0, h).alias("statistic"), "dof"))
+    if categorical:
+        items = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("v")) for c in categorical])
+        cells = df.filter(g.isNotNull()).select(g.alias("g"), F.explode(items).alias("x")).select("x.variable", "x.v", "g").filter("v is not null").groupBy("variable", "v", "g").agg(F.count("*").alias("k"))
+        levels = cells.groupBy("variable", "v").agg(F.sum("k").alias("k")).select(F.struct("variable", "v").alias("lv"), F.col("k").alias("lk"))
+        groups = cells.groupBy("variable", "g").agg(F.sum("k").alias("k")).select(F.struct("variable", "g").alias("gv"), F.col("k").alias("gk"))
+        share = cells.join(levels, F.struct("variable", "v") == F.col("lv")).join(groups, F.struct("variable", "g") == F.col("gv"))
+        per = share.groupBy("variable").agg(F.sum("k").alias("n"), F.sum(F.col("k").cast("double") * F.col("k") / (F.col("lk").cast("double") * F.col("gk"))).alias("q"))
+        a = levels.groupBy(F.col("lv.variable").alias("av")).agg((F.count("*") - 1).alias("a"))
+        b = groups.groupBy(F.col("gv.variable").alias("bv")).agg((F.count("*") - 1).alias("b"))
+        full = per.join(a, F.col("variable") == F.col("av")).join(b, F.col("variable") == F.col("bv")).withColumn("dof", F.col("a") * F.col("b"))
+        out.append(full.select("variable", F.lit("chi-square").alias("test"), F.when(F.col("dof") > 0, F.col("n") * (F.col("q") - 1)).alias("statistic"), "dof"))
+    if not out:
+        raise ValueError("no variable")
+    found = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    return found.withColumn("p_value", chi_square_p("statistic", "dof"))
 
 
 def contingency_chi_square(df: DataFrame, a: str, b: str) -> tuple[float, int, float]:
     """Chi-square of independence of two categorical columns: statistic, degrees of freedom, p-value."""
-    rows = df.groupBy(a, b).count().dropna().collect()  # a row for each pair of categories
-    ra, rb, n = {}, {}, sum(r["count"] for r in rows)
-    for r in rows:
-        ra[r[a]] = ra.get(r[a], 0) + r["count"]
-        rb[r[b]] = rb.get(r[b], 0) + r["count"]
-    seen = {(r[a], r[b]): r["count"] for r in rows}
-    x = sum((seen.get((i, j), 0) - ra[i] * rb[j] / n) ** 2 / (ra[i] * rb[j] / n) for i in ra for j in rb)
-    dof = (len(ra) - 1) * (len(rb) - 1)
-    return x, dof, chi_square_tail(x, dof)
+    r = group_tests(df, b, categorical=[a]).first()
+    return r["statistic"], r["dof"], r["p_value"]
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> tuple[float, int, float]:
-    """Kruskal-Wallis from average ranks of distinct values: statistic corrected for ties, degrees of freedom, p-value."""
-    counts = df.select(group, value).dropna().groupBy(group, value).count()
-    ties = counts.groupBy(value).agg(F.sum("count").alias("t"))
-    edges = ties.agg(F.percentile_approx(value, F.array(*[F.lit(i / 100) for i in range(1, 100)])).alias("_e"))
-    b = ties.join(F.broadcast(edges)).withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col(value))))  # one row of edges
-    per = b.groupBy("_b").agg(F.sum("t").alias("s"))
-    per = per.select("_b", F.coalesce(F.sum("s").over(W.partitionBy().orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    upto = F.sum("t").over(W.partitionBy("_b").orderBy(value))
-    ranks = b.withColumn("_u", upto).join(per, "_b").select(value, "t", (F.col("_before") + F.col("_u") - (F.col("t") - 1) / 2.0).alias("rank"))
-    groups = counts.join(ranks, value).groupBy(group).agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("rank")).alias("r")).collect()  # a row for each group
-    n = sum(g["n"] for g in groups)
-    tie = ties.agg(F.sum(F.pow("t", F.lit(3)) - F.col("t"))).first()[0] or 0.0
-    h = 12 / (n * (n + 1)) * sum(g["r"] ** 2 / g["n"] for g in groups) - 3 * (n + 1)
-    h /= 1 - tie / (n**3 - n)
-    return h, len(groups) - 1, chi_square_tail(h, len(groups) - 1)
+    """Kruskal-Wallis: statistic corrected for ties, degrees of freedom, p-value."""
+    r = group_tests(df, group, [value]).first()
+    return r["statistic"], r["dof"], r["p_value"]
 
 
 def collect_predictions(spark, path: str) -> DataFrame:

@@ -190,6 +190,26 @@ def ag29(spark, sf):
     return rounded(A.characteristics(c, "outcome", ["c_nationkey"], ["c_mktsegment"]), "percent")
 
 
+_TESTS = """WITH d AS (SELECT CASE WHEN c_acctbal < 2000 THEN 'low' WHEN c_acctbal < 6000 THEN 'middle' ELSE 'high' END AS g, c_nationkey, c_custkey, CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END AS s FROM customer),
+ l AS (SELECT 'c_nationkey' AS variable, c_nationkey AS v, g FROM d UNION ALL SELECT 'c_custkey', c_custkey, g FROM d),
+ r AS (SELECT variable, v, g, rank() OVER (PARTITION BY variable ORDER BY v) + (count(*) OVER (PARTITION BY variable, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY variable) AS n, count(*) OVER (PARTITION BY variable, v) AS t FROM l),
+ c AS (SELECT variable, any_value(n)::DOUBLE AS n, 1 - sum(t::DOUBLE * t - 1) / (any_value(n)::DOUBLE ^ 3 - any_value(n)) AS fix FROM r GROUP BY 1),
+ q AS (SELECT variable, sum(rs * rs / k) AS q, count(*) - 1 AS dof FROM (SELECT variable, g, sum(rk)::DOUBLE AS rs, count(*) AS k FROM r GROUP BY ALL) GROUP BY 1),
+ h AS (SELECT variable, 'kruskal' AS test, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / fix AS x, dof FROM q JOIN c USING (variable)),
+ e AS (SELECT s, g, count(*)::DOUBLE AS k FROM d WHERE s IS NOT NULL GROUP BY ALL), m AS (SELECT *, sum(k) OVER (PARTITION BY s) AS a, sum(k) OVER (PARTITION BY g) AS b, sum(k) OVER () AS n FROM e),
+ z AS (SELECT * FROM h UNION ALL SELECT 's', 'chi-square', any_value(n) * (sum(k * k / (a * b)) - 1), (count(DISTINCT s) - 1) * (count(DISTINCT g) - 1) FROM m)
+SELECT variable, test, round(x, 4) AS statistic, dof, round(CASE dof WHEN 2 THEN exp(-x / 2) WHEN 8 THEN exp(-x / 2) * (1 + x / 2 + (x / 2) ^ 2 / 2 + (x / 2) ^ 3 / 6) END, 6) AS p_value FROM z"""
+
+
+@R.add("AG29_tests", _TESTS)
+def ag29_tests(spark, sf):
+    from tidemark.operators.evaluation import group_tests
+
+    level = F.when(F.col("c_acctbal") < 2000, "low").when(F.col("c_acctbal") < 6000, "middle").otherwise("high")
+    c = t(spark, sf, "customer").select(level.alias("g"), "c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 7 > 0, F.col("c_mktsegment")).alias("s"))
+    return group_tests(c, "g", ["c_nationkey", "c_custkey"], ["s"]).withColumn("statistic", F.round("statistic", 4)).withColumn("p_value", F.round("p_value", 6))
+
+
 @R.add("AG30", "WITH m AS (SELECT o_orderstatus AS model, o_custkey % 5 AS fold, avg(o_totalprice) AS a, CAST(avg(o_totalprice) > 150000 AS INT) AS ok FROM orders GROUP BY ALL) SELECT model, round(avg(a), 4) AS a_mean, round(stddev_pop(a), 4) AS a_std, round(1.96 * stddev_pop(a) / sqrt(count(a)), 4) AS a_ci95, CAST(sum(ok) AS BIGINT) AS ok_sum FROM m GROUP BY 1")
 def ag30(spark, sf):
     m = t(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("model"), (F.col("o_custkey") % 5).alias("fold")).agg(F.avg("o_totalprice").alias("a")).withColumn("ok", (F.col("a") > 150_000).cast("int"))

@@ -218,7 +218,7 @@ def ml18(spark, sf):
 
 @R.add("ML18_bootstrap")
 def ml18_bootstrap(spark, sf):
-    return E.bootstrap_band(scored(spark, sf), "y", "p", "doc_id", 5, 50)
+    return E.bootstrap_band(scored(spark, sf), "y", "p", 5, 50)
 
 
 @R.add("ML19", f"WITH {SCORED} SELECT 'a' AS model, CAST(fold AS INT) AS fold, count(*) AS n, round(avg(p), 6) AS mean_p FROM sc GROUP BY 2")
