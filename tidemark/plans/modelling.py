@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import portable_hash
+from tidemark.operators.neighbours import nearest
 
 
 def folds(df: DataFrame, key: str, label: str | None, k: int, seed: int) -> DataFrame:
@@ -104,40 +105,15 @@ def constant_impute(df: DataFrame, cols: Sequence[str], value: float = 0.0) -> D
     return df.withColumns({f"{c}_missing": miss(c).cast("int") for c in cols}).withColumns({c: F.when(miss(c), F.lit(value)).otherwise(F.col(c)) for c in cols})
 
 
-def _nearest(k: int):
-    def nearest(part: pd.DataFrame) -> pd.DataFrame:
-        ask, known = part[part["ask"]], part[~part["ask"]]
-        if ask.empty or known.empty:
-            return pd.DataFrame({"key": [], "other": [], "d": [], "y": []})
-        known = known.sort_values("key")
-        a, b = np.stack(ask["v"].to_list()), np.stack(known["v"].to_list())
-        top = min(k, len(b))
-        out = []
-        for i in range(len(a)):
-            d = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
-            at = np.argsort(d, kind="stable")[:top]
-            out.append(pd.DataFrame({"key": ask["key"].iloc[i], "other": known["key"].to_numpy()[at], "d": d[at], "y": known["y"].to_numpy()[at]}))
-        return pd.concat(out)
-
-    return nearest
-
-
 def knn_impute(df: DataFrame, key: str, target: str, vector: str, k: int = 5, block: int = 4096) -> DataFrame:
     """Fill missing targets with the mean target of the k nearest known rows (Euclidean, ties by ``key``, an integer).
 
-    ``vector`` is an array column. Missing and known rows are cut into blocks of about ``block``, every pair of blocks is
-    a task that keeps k rows for each missing one, so no task holds more than two blocks. Without a known row targets stay null."""
-    row = [F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y"), F.col(target).isNull().alias("ask")]
-    rows = df.select(*row)
-    n = {r["ask"]: -(-r["n"] // block) for r in rows.groupBy("ask").agg(F.count("*").alias("n")).collect()}
-    asks, knows = n.get(True, 1), n.get(False, 1)
-    own = F.pmod(F.xxhash64("key"), F.when(F.col("ask"), asks).otherwise(knows)).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.when(F.col("ask"), knows - 1).otherwise(asks - 1)))
-    dealt = rows.withColumn("own", own).withColumn("other", others)
-    dealt = dealt.select("key", "v", "y", "ask", F.when(F.col("ask"), F.col("own")).otherwise(F.col("other")).alias("b"), F.when(F.col("ask"), F.col("other")).otherwise(F.col("own")).alias("c"))
-    near = dealt.groupBy("b", "c").applyInPandas(_nearest(k), "key long, other long, d double, y double")
-    best = near.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("d", "other"))).filter(F.col("_r") <= k)
-    fill = best.groupBy("key").agg(F.avg("y").alias("_fill")).withColumnRenamed("key", "_key")
+    ``vector`` is an array column. Neighbours are exact; only blocks of known rows that can hold one are compared (see
+    ``neighbours``). Without a known row targets stay null."""
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y"))
+    known = rows.filter(F.col("y").isNotNull()).withColumnRenamed("key", "other")
+    best = nearest(rows.filter(F.col("y").isNull()), known, k, block)
+    fill = best.groupBy(F.col("key").alias("_key")).agg(F.avg("y").alias("_fill"))
     return df.join(fill, F.col(key).cast("long") == F.col("_key"), "left").withColumn(target, F.coalesce(target, "_fill")).drop("_fill", "_key")
 
 
