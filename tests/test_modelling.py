@@ -122,6 +122,20 @@ def test_factors_rebuild_the_table(spark):
     assert np.abs(rest).max() < 0.1 * full.max()
 
 
+def test_factors_of_a_table_with_zeros(spark):
+    rng = np.random.default_rng(11)
+    full = (rng.random((15, 3)) @ rng.random((3, 9))) * (rng.random((15, 9)) < 0.4)
+    d = spark.createDataFrame([(f"r{i}", j, float(full[i, j])) for i in range(15) for j in range(9) if full[i, j]], "r string, c int, n double")
+    left, right, errors = M.factors(d, "r", "c", "n", 3, rounds=12, least=1e-6)
+    assert len(errors) > 2 and all(b <= a + 1e-9 for a, b in zip(errors, errors[1:], strict=False))
+    w, h = {r["id"]: np.array(r["x"]) for r in left.collect()}, {r["id"]: np.array(r["x"]) for r in right.collect()}
+    error = sum((full[i, j] - (w[f"r{i}"] @ h[j] if f"r{i}" in w and j in h else 0)) ** 2 for i in range(15) for j in range(9))
+    assert error == pytest.approx(errors[-1], rel=1e-6) and all((x >= 0).all() for x in [*w.values(), *h.values()])
+    u, s, v = np.linalg.svd(full)
+    best = float((s[3:] ** 2).sum())  # no factors of rank 3 are nearer, with any signs
+    assert best - 1e-9 <= error <= best + 0.35 * float((full**2).sum())
+
+
 def test_texts_to_vectors(spark):
     d = spark.createDataFrame([(1, "a b a"), (2, None), (3, "A  b\na")], "k long, t string").repartition(2)
     rows = {r["k"]: np.array(r["features"]) for r in Q.encode_texts(d, "k", "t", 32).collect()}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import portable_hash
 from tidemark.operators.neighbours import nearest
+from tidemark.sources.shared import materialize
 
 
 def folds(df: DataFrame, key: str, label: str | None, k: int, seed: int) -> DataFrame:
@@ -117,17 +118,61 @@ def knn_impute(df: DataFrame, key: str, target: str, vector: str, k: int = 5, bl
     return df.join(fill, F.col(key).cast("long") == F.col("_key"), "left").withColumn(target, F.coalesce(target, "_fill")).drop("_fill", "_key")
 
 
-def factorise(df: DataFrame, row: str, col: str, value: str, rank: int = 4, seed: int = 1) -> DataFrame:
-    """Non-negative factors of the rows of a long (row, column, value) table, by alternating least squares.
+def _nonnegative(gram: np.ndarray):
+    """Per row the x >= 0 that minimises x G x - 2 b x, by coordinate descent until nothing moves."""
+
+    def solve(parts):
+        for part in parts:
+            if not len(part):
+                continue
+            b = np.stack(part["b"].to_list())
+            x = np.zeros_like(b)
+            for _ in range(500):
+                moved = 0.0
+                for i in np.flatnonzero(np.diag(gram) > 1e-12):
+                    new = np.maximum(0.0, x[:, i] + (b[:, i] - x @ gram[i]) / gram[i, i])
+                    moved = max(moved, float(np.abs(new - x[:, i]).max()))
+                    x[:, i] = new
+                if moved <= 1e-10 * (1 + np.abs(x).max()):
+                    break
+            yield pd.DataFrame({"id": part["id"], "x": list(x), "fit": 2 * (b * x).sum(axis=1) - ((x @ gram) * x).sum(axis=1)})
+
+    return solve
+
+
+def factors(df: DataFrame, row: str, col: str, value: str, rank: int = 4, seed: int = 1, rounds: int = 30, least: float = 1e-4) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Non-negative factorisation of a long (row, column, value) table whose other entries are zero: (id, x) of rows and of columns, and the
+    squared error after each round, which never rises.
+
+    Rows and columns are solved for in turn. One side's best values depend on its entries' sums over the other side's factors and on
+    that side's ``rank`` x ``rank`` Gram matrix alone, so a half round is a join, an aggregate and a solution row by row; its factors are
+    written to the shared folder. Ends when a round lowers the error by less than the share ``least`` of the whole."""
+    entries = materialize(df.filter(F.col(value).isNotNull()).groupBy(F.col(row).alias("r"), F.col(col).alias("c")).agg(F.sum(F.col(value).cast("double")).alias("v")), "entries")
+    square = entries.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
+    kind = {c: entries.schema[c].dataType.simpleString() for c in "rc"}
+    start = F.array(*[portable_hash(F.concat_ws("/", F.col("r").cast("string"), F.lit(i)), seed) / float(2**32) + 0.1 for i in range(rank)])
+    left = materialize(entries.select("r").distinct().select(F.col("r").alias("id"), start.alias("x")), "factors")
+    right, errors = None, []
+
+    def half(known: DataFrame, on: str, other: str) -> tuple[DataFrame, float]:
+        outer = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in range(rank) for j in range(rank)]
+        gram = np.array([v or 0.0 for v in known.agg(*outer).first()], dtype=float).reshape(rank, rank)
+        sums = entries.join(known, F.col(on) == F.col("id")).groupBy(F.col(other).alias("id")).agg(F.array(*[F.sum(F.col("v") * F.col("x")[i]) for i in range(rank)]).alias("b"))
+        found = materialize(sums.mapInPandas(_nonnegative(gram), f"id {kind[other]}, x array<double>, fit double"), "factors")
+        return found.select("id", "x"), square - (found.agg(F.sum("fit")).first()[0] or 0.0)
+
+    for _ in range(rounds):
+        right, _ = half(left, "r", "c")
+        left, error = half(right, "c", "r")
+        errors.append(max(0.0, error))
+        if len(errors) > 1 and errors[-2] - errors[-1] < least * square:
+            break
+    return left, right, errors
 
-    The start is random and may be such that non-negative least squares ends in zeros only; then the next seed is tried."""
-    from pyspark.ml.recommendation import ALS
 
-    for s in range(seed, seed + 20):
-        model = ALS(userCol=row, itemCol=col, ratingCol=value, rank=rank, nonnegative=True, seed=s, regParam=0.01).fit(df)
-        if not model.userFactors.filter(F.exists("features", lambda x: x > 0)).isEmpty():
-            break
-    return model.userFactors.withColumnRenamed("id", row)
+def factorise(df: DataFrame, row: str, col: str, value: str, rank: int = 4, seed: int = 1) -> DataFrame:
+    """(row, features): the non-negative factors of the rows."""
+    return factors(df, row, col, value, rank, seed)[0].select(F.col("id").alias(row), F.col("x").alias("features"))
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
