@@ -19,8 +19,8 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str, start: int =
     """Consecutive numbers in a global order, without a window over all rows: rows are dealt to ranges by sampled splitters and written,
     sorted, with the number of their range; each range is numbered by itself, after the sizes of the ranges before it (a row
     for each range). Rows that tie are numbered in any order, the same whenever the result is read again."""
-    n = df.count()
-    ranges = -(-n // RANGE)
+    df = materialize(df, "to-number")  # counted and numbered without making it twice
+    ranges = -(-df.count() // RANGE)
     if ranges > 1:
         df = materialize(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "numbered")
     else:

@@ -485,14 +485,15 @@ def flat_windows(flat: DataFrame, windows: Sequence[str], key: str = "subject_id
     return wide.select(key, ts, *[F.col(f"`{k}`").alias(v) for k, v in names.items()])
 
 
-def load_flat(static: DataFrame, dynamic: DataFrame, windows: Mapping[str, DataFrame], tasks: DataFrame | None = None, key: str = "subject_id", ts: str = "timestamp") -> DataFrame:
+def load_flat(static: DataFrame, dynamic: DataFrame, windows: Mapping[str, DataFrame], tasks: DataFrame | None = None, key: str = "subject_id", ts: str = "timestamp", times: DataFrame | None = None) -> DataFrame:
     """Static, per-event and windowed features joined; with ``tasks`` (key, end_time, labels) only their last event at or
-    before the end time, chosen before anything is joined. Counts without a value are 0."""
+    before the end time, chosen before anything is joined. Counts without a value are 0. ``times``: (key, ts) of the rows of
+    ``dynamic`` from a table that is cheaper to read."""
     rows = dynamic
     if tasks is not None:
         labels = [c for c in tasks.columns if c not in (key, "start_time", "end_time")]
         bounds = tasks.select(key, "end_time", *labels).distinct().withColumn("_at", F.coalesce(F.unix_micros(F.col("end_time").cast("timestamp")), F.lit(2**63 - 1)))
-        events = dynamic.select(key, F.col(ts).alias("_ts"), F.unix_micros(ts).alias("_at"))
+        events = (dynamic if times is None else times).select(key, F.col(ts).alias("_ts"), F.unix_micros(ts).alias("_at"))
         keys = as_of(events, bounds, key, "_at", Running("_found", "last", F.col("_ts")), first="events")
         rows = dynamic.join(keys.filter("_found is not null").drop("_at").withColumnRenamed("_found", ts), [key, ts])
     for w in windows.values():

@@ -338,7 +338,10 @@ def es26(spark, sf):
     flat = _flat(spark, sf)
     people = ES.build_subjects(static_schema(spark, sf))
     tasks = people.filter("subject_id % 2 = 0").select("subject_id", F.lit("1996-01-01").cast("timestamp").alias("end_time"), (F.col("balance") > 0).alias("label"))
-    d = ES.load_flat(ES.flat_static(people, "segment", ["BUILDING"]), flat.drop("event_id"), {"FULL": ES.flat_windows(flat.join(tasks.select("subject_id"), "subject_id", "left_semi"), ["FULL"], counted=ES.extract_events(range_schema(spark, sf))[0])}, tasks)
+    own = tasks.select("subject_id")
+    times = ES.extract_events(range_schema(spark, sf))[0].join(own, "subject_id", "left_semi").select("subject_id", "timestamp")
+    full = ES.flat_windows(flat.join(own, "subject_id", "left_semi"), ["FULL"], counted=times)
+    d = ES.load_flat(ES.flat_static(people, "segment", ["BUILDING"]), flat.drop("event_id"), {"FULL": full}, tasks, times=times)
     return d.select("subject_id", micros("timestamp").alias("us"), "label", F.col("`FULL/flag/A/count`").alias("full_count"), F.col("`static/segment/BUILDING/present`").alias("building"))
 
 
