@@ -23,8 +23,10 @@ MOST = 1_000_000
 _BEFORE = (W.unboundedPreceding, -1)
 _AFTER = (1, W.unboundedFollowing)
 #: Frame -> rows of the window; and the segments whose carries are added.
-_ROWS = {"upto": (W.unboundedPreceding, 0), "before": _BEFORE, "from": (0, W.unboundedFollowing), "after": _AFTER, "all": (W.unboundedPreceding, W.unboundedFollowing)}
+_ROWS = {"upto": (W.unboundedPreceding, 0), "before": _BEFORE, "from": (W.unboundedPreceding, 0), "after": _BEFORE, "all": (W.unboundedPreceding, W.unboundedFollowing)}
 _SEGMENTS = {"upto": _BEFORE, "before": _BEFORE, "from": _AFTER, "after": _AFTER}
+#: Frames that run in the descending order: a frame that ends at the last row is computed anew for each row, in quadratic time.
+_REVERSED = ("from", "after")
 
 
 @dataclass(frozen=True)
@@ -42,10 +44,11 @@ class Running:
         if self.op not in ("count", "sum", "min", "max", "last", "first") or self.frame not in _ROWS or (near and self.frame not in near):
             raise ValueError(f"{self.op} over {self.frame}")
 
-    def over(self, w, value: Column | None = None) -> Column:
+    def over(self, w, value: Column | None = None, reverse: bool = False) -> Column:
+        """With ``reverse`` the window is in the descending order, whose last value is the first one."""
         v = self.value if value is None else value
         if self.op in ("last", "first"):
-            return getattr(F, self.op)(v, ignorenulls=True).over(w)
+            return (F.last if reverse else getattr(F, self.op))(v, ignorenulls=True).over(w)
         return getattr(F, self.op)(v).over(w)
 
     def carry(self, order: Sequence[str]) -> Column:
@@ -108,9 +111,10 @@ class Segments:
     def _windows(self, df, by, specs):
         def window(s):
             w = W.partitionBy(*by)
-            return w if s.frame == "all" else w.orderBy(*self.order).rowsBetween(*_ROWS[s.frame])
+            order = [F.desc(c) for c in self.order] if s.frame in _REVERSED else self.order
+            return w if s.frame == "all" else w.orderBy(*order).rowsBetween(*_ROWS[s.frame])
 
-        return df.select("*", *[s.over(window(s)).alias(s.name) for s in specs])
+        return df.select("*", *[s.over(window(s), reverse=s.frame in _REVERSED).alias(s.name) for s in specs])
 
     def with_columns(self, columns: dict[str, Column], *drop: str) -> Segments:
         change = lambda d: d.withColumns(columns).drop(*drop) if d is not None else None
@@ -154,7 +158,7 @@ def _rolling_times(rows: DataFrame, key: str, at: str, length: int, forward: boo
     parts = max(2, -(-2 * rows.count() // most))
     cut = materialize(points.repartitionByRange(parts, key, "_at").withColumn("_segment", F.spark_partition_id()), "rolling-segments")
     inside = W.partitionBy(key, "_segment").orderBy("_at")
-    part = inside.rangeBetween(W.unboundedPreceding, 0) if forward else inside.rangeBetween(1, W.unboundedFollowing)
+    part = inside.rangeBetween(W.unboundedPreceding, 0) if forward else W.partitionBy(key, "_segment").orderBy(F.desc("_at")).rangeBetween(W.unboundedPreceding, -1)
     seen = cut.select(key, "_owner", "_far", "_segment", *[F.when(F.col("_far"), f(v).over(part)).otherwise(f(v).over(inside.rangeBetween(*reach))).alias(v) for f, v in each])
     pick = lambda c, far: F.max(F.when(F.col("_far") == far, F.col(c)))
     paired = seen.groupBy(key, "_owner").agg(pick("_segment", False).alias("_s"), pick("_segment", True).alias("_r"), *[pick(v, False).alias(f"{v}o") for v in names], *[pick(v, True).alias(f"{v}f") for v in names])
