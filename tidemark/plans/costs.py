@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.quantiles import quantile
+from tidemark.functions.quantiles import quantile, wide
 from tidemark.operators.filters import fold_rare, lower_names
+from tidemark.operators.segments import MOST, Running, Segments
+from tidemark.sources.shared import discard, scratch
 
 
 def load(df: DataFrame, record: str, cost: str) -> DataFrame:
@@ -37,8 +38,7 @@ def winsorize(df: DataFrame, cost: str, low: float = 0.025, high: float = 0.975,
 def impute(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], rare: int = 20, seed: int = 1, match: str | None = None, iterations: int = 20) -> DataFrame:
     """Fill missing targets by boosted trees fitted on the rows that have one; adds ``<target>_imputed``.
 
-    With ``match`` (a unique id) a missing row takes the observed value of the row whose prediction is nearest:
-    rows are ordered by prediction in ranges, and the neighbours on both sides, in the range or beyond it, are compared."""
+    With ``match`` (a unique id) a missing row takes the observed value of the row whose prediction is nearest."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
@@ -53,20 +53,89 @@ def impute(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequ
     scored = Pipeline(stages=stages).fit(known).transform(rows).withColumn(f"{target}_imputed", F.col(target).isNull())
     if match is None:
         return scored.withColumn(target, F.coalesce(target, "_p")).select(*df.columns, f"{target}_imputed")
-    # Buckets of the prediction between its percentiles; a table of their first and last donors serves rows that have none on a side.
-    edges = scored.agg(F.percentile_approx("_p", F.array(*[F.lit(i / 200) for i in range(1, 200)]), 10_000).alias("_e")).select(F.array_distinct("_e").alias("_e"))
-    b = scored.join(F.broadcast(edges)).withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col("_p"))))  # one row of edges
-    w = W.partitionBy("_b").orderBy("_p", match)
-    donor = F.when(F.col(target).isNotNull(), F.struct(F.col("_p").alias("p"), F.col(match).alias("m"), F.col(target).alias("y")))
-    before, after = F.last(donor, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(donor, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    ends = b.groupBy("_b").agg(F.min(donor).alias("_first"), F.max(donor).alias("_last"))
-    by = W.partitionBy().orderBy("_b")  # at most 200 rows
-    beyond = ends.select("_b", F.last("_last", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)).alias("_lower"), F.first("_first", ignorenulls=True).over(by.rowsBetween(1, W.unboundedFollowing)).alias("_upper"))
-    b = b.withColumn("_before", before).withColumn("_after", after).join(F.broadcast(beyond), "_b")
-    b = b.withColumn("_before", F.coalesce("_before", "_lower")).withColumn("_after", F.coalesce("_after", "_upper"))
+    filled = _nearest_donor(scored, F.col(target), match)
+    return filled.withColumn(target, F.coalesce(F.col(target), "_donor", F.col("_p"))).select(*df.columns, f"{target}_imputed")
+
+
+def _nearest_donor(scored: DataFrame, value: Column, match: str, most: int = MOST) -> DataFrame:
+    """Adds ``_donor``: the ``value`` of the row whose prediction ``_p`` is nearest among the rows that have one (the lower of two as near).
+    Rows are one scan in the order of (prediction, ``match``), cut into segments when there are more than ``most``."""
+    donor = F.when(value.isNotNull(), F.struct(F.col("_p").alias("p"), value.alias("y")))
+    scan = Segments.of(scored.withColumn("_all", F.lit(0)), "_all", ["_p", match], most)
+    rows = scan.running(Running("_before", "last", donor), Running("_after", "first", donor, "from")).frame("_all")
     near_before = F.col("_after").isNull() | (F.col("_p") - F.col("_before.p") <= F.col("_after.p") - F.col("_p"))
-    value = F.when(F.col("_before").isNotNull() & near_before, F.col("_before.y")).otherwise(F.col("_after.y"))
-    return b.withColumn(target, F.coalesce(F.col(target), value, F.col("_p"))).select(*df.columns, f"{target}_imputed")
+    return rows.withColumn("_donor", F.when(F.col("_before").isNotNull() & near_before, F.col("_before.y")).otherwise(F.col("_after.y"))).drop("_before", "_after")
+
+
+def trees(nominal: bool, bins: int, seed: int):
+    """The default models of chained equations: boosted trees for numbers, a forest for categories."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    if nominal:
+        return RandomForestClassifier(numTrees=10, maxDepth=6, minInstancesPerNode=20, maxBins=bins, seed=seed)
+    return GBTRegressor(maxIter=10, maxDepth=6, minInstancesPerNode=20, maxBins=bins, seed=seed)
+
+
+def chained(
+    df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (), rounds: int = 3, rare: int = 20, seed: int = 1, match: bool = True, model: Callable = trees, most: int = MOST
+) -> tuple[DataFrame, list[dict[str, float]]]:
+    """Fill the missing values of all the columns by chained equations. Gives ``df`` with them filled and ``<column>_imputed`` flags, and
+    for each round the mean of the numbers filled in, by column.
+
+    Missing numbers (null or NaN) start at the column's median, missing categories at the most frequent one. Then, ``rounds`` times,
+    each incomplete column in turn (the fewest missing first, ties in the given order) is fitted by ``model(nominal, bins, seed)`` on the rows
+    that have it, from the present values of all others, and its missing values are predicted anew. With ``match`` a number becomes
+    the observed value whose prediction is nearest. ``key`` is a unique id without nulls.
+
+    Categories of fewer than ``rare`` rows become "other"; numbers come out as doubles. A column without any value stays null and predicts
+    nothing, and so does everything if fewer than two columns have values. The table is written to the shared folder after each
+    column and the one before deleted, so no plan grows with the rounds and a lost executor repeats one column at most."""
+    from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+
+    spark, others = df.sparkSession, [c for c in df.columns if c not in (key, *numeric, *categorical)]
+    rows = df.select(key, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical])
+    rows = fold_rare(rows, categorical, rare)
+    n = rows.agg(F.count("*").alias("*"), *[F.count(c).alias(c) for c in (*numeric, *categorical)]).first()
+    used = [c for c in (*numeric, *categorical) if n[c]]
+    todo = sorted((c for c in used if n[c] < n["*"]), key=lambda c: n["*"] - n[c]) if len(used) > 1 else []
+    labels, meta = {}, {}
+    for c in (c for c in categorical if c in used):
+        indexer = StringIndexer(inputCol=c, outputCol="_i", handleInvalid="skip").fit(rows)  # by falling frequency, ties by name
+        labels[c], meta[c] = indexer.labels, indexer.transform(rows).schema["_i"].metadata
+        rows = indexer.setHandleInvalid("keep").transform(rows).withColumn(c, F.when(F.col(c).isNotNull(), F.col("_i"))).drop("_i")
+    bins = max(64, *[len(x) + 1 for x in labels.values()], 64)
+    middle = wide(rows, {f"m{i}": (c, 0.5, "lower") for i, c in enumerate(numeric) if c in todo}).first() if any(c in todo for c in numeric) else {}
+    start = {c: 0.0 if c in labels else middle[f"m{list(numeric).index(c)}"] for c in todo}
+    state = rows.withColumns({f"_miss_{c}": F.col(c).isNull() for c in (*numeric, *categorical)}).fillna(start)
+    marked = lambda d: d.withColumns({c: F.col(c).alias(c, metadata=meta[c]) for c in labels})
+    path, means = None, []
+
+    def write(d: DataFrame) -> DataFrame:
+        nonlocal path
+        old, path = path, scratch(spark, "chained")
+        d.write.parquet(path)
+        if old:
+            discard(spark, old)
+        return marked(spark.read.schema(d.schema).parquet(path))
+
+    state = write(state)
+    for k in range(rounds if todo else 0):
+        for c in todo:
+            miss = F.col(f"_miss_{c}")
+            d = VectorAssembler(inputCols=[x for x in used if x != c], outputCol="_x").transform(state)
+            fitted = model(c in labels, bins, seed + k).setFeaturesCol("_x").setLabelCol(c).setPredictionCol("_p").fit(d.filter(~miss))
+            d = fitted.transform(d).select(*state.columns, "_p")
+            if match and c not in labels:
+                d = _nearest_donor(d, F.when(~miss, F.col(c)), key, most).withColumn("_p", F.col("_donor"))
+            state = write(d.withColumn(c, F.when(miss, F.col("_p")).otherwise(F.col(c))).select(*state.columns))
+        numbers = [c for c in todo if c not in labels]
+        if numbers:
+            means.append(state.agg(*[F.avg(F.when(F.col(f"_miss_{c}"), F.col(c))).alias(c) for c in numbers]).first().asDict())
+    for c in labels:
+        state = IndexToString(inputCol=c, outputCol="_s", labels=labels[c]).transform(state).withColumn(c, F.col("_s")).drop("_s")
+    state = state.withColumnsRenamed({f"_miss_{c}": f"{c}_imputed" for c in (*numeric, *categorical)})
+    return (df.select(key, *others).join(state, key) if others else state), means
 
 
 def combine(parts: Sequence[DataFrame], keys: Sequence[str], record: str = "record") -> DataFrame:

@@ -158,6 +158,13 @@ def co14(spark, sf):
     return d.select("o_orderkey", "cost", "cost_imputed")
 
 
+@R.add("CO14_chained")
+def co14_chained(spark, sf):
+    """Cost, month and priority are missing on other rows each; three rounds of trees, values are checked in tests."""
+    o = t(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice")).alias("cost"), F.when(F.col("o_orderkey") % 7 != 3, F.month("o_orderdate")).alias("month"), "o_orderstatus", F.when(F.col("o_orderkey") % 11 != 5, F.col("o_orderpriority")).alias("priority"))
+    return costs.chained(o, "o_orderkey", ["cost", "month"], ["o_orderstatus", "priority"])[0]
+
+
 @R.add("CO15", "SELECT CAST(o_orderkey AS VARCHAR) AS record, o_totalprice AS cost FROM orders UNION ALL SELECT CAST(event_id AS VARCHAR), value FROM events")
 def co15(spark, sf):
     a = t(spark, sf, "orders").select(F.col("o_orderkey").alias("apdc_recnum"), F.col("o_totalprice").alias("cost"))
