@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import materialize, shared_dir  # noqa: F401  (operators take them from here)
+from tidemark.sources.shared import discard, materialize, scratch, shared_dir  # noqa: F401  (operators take them from here)
 
 #: A word is a run of bytes other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import GAP, by_bytes, lower_ascii, materialize, mix64, table, text_bytes
+from tidemark.llm.common import GAP, by_bytes, discard, lower_ascii, materialize, mix64, scratch, table, text_bytes
 
 SIDE = 2
 CLUSTERS, WIDTH = 32, 32
@@ -261,7 +261,9 @@ def fit(
     n = docs.count()
     groups = max(1, math.ceil(n / GROUP_DOCS))
     keyed = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("_text"))
-    masked = materialize(keyed.mapInArrow(_mask(vocab, mask_rate, groups), _MASKED), "masked")
+    spark, folder = docs.sparkSession, scratch(docs.sparkSession, "masked")
+    keyed.mapInArrow(_mask(vocab, mask_rate, groups), _MASKED).write.parquet(folder)
+    masked = spark.read.schema(_MASKED).parquet(folder)
     chosen = F.pmod(F.xxhash64("key", F.lit("start")), F.lit(1_000_000_000)) < int(1e9 * min(1.0, warm_texts / max(n, 1)))
     some = sorted((r["key"], bytes(r["masked"])) for r in masked.filter(chosen).select("key", "masked").collect())  # about ``warm_texts`` rows
     rows = np.frombuffer(b"".join(m for _, m in some), dtype="<i2").reshape(-1, 2 * SIDE + 1).astype(np.int64)
@@ -272,6 +274,7 @@ def fit(
     dealt = masked.repartition(groups, "group").sortWithinPartitions("group", "key", "masked")
     weights = "group int, n long, weights binary"
     parts = materialize(dealt.mapInArrow(_train_groups(net.to_bytes(), rate, batch_size), weights), "networks")
+    discard(spark, folder)
     while groups > FAN_IN:
         groups = math.ceil(groups / FAN_IN)
         up = parts.select(F.floor(F.col("group") / FAN_IN).cast("int").alias("above"), "group", "n", "weights").repartition("above").sortWithinPartitions("above", "group")
@@ -361,13 +364,17 @@ def score(docs: DataFrame, vocab: Vocabulary, net: WindowNetwork, id_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     lists = f"chunk long, ids array<{kind}>, sizes array<long>, sums array<double>, outs array<long>, at array<int>, buckets binary, words array<binary>"
-    chunks = materialize(rows.mapInArrow(_score_chunks(vocab, net), lists), "scored-chunks")
+    folder = scratch(docs.sparkSession, "scored-chunks")
+    rows.mapInArrow(_score_chunks(vocab, net), lists).write.parquet(folder)
+    chunks = docs.sparkSession.read.schema(lists).parquet(folder)
     words = chunks.select("chunk", F.posexplode("words").alias("k", "w")).withColumn("w", F.col("w").cast("string"))
     found = words.withColumn("n", F.lit(0).cast("long")).filter("false") if vocab.counts is None else words.join(vocab.counts, "w")
     counts = found.groupBy("chunk").agg(F.collect_list(F.struct("k", "n")).alias("counts"))
     given = chunks.drop("words").join(counts, "chunk", "left")
     out = given.select("chunk", "ids", "sizes", "sums", "outs", "at", "buckets", F.coalesce("counts", F.array().cast("array<struct<k:int,n:long>>")).alias("counts"))
-    scored = out.mapInArrow(_add_shares(vocab.totals), f"chunk long, row int, doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    # Written before they are sorted, which would run the join twice; the chunks can go then.
+    scored = materialize(out.mapInArrow(_add_shares(vocab.totals), f"chunk long, row int, doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double"), "scored")
+    discard(docs.sparkSession, folder)
     return scored.orderBy("chunk", "row").drop("chunk", "row").withColumnRenamed("doc_id", id_col)
 
 
