@@ -11,6 +11,7 @@ write chunks of documents with the distinct bucket words of the chunk, which a j
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -51,15 +52,24 @@ class Vocabulary:
     def __getstate__(self):
         return {"ids": self.ids}
 
-    def outside(self, text: bytes | None, index: dict) -> list[int]:
-        """The words outside, as positions in ``index``, which grows by new ones."""
-        ids = self.ids
-        return [index.setdefault(w, len(index)) for w in (text or b"").lower().split() if w not in ids]
-
     def __call__(self, text: bytes | None) -> np.ndarray:
         ids, crc = self.ids, zlib.crc32
         return np.array([ids[w] if w in ids else SIZE - BUCKETS + crc(w) % BUCKETS for w in (text or b"").lower().split()], dtype=np.int64)
 
+    def both(self, texts: list, index: dict, buckets: bytearray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of each text the numbers of its words as above and how many are outside; and all words outside, as positions in ``index``.
+        ``index`` grows by new ones, ``buckets`` by their buckets."""
+        words = [(t or b"").lower().split() for t in texts]
+        ends = np.cumsum([len(w) for w in words])
+        flat = list(itertools.chain.from_iterable(words))
+        ids = np.fromiter(map(self.ids.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        outside = np.flatnonzero(ids < 0)
+        at = np.array([index.setdefault(flat[i], len(index)) for i in outside.tolist()], dtype=np.int32)
+        new = list(itertools.islice(reversed(index), len(index) - len(buckets)))
+        buckets.extend(zlib.crc32(w) % BUCKETS for w in reversed(new))
+        ids[outside] = SIZE - BUCKETS + np.frombuffer(bytes(buckets), dtype=np.uint8)[at].astype(np.int64)
+        return np.split(ids, ends[:-1]), np.diff(np.searchsorted(outside, ends), prepend=0), at
+
 
 def _bucket(word):
     return F.crc32(word.cast("binary")) % BUCKETS
@@ -294,21 +304,21 @@ def _score_chunks(vocab: Vocabulary, net: WindowNetwork):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        chunk, held, n_docs, n_words, index = TaskContext.get().partitionId() << 32, [], 0, 0, {}
+        chunk, held, n_docs, n_words, index, known = TaskContext.get().partitionId() << 32, [], 0, 0, {}, bytearray()
 
         def row():
             ids, sizes, sums, outs, at = zip(*held, strict=True)
             ids, whole = pa.concat_arrays(ids), lambda x, kind: pa.array(np.concatenate(x), kind)
             columns = [ids, whole(sizes, pa.int64()), whole(sums, pa.float64()), whole(outs, pa.int64()), whole(at, pa.int32()), pa.array(list(index), pa.binary())]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-            buckets = pa.array([bytes(zlib.crc32(w) % BUCKETS for w in index)], pa.binary())
+            buckets = pa.array([bytes(known)], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists[:-1], buckets, lists[-1]], names=["chunk", "ids", "sizes", "sums", "outs", "at", "buckets", "words"])
 
         for batch in batches:
             ids, texts = batch.column(0), text_bytes(batch.column(1))
             for low, high in by_bytes(texts, 1 << 20):
                 part = texts[low:high]
-                words = [vocab(t) for t in part]
+                words, outs, outside = vocab.both(part, index, known)
                 sizes = np.array([len(w) for w in words])
                 sums = np.zeros(len(words))
                 flat, at = _laid(words)
@@ -316,13 +326,11 @@ def _score_chunks(vocab: Vocabulary, net: WindowNetwork):
                 for k in range(0, len(at), BLOCK):
                     place = at[k : k + BLOCK]
                     sums += np.bincount(owner[k : k + BLOCK], net.log_probs(flat[place[:, None] + _OFFSETS], flat[place].astype(np.int64)), len(words))
-                outside = [vocab.outside(t, index) for t in part]
-                at = np.array([x for o in outside for x in o], dtype=np.int32)
-                held.append((ids.slice(low, len(part)), sizes, sums, np.array([len(o) for o in outside]), at))
-                n_docs, n_words = n_docs + len(part), n_words + len(at)
+                held.append((ids.slice(low, len(part)), sizes, sums, outs, outside))
+                n_docs, n_words = n_docs + len(part), n_words + len(outside)
                 if n_docs >= CHUNK_DOCS or n_words >= CHUNK_WORDS:
                     yield row()
-                    chunk, held, n_docs, n_words, index = chunk + 1, [], 0, 0, {}
+                    chunk, held, n_docs, n_words, index, known = chunk + 1, [], 0, 0, {}, bytearray()
         if held:
             yield row()
 
