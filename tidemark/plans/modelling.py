@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import portable_hash
 from tidemark.operators.neighbours import nearest
+from tidemark.plans.stages import ConstantImputer, NeighbourImputer, NonNegativeFactors, solve
 from tidemark.sources.shared import materialize
 
 
@@ -47,7 +48,7 @@ def cross_validate(df: DataFrame, key: str, features: str, label: str, fold_of:
     from pyspark.ml.functions import vector_to_array
 
     rows = df.select(key, features, F.col(label).cast("double").alias("label")).join(fold_of, key).withColumnRenamed(features, "features")
-    rows = rows.persist() if path else rows
+    rows = materialize(rows, "folds")  # each fold and model reads them
     k = [r[0] for r in fold_of.select("fold").distinct().orderBy("fold").collect()]  # the folds
     out = None
     for name, model in use.items():
@@ -62,13 +63,14 @@ def cross_validate(df: DataFrame, key: str, features: str, label: str, fold_of:
             out = scored if out is None else out.unionByName(scored)
     if path:
         out.write.partitionBy("model", "fold").parquet(path)
-        rows.unpersist()
         return df.sparkSession.read.parquet(path)
     return out
 
 
 def stages(config: Sequence[tuple[str, Mapping]], features: Sequence[str], label: str = "label"):
-    """An MLlib pipeline from (name, options): impute, standard, minmax, pca, select, and a model by name."""
+    """An MLlib pipeline from (name, options): impute, constant or neighbours; standard, minmax, pca, factors, select; and a model by name.
+
+    ``constant`` and ``neighbours`` (which needs ``key``) add columns of what was missing unless ``indicator`` is false."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA, Imputer, MinMaxScaler, StandardScaler, UnivariateFeatureSelector, VectorAssembler
 
@@ -78,11 +80,15 @@ def stages(config: Sequence[tuple[str, Mapping]], features: Sequence[str], label
         filled = [f"{c}_filled" for c in cols]
         out.append(Imputer(inputCols=cols, outputCols=filled, **names["impute"]))
         cols = filled
+    for name, kind in (("constant", ConstantImputer), ("neighbours", NeighbourImputer)):
+        if name in names:
+            out.append(kind(cols=cols, **names[name]))
+            cols = out[-1].outputs()
     out.append(VectorAssembler(inputCols=cols, outputCol="_v0", handleInvalid="keep"))
     at = "_v0"
     for i, (name, options) in enumerate(config, 1):
         to = f"_v{i}"
-        if name == "impute":
+        if name in ("impute", "constant", "neighbours"):
             continue
         if name == "standard":
             out.append(StandardScaler(inputCol=at, outputCol=to, withMean=True, **options))
@@ -90,6 +96,8 @@ def stages(config: Sequence[tuple[str, Mapping]], features: Sequence[str], label
             out.append(MinMaxScaler(inputCol=at, outputCol=to, **options))
         elif name == "pca":
             out.append(PCA(inputCol=at, outputCol=to, **options))
+        elif name == "factors":
+            out.append(NonNegativeFactors(inputCol=at, outputCol=to, **options))
         elif name == "select":
             top = options.get("k", 10)
             out.append(UnivariateFeatureSelector(featuresCol=at, outputCol=to, labelCol=label, selectionMode="numTopFeatures").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(top))
@@ -119,25 +127,16 @@ def knn_impute(df: DataFrame, key: str, target: str, vector: str, k: int = 5, bl
 
 
 def _nonnegative(gram: np.ndarray):
-    """Per row the x >= 0 that minimises x G x - 2 b x, by coordinate descent until nothing moves."""
+    """Each row's best factors, and by how much they lower the error."""
 
-    def solve(parts):
+    def rows(parts):
         for part in parts:
-            if not len(part):
-                continue
-            b = np.stack(part["b"].to_list())
-            x = np.zeros_like(b)
-            for _ in range(500):
-                moved = 0.0
-                for i in np.flatnonzero(np.diag(gram) > 1e-12):
-                    new = np.maximum(0.0, x[:, i] + (b[:, i] - x @ gram[i]) / gram[i, i])
-                    moved = max(moved, float(np.abs(new - x[:, i]).max()))
-                    x[:, i] = new
-                if moved <= 1e-10 * (1 + np.abs(x).max()):
-                    break
-            yield pd.DataFrame({"id": part["id"], "x": list(x), "fit": 2 * (b * x).sum(axis=1) - ((x @ gram) * x).sum(axis=1)})
-
-    return solve
+            if len(part):
+                b = np.stack(part["b"].to_list())
+                x = solve(gram, b)
+                yield pd.DataFrame({"id": part["id"], "x": list(x), "fit": 2 * (b * x).sum(axis=1) - ((x @ gram) * x).sum(axis=1)})
+
+    return rows
 
 
 def factors(df: DataFrame, row: str, col: str, value: str, rank: int = 4, seed: int = 1, rounds: int = 30, least: float = 1e-4) -> tuple[DataFrame, DataFrame, list[float]]:

@@ -31,7 +31,9 @@ def io02(spark, sf):
 
 @R.add("IO03", "SELECT n_nationkey, n_name FROM nation")
 def io03(spark, sf):
-    return io.from_rows(spark, t(spark, sf, "nation").select("n_nationkey", "n_name"))
+    """The 25 nations, given as rows of the session's memory."""
+    nations = t(spark, sf, "nation").select("n_nationkey", "n_name")
+    return io.from_rows(spark, [tuple(r) for r in nations.collect()], nations.schema)
 
 
 @R.add("IO05", "SELECT c_custkey, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
