@@ -105,12 +105,12 @@ def ml05(spark, sf):
 
 @R.add("ML05_stages")
 def ml05_stages(spark, sf):
-    """Capitals and marks as shares of the letters, which texts without letters lack, filled from neighbours; factors; boosted trees."""
+    """How many letters come to one capital and to one mark, which texts without them lack, filled from neighbours; factors; boosted trees."""
     from pyspark.ml.functions import vector_to_array
 
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
     count = lambda kind: F.regexp_count("text", F.lit(kind)).cast("double")
-    cols = {"size": F.log1p(F.length("text").cast("double")), "upper": F.try_divide(count("[A-Z]"), count("[A-Za-z]")), "marks": F.try_divide(count("[!?#%&*$]"), count("[A-Za-z]"))}
+    cols = {"size": F.log1p(F.length("text").cast("double")), "upper": F.try_divide(count("[A-Za-z]"), count("[A-Z]")), "marks": F.try_divide(count("[A-Za-z]"), count("[!?#%&*$]"))}
     rows = d.select("doc_id", F.col("quality").cast("double").alias("label"), *[c.alias(k) for k, c in cols.items()])
     pipe = M.stages([("neighbours", {"key": "doc_id"}), ("minmax", {}), ("factors", {"k": 2}), ("boosted", {})], list(cols))
     return pipe.fit(rows).transform(rows).select("doc_id", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
