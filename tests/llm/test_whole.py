@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, toxicity
+from tidemark.llm import exact_dedup, language_id, lm_scoring, simhash, substring_dedup, toxicity
 from tidemark.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +94,29 @@ def test_empty_tables(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert language_id.identify(empty, language_id.ByteTagger(["de", "en"])).count() == 0
     assert toxicity.score(empty, toxicity.Scorer(toxicity.Features({}, {}, 0, 0), None)).count() == 0
+
+
+#: Names that the operators use inside or return, as columns of the input.
+CLASHING = "w n fp key group chunk row masked keep_id group_size kept least component component_id fingerprint score predicted n_words n_removed bucket hash node text_sha256 log_prob".split()
+
+
+@pytest.mark.parametrize("name", ["op1", "op4", "op6", "op9", "op10"])
+def test_clashing_columns_change_nothing(spark, name):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id < 60")
+    more = d.select("*", *[F.lit("clash").alias(c) for c in CLASHING])
+    if name == "op1":
+        vocab, net = lm_scoring.fit(more, warm_steps=2)
+        again, same = lm_scoring.fit(d, warm_steps=2)
+        assert vocab.ids == again.ids and all(np.allclose(net.p[k], same.p[k]) for k in net.p)
+        run = lambda x: lm_scoring.score(x, vocab, net)
+    elif name == "op4":
+        scorer = toxicity.fit(more.withColumn("toxic", (F.col("doc_id") % 3 == 0).cast("int")))
+        run = lambda x: toxicity.score(x, scorer)
+    else:
+        run = {"op6": substring_dedup.substring_dedup, "op9": simhash.simhash_components, "op10": exact_dedup.exact_dedup}[name]
+    got, want = run(more), run(d)
+    extra = [c for c in got.columns if c not in want.columns]
+    rows = [sorted((r.asDict() for r in x.select(want.columns).collect()), key=lambda r: r["doc_id"]) for x in (got, want)]
+    assert set(extra) <= set(CLASHING) and len(rows[0]) == len(rows[1]) == d.count()
+    for a, b in zip(*rows, strict=True):
+        assert {k: pytest.approx(v) if isinstance(v, float) else v for k, v in b.items()} == a
