@@ -179,6 +179,26 @@ def test_substring_dedup_brute_force(spark, monkeypatch, size, hot_least, most_s
     assert collections.Counter(tuple(r) for r in got) == want
 
 
+@pytest.mark.parametrize("most_sent", [10**6, 0])
+def test_substring_dedup_of_dealt_buckets(spark, monkeypatch, most_sent):
+    monkeypatch.setattr(substring_dedup, "SALT_ROWS", 1)
+    test_substring_dedup_brute_force(spark, monkeypatch, 8, 1, most_sent)
+
+
+def test_known_repeats_are_one_row_a_run(spark):
+    """Copies in one part of the texts give a row for each run of windows, not one for each window, hot or not."""
+    text = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(text), "a") for i in range(40)] + [(100 + i, " ".join([*text[:120], f"x{i}", *text[120:]]), "a") for i in range(10)]
+    for hot_least in (1, 2000):
+        got = substring_dedup.repeated_windows(docs(spark, rows).coalesce(1), hot_least=hot_least).collect()
+        by = collections.Counter()
+        for r in got:
+            by[r["doc_id"]] += r["n"]
+        assert by == {i: 151 if i < 100 else 102 for i, _, _ in rows[1:]}
+        if hot_least == 1:
+            assert len(got) == 39 + 2 * 10
+
+
 def test_large_buckets_hold_each_string_once():
     """Buckets beyond the limit, salted ones too, give the same repeats as small ones."""
     import pyarrow as pa

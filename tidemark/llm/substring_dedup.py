@@ -4,8 +4,9 @@ Windows of ``size`` words are cut into super-k-mers: consecutive windows that sh
 smallest hash of ``seed`` consecutive words inside the window) travel as one packed string to the bucket
 of that minimiser, compressed with a dictionary sampled from the texts. Equal windows have equal minimisers, so a bucket sees all copies of its windows;
 it sorts them and compares equal neighbours byte by byte. Minimisers with very many super-k-mers are
-found by a count first, and their windows go to buckets of their own, by the hash of the whole window; such a bucket is
-first dealt to ``SALTS`` tasks by document, each of which passes on one copy of a window, that of the smallest id.
+found by a count first, and their windows go to buckets of their own, by the hash of the whole window. Where a minimiser has
+over ``SALT_ROWS`` super-k-mers, such a bucket is first dealt to at most ``SALTS`` tasks by document, each of which passes on one copy
+of a window, that of the smallest id. What a task knows to be repeats when it cuts texts is put together to runs and passes no bucket.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, table, text_bytes
 
-#: Tasks that a hot bucket is dealt to at first.
+#: Tasks that a hot bucket is dealt to at first, at most.
 SALTS = 64
+#: Super-k-mers of a hot minimiser for each of those tasks. Up to this number one task compares all there is of a window, whose copies
+#: within a part of the texts are known before; its bucket is not dealt, as that would pass on each of its windows once more.
+SALT_ROWS = 250_000
 #: Repeats (24 bytes each), once counted, up to which they are sent to all tasks; beyond that they meet the texts in a shuffle.
 BROADCAST_REPEATS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -180,25 +184,28 @@ def _unpress(dictionary: bytes):
     return zstandard.ZstdDecompressor(dict_data=own).decompress
 
 
-def _pack(size: int, seed: int, hot: list, dictionary: bytes):
-    """Super-k-mers of the texts, compressed. Of equal ones in a part only that of the smallest id goes to the bucket;
-    the others are repeats for sure and pass as rows with a null ``packed``."""
+def _pack(size: int, seed: int, hot: dict, dictionary: bytes):
+    """Super-k-mers of the texts, compressed. ``hot``: hot minimisers and to how many tasks their buckets are dealt. Of equal ones in a
+    part only that of the smallest id goes to the bucket; the others are repeats for sure and pass as rows with a null ``packed``, one for
+    each run of neighbouring ones."""
 
     def pack(batches: Iterator):
         import pyarrow as pa
 
-        often = np.array(sorted(hot), dtype=np.int64).view(np.uint64)
-        often.sort()
+        often = np.array(list(hot), dtype=np.int64).view(np.uint64)
+        order = np.argsort(often)
+        often, tasks = often[order], np.array(list(hot.values()), dtype=np.uint64)[order]
         press = _press(dictionary)
         for ids, keys, texts in _parts(batches):
             cut = _Cut(texts, size, seed)
             if not len(cut.minimiser):
                 continue
-            key, is_hot = cut.minimiser, np.zeros(len(cut.minimiser), dtype=bool)
+            key, dealt = cut.minimiser, np.ones(len(cut.minimiser), dtype=np.uint64)
             if len(often):
                 spot = np.minimum(np.searchsorted(often, key), len(often) - 1)
                 is_hot = often[spot] == key
                 if is_hot.any():
+                    dealt = np.where(is_hot, tasks[spot], dealt)
                     key = np.where(is_hot, gram_hashes(cut.hashes, size), key)
             at, n = cut.runs(key)
             owner = cut.owner[at]
@@ -226,12 +233,18 @@ def _pack(size: int, seed: int, hot: list, dictionary: bytes):
             for p, (_, own) in best.items():
                 sent.extend(own)
                 packed.extend([press(p)] * len(own))
-            rows = np.array(sent + out, dtype=np.int64)
+            known = np.array(sorted(out), dtype=np.int64)
+            new = np.ones(len(known), dtype=bool)
+            new[1:] = (owner[known[1:]] != owner[known[:-1]]) | (at[known[1:]] != at[known[:-1]] + n[known[:-1]])
+            run = known[new]
+            rows = np.append(np.array(sent, dtype=np.int64), run)
+            length = np.append(n[rows[: len(sent)]], np.add.reduceat(n[known], np.flatnonzero(new)) if len(run) else run)
             who = owner[rows]
             bucket = key[at[rows]].view(np.int64).copy()
             bucket[len(sent) :] = rows[len(sent) :]  # known repeats may pass anywhere
             doc = pa.array([ids[o] for o in who.tolist()], pa.int64())
-            salt = np.where(is_hot[at[rows]], _mix(doc.to_numpy().view(np.uint64)) % np.uint64(SALTS), np.uint64(SALTS)).astype(np.int32)
+            among = dealt[at[rows]]
+            salt = np.where(among > 1, _mix(doc.to_numpy().view(np.uint64)) % among, np.uint64(SALTS)).astype(np.int32)
             salt[len(sent) :] = SALTS
             yield pa.RecordBatch.from_arrays(
                 [
@@ -240,8 +253,8 @@ def _pack(size: int, seed: int, hot: list, dictionary: bytes):
                     doc,
                     pa.array([keys[o] for o in who.tolist()], pa.int64()),
                     pa.array((at[rows] - first[who]).astype(np.int32)),
-                    pa.array(n[rows].astype(np.int32)),
-                    pa.array(packed + [None] * len(out), pa.binary()),
+                    pa.array(length.astype(np.int32)),
+                    pa.array(packed + [None] * len(run), pa.binary()),
                 ],
                 names=["bucket", "salt", "doc_id", "text_key", "at", "n", "packed"],
             )
@@ -425,12 +438,15 @@ def repeated_windows(docs: DataFrame, size: int = 50, seed: int = 4, dictionary:
     if hot and len(hot) >= int(1 / hot_share):  # only then can the share decide
         total = counts.agg(F.sum("n")).first()[0]
         hot = [r for r in hot if r["n"] > hot_share * total]
-    packed = rows.mapInArrow(_pack(size, seed, dictionary=dictionary, hot=[r["minimiser"] for r in hot]), _PACKED)
+    dealt_to = {r["minimiser"]: min(SALTS, -(-r["n"] // SALT_ROWS)) for r in hot}
+    packed = rows.mapInArrow(_pack(size, seed, dictionary=dictionary, hot=dealt_to), _PACKED)
     dealt = packed.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
     found = materialize(dealt.mapInArrow(_find_repeats(size, dictionary), _FOUND), "repeats")
+    runs = ["doc_id", "text_key", "at", "n"]
+    if max(dealt_to.values(), default=1) == 1:  # no bucket was dealt, so nothing is left to compare
+        return found.select(*runs)
     hot_left = found.filter("packed is not null").withColumn("salt", F.lit(SALTS)).select("bucket", "salt", "doc_id", "text_key", "at", "n", "packed")
     more = hot_left.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_find_repeats(size, dictionary), _FOUND)
-    runs = ["doc_id", "text_key", "at", "n"]
     return materialize(found.filter("packed is null").select(*runs).unionByName(more.select(*runs)), "all-repeats")
 
 
