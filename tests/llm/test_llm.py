@@ -446,6 +446,20 @@ def test_language_odd_inputs(spark):
     assert language_id.identify(docs(spark, []), model).count() == 0
 
 
+def test_least_score_is_of_all_labelled_rows(spark):
+    """Not of some thousands of them: the bound is the exact rank among 9,000 labelled texts, or among as many random ones."""
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(20)) + "x", rng.choice(["de", "en"])) for i in range(9000)] + [(9001, None, "en"), (9002, "12 !", "de"), (9003, "no label", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = language_id.ByteTagger(["de", "en"])
+    score = lambda x, i, t: np.sort([r["score"] for r in language_id.identify(x, model, i, t).collect()])
+    clean = score(d.filter("doc_id < 9000"), "doc_id", "text")
+    assert language_id.least_score(d, model, loss=0.3) == clean[2699]
+    noise = score(language_id.random_texts(d), "_id", "_text")
+    assert len(noise) == 9000 and language_id.least_score(d, model, loss=1.0) == pytest.approx(min(np.quantile(noise, 0.99), clean[-1]))
+    assert language_id.least_score(d.filter("doc_id > 9000"), model) == 0.5
+
+
 # Toxicity ------------------------------------------------------------------------------------------------
 
 

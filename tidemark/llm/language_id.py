@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, text_bytes
+from tidemark.functions.quantiles import quantile
+from tidemark.llm.common import materialize, table, text_bytes
 
 CHUNK = 64
 UND = "und"
@@ -168,21 +169,32 @@ def fit(docs: DataFrame, sample: int = 6000, text_col: str = "text", lang_col: s
     return ByteTagger(languages).fit(np.ascontiguousarray(x[:, even]), y[even], **how)
 
 
-def least_score(docs: DataFrame, model: ByteTagger, sample: int = 4000, loss: float = 0.002, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> float:
-    """The score below which a text is in none of the model's languages: what 99 of 100 texts of random letters stay below,
-    but no more than all but a share ``loss`` of labelled texts reach, nor less than chance. Both come from at most about
-    ``sample`` labelled rows, chosen by a hash of the identifier; the random texts have the letters of these rows, evenly dealt."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    share = min(1.0, sample / max(1, known.count()))
-    some = known.filter(F.pmod(F.xxhash64("_id", F.lit("bound")), F.lit(1_000_000_000)) < int(share * 1e9))
+def _labelled(text: Column, lang: Column) -> Column:
+    return lang.isNotNull() & text.rlike(r"\p{L}")
+
+
+def random_texts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """(_id, _text): for every labelled text one of random letters, drawn evenly from its own by a hash of the identifier."""
+    known = docs.filter(_labelled(F.col(text_col), F.col(lang_col))).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     letters = F.array_sort(F.array_distinct(F.split(F.regexp_replace("_text", r"[^\p{L}]", ""), "")))
     word = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.element_at(F.col("_letters"), (F.pmod(F.xxhash64("_id", i), F.size("_letters")) + 1).cast("int")))
     blank = F.transform(word, lambda c, i: F.when(i % 7 == 6, F.lit(" ")).otherwise(c))
-    noise = some.withColumn("_letters", F.filter(letters, lambda c: c != "")).select("_id", F.concat_ws("", blank).alias("_text"))
-    clean, random = (np.array([r["score"] for r in identify(d, model, "_id", "_text").select("score").collect()]) for d in (some, noise))  # about ``sample`` rows at most
-    if not len(clean):
-        return 1 / len(model.languages)
-    return max(1 / len(model.languages), min(float(np.quantile(random, 0.99)), float(np.quantile(clean, loss, method="lower"))))
+    return known.withColumn("_letters", F.filter(letters, lambda c: c != "")).select("_id", F.concat_ws("", blank).alias("_text"))
+
+
+def least_score(docs: DataFrame, model: ByteTagger, loss: float = 0.002, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", scored: DataFrame | None = None) -> float:
+    """The score below which a text is in none of the model's languages: what 99 of 100 texts of random letters stay below,
+    but no more than all but a share ``loss`` of labelled texts reach, nor less than chance. Both are exact quantiles over all
+    labelled rows: of their own scores and of those of a text of random letters for each. ``scored``: a written table of the
+    labelled texts' scores (score), if there is one."""
+    if scored is None:
+        known = docs.filter(_labelled(F.col(text_col), F.col(lang_col)))
+        scored = materialize(identify(known, model, id_col, text_col).select("score"), "labelled-scores")
+    noise = materialize(identify(random_texts(docs, text_col, lang_col, id_col), model, "_id", "_text").select("score"), "random-scores")
+    clean = quantile(scored, "score", loss, interpolation="lower").first()[0]
+    random = quantile(noise, "score", 0.99, interpolation="linear").first()[0]
+    chance = 1 / len(model.languages)
+    return chance if clean is None else max(chance, min(random, clean))
 
 
 def _predict(model: ByteTagger, kind: str, group: int = 4096):

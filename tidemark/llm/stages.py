@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, send_if_small, table
+from tidemark.llm.common import lower_ascii, materialize, send_if_small, table
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.language_id import UND, fit, identify, least_score
@@ -21,12 +21,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in one of the languages that ``docs`` is labelled with.
 
     Texts without a letter (null and empty ones too) go, and those whose score is below ``least_score``, a bound
-    fitted on labelled texts and random letters. The decision is per row; without labelled texts all rows go.
+    fitted on all labelled texts and random letters; rows are written with their scores, so that texts are scored once.
+    The decision is per row; without labelled texts all rows go.
     """
     rows, names = docs.select(F.struct("*").alias("row")), docs.columns
     model = fit(docs)
     found = identify(rows, model, id_col="row", text_col="row.text")
-    least = least_score(docs, model) if model else 0.0
+    least = 0.0
+    if model:
+        found = materialize(found, "languages")
+        labelled = F.col("row.lang").isNotNull() & F.col("row.text").rlike(r"\p{L}")
+        least = least_score(docs, model, scored=found.filter(labelled).select("score"))
     return found.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
 
 
