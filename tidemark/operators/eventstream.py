@@ -39,6 +39,7 @@ class Measurement:
     modifiers: tuple[str, ...] = ()
 
     def __post_init__(self):
+        object.__setattr__(self, "modifiers", tuple(self.modifiers))  # a saved one comes back as a list
         if self.temporality not in ("static", "functional", "dynamic"):
             raise ValueError(self.temporality)
         if (self.modality == "multivariate_regression") != (self.values_column is not None):
