@@ -733,6 +733,40 @@ def test_language_stage_drops_what_is_in_no_language(spark):
     assert sum(i < 10_000_000 for i in left) > 0.99 * d.filter(F.col("text").rlike(r"\p{L}")).count()
 
 
+def test_stages_hold_few_texts_at_a_time(spark, monkeypatch):
+    from tidemark.llm import stages
+    from tidemark.sources.shared import materialize
+
+    most = simhash.BATCH_ROWS
+
+    def bounded(make):
+        def made(*how, **more):
+            own = make(*how, **more)
+
+            def run(batches):
+                def each():
+                    for b in batches:
+                        if b.num_rows > most:
+                            raise ValueError(f"{b.num_rows} rows at a time")
+                        yield b
+
+                yield from own(each())
+
+            return run
+
+        return made
+
+    for module, name in ((language_id, "_predict"), (exact_dedup, "_compare_neighbours"), (simhash, "_sketch"), (simhash, "_candidates"), (simhash, "_shingle_sets"), (simhash, "_verify")):
+        monkeypatch.setattr(module, name, bounded(getattr(module, name)))
+    d = docs(spark, [(i, f"one of {i} many texts of words and numbers as {i % 4} they come", "s") for i in range(3 * most)]).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for stage in (stages.language_stage, stages.exact_stage, stages.near_stage):
+        assert stage(spark, d, SF).count() <= 3 * most
+    sizes = lambda rows: (type(b).from_pydict({"n": [b.num_rows]}) for b in rows)
+    assert {r["n"] for r in materialize(spark.range(0, 100, 1, 1).mapInArrow(sizes, "n long"), "sizes", 40).collect()} == {40, 20}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_stages_on_odd_and_empty_tables(spark):
     from tidemark.llm import stages
 

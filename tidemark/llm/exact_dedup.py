@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, materialize, text_bytes
+from tidemark.llm.common import BATCH_ROWS, lower_ascii, materialize, text_bytes
 
 #: Groups that go on over the edge of a partition: up to so many, once counted, are sent to all tasks.
 BROADCAST_GROUPS = 500_000
@@ -86,7 +86,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = norm.select(id_col, F.xxhash64("_norm").alias("_hash"), "_norm", F.substring("_norm", 1, 32).alias("_prefix"))
     ordered = keyed.repartitionByRange("_prefix", "_hash", id_col).sortWithinPartitions("_prefix", "_hash", "_norm", id_col)
     schema = _RUNS.format(id=f"`{id_col}`", kind=kind)
-    runs = materialize(ordered.select(id_col, "_hash", "_norm").mapInArrow(_compare_neighbours(keep == "largest", run_rows, run_bytes, id_col), schema), "content-runs")
+    runs = materialize(ordered.select(id_col, "_hash", "_norm").mapInArrow(_compare_neighbours(keep == "largest", run_rows, run_bytes, id_col), schema), "content-runs", BATCH_ROWS)
     best = F.max if keep == "largest" else F.min
     whole = runs.filter(~F.col("open")).select(id_col, F.col("run_keep").alias("keep_id"), F.col("run_size").alias("group_size"), "first", "text_sha256")
     totals = materialize(runs.filter("open").groupBy("text_sha256").agg(best(id_col).alias("keep_id"), F.count("*").alias("group_size")), "open-groups")

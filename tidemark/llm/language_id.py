@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.quantiles import quantile
-from tidemark.llm.common import materialize, table, text_bytes
+from tidemark.llm.common import BATCH_ROWS, materialize, table, text_bytes
 
 CHUNK = 64
 UND = "und"
@@ -189,8 +189,8 @@ def least_score(docs: DataFrame, model: ByteTagger, loss: float = 0.002, text_co
     labelled texts' scores (score), if there is one."""
     if scored is None:
         known = docs.filter(_labelled(F.col(text_col), F.col(lang_col)))
-        scored = materialize(identify(known, model, id_col, text_col).select("score"), "labelled-scores")
-    noise = materialize(identify(random_texts(docs, text_col, lang_col, id_col), model, "_id", "_text").select("score"), "random-scores")
+        scored = materialize(identify(known, model, id_col, text_col).select("score"), "labelled-scores", BATCH_ROWS)
+    noise = materialize(identify(random_texts(docs, text_col, lang_col, id_col), model, "_id", "_text").select("score"), "random-scores", BATCH_ROWS)
     clean = quantile(scored, "score", loss, interpolation="lower").first()[0]
     random = quantile(noise, "score", 0.99, interpolation="linear").first()[0]
     chance = 1 / len(model.languages)

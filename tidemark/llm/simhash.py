@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_bytes, materialize, mix64, send_if_small, table, text_bytes
+from tidemark.llm.common import BATCH_ROWS, by_bytes, materialize, mix64, send_if_small, table, text_bytes
 from tidemark.llm.graph import connected_components
 
 _SEED = 42
@@ -202,8 +202,8 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2, tile_rows:
 TABLES = 6
 #: Rows of a part in the first pass, and rows and shingles of a block in the second.
 PART_ROWS, BLOCK_ROWS, BLOCK_CELLS = 128, 1024, 1_000_000
-#: Pairs of rows that numpy holds at once.
-PAIRS = 1 << 20
+#: Pairs of rows that numpy holds at once; fewer where each has a row of smallest hashes.
+PAIRS, WIDE_PAIRS = 1 << 20, 1 << 17
 
 
 def _sketch(k: int, tables: int):
@@ -257,14 +257,14 @@ def _groups(batches: Iterator, keys: int, least: int = 2):
         yield held, np.concatenate(([0], change, [held.num_rows]))
 
 
-def _ranges(first: np.ndarray, stop: np.ndarray):
-    """Positions (p, q), p fixed and first[p] <= q < stop[p], at most about ``PAIRS`` at a time."""
+def _ranges(first: np.ndarray, stop: np.ndarray, most: int = PAIRS):
+    """Positions (p, q), p fixed and first[p] <= q < stop[p], at most about ``most`` at a time."""
     n = np.maximum(stop - first, 0)
     upto = np.cumsum(n)
     low = 0
     while low < len(n):
         done = upto[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(upto, done + PAIRS, "right")))
+        high = max(low + 1, int(np.searchsorted(upto, done + most, "right")))
         m = n[low:high]
         p = np.repeat(np.arange(low, high), m)
         yield p, np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m) + first[p]
@@ -289,7 +289,7 @@ def _candidates(radius: int, ratio: float):
             earlier = np.arange(mins.shape[1])
 
             def look(order, stop, bits):
-                for p, q in _ranges(np.arange(1, len(order) + 1), stop):
+                for p, q in _ranges(np.arange(1, len(order) + 1), stop, WIDE_PAIRS):
                     p, q = order[p], order[q]
                     if bits:
                         ok = np.bitwise_count(fp[p] ^ fp[q]) + np.bitwise_count(fp2[p] ^ fp2[q]) <= radius
@@ -383,11 +383,11 @@ def _links(members: DataFrame, docs: DataFrame, k: int, similarity: float, radiu
     """Verified links of ``members`` (t, m, part, node, fp, fp2, n, label, mins), group by group, as a written table."""
     key = ["t", "m", "part"]
     near = members.select(*key, "node", "fp", "fp2", "n", "label", "mins").repartition(*key).sortWithinPartitions(*key)
-    near = materialize(near.mapInArrow(_candidates(radius, similarity), "t int, m long, part long, node long, label long"), "near")
+    near = materialize(near.mapInArrow(_candidates(radius, similarity), "t int, m long, part long, node long, label long"), "near", BATCH_ROWS)
     nodes = send_if_small(near.select("node").distinct(), "near-nodes")
-    sets = materialize(docs.join(nodes, "node", "left_semi").mapInArrow(_shingle_sets(k), "node long, set array<long>"), "shingle-sets")
+    sets = materialize(docs.join(nodes, "node", "left_semi").mapInArrow(_shingle_sets(k), "node long, set array<long>"), "shingle-sets", BATCH_ROWS)
     found = near.join(sets, "node").select(*key, "node", "label", "set")
-    return materialize(found.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify(similarity), "a long, b long"), "near-links")
+    return materialize(found.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify(similarity), "a long, b long"), "near-links", BATCH_ROWS)
 
 
 def near_duplicates(
@@ -411,7 +411,7 @@ def near_duplicates(
     each, and the smallest of their components is given. Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    marked = materialize(rows.mapInArrow(_sketch(k, tables), "node long, fp long, fp2 long, total long, n int, mins array<long>"), "sketches")
+    marked = materialize(rows.mapInArrow(_sketch(k, tables), "node long, fp long, fp2 long, total long, n int, mins array<long>"), "sketches", BATCH_ROWS)
     same = ["fp", "fp2", "total", "n", "mins"]
     classes = materialize(marked.groupBy(*same).agg(F.min("node").alias("node")), "sketch-classes")
     placed = classes.filter("n > 0").select("node", "fp", "fp2", "n", "mins", F.posexplode("mins").alias("t", "m"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, materialize, send_if_small, table
+from tidemark.llm.common import BATCH_ROWS, lower_ascii, materialize, send_if_small, table
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.language_id import UND, fit, identify, least_score
@@ -29,7 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = identify(rows, model, id_col="row", text_col="row.text")
     least = 0.0
     if model:
-        found = materialize(found, "languages")
+        found = materialize(found, "languages", BATCH_ROWS)
         labelled = F.col("row.lang").isNotNull() & F.col("row.text").rlike(r"\p{L}")
         least = least_score(docs, model, scored=found.filter(labelled).select("score"))
     return found.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
