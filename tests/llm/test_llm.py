@@ -614,6 +614,37 @@ def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
     assert all(got[i] == pytest.approx(want[i], abs=1e-3 * max(1, abs(want[i]))) or i != 2 for i in got) and set(got) == {1, 2, 3}
 
 
+def test_words_are_counted_in_tasks_and_looked_up_where_masked(spark):
+    import pyarrow as pa
+
+    rows = [(i, " ".join(f"W{(i * 7 + j * j) % 60}" for j in range(80)) + (" \x0b\u00c9a\u00a0b", "\n")[i % 2], "s") for i in range(40)] + [(90, None, "s"), (91, " ", "s")]
+    want = collections.Counter(w for _, t, _ in rows for w in (t or "").encode().lower().split())
+    for most in (3, 1 << 19):
+        vocab = lm_scoring.vocabulary(docs(spark, rows), most=most)
+        assert set(vocab.ids) == set(want)
+    texts = [t for _, t, _ in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    counted = pa.Table.from_batches(list(lm_scoring._count_words(1 << 19)(iter([batch]))))
+    assert {w.encode(): n for w, n in zip(counted["w"].to_pylist(), counted["n"].to_pylist(), strict=True)} == want and counted.num_rows == len(want)
+
+    looked = []
+
+    class Counted(lm_scoring.Vocabulary):
+        def numbers(self, words):
+            looked.append(len(words))
+            return super().numbers(words)
+
+    small = Counted([f"w{i}" for i in range(20)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["key", "t"])
+    got = {k: m for b in lm_scoring._mask(small, 0.1, 3)(iter([batch])) for k, m in zip(b["key"].to_pylist(), b["masked"].to_pylist(), strict=True)}
+    assert 0 < sum(looked) < 0.6 * sum(want.values())
+    for i, t in enumerate(texts):
+        context, target = lm_scoring.windows([small((t or "").encode())])
+        crc = np.uint64(zlib.crc32((t or "").encode()))
+        pick = lm_scoring.mix64((crc << np.uint64(32)) + np.arange(len(target), dtype=np.uint64)) < np.uint64(int(0.1 * (2**64 - 1)))
+        assert got.get(i, b"") == np.concatenate((context, target[:, None]), axis=1)[pick].astype("<i2").tobytes()
+
+
 def test_every_word_has_its_own_probability(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "CHUNK_WORDS", 100)
     rare = {f"rare{i}": i % 7 + 1 for i in range(300)}

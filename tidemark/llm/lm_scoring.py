@@ -11,6 +11,7 @@ write chunks of documents with the distinct bucket words of the chunk, which a j
 
 from __future__ import annotations
 
+import collections
 import itertools
 import math
 import zlib
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import GAP, by_bytes, discard, lower_ascii, materialize, mix64, scratch, table, text_bytes
+from tidemark.llm.common import BATCH_ROWS, by_bytes, discard, materialize, mix64, scratch, table, text_bytes
 
 SIDE = 2
 CLUSTERS, WIDTH = 32, 32
@@ -31,6 +32,8 @@ BUCKETS = 64
 SMOOTHING = 0.5
 #: Documents of a training group, on average; networks that one task averages; positions that numpy holds at once.
 GROUP_DOCS, FAN_IN, BLOCK = 8192, 32, 32_768
+#: Distinct words that a task counts before it passes them on, and rows of a batch of them.
+COUNT_WORDS, COUNT_ROWS = 1 << 19, 65_536
 #: A chunk of scored documents ends at so many documents or bucket words.
 CHUNK_DOCS, CHUNK_WORDS = 2048, 262_144
 
@@ -53,8 +56,13 @@ class Vocabulary:
         return {"ids": self.ids}
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        ids, crc = self.ids, zlib.crc32
-        return np.array([ids[w] if w in ids else SIZE - BUCKETS + crc(w) % BUCKETS for w in (text or b"").lower().split()], dtype=np.int64)
+        return self.numbers((text or b"").lower().split())
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        ids = np.fromiter(map(self.ids.get, words, itertools.repeat(-1)), np.int64, len(words))
+        outside = np.flatnonzero(ids < 0)
+        ids[outside] = SIZE - BUCKETS + np.fromiter(map(zlib.crc32, map(words.__getitem__, outside.tolist())), np.int64, len(outside)) % BUCKETS
+        return ids
 
     def both(self, texts: list, index: dict, buckets: bytearray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Of each text the numbers of its words as above and how many are outside; and all words outside, as positions in ``index``.
@@ -75,10 +83,37 @@ def _bucket(word):
     return F.crc32(word.cast("binary")) % BUCKETS
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
-    """The most frequent words over all documents, ties in the order of the words, and the counts of all others."""
-    words = docs.select(F.explode(F.split(lower_ascii(F.col(text_col)), GAP)).alias("w")).filter("w <> ''")
-    counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")), "word-counts")
+def _count_words(most: int):
+    """Rows (w, n) of the words of a task's texts, A-Z lower-cased; a word has a row for each ``most`` distinct ones that were held."""
+
+    def count(batches: Iterator):
+        import pyarrow as pa
+
+        held = collections.Counter()
+
+        def rows():
+            words, n = list(held), list(held.values())
+            for low in range(0, len(words), COUNT_ROWS):
+                part = slice(low, low + COUNT_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(words[part], pa.binary()).view(pa.string()), pa.array(n[part], pa.int64())], names=["w", "n"])
+            held.clear()
+
+        for batch in batches:
+            texts = text_bytes(batch.column(0))
+            for low, high in by_bytes(texts):
+                held.update(b" ".join([t or b"" for t in texts[low:high]]).lower().split())
+                if len(held) >= most:
+                    yield from rows()
+        yield from rows()
+
+    return count
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", most: int = COUNT_WORDS) -> Vocabulary:
+    """The most frequent words over all documents, ties in the order of the words, and the counts of all others. Tasks add up
+    about ``most`` distinct words before they pass them on."""
+    words = docs.select(text_col).mapInArrow(_count_words(most), "w string, n long")
+    counts = materialize(words.groupBy("w").agg(F.sum("n").alias("n")), "word-counts", BATCH_ROWS)
     top = [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(SIZE - BUCKETS).collect()]
     return Vocabulary(top, counts.filter(~F.col("w").isin(top)))
 
@@ -117,12 +152,20 @@ class WindowNetwork:
         bounds = np.searchsorted((target // WIDTH)[order], np.arange(CLUSTERS + 1))
         return [(c, order[bounds[c] : bounds[c + 1]]) for c in range(CLUSTERS) if bounds[c] < bounds[c + 1]]
 
+    @staticmethod
+    def _log_softmax_at(a, at):
+        """The columns ``at`` of the rows of _log_softmax(a); overwrites a."""
+        a -= a.max(axis=1, keepdims=True)
+        own = a[np.arange(len(a)), at]
+        np.exp(a, out=a)
+        return own - np.log(a.sum(axis=1))
+
     def log_probs(self, context, target):
         """log p(target | context) for rows of context (SIDE words before, SIDE after)."""
         _, h = self._hidden(context)
-        out = self._log_softmax(h @ self.p["C"] + self.p["cb"])[np.arange(len(target)), target // WIDTH]
+        out = self._log_softmax_at(h @ self.p["C"] + self.p["cb"], target // WIDTH)
         for c, rows in self._groups(target):
-            out[rows] += self._log_softmax(h[rows] @ self.p["V"][c].T + self.p["vb"][c])[np.arange(len(rows)), target[rows] % WIDTH]
+            out[rows] += self._log_softmax_at(h[rows] @ self.p["V"][c].T + self.p["vb"][c], target[rows] % WIDTH)
         return out
 
     def train(self, context, target, seen: dict, rate: float):
@@ -179,13 +222,21 @@ def _mask(vocab: Vocabulary, mask_rate: float, groups: int):
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), text_bytes(batch.column(1))
             for low, high in by_bytes(texts):
-                ids = [vocab(t) for t in texts[low:high]]
-                sizes = np.array([len(x) for x in ids])
-                flat, at = _laid(ids)
+                words = [(t or b"").lower().split() for t in texts[low:high]]
+                sizes = np.array([len(x) for x in words])
+                owner = np.repeat(np.arange(len(words)), sizes)
+                at = np.arange(len(owner)) + SIDE * (owner + 1)  # as _laid has them
                 own = np.array([zlib.crc32(t or b"") for t in texts[low:high]], dtype=np.uint64)
-                place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                place = np.arange(len(at)) - (np.cumsum(sizes) - sizes)[owner]
                 pick = mix64((np.repeat(own, sizes) << np.uint64(32)) + place.astype(np.uint64)) < below if mask_rate < 1 else np.ones(len(at), dtype=bool)
-                count = np.bincount(np.repeat(np.arange(len(ids)), sizes)[pick], minlength=len(ids))
+                count = np.bincount(owner[pick], minlength=len(words))
+                # Only words at and around the picked positions are looked up.
+                around = np.zeros(len(at) + SIDE * (len(words) + 1), dtype=bool)
+                around[at[pick][:, None] + np.arange(-SIDE, SIDE + 1)] = True
+                needed = np.flatnonzero(around[at])
+                all_words = list(itertools.chain.from_iterable(words))
+                flat = np.full(len(around), PAD, dtype=np.int16)
+                flat[at[needed]] = vocab.numbers([all_words[i] for i in needed.tolist()])
                 at = at[pick]
                 rows = np.concatenate((flat[at[:, None] + _OFFSETS], flat[at][:, None]), axis=1).astype("<i2")
                 some, ends = np.flatnonzero(count), np.concatenate(([0], np.cumsum(count)))
