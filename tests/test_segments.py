@@ -105,6 +105,23 @@ def test_islands(spark, rows, most, mode):
         assert got == sorted((str(r["k"]), r["s"], r["e"], r["n"]) for r in intervals.merge(df, "k", "s", "e", mode=mode).collect())
 
 
+@pytest.mark.parametrize("most", MOSTS)
+def test_equal_intervals_are_in_one_island_in_any_order(spark, monkeypatch, most):
+    """Rows may reach the second window in another order than the first, as after a shuffle: here in a random one."""
+    day = T0.date()
+    stays = [(k, day + 10 * n * DAY, day + (10 * n + 2) * DAY) for k in range(9) for n in range(8) for _ in range(2)]
+    changed = Segments.with_columns
+
+    def mixed(self, *args):
+        out = changed(self, *args)
+        at = F.xxhash64(out.key[0], "s", "_new")
+        return Segments(out.key, out.order, out.light.coalesce(1).sortWithinPartitions(at), out.heavy and out.heavy.coalesce(1).sortWithinPartitions(at))
+
+    monkeypatch.setattr(Segments, "with_columns", mixed)
+    got = sorted(tuple(r) for r in intervals.merge(spark.createDataFrame(stays, "k int, s date, e date"), "k", "s", "e", most=most).collect())
+    assert got == [(k, n + 1, day + 10 * n * DAY, day + (10 * n + 2) * DAY, 2) for k in range(9) for n in range(8)]
+
+
 def test_times_in_a_sequence(spark, rows):
     unique = {(k, ts): i for k, ts, i, _ in rows}
     df = spark.createDataFrame([(k, ts, i) for (k, ts), i in unique.items()], "k int, ts timestamp, i int")

@@ -23,8 +23,8 @@ MOST = 1_000_000
 _BEFORE = (W.unboundedPreceding, -1)
 _AFTER = (1, W.unboundedFollowing)
 #: Frame -> rows of the window; and the segments whose carries are added.
-_ROWS = {"upto": (W.unboundedPreceding, 0), "before": _BEFORE, "from": (W.unboundedPreceding, 0), "after": _BEFORE, "all": (W.unboundedPreceding, W.unboundedFollowing)}
-_SEGMENTS = {"upto": _BEFORE, "before": _BEFORE, "from": _AFTER, "after": _AFTER}
+_ROWS = {"upto": (W.unboundedPreceding, 0), "peers": (W.unboundedPreceding, 0), "before": _BEFORE, "from": (W.unboundedPreceding, 0), "after": _BEFORE, "all": (W.unboundedPreceding, W.unboundedFollowing)}
+_SEGMENTS = {"upto": _BEFORE, "peers": _BEFORE, "before": _BEFORE, "from": _AFTER, "after": _AFTER}
 #: Frames that run in the descending order: a frame that ends at the last row is computed anew for each row, in quadratic time.
 _REVERSED = ("from", "after")
 
@@ -32,7 +32,8 @@ _REVERSED = ("from", "after")
 @dataclass(frozen=True)
 class Running:
     """A column made from the rows of a frame: ``op`` is count, sum, min, max, or last / first (the nearest value that is not null,
-    of frames that end / begin at the row). Frames: upto, before, from, after (the row itself in or not), all."""
+    of frames that end / begin at the row). Frames: upto, before, from, after (the row itself in or not), peers (upto, with all rows that
+    tie with the row in the order, so that the order of ties has no part in it), all."""
 
     name: str
     op: str
@@ -112,7 +113,9 @@ class Segments:
         def window(s):
             w = W.partitionBy(*by)
             order = [F.desc(c) for c in self.order] if s.frame in _REVERSED else self.order
-            return w if s.frame == "all" else w.orderBy(*order).rowsBetween(*_ROWS[s.frame])
+            if s.frame == "all":
+                return w
+            return (w.orderBy(*order).rangeBetween if s.frame == "peers" else w.orderBy(*order).rowsBetween)(*_ROWS[s.frame])
 
         return df.select("*", *[s.over(window(s), reverse=s.frame in _REVERSED).alias(s.name) for s in specs])
 
