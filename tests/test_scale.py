@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import encodings
 from tidemark.operators import eventstream as ES
 from tidemark.operators import joins as J
+from tidemark.operators.segments import Segments
+from tidemark.queries import eventstreams as Q
 from tidemark.sources import io
+from tidemark.sources.schema import InputSchema
 
 T0 = dt.datetime(2021, 1, 1)
 HOUR = dt.timedelta(hours=1)
@@ -133,3 +136,26 @@ def test_schema_of_nested_documents(spark):
     assert "modifiers" not in plain.schema.simpleString()
     with pytest.raises(ValueError):
         ES.nested_schema({"subjects": subjects}, [ES.Measurement("sex", "static", modifiers=("nothing",))])
+
+
+def test_flat_features_of_a_source_need_one_exchange(spark):
+    """Equal to extraction, merging and flattening one after another; subjects whole or, where one is large, by time."""
+    rows = [(k, None if i % 11 == 5 else T0 + (i % 5) * 24 * HOUR, None if i % 13 == 3 else T0 + (i % 7) * 24 * HOUR, "ARN"[i % 3] if i % 4 else None, float(i % 3), "xy"[i % 2]) for k in (1, 2, None) for i in range(60)] + [(3, T0, T0, "A", float("nan"), None)] * 4
+    df = spark.createDataFrame(rows, "k long, s timestamp, e timestamp, flag string, quantity double, line string").repartition(4)
+    schema = InputSchema(df, "range", "k", {"flag": ("flag", "categorical")}, start_col="s", end_col="e", start_columns={"line": ("line", "categorical")}, end_columns={"quantity": ("quantity", "float")}, event_type=("DAY", "ADMIT", "LEAVE"))
+    want = ES.flat_dynamic(*ES.agg_by_time(*ES.extract_events(schema)), Q.FLAG, ["A", "R"])
+    large = ES.large_subjects(schema, 100)
+    assert sorted(tuple(r) for r in large.collect()) == [(1, 120), (2, 120)]
+    in_order = lambda d: sorted(map(repr, d.select(*want.columns).collect()))
+    for sizes in (large, ES.large_subjects(schema), None):
+        assert in_order(ES.flat_source(schema, Q.FLAG, ["A", "R"], sizes)) == in_order(want)
+    whole = ES.flat_source(schema, Q.FLAG, ["A", "R"], ES.large_subjects(schema))
+    cut, plain = (ES.flat_windows(whole, ["FULL", "3d"], counted=c) for c in (large, None))
+    assert sorted(map(repr, cut.collect())) == sorted(map(repr, plain.collect()))
+    assert Segments.of(whole, "subject_id", ["timestamp"], 100, counted=large).heavy is not None
+
+
+def test_queries_on_flat_features_shuffle_their_rows_once(spark):
+    """The join of line items and orders, and one exchange of its rows by subject."""
+    reads = Q.R.queries["ES27"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in reads and "lineitem" not in reads

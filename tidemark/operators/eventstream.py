@@ -20,9 +20,10 @@ from tidemark.functions import scalars as S
 from tidemark.functions.encodings import number_rows
 from tidemark.operators.filters import include
 from tidemark.operators.joins import as_of
-from tidemark.operators.segments import Running
+from tidemark.operators.segments import MOST, Running
 from tidemark.operators.windows import UNITS, summarize_over_window
 from tidemark.sources.schema import DatasetSchema, InputSchema
+from tidemark.sources.shared import materialize
 
 UNK = "UNK"
 
@@ -71,8 +72,41 @@ def _time(c: Column, fmt: str | None) -> Column:
     return F.try_to_timestamp(c, F.lit(fmt)) if fmt else c.cast("timestamp")
 
 
-def _split(rows: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    known = rows.dropna(subset=["subject_id", "timestamp"])
+def _source(schema: InputSchema) -> DataFrame:
+    return include(schema.source, schema.must_have) if schema.must_have else schema.source
+
+
+def _rows(schema: InputSchema, together: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """(subject_id, timestamp, event_type, measured columns) of one source, a row for each of its rows' times, and the names of the measured
+    columns. ``together``: subject_id, with timestamp or without, whose rows are brought into one task each; subjects alone before a
+    range becomes two rows."""
+    df, subject = _source(schema), F.col(schema.subject_id_col).cast("long").alias("subject_id")
+    both = [n for n, _ in schema.names().values()]
+    gather = lambda d, now: d.filter("subject_id is not null").repartition(*together) if together and now else d
+    if schema.kind == "event":
+        cols = [schema.ts_col] if isinstance(schema.ts_col, str) else list(schema.ts_col)
+        when = S.earliest(*[_time(F.col(c), schema.ts_format) for c in cols])
+        kind = F.col(schema.event_type[4:]).cast("string") if schema.event_type.startswith("COL:") else F.lit(schema.event_type)
+        rows, names = gather(df.select(subject, when.alias("timestamp"), kind.alias("event_type"), *_select(schema)), True), both
+    else:
+        eq, start, end = schema.range_types()
+        first, last = [n for n, _ in schema.names("start_columns").values()], [n for n, _ in schema.names("end_columns").values()]
+        s, e = _time(F.col(schema.start_col), schema.ts_format), _time(F.col(schema.end_col), schema.ts_format)
+        wide = df.select(subject, s.alias("_s"), e.alias("_e"), *_select(schema), *_select(schema, "start_columns"), *_select(schema, "end_columns"))
+        ends = F.when(F.col("_s") == F.col("_e"), F.array(F.struct(F.col("_s").alias("t"), F.lit(eq).alias("k"), F.lit(True).alias("a"), F.lit(True).alias("b"))))
+        ends = ends.when(F.col("_s") < F.col("_e"), F.array(F.struct(F.col("_s").alias("t"), F.lit(start).alias("k"), F.lit(True).alias("a"), F.lit(False).alias("b")), F.struct(F.col("_e").alias("t"), F.lit(end).alias("k"), F.lit(False).alias("a"), F.lit(True).alias("b"))))
+        long = gather(wide, "timestamp" not in together).withColumn("_p", F.explode(ends))
+        only = [F.when(F.col("_p.a"), F.col(c)).alias(c) for c in first if c not in last] + [F.when(F.col("_p.b"), F.col(c)).alias(c) for c in last if c not in first]
+        rows = gather(long.select("subject_id", F.col("_p.t").alias("timestamp"), F.col("_p.k").alias("event_type"), *both, *only), "timestamp" in together)
+        names = [*both, *[c for c in dict.fromkeys(first + last) if c in first or c in last]]
+    return rows.dropna(subset=["subject_id", "timestamp"]), names
+
+
+def extract_events(schema: InputSchema) -> tuple[DataFrame, DataFrame]:
+    """Events and measurements of one event or range source. Rows without time or subject go; equal rows count once.
+
+    A range with equal ends is one event, one with start < end is a start and an end event, others go."""
+    known, names = _rows(schema)
     event_id = F.xxhash64("subject_id", F.unix_micros("timestamp"), "event_type").alias("event_id")
     events = known.select("subject_id", "timestamp", "event_type").distinct().select(event_id, "subject_id", "timestamp", "event_type")
     some = reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in names]) if names else F.lit(False)
@@ -80,27 +114,12 @@ def _split(rows: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]
     return events, own.withColumn("measurement_id", F.xxhash64("event_id", *names))
 
 
-def extract_events(schema: InputSchema) -> tuple[DataFrame, DataFrame]:
-    """Events and measurements of one event or range source. Rows without time or subject go; equal rows count once.
-
-    A range with equal ends is one event, one with start < end is a start and an end event, others go."""
-    df = include(schema.source, schema.must_have) if schema.must_have else schema.source
+def large_subjects(schema: InputSchema, most: int = MOST) -> DataFrame:
+    """(subject_id, _n): the subjects of a source that have more than ``most`` rows when each of its rows gives all the rows it can (two for
+    a range), and their number. Only subjects are read, and what is written has a row for each large one."""
     subject = F.col(schema.subject_id_col).cast("long").alias("subject_id")
-    both = [n for n, _ in schema.names().values()]
-    if schema.kind == "event":
-        cols = [schema.ts_col] if isinstance(schema.ts_col, str) else list(schema.ts_col)
-        when = S.earliest(*[_time(F.col(c), schema.ts_format) for c in cols])
-        kind = F.col(schema.event_type[4:]).cast("string") if schema.event_type.startswith("COL:") else F.lit(schema.event_type)
-        return _split(df.select(subject, when.alias("timestamp"), kind.alias("event_type"), *_select(schema)), both)
-    eq, start, end = schema.range_types()
-    first, last = [n for n, _ in schema.names("start_columns").values()], [n for n, _ in schema.names("end_columns").values()]
-    s, e = _time(F.col(schema.start_col), schema.ts_format), _time(F.col(schema.end_col), schema.ts_format)
-    wide = df.select(subject, s.alias("_s"), e.alias("_e"), *_select(schema), *_select(schema, "start_columns"), *_select(schema, "end_columns"))
-    ends = F.when(F.col("_s") == F.col("_e"), F.array(F.struct(F.col("_s").alias("t"), F.lit(eq).alias("k"), F.lit(True).alias("a"), F.lit(True).alias("b"))))
-    ends = ends.when(F.col("_s") < F.col("_e"), F.array(F.struct(F.col("_s").alias("t"), F.lit(start).alias("k"), F.lit(True).alias("a"), F.lit(False).alias("b")), F.struct(F.col("_e").alias("t"), F.lit(end).alias("k"), F.lit(False).alias("a"), F.lit(True).alias("b"))))
-    long = wide.withColumn("_p", F.explode(ends))
-    only = [F.when(F.col("_p.a"), F.col(c)).alias(c) for c in first if c not in last] + [F.when(F.col("_p.b"), F.col(c)).alias(c) for c in last if c not in first]
-    return _split(long.select("subject_id", F.col("_p.t").alias("timestamp"), F.col("_p.k").alias("event_type"), *both, *only), [*both, *[c for c in dict.fromkeys(first + last) if c in first or c in last]])
+    sizes = _source(schema).select(subject).groupBy("subject_id").agg((F.count("*") * (1 if schema.kind == "event" else 2)).alias("_n"))
+    return materialize(sizes.filter(F.col("subject_id").isNotNull() & (F.col("_n") > most)), "large-subjects")
 
 
 def extract(schema: DatasetSchema) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -445,10 +464,7 @@ def flat_static(subjects: DataFrame, c: str, values: Sequence[str]) -> DataFrame
     return subjects.select("subject_id", *[F.when(F.col(c) == v, True).alias(f"static/{c}/{v}/present") for v in values])
 
 
-def flat_dynamic(events: DataFrame, measurements: DataFrame, m: Measurement, values: Sequence[str]) -> DataFrame:
-    """One row per event with ``dynamic/measure/feature/agg`` columns, in one aggregate."""
-    need = [c for c in (m.name, m.values_column) if c]
-    rows = measurements.select("subject_id", "timestamp", "event_id", *need).unionByName(events.select("subject_id", "timestamp", "event_id"), allowMissingColumns=True)
+def _flat_columns(m: Measurement, values: Sequence[str]) -> list[Column]:
     cols = []
     for v in values:
         hit = F.col(m.name) == v
@@ -457,7 +473,25 @@ def flat_dynamic(events: DataFrame, measurements: DataFrame, m: Measurement, val
             x = F.col(m.values_column).cast("double")
             ok = F.when(hit & x.isNotNull() & ~F.isnan(x), x)
             cols += [f.alias(f"dynamic/{m.name}/{v}/{a}") for a, f in (("has_values_count", F.count(ok)), ("sum", F.sum(ok)), ("sum_sqd", F.sum(ok * ok)), ("min", F.min(ok)), ("max", F.max(ok)))]
-    return rows.groupBy("subject_id", "timestamp", "event_id").agg(*cols)
+    return cols
+
+
+def flat_dynamic(events: DataFrame, measurements: DataFrame, m: Measurement, values: Sequence[str]) -> DataFrame:
+    """One row per event with ``dynamic/measure/feature/agg`` columns, in one aggregate."""
+    need = [c for c in (m.name, m.values_column) if c]
+    rows = measurements.select("subject_id", "timestamp", "event_id", *need).unionByName(events.select("subject_id", "timestamp", "event_id"), allowMissingColumns=True)
+    return rows.groupBy("subject_id", "timestamp", "event_id").agg(*_flat_columns(m, values))
+
+
+def flat_source(schema: InputSchema, m: Measurement, values: Sequence[str], large: DataFrame | None = None) -> DataFrame:
+    """``flat_dynamic(*agg_by_time(*extract_events(schema)), m, values)`` in one exchange of the source's rows: an event's distinct rows, and
+    those of its time, are in one task, so they need no further one. ``large`` (see ``large_subjects``): where it is empty, a
+    subject is in one task as a whole, and windows over subjects need none either."""
+    whole = large is not None and not large.limit(1).count()
+    rows, names = _rows(schema, ["subject_id"] if whole else ["subject_id", "timestamp"])
+    known = rows.select("subject_id", "timestamp", "event_type", *names).distinct()
+    flat = known.groupBy("subject_id", "timestamp").agg(*_flat_columns(m, values))
+    return flat.select("subject_id", "timestamp", F.xxhash64("subject_id", F.unix_micros("timestamp")).alias("event_id"), *[F.col(f"`{c}`") for c in flat.columns[2:]])
 
 
 def normalise_columns(df: DataFrame, features: Sequence[str], ids: Sequence[str], zero_count_to_null: bool = False) -> DataFrame:
@@ -477,7 +511,7 @@ _COMBINE = {"count": "sum", "has_values_count": "sum", "sum": "sum", "sum_sqd":
 
 def flat_windows(flat: DataFrame, windows: Sequence[str], key: str = "subject_id", ts: str = "timestamp", counted: DataFrame | None = None) -> DataFrame:
     """Per event, the flat features summed (least, greatest) over each window, named ``window/measure/feature/agg``. ``counted``: a table
-    with a row at least for each event, whose subjects are cheaper to count."""
+    with a row at least for each event, whose subjects are cheaper to count, or their counts (``large_subjects``)."""
     feats = [c for c in flat.columns if c.startswith("dynamic/")]
     plain = flat.select(key, ts, *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(feats)])
     specs = [(f"f{i}", _COMBINE[c.rpartition("/")[2]]) for i, c in enumerate(feats)]
@@ -486,16 +520,17 @@ def flat_windows(flat: DataFrame, windows: Sequence[str], key: str = "subject_id
     return wide.select(key, ts, *[F.col(f"`{k}`").alias(v) for k, v in names.items()])
 
 
-def load_flat(static: DataFrame, dynamic: DataFrame, windows: Mapping[str, DataFrame], tasks: DataFrame | None = None, key: str = "subject_id", ts: str = "timestamp", times: DataFrame | None = None) -> DataFrame:
+def load_flat(static: DataFrame, dynamic: DataFrame, windows: Mapping[str, DataFrame], tasks: DataFrame | None = None, key: str = "subject_id", ts: str = "timestamp", times: DataFrame | None = None, large: DataFrame | None = None) -> DataFrame:
     """Static, per-event and windowed features joined; with ``tasks`` (key, end_time, labels) only their last event at or
     before the end time, chosen before anything is joined. Counts without a value are 0. ``times``: (key, ts) of the rows of
-    ``dynamic`` from a table that is cheaper to read."""
+    ``dynamic`` from a table that is cheaper to read. ``large``: (key, _n) of the subjects with very many of them, if they were counted."""
     rows = dynamic
     if tasks is not None:
         labels = [c for c in tasks.columns if c not in (key, "start_time", "end_time")]
         bounds = tasks.select(key, "end_time", *labels).distinct().withColumn("_at", F.coalesce(F.unix_micros(F.col("end_time").cast("timestamp")), F.lit(2**63 - 1)))
         events = (dynamic if times is None else times).select(key, F.col(ts).alias("_ts"), F.unix_micros(ts).alias("_at"))
-        keys = as_of(events, bounds, key, "_at", Running("_found", "last", F.col("_ts")), first="events")
+        counted = large.select(key, "_n").unionByName(bounds.select(key, F.lit(1).cast("long").alias("_n"))) if large is not None else None
+        keys = as_of(events, bounds, key, "_at", Running("_found", "last", F.col("_ts")), first="events", counted=counted)
         rows = dynamic.join(keys.filter("_found is not null").drop("_at").withColumnRenamed("_found", ts), [key, ts])
     for w in windows.values():
         rows = rows.join(w, [key, ts], "left")

@@ -64,17 +64,18 @@ def rekey(measurements: DataFrame, merged: DataFrame, old: str = "event_id", old
     return measurements.join(ids, F.col(old) == F.col("_old")).withColumn(old, F.col("_new")).drop("_new", "_old")
 
 
-def as_of(events: DataFrame, bounds: DataFrame, key: str, at: str, *columns: Running, first: str = "bounds", most: int = MOST) -> DataFrame:
+def as_of(events: DataFrame, bounds: DataFrame, key: str, at: str, *columns: Running, first: str = "bounds", most: int = MOST, counted: DataFrame | None = None) -> DataFrame:
     """The rows of ``bounds`` with columns that run over the subject's ``events`` up to each bound: their number, the last of their values.
 
     Both are put into one table and ordered once by subject and ``at`` (``first``: which comes first at equal times), so the rows
     between operators are events and bounds, not pairs of them. ``columns`` read the events' columns, which are null on bounds.
-    A null ``at`` of a bound comes before all events; events without a key or time are left out. Large subjects are cut."""
+    A null ``at`` of a bound comes before all events; events without a key or time are left out. Large subjects are cut;
+    ``counted`` as in ``Segments.of``, for events and bounds together."""
     early = first == "bounds"
     both = bounds.withColumn("_event", F.lit(not early)).withColumn("_bound", F.lit(True))
     known = events.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("_event", F.lit(early)).withColumn("_bound", F.lit(False))
     rows = both.unionByName(known, allowMissingColumns=True)
-    seen = Segments.of(rows, key, [at, "_event"], most).running(*columns).frame()
+    seen = Segments.of(rows, key, [at, "_event"], most, counted).running(*columns).frame()
     return seen.filter("_bound").select(*bounds.columns, *[c.name for c in columns])
 
 

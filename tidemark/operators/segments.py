@@ -83,9 +83,12 @@ class Segments:
     @classmethod
     def of(cls, df: DataFrame, key: str | Sequence[str], order: Sequence[str], most: int = MOST, counted: DataFrame | None = None) -> Segments:
         """Counts rows by subject (a narrow aggregate) and cuts the large ones; of subjects over ``most`` rows there are few, a row each.
-        ``counted``: a table with a row at least for each row of ``df``, by subject, that is cheaper to count."""
+        ``counted``: a table with a row at least for each row of ``df``, by subject, that is cheaper to count; or, with a column ``_n``,
+        such counts, of which those up to ``most`` may be left out."""
         keys = [key] if isinstance(key, str) else list(key)
-        sizes = (df if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+        source = df if counted is None else counted
+        number = F.sum("_n") if counted is not None and "_n" in counted.columns else F.count("*")
+        sizes = source.groupBy(*keys).agg(number.alias("_n")).filter(F.col("_n") > most)
         large = sizes.agg(F.count("*").alias("k"), F.sum("_n").alias("n")).first()
         if not large["k"]:
             return cls(keys, order, df, None)

@@ -11,6 +11,7 @@ from tidemark.queries import Registry, t
 from tidemark.queries.aggregations import rounded
 from tidemark.queries.joining import H
 from tidemark.sources.schema import DatasetSchema, InputSchema
+from tidemark.sources.shared import materialize
 
 R = Registry()
 KIND = ES.Measurement("kind")
@@ -25,15 +26,17 @@ def point_schema(spark, sf, **more):
     return InputSchema(t(spark, sf, "events"), "event", "user_id", {"event_type": ("kind", "categorical"), "value": ("value", "float")}, ts_col="ts", event_type="COL:event_type", **more)
 
 
-def stays(spark, sf):
+def stays(spark, sf, of=None):
+    """Line items as stays; ``of``: (subject_id) of the customers wanted, if not all."""
     li, o = t(spark, sf, "lineitem"), t(spark, sf, "orders")
+    o = o if of is None else o.join(of, o["o_custkey"] == of["subject_id"], "left_semi")
     d = li.join(o, li["l_orderkey"] == o["o_orderkey"])
     end = F.timestamp_micros(micros("l_shipdate") + (F.col("l_quantity").cast("long") - 1) * 86_400_000_000)
     return d.select("o_custkey", F.col("l_shipdate").cast("timestamp").alias("s"), end.alias("e"), "l_returnflag", "l_quantity", "l_linestatus")
 
 
-def range_schema(spark, sf):
-    return InputSchema(stays(spark, sf), "range", "o_custkey", {"l_returnflag": ("flag", "categorical")}, start_col="s", end_col="e", start_columns={"l_linestatus": ("line", "categorical")}, end_columns={"l_quantity": ("quantity", "float")}, event_type=("DAY", "ADMIT", "LEAVE"))
+def range_schema(spark, sf, of=None):
+    return InputSchema(stays(spark, sf, of), "range", "o_custkey", {"l_returnflag": ("flag", "categorical")}, start_col="s", end_col="e", start_columns={"l_linestatus": ("line", "categorical")}, end_columns={"l_quantity": ("quantity", "float")}, event_type=("DAY", "ADMIT", "LEAVE"))
 
 
 def points(spark, sf):
@@ -308,6 +311,12 @@ def _flat(spark, sf):
     return ES.flat_dynamic(e, m, FLAG, ["A", "R"])
 
 
+def _flat_by_subject(schema):
+    """(flat rows, large subjects) of a source."""
+    large = ES.large_subjects(schema)
+    return ES.flat_source(schema, FLAG, ["A", "R"], large), large
+
+
 FLAT = f"{RNG}, fl AS (SELECT subject_id, us, count(*) FILTER (flag = 'A') AS a_count, count(quantity) FILTER (flag = 'A') AS a_n, sum(quantity) FILTER (flag = 'A') AS a_sum, sum(quantity * quantity) FILTER (flag = 'A') AS a_sqd, max(quantity) FILTER (flag = 'R') AS r_max FROM rp GROUP BY ALL)"
 
 
@@ -347,7 +356,9 @@ def es26(spark, sf):
 
 @R.add("ES27", f"WITH {FLAT} SELECT subject_id, us, a_count, round(a_sum / nullif(a_n, 0), 4) AS a_mean, round(a_sqd / nullif(a_n, 0) - pow(a_sum / nullif(a_n, 0), 2), 4) AS a_var FROM fl")
 def es27(spark, sf):
-    d = ES.drop_empty(ES.mean_and_variance(_flat(spark, sf).drop("event_id")), ["subject_id", "timestamp"])
+    flat, _ = _flat_by_subject(range_schema(spark, sf))
+    rows = materialize(ES.mean_and_variance(flat.drop("event_id")), "flat")  # read twice: to find empty columns, and for the rest
+    d = ES.drop_empty(rows, ["subject_id", "timestamp"])
     return d.select("subject_id", micros("timestamp").alias("us"), F.col("`dynamic/flag/A/count`").alias("a_count"), F.round(F.col("`dynamic/flag/A/mean`"), 4).alias("a_mean"), F.round(F.col("`dynamic/flag/A/variance`"), 4).alias("a_var"))
 
 
