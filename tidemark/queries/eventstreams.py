@@ -344,13 +344,11 @@ def es25(spark, sf):
 
 @R.add("ES26", f"WITH {FLAT}, w AS (SELECT subject_id, us, CAST(sum(a_count) OVER ({_WIN} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS full_count FROM fl), k AS (SELECT c_custkey AS subject_id, epoch_us(TIMESTAMP '1996-01-01') AS e, c_acctbal > 0 AS label, c_mktsegment FROM customer WHERE c_custkey % 2 = 0), l AS (SELECT subject_id, max(us) AS us, any_value(label) AS label, any_value(c_mktsegment) AS seg FROM fl JOIN k USING (subject_id) WHERE us <= e GROUP BY 1) SELECT subject_id, us, label, full_count, CASE WHEN seg = 'BUILDING' THEN true END AS building FROM l JOIN w USING (subject_id, us)")
 def es26(spark, sf):
-    flat = _flat(spark, sf)
     people = ES.build_subjects(static_schema(spark, sf))
     tasks = people.filter("subject_id % 2 = 0").select("subject_id", F.lit("1996-01-01").cast("timestamp").alias("end_time"), (F.col("balance") > 0).alias("label"))
-    own = tasks.select("subject_id")
-    times = ES.extract_events(range_schema(spark, sf))[0].join(own, "subject_id", "left_semi").select("subject_id", "timestamp")
-    full = ES.flat_windows(flat.join(own, "subject_id", "left_semi"), ["FULL"], counted=times)
-    d = ES.load_flat(ES.flat_static(people, "segment", ["BUILDING"]), flat.drop("event_id"), {"FULL": full}, tasks, times=times)
+    flat, large = _flat_by_subject(range_schema(spark, sf, tasks.select("subject_id")))
+    full = ES.flat_windows(flat, ["FULL"], counted=large)
+    d = ES.load_flat(ES.flat_static(people, "segment", ["BUILDING"]), flat.drop("event_id"), {"FULL": full}, tasks, large=large)
     return d.select("subject_id", micros("timestamp").alias("us"), "label", F.col("`FULL/flag/A/count`").alias("full_count"), F.col("`static/segment/BUILDING/present`").alias("building"))
 
 
