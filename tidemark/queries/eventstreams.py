@@ -337,8 +337,8 @@ _WIN = "PARTITION BY subject_id ORDER BY us"
 
 @R.add("ES25", f"WITH {FLAT} SELECT subject_id, us, CAST(sum(a_count) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS full_count, sum(a_sum) OVER (w RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW) AS past_sum, max(r_max) OVER (w RANGE BETWEEN 1 FOLLOWING AND 604800000000 FOLLOWING) AS next_max FROM fl WINDOW w AS ({_WIN})")
 def es25(spark, sf):
-    events = ES.extract_events(range_schema(spark, sf))[0]
-    w = ES.flat_windows(_flat(spark, sf), ["FULL", "7d", "-7d"], counted=events)
+    flat, large = _flat_by_subject(range_schema(spark, sf))
+    w = ES.flat_windows(flat, ["FULL", "7d", "-7d"], counted=large)
     return w.select("subject_id", micros("timestamp").alias("us"), F.col("`FULL/flag/A/count`").alias("full_count"), F.col("`7d/flag/A/sum`").alias("past_sum"), F.col("`-7d/flag/R/max`").alias("next_max"))
 
 
