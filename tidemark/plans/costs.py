@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.quantiles import quantile, wide
 from tidemark.operators.filters import fold_rare, lower_names
 from tidemark.operators.segments import MOST, Running, Segments
-from tidemark.sources.shared import discard, scratch
+from tidemark.sources.shared import discard, materialize, scratch
 
 
 def load(df: DataFrame, record: str, cost: str) -> DataFrame:
@@ -77,6 +80,94 @@ def trees(nominal: bool, bins: int, seed: int):
     return GBTRegressor(maxIter=10, maxDepth=6, minInstancesPerNode=20, maxBins=bins, seed=seed)
 
 
+#: Up to so many cells, counted, are sent to all tasks.
+SENT = 200_000
+
+
+def _sent(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= SENT else df
+
+
+def _ends(rows: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """By column the upper ends of its cells but the last: all its values if there are at most ``bins`` of them, else exact quantiles of
+    them, from which trees would choose their splits as well (MLlib takes them from a sample)."""
+    near = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    own = {c: sorted(r[0] for r in rows.select(c).dropna().distinct().limit(bins + 1).collect()) for c in columns if near[c] <= 2 * bins}
+    many = [c for c in columns if len(own.get(c, range(bins + 1))) > bins]
+    cuts = wide(rows, {f"{i}_{k}": (c, k / bins, "lower") for i, c in enumerate(many) for k in range(1, bins)}).first() if many else {}
+    return {c: sorted({cuts[f"{many.index(c)}_{k}"] for k in range(1, bins)}) if c in many else own[c][:-1] for c in columns}
+
+
+def _celled(rows: DataFrame, ends: dict[str, list[float]]) -> DataFrame:
+    """Adds ``_b_<column>``: the number of ends below the value."""
+    from pyspark.ml.feature import Bucketizer
+
+    cut = [c for c in ends if ends[c]]
+    out = rows.withColumns({f"_b_{c}": F.lit(0.0) for c in ends if c not in cut})
+    if not cut:
+        return out
+    splits = [[-math.inf, *[math.nextafter(e, math.inf) for e in ends[c]], math.inf] for c in cut]
+    return Bucketizer(splitsArray=splits, inputCols=cut, outputCols=[f"_b_{c}" for c in cut]).transform(out)
+
+
+def _weighted(estimator, weight: str, total: float, column: str = "_y"):
+    """The estimator for rows that stand for ``weight`` rows each: a node needs as much weight as it needed rows."""
+    least = estimator.getMinInstancesPerNode()
+    out = estimator.copy().setWeightCol(weight).setMinInstancesPerNode(1).setFeaturesCol("_x").setLabelCol(column).setPredictionCol("_p")
+    return out.setMinWeightFractionPerNode((least - 0.5) / total) if total >= 2 * least else out.setMaxDepth(0)
+
+
+def _cell_numbers(cells: DataFrame, estimator) -> DataFrame:
+    """Predictions ``_p`` for cells (_x, _w: known rows, _y: their mean): with squared errors the splits and leaves of trees are those of the rows."""
+    return _weighted(estimator, "_w", cells.agg(F.sum("_w")).first()[0]).fit(cells.filter("_w > 0")).transform(cells)
+
+
+def _cell_categories(cells: DataFrame, counts: DataFrame, estimator, classes: int, seed: int) -> DataFrame:
+    """Predictions ``_p`` for ``cells`` (_x) by a forest over ``counts`` (_x, _y, _w, _h). A tree's bootstrap draws each row a Poisson(1) number of
+    times, so ``_w`` equal rows together a Poisson(_w) number, here by the cell's hash ``_h``; the trees' shares of classes are averaged."""
+    from pyspark.ml.functions import vector_to_array
+
+    n = estimator.getNumTrees()
+
+    @F.pandas_udf("array<double>")
+    def draws(h: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([seed, int(x) & (2**64 - 1)]).poisson(y, n).astype(float) for x, y in zip(h, w, strict=True)])
+
+    drawn = materialize(counts.withColumn("_k", draws("_h", "_w")), "draws")
+    totals = drawn.agg(*[F.sum(F.col("_k")[i]).alias(f"k{i}") for i in range(n)]).first()
+    one = estimator.copy().setNumTrees(1).setBootstrap(False)
+    if one.getFeatureSubsetStrategy() == "auto":
+        one = one.setFeatureSubsetStrategy("sqrt")  # what auto is for a forest
+    votes, shares = cells, []
+    label = drawn.schema["_y"].metadata
+    for i in range(n):
+        if not totals[f"k{i}"]:
+            continue
+        own = drawn.withColumn("_k", F.col("_k")[i]).filter("_k > 0").withColumn("_y", F.col("_y").alias("_y", metadata=label))
+        tree = _weighted(one, "_k", totals[f"k{i}"]).setSeed(seed * 1000 + i).setProbabilityCol("_q").setRawPredictionCol("").fit(own)
+        votes = tree.transform(votes).withColumn(f"_q{i}", vector_to_array("_q")).drop("_q", "_p")
+        shares.append(f"_q{i}")
+    summed = votes.withColumn("_s", F.array(*[sum((F.col(q)[j] for q in shares), F.lit(0.0)) for j in range(classes)]))
+    return summed.withColumn("_p", (F.array_position("_s", F.array_max("_s")) - 1).cast("double")).drop("_s", *shares)
+
+
+def _cell_donors(scored: DataFrame, sizes: DataFrame, value: Column, match: str, most: int = MOST) -> DataFrame:
+    """Adds ``_donor`` as ``_nearest_donor`` does, where many rows have one prediction (``sizes``: (_p, _n) of all rows): inside a prediction the
+    value of the row before by ``match`` that has one, else of the first; a prediction without values takes the nearer neighbour's."""
+    edges = scored.filter(value.isNotNull()).groupBy(F.col("_p").alias("_e")).agg(F.min_by(value, match).alias("_first"), F.max_by(value, match).alias("_last"))
+    each = sizes.groupBy("_p").agg(F.sum("_n").alias("_n"))
+    known = each.join(edges, F.col("_p") == F.col("_e"), "left").select(F.lit(0).alias("_all"), "_p", "_first", "_last", F.col("_e").isNotNull().alias("_has"))
+    near = lambda c: F.when(F.col("_has"), F.struct(F.col("_p").alias("p"), F.col(c).alias("y")))
+    scan = Segments.of(materialize(known, "predictions"), "_all", ["_p"], most)
+    ordered = scan.running(Running("_before", "last", near("_last"), "before"), Running("_after", "first", near("_first"), "after")).frame("_all")
+    lower = F.col("_after").isNull() | (F.col("_p") - F.col("_before.p") <= F.col("_after.p") - F.col("_p"))
+    other = F.when(F.col("_before").isNotNull() & lower, F.col("_before.y")).otherwise(F.col("_after.y"))
+    fill = materialize(ordered.select(F.col("_p").alias("_e"), F.when(F.col("_has"), F.col("_first")).otherwise(other).alias("_fill")), "fills")
+    rows = Segments.of(scored, "_p", [match], most, each.filter(F.col("_n") > most)).running(Running("_own", "last", value)).frame()
+    joined = rows.join(_sent(fill, fill.count()), F.col("_p") == F.col("_e"), "left")
+    return joined.withColumn("_donor", F.coalesce("_own", "_fill")).drop("_own", "_e", "_fill")
+
+
 def chained(
     df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = (), rounds: int = 3, rare: int = 20, seed: int = 1, match: bool = True, model: Callable = trees, most: int = MOST
 ) -> tuple[DataFrame, list[dict[str, float]]]:
@@ -89,7 +180,11 @@ def chained(
     the observed value whose prediction is nearest. ``key`` is a unique id without nulls.
 
     Categories of fewer than ``rare`` rows become "other"; numbers come out as doubles. A column without any value stays null and predicts
-    nothing, and so does everything if fewer than two columns have values. The table is written to the shared folder after each
+    nothing, and so does everything if fewer than two columns have values.
+
+    The default models see a number as one of ``bins`` cells, as trees do (``_ends``, from its present values), so rows in the same cells are
+    one row with a weight: they are counted in one pass over the table, and trees are fitted and read on the cells, of which there are at
+    most as many as rows. A model of one's own is fitted on the rows. The table is written to the shared folder after each
     column and the one before deleted, so no plan grows with the rounds and a lost executor repeats one column at most."""
     from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 
@@ -109,8 +204,31 @@ def chained(
     start = {c: 0.0 if c in labels else middle[f"m{list(numeric).index(c)}"] for c in todo}
     state = rows.withColumns({f"_miss_{c}": F.col(c).isNull() for c in (*numeric, *categorical)}).fillna(start)
     marked = lambda d: d.withColumns({c: F.col(c).alias(c, metadata=meta[c]) for c in labels})
+    ends = _ends(rows, [c for c in numeric if c in used], bins) if todo and model is trees else None
     path, means = None, []
 
+    def predicted(c: str, k: int) -> tuple[DataFrame, DataFrame | None]:
+        """The rows with ``_p``; and (_p, _n), predictions and their numbers of rows, if they come by cells."""
+        miss, estimator = F.col(f"_miss_{c}"), model(c in labels, bins, seed + k)
+        if ends is None:
+            d = VectorAssembler(inputCols=[x for x in used if x != c], outputCol="_x").transform(state)
+            fitted = estimator.setFeaturesCol("_x").setLabelCol(c).setPredictionCol("_p").fit(d.filter(~miss))
+            return fitted.transform(d).select(*state.columns, "_p"), None
+        of = [x if x in labels else f"_b_{x}" for x in used if x != c]
+        d = _celled(state, {x: e for x, e in ends.items() if x != c})
+        shape = lambda t: VectorAssembler(inputCols=of, outputCol="_x").transform(t.withColumns({x: F.col(x).alias(x, metadata=meta[x]) for x in of if x in labels}))
+        if c in labels:
+            counts = materialize(d.groupBy(*of, F.when(~miss, F.col(c)).alias("_y")).agg(F.count("*").cast("double").alias("_w")), "cells")
+            cells = counts.groupBy(*of).agg(F.sum("_w").cast("long").alias("_n"))
+            known = shape(counts.filter("_y IS NOT NULL").withColumn("_h", F.xxhash64(*of, "_y")).withColumn("_y", F.col("_y").alias("_y", metadata=meta[c])))
+            read = _cell_categories(shape(cells), known.select("_x", "_y", "_w", "_h"), estimator, len(labels[c]), seed + k)
+        else:
+            cells = d.groupBy(*of).agg(F.count("*").alias("_n"), F.count_if(~miss).cast("double").alias("_w"), F.avg(F.when(~miss, F.col(c))).alias("_y"))
+            read = _cell_numbers(shape(materialize(cells, "cells")), estimator)
+        found = materialize(read.select(*[F.col(x).alias(f"_c{i}") for i, x in enumerate(of)], "_p", "_n"), "cell-predictions")
+        same = [F.col(x) == F.col(f"_c{i}") for i, x in enumerate(of)]
+        return d.join(_sent(found.drop("_n"), found.count()), same).select(*state.columns, "_p"), found.select("_p", "_n")
+
     def write(d: DataFrame) -> DataFrame:
         nonlocal path
         old, path = path, scratch(spark, "chained")
@@ -123,11 +241,10 @@ def chained(
     for k in range(rounds if todo else 0):
         for c in todo:
             miss = F.col(f"_miss_{c}")
-            d = VectorAssembler(inputCols=[x for x in used if x != c], outputCol="_x").transform(state)
-            fitted = model(c in labels, bins, seed + k).setFeaturesCol("_x").setLabelCol(c).setPredictionCol("_p").fit(d.filter(~miss))
-            d = fitted.transform(d).select(*state.columns, "_p")
+            d, sizes = predicted(c, k)
             if match and c not in labels:
-                d = _nearest_donor(d, F.when(~miss, F.col(c)), key, most).withColumn("_p", F.col("_donor"))
+                value = F.when(~miss, F.col(c))
+                d = (_nearest_donor(d, value, key, most) if sizes is None else _cell_donors(d, sizes, value, key, most)).withColumn("_p", F.col("_donor"))
             state = write(d.withColumn(c, F.when(miss, F.col("_p")).otherwise(F.col(c))).select(*state.columns))
         numbers = [c for c in todo if c not in labels]
         if numbers:
