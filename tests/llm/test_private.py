@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import private_data as P
 from tidemark.llm import queries as Q
@@ -98,6 +99,30 @@ def test_disguised_data_is_found_and_other_numbers_are_left(spark, model):
     assert [got[i] for i in range(len(cases))] == [k for _, k in cases]
 
 
+def test_trees_grow_and_calibrate_on_all_candidates(spark, model, monkeypatch):
+    """On every form of every candidate, whatever their number; the same model from any partitions."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import IsotonicRegression
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    weights = {}
+    for kind in (GBTClassifier, IsotonicRegression):
+        monkeypatch.setattr(kind, "fit", lambda self, df, kind=kind, fit=kind.fit: (weights.update({kind: df.agg({"w": "sum"}).first()[0]}), fit(self, df))[1])
+    assert P.fit(docs.repartition(7)) == model
+    held = {r["held"]: r["count"] for r in P.forms(P.candidates(docs)).groupBy("held").count().collect()}
+    assert weights == {GBTClassifier: held[False], IsotonicRegression: held[True]} and held[False] > 100
+
+
+def test_spans_next_to_one_that_went_stay(spark):
+    """Of 0-10, 8-20 and 18-30 the last is the best: the middle one goes, and the first overlaps nothing that stays."""
+    kind = "array<struct<kind_no:int,start:long,end:long,kind:string,score:double,base:boolean>>"
+    span = lambda a, b, score, no=0: (no, a, b, P.KINDS[no], score, False)
+    rows = [([], [span(0, 10, 0.6), span(8, 20, 0.7), span(18, 30, 0.8)]), ([span(25, 26, 1.0)], [span(0, 10, 0.6), span(8, 20, 0.7), span(18, 30, 0.8)]), ([], [span(5, 9, 0.9, 3), span(5, 9, 0.9, 2), span(1, 6, 0.9)]), ([], [])]
+    d = spark.createDataFrame(rows, f"known {kind}, more {kind}")
+    got = [[(s["start"], s["kind_no"]) for s in r[0]] for r in d.select(P.chosen(F.col("known"), F.col("more"))).collect()]
+    assert got == [[(18, 0), (0, 0)], [(8, 0)], [(1, 0)], []]
+
+
 def test_redaction(spark, model):
     df = spark.createDataFrame([(1, "é me@x.org or +1 (743) 555-3824."), (2, None), (3, "none")], "doc_id long, text string")
     got = {r["doc_id"]: r["redacted"] for r in P.redact(df, model).collect()}
