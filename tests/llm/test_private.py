@@ -123,6 +123,18 @@ def test_spans_next_to_one_that_went_stay(spark):
     assert got == [[(18, 0), (0, 0)], [(8, 0)], [(1, 0)], []]
 
 
+def test_cards_next_to_other_numbers_are_found(spark, model):
+    cases = [
+        ("on 2024-05-17 4539.1488.0343.6467 was", [(14, 33)]), ("é 4539.1488.0343.6467 4539/1488/0343/6467", [(2, 21), (22, 41)]), ("pay 12 4539_1488_0343_6467 7", [(7, 26)]),
+        ("on 2024-05-17 4539.1488.0343.6468 was", []), ("5 " * 4000, []), ("4539148803436467 4539148803436467", [(0, 16), (17, 33)]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "card"] for r in P.find(df, model).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+    near = df.filter("doc_id = 0").select(F.explode(P.wide_spans(F.col("text"), "card")).alias("s")).select("s.*").collect()
+    assert [tuple(r) for r in near] == [(14, 33, "4539.1488.0343.6467", "on 2024-05-17 ", " was")]
+
+
 def test_redaction(spark, model):
     df = spark.createDataFrame([(1, "é me@x.org or +1 (743) 555-3824."), (2, None), (3, "none")], "doc_id long, text string")
     got = {r["doc_id"]: r["redacted"] for r in P.redact(df, model).collect()}
