@@ -159,5 +159,7 @@ def test_queries_on_flat_features_shuffle_their_rows_once(spark):
     """The join of line items and orders, and one exchange of its rows by subject."""
     plan = Q.R.queries["ES25"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3
+    plan = Q.R.queries["ES26"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 9
     reads = Q.R.queries["ES27"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in reads and "lineitem" not in reads
